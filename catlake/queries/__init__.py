@@ -1,4 +1,6 @@
 """The operators as queries over the given tables, with SQL for each that SQL can express."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from . import health, listing, matching, pages, quality, sources  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
