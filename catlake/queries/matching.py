@@ -1 +1,132 @@
-"""To come."""
+"""Matching, merging and duplicates."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import bindings as b
+from ..functions.text import jaro_winkler as similarity
+from ..operators import match as m
+from ..operators.merge import merge_by_key
+from ..operators.windows import best_match as best
+from ..operators.windows import first_occurrence as first
+from .registry import query
+
+_BLOCK = ["lang", "start"]
+_SIDES = """(SELECT lang, substr(title_key, 1, 4) AS start, title_key, min(id) AS id, count(*) AS copies FROM titles WHERE id % 2 = {} GROUP BY ALL)"""
+_PAIRS = f"(SELECT c.id AS c_id, r.id AS r_id, c.title_key AS c_key, r.title_key AS r_key FROM {_SIDES.format(1)} c JOIN {_SIDES.format(0)} r USING (lang, start))"
+
+
+def _sides(spark, sf_dir):
+    rows = b.titles(spark, sf_dir).withColumn("start", F.substring("title_key", 1, 4))
+    return m.distinct_titles(rows.filter("id % 2 = 1"), _BLOCK), m.distinct_titles(rows.filter("id % 2 = 0"), _BLOCK)
+
+
+@query(f"SELECT c_id, r_id FROM {_PAIRS}", "titles")
+def block_pairs(spark, sf_dir):
+    return m.block_pairs(*_sides(spark, sf_dir), _BLOCK).select("c_id", "r_id")
+
+
+@query()
+def jaro_winkler(spark, sf_dir):
+    pairs = m.block_pairs(*_sides(spark, sf_dir), _BLOCK)
+    return pairs.select("c_id", "r_id", F.round(similarity(F.col("c_title_key"), F.col("r_title_key")), 6).alias("similarity"))
+
+
+@query("SELECT event_id AS id, round(greatest(0.0, 1 - abs(extract(hour FROM ts) * 60 + extract(minute FROM ts) - 720) / 180.0), 4) AS similarity FROM events")
+def time_similarity(spark, sf_dir):
+    noon = F.lit("2024-01-01 12:00:00").cast("timestamp")
+    return b.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.round(m.time_similarity(F.col("ts").cast("timestamp"), noon), 4).alias("similarity"))
+
+
+_SCORE = """(SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN round((0.7e0 * t + 0.15e0 * 0.5e0 + 0.15e0 * 0.25e0) / (0.7e0 + 0.15e0 + 0.15e0), 4) ELSE round((0.7e0 * t + 0.15e0 * 0.5e0) / (0.7e0 + 0.15e0), 4) END AS score
+    FROM (SELECT event_id, CAST((CAST(json_extract_string(props, '$.k') AS INTEGER) % 101) AS DOUBLE) / 100 AS t FROM events))"""
+
+
+def _scores(spark, sf_dir):
+    t = (F.get_json_object("props", "$.k").cast("int") % 101) / 100
+    venue = F.when(F.col("event_id") % 2 == 0, 0.25)
+    return b.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), m.match_score(t, F.lit(0.5), venue).alias("score"))
+
+
+@query(f"SELECT id, score, CASE WHEN score >= 0.92 THEN 'auto-merge' WHEN score >= 0.75 THEN 'review' ELSE 'separate' END AS decision FROM {_SCORE}")
+def match_score(spark, sf_dir):
+    return _scores(spark, sf_dir).select("id", "score", m.decision(F.col("score")).alias("decision"))
+
+
+@query("""SELECT user_id AS c_id, arg_min(event_id, (-value, event_id)) AS r_id FROM events GROUP BY user_id""")
+def best_match(spark, sf_dir):
+    rows = b.table(spark, sf_dir, "events").select(F.col("user_id").alias("c_id"), F.col("event_id").alias("r_id"), F.col("value").alias("score"))
+    return best(rows, "c_id", "score", "r_id").select("c_id", "r_id")
+
+
+def _matches(spark, sf_dir):
+    return m.match_candidates(*_sides(spark, sf_dir), _BLOCK)
+
+
+@query()
+def match_candidates(spark, sf_dir):
+    return _matches(spark, sf_dir)
+
+
+@query()
+def apply_matches(spark, sf_dir):
+    links, reviews = m.apply_matches(_matches(spark, sf_dir))
+    known = b.titles(spark, sf_dir).filter("id % 10 = 0").select(F.col("id").alias("record"), F.lit(-1).cast("long").alias("candidate"))
+    merged = merge_by_key(known, links.groupBy("record").agg(F.min("candidate").alias("candidate")), ["record"], {"candidate": "coalesce_new_old"})
+    return merged.select("record", "candidate", F.col("outcome").alias("outcome")).unionByName(reviews.select("record", "candidate", F.lit("queued").alias("outcome")))
+
+
+@query()
+def match_review_gate(spark, sf_dir):
+    return m.review_gate(_matches(spark, sf_dir)).select("c_id", "state")
+
+
+@query()
+def match_calibration(spark, sf_dir):
+    known = _matches(spark, sf_dir).withColumn("same", F.col("title_similarity") == 1.0)
+    return known.groupBy("same", "decision").agg(F.count("*").alias("n"))
+
+
+@query("SELECT pub.id, min(title) AS title, string_agg(CAST(week_start AS VARCHAR), ',' ORDER BY week_start) AS week_ids FROM wks JOIN pub ON wks.id = pub.id GROUP BY pub.id", "wks")
+def merge_copies(spark, sf_dir):
+    copies = b.weeks(spark, sf_dir).join(b.published(spark, sf_dir).select("id", "title"), "id")
+    return m.merge_copies(copies, "id", "week_start", ["title"])
+
+
+_CONFLICTS = """(SELECT l_orderkey AS id, concat_ws(',', CASE WHEN count(DISTINCT l_returnflag) > 1 THEN 'l_returnflag' END, CASE WHEN count(DISTINCT l_linestatus) > 1 THEN 'l_linestatus' END) AS fields FROM lineitem GROUP BY 1)"""
+
+
+@query(f"SELECT * FROM {_CONFLICTS} WHERE fields <> ''")
+def identity_conflicts(spark, sf_dir):
+    lines = b.table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "id")
+    return m.identity_conflicts(lines, "id", ["l_returnflag", "l_linestatus"])
+
+
+@query("SELECT CAST(start_day AS VARCHAR) AS start_day, place, price_type, count(DISTINCT id) AS n, min(id) AS first, max(id) AS last FROM pub GROUP BY start_day, place, price_type HAVING count(DISTINCT id) > 1", "pub")
+def semantic_duplicates(spark, sf_dir):
+    return m.semantic_duplicates(b.published(spark, sf_dir), ["start_day", "place", "price_type"]).withColumn("start_day", F.col("start_day").cast("string"))
+
+
+@query("SELECT id, twin_of FROM (SELECT id, min(id) OVER (PARTITION BY lower(title), start_day) AS twin_of, count(*) OVER (PARTITION BY lower(title), start_day) AS n FROM pub) WHERE n > 1", "pub")
+def twin_titles(spark, sf_dir):
+    return m.twin_titles(b.published(spark, sf_dir))
+
+
+@query("""SELECT coalesce(o.id, n.id) AS id, CASE WHEN o.state IN ('imported', 'rejected') OR n.id IS NULL THEN o.payload ELSE n.payload END AS payload, coalesce(o.state, 'new') AS state,
+      CASE WHEN o.id IS NULL THEN 'created' WHEN n.id IS NULL OR o.state IN ('imported', 'rejected') OR o.payload = n.payload THEN 'existing' ELSE 'updated' END AS outcome
+    FROM (SELECT o_orderkey AS id, o_orderpriority AS payload, CASE o_orderkey % 4 WHEN 0 THEN 'imported' WHEN 1 THEN 'rejected' ELSE 'new' END AS state FROM orders WHERE o_orderkey % 3 <> 0) o
+    FULL JOIN (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'x' || o_orderpriority END AS payload FROM orders WHERE o_orderkey % 5 <> 0) n ON o.id = n.id""")
+def candidate_merge(spark, sf_dir):
+    key, orders = F.col("o_orderkey"), b.table(spark, sf_dir, "orders")
+    old = orders.filter(key % 3 != 0).select(key.alias("id"), F.col("o_orderpriority").alias("payload"), F.when(key % 4 == 0, "imported").when(key % 4 == 1, "rejected").otherwise("new").alias("state"))
+    new = orders.filter(key % 5 != 0).select(key.alias("id"), F.when(key % 2 == 0, F.col("o_orderpriority")).otherwise(F.concat(F.lit("x"), "o_orderpriority")).alias("payload"))
+    closed = F.col("o.state").isin("imported", "rejected")
+    payload = F.when(F.coalesce(closed, F.lit(False)) | F.col("n._new").isNull(), F.col("o.payload")).otherwise(F.col("n.payload"))
+    return merge_by_key(old, new, ["id"], {"payload": payload, "state": F.coalesce(F.col("o.state"), F.lit("new"))})
+
+
+@query("SELECT o_custkey AS key, min(o_orderkey) AS first, count(*) AS occurrences FROM orders GROUP BY 1 HAVING count(*) > 1")
+def first_occurrence(spark, sf_dir):
+    orders = b.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("first"))
+    return first(orders, "key", "first").filter("occurrences > 1")

@@ -1 +1,148 @@
-"""To come."""
+"""Page jobs over the given pages, and over pages and feeds that Spark derives from the catalogue."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import bindings as b
+from ..functions import urls
+from ..functions.temporal import parse_when as when_of
+from ..operators import pages as g
+from .registry import query
+
+_DERIVED = "SELECT id AS page_id, CAST({position} AS INTEGER) AS position, {uid} AS uid, title, CAST(start_day AS VARCHAR) AS start_at, CAST(end_day AS VARCHAR) AS end_at, place AS venue, {url} AS url FROM pub WHERE id % 3 = {rest}"
+
+
+def _records(spark, sf_dir, rest):
+    return b.published(spark, sf_dir).filter(F.col("id") % 3 == rest).withColumns({"start": F.col("start_day").cast("string"), "end": F.col("end_day").cast("string")})
+
+
+def _jsonld(spark, sf_dir):
+    item = F.struct(F.lit("MusicEvent").alias("@type"), F.concat(F.lit("e"), "id").alias("@id"), F.col("title").alias("name"), F.col("start").alias("startDate"), F.col("end").alias("endDate"), F.struct(F.col("place").alias("name")).alias("location"))
+    return _records(spark, sf_dir, 0).select(F.col("id").alias("page_id"), F.concat(F.lit('<html><script type="application/ld+json">{"@graph":['), F.to_json(item), F.lit("]}</script></html>")).alias("html"))
+
+
+def _microdata(spark, sf_dir):
+    prop = lambda name, value: F.coalesce(F.concat(F.lit(f'<meta itemprop="{name}" content="'), value, F.lit('">')), F.lit(""))
+    return _records(spark, sf_dir, 1).select(F.col("id").alias("page_id"), F.concat(
+        F.lit('<div itemscope itemtype="https://schema.org/Event"><h2 itemprop="name">'), "title", F.lit("</h2>"), prop("startDate", F.col("start")), prop("endDate", F.col("end")), prop("location", F.col("place")), F.lit("</div>"),
+    ).alias("html"))
+
+
+def _cards(spark, sf_dir):
+    return _records(spark, sf_dir, 2).select(F.col("id").alias("page_id"), F.concat(
+        F.lit('<ul><div class="card"><h3>'), "title", F.lit('</h3><time datetime="'), "start", F.lit('">x</time><span class="venue">'), "place", F.lit('</span><a href="/e/'), F.col("id").cast("string"), F.lit('">more</a></div></ul>'),
+    ).alias("html"))
+
+
+def _feed(spark, sf_dir):
+    line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}:"), value, F.lit("\r\n")), F.lit(""))
+    return _records(spark, sf_dir, 0).select(F.col("id").alias("page_id"), F.concat(
+        F.lit("BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\n"), line("UID", F.concat(F.lit("e"), "id")), line("SUMMARY", F.col("title")), line("DTSTART", F.col("start")), line("DTEND", F.col("end")), line("LOCATION", F.concat(F.substring("place", 1, 3), F.lit("\r\n "), F.substring("place", 4, 99))),
+        F.when(F.col("id") % 2 == 0, F.lit("RRULE:FREQ=WEEKLY\r\n")).otherwise(""), F.lit("END:VEVENT\r\n"),
+    ).alias("html"))
+
+
+_ITEM_COLUMNS = ["page_id", "position", "uid", "title", "start_at", "end_at", "venue", "url"]
+
+
+@query(_DERIVED.format(position=0, uid="'e' || id", url="CAST(NULL AS VARCHAR)", rest=0), "pub")
+def jsonld_items(spark, sf_dir):
+    return g.jsonld_items(_jsonld(spark, sf_dir)).select(*_ITEM_COLUMNS)
+
+
+@query(_DERIVED.format(position=0, uid="CAST(NULL AS VARCHAR)", url="CAST(NULL AS VARCHAR)", rest=1), "pub")
+def microdata_items(spark, sf_dir):
+    return g.extract(_microdata(spark, sf_dir), g.microdata).select(*_ITEM_COLUMNS)
+
+
+@query(_DERIVED.format(position=0, uid="CAST(NULL AS VARCHAR)", url="'/e/' || id", rest=2).replace("CAST(end_day AS VARCHAR) AS end_at", "CAST(NULL AS VARCHAR) AS end_at"), "pub")
+def card_items(spark, sf_dir):
+    return g.extract(_cards(spark, sf_dir), g.cards).select(*_ITEM_COLUMNS)
+
+
+@query(_DERIVED.format(position=0, uid="'e' || id", url="CAST(NULL AS VARCHAR)", rest=0).replace(" AS url FROM", " AS url, id % 2 = 0 AS recurring FROM"), "pub")
+def calendar_feed_items(spark, sf_dir):
+    return g.extract(_feed(spark, sf_dir), g.calendar_feed).select(*_ITEM_COLUMNS, "recurring")
+
+
+@query("SELECT CASE id % 3 WHEN 0 THEN 'jsonld' WHEN 1 THEN 'microdata' ELSE 'cards' END AS adapter, count(*) AS n FROM pub GROUP BY 1 UNION ALL SELECT 'calendar', count(*) FROM pub WHERE id % 3 = 0", "pub")
+def extractor_registry(spark, sf_dir):
+    parts = [(_jsonld, "jsonld"), (_microdata, "microdata"), (_cards, "cards"), (_feed, "calendar")]
+    pages = [f(spark, sf_dir).withColumn("adapter", F.lit(name)) for f, name in parts]
+    every = pages[0].unionByName(pages[1]).unionByName(pages[2]).unionByName(pages[3])
+    return g.run_extractors(every).groupBy("adapter").agg(F.count("*").alias("n"))
+
+
+_ALL = lambda p: f"CAST(len(regexp_extract_all(html, '{p}')) AS INTEGER)"
+_MARKS = f"""(SELECT page_id, {_ALL('<a [^>]*href=')} AS links, {_ALL('<h1')} AS h1, {_ALL('<li>')} AS list_items, {_ALL('<p[ >]')} AS paragraphs,
+      regexp_matches(url, '[?&]page=[0-9]+|/page/[0-9]+') AS paginated, regexp_matches(url, '/[0-9]+/?([?#].*)?$') AS numbered_url FROM pages)"""
+
+
+@query(f"SELECT * FROM {_MARKS}")
+def page_signals(spark, sf_dir):
+    return g.signals(b.table(spark, sf_dir, "pages")).select("page_id", "links", "h1", "list_items", "paragraphs", "paginated", "numbered_url")
+
+
+@query()
+def page_classify(spark, sf_dir):
+    return g.classify(g.signals(b.table(spark, sf_dir, "pages")))
+
+
+@query()
+def inbox_outcomes(spark, sf_dir):
+    pages = b.table(spark, sf_dir, "pages")
+    return g.inbox_outcomes(g.classify(g.signals(pages)), pages)
+
+
+@query("SELECT id, CAST(extract(day FROM start_day) AS INTEGER) AS day, CAST(extract(month FROM start_day) AS INTEGER) AS month, CAST(extract(year FROM start_day) AS INTEGER) AS year FROM pub UNION SELECT id, CAST(extract(day FROM end_day) AS INTEGER), CAST(extract(month FROM end_day) AS INTEGER), CAST(extract(year FROM end_day) AS INTEGER) FROM pub WHERE end_day IS NOT NULL", "pub")
+def page_date_mentions(spark, sf_dir):
+    text = F.concat(F.lit("Od "), F.date_format("start_day", "d. M. y"), F.lit(" ("), F.date_format("start_day", "d. M."), F.lit(") 45. 13. 1999 do "), F.coalesce(F.col("end_day").cast("string"), F.lit("?")))
+    return g.date_mentions(b.published(spark, sf_dir).select("id", text.alias("text")), "id", "text")
+
+
+@query("SELECT id, CAST(start_day AS VARCHAR) AS date_text, title, place AS venue, id % 2 = 0 AS ongoing FROM pub", "pub")
+def listing_block_items(spark, sf_dir):
+    text = F.concat(F.lit("\n  "), F.col("start_day").cast("string"), F.lit(" \n\n"), "title", F.lit("\n"), "place", F.when(F.col("id") % 2 == 0, "\nOngoing").otherwise(""))
+    return g.listing_blocks(b.published(spark, sf_dir).select("id", text.alias("text")), "id", "text")
+
+
+@query("SELECT id, 'Start ' || CAST(start_day AS VARCHAR) AS date_text, place AS address, title || ',' || region AS organizers FROM pub", "pub")
+def detail_block_fields(spark, sf_dir):
+    text = F.concat(F.lit("Start "), F.col("start_day").cast("string"), F.lit("\nAddress: "), "place", F.lit("\nOrganizer: "), "title", F.lit("\nOrganizer: "), "region")
+    return g.detail_fields(b.published(spark, sf_dir).select("id", text.alias("text")), "id", "text")
+
+
+@query("SELECT l_orderkey AS id, CASE WHEN count(*) > 4 THEN 'programme' ELSE 'single' END AS kind, count(DISTINCT l_shipdate) > 1 AS recurring FROM lineitem GROUP BY 1")
+def programme_candidates(spark, sf_dir):
+    n = b.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("n"), F.count_distinct("l_shipdate").alias("days"))
+    return n.select("id", F.when(F.col("n") > 4, "programme").otherwise("single").alias("kind"), (F.col("days") > 1).alias("recurring"))
+
+
+@query("""SELECT page_id, 'https://' || lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) || regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '')
+      || CASE WHEN kept = '' THEN '' ELSE '?' || kept END AS url FROM (SELECT page_id, url, coalesce(array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_'))), '&'), '') AS kept FROM pages)""")
+def canonical_url(spark, sf_dir):
+    return b.table(spark, sf_dir, "pages").select("page_id", urls.canonical_url(F.col("url")).alias("url"))
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 4 = 0 THEN NULL WHEN page_id % 4 = 1 THEN 'https://' || host || '/x/' || page_id WHEN page_id % 4 = 2 THEN 'https://other.example/y' END AS url,
+      CASE page_id % 4 WHEN 0 THEN 'missing-url' WHEN 3 THEN 'invalid-url' END AS reason FROM (SELECT page_id, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host FROM pages)""")
+def resolve_item_url(spark, sf_dir):
+    key = F.col("page_id")
+    item = F.when(key % 4 == 1, F.concat(F.lit("/x/"), key.cast("string"))).when(key % 4 == 2, "http://OTHER.example:80/y/?utm_source=a#z").when(key % 4 == 3, "mailto:someone")
+    rows = b.table(spark, sf_dir, "pages").select("page_id", urls.resolve_item_url(item, F.when(key % 4 != 0, F.col("url"))).alias("r"))
+    return rows.select("page_id", "r.url", "r.reason")
+
+
+@query("SELECT url, count(*) AS n, string_agg(place, ',' ORDER BY place) AS places FROM (SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]+)', 1) AS url, CASE page_id % 3 WHEN 0 THEN 'pages' WHEN 1 THEN 'inbox' ELSE 'reports' END AS place FROM pages) GROUP BY url")
+def url_usage(spark, sf_dir):
+    place = F.when(F.col("page_id") % 3 == 0, "pages").when(F.col("page_id") % 3 == 1, "inbox").otherwise("reports")
+    uses = b.table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("url"), place.alias("place")).distinct()
+    return uses.groupBy("url").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("place")), ",").alias("places"))
+
+
+@query("SELECT id, CASE id % 3 WHEN 2 THEN NULL ELSE CAST(start_day AS VARCHAR) END AS day, CASE id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS all_day FROM pub", "pub")
+def parse_when(spark, sf_dir):
+    text = F.when(F.col("id") % 3 == 0, F.date_format("start_day", "d. M. y")).when(F.col("id") % 3 == 1, F.concat(F.col("start_day").cast("string"), F.lit("T18:30:00+02:00"))).otherwise("soon")
+    rows = b.published(spark, sf_dir).select("id", when_of(text).alias("w"))
+    return rows.select("id", F.col("w.day").cast("string").alias("day"), "w.all_day")

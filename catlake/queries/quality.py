@@ -1 +1,131 @@
-"""To come."""
+"""Data-quality findings."""
+
+from __future__ import annotations
+
+import datetime
+
+from pyspark.sql import functions as F
+
+from .. import bindings as b
+from ..functions.temporal import iso_week
+from ..functions.urls import generic_url
+from ..operators import match, quality as q
+from .registry import query
+
+_F = "'{}' AS level, '{}' AS \"check\", CAST({} AS VARCHAR) AS key, '{}' AS message"
+
+
+def _f(level, check, key, message):
+    return _F.format(level, check, key, message)
+
+
+_DOCS = f"""SELECT {_f('error', 'schema', 'doc_id', 'no-text')} FROM documents WHERE text IS NULL OR trim(text) = '' UNION ALL
+    SELECT {_f('warning', 'schema', 'doc_id', 'short-text')} FROM documents WHERE n_chars < 200 UNION ALL
+    SELECT {_f('error', 'schema', 'doc_id', 'bad-length')} FROM documents WHERE n_chars <> length(text) UNION ALL
+    SELECT {_f('error', 'schema', 'doc_id', 'unknown-language')} FROM documents WHERE lang NOT IN ('en', 'de', 'fr')"""
+
+
+@query(_DOCS)
+def dq_schema(spark, sf_dir):
+    rules = {
+        "no-text": ("error", F.col("text").isNull() | (F.trim("text") == "")),
+        "short-text": ("warning", F.col("n_chars") < 200),
+        "bad-length": ("error", F.col("n_chars") != F.char_length("text")),
+        "unknown-language": ("error", ~F.col("lang").isin("en", "de", "fr")),
+    }
+    return q.rule_findings(b.table(spark, sf_dir, "documents"), "schema", "doc_id", rules)
+
+
+@query(f"""SELECT {_f('error', 'manifest', 'wk', 'not-listed')} FROM (SELECT DISTINCT strftime(week_start, '%G-W%V') AS wk FROM wks WHERE week_start >= DATE '2001-06-01') WHERE wk NOT IN (SELECT DISTINCT strftime(start_day, '%G-W%V') FROM pub WHERE start_day < DATE '2001-07-01')""", "wks")
+def dq_manifest(spark, sf_dir):
+    files = b.weeks(spark, sf_dir).filter(F.col("week_start") >= F.lit(datetime.date(2001, 6, 1))).select(iso_week(F.col("week_start")).alias("week")).distinct()
+    listed = b.published(spark, sf_dir).filter(F.col("start_day") < F.lit(datetime.date(2001, 7, 1))).select(iso_week(F.col("start_day")).alias("week"))
+    return q.key_findings(files.join(listed, "week", "left_anti"), "manifest", "week", "not-listed")
+
+
+@query(f"""SELECT {_f('warning', 'manifest-fresh', 'place', 'older-than-records')} FROM (SELECT place, max(start_day) AS newest, max(CASE WHEN price_type = 'free' THEN start_day END) AS listed FROM pub GROUP BY place) WHERE listed < newest""", "pub")
+def dq_manifest_fresh(spark, sf_dir):
+    rows = b.published(spark, sf_dir).groupBy("place").agg(F.max("start_day").alias("newest"), F.max(F.when(F.col("price_type") == "free", F.col("start_day"))).alias("listed"))
+    return q.key_findings(rows.filter("listed < newest"), "manifest-fresh", "place", "older-than-records", "warning")
+
+
+@query(f"""SELECT {_f('error', 'week-membership', 'id', 'outside-week')} FROM (SELECT *, CAST(date_trunc('week', start_day + CAST(id % 9 AS INTEGER)) AS DATE) AS monday FROM pub) WHERE start_day > monday + 6 OR coalesce(end_day, start_day) < monday""", "pub")
+def dq_week_membership(spark, sf_dir):
+    copies = b.published(spark, sf_dir).withColumn("week", iso_week(F.date_add("start_day", (F.col("id") % 9).cast("int"))))
+    return q.week_membership(copies)
+
+
+_ENDS = "(SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS start_day, CAST(max(l_shipdate) AS DATE) AS end_raw FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate)"
+
+
+def _ends(spark, sf_dir):
+    last = b.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.to_date(F.max("l_shipdate")).alias("end_raw"))
+    return b.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("start_day")).join(last, "id", "left")
+
+
+_TIMES = f"SELECT {_f('error', 'times', 'id', 'end-before-start')} FROM {_ENDS} WHERE end_raw < start_day UNION ALL SELECT {_f('warning', 'times', 'id', 'no-end')} FROM {_ENDS} WHERE end_raw IS NULL"
+
+
+@query(_TIMES)
+def dq_times(spark, sf_dir):
+    return q.times(_ends(spark, sf_dir))
+
+
+@query(f"SELECT {_f('error', 'identity', 'l_orderkey', 'copies-differ')} FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_linestatus) > 1")
+def dq_identity(spark, sf_dir):
+    lines = b.table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "id")
+    return q.key_findings(match.identity_conflicts(lines, "id", ["l_linestatus"]), "identity", "id", "copies-differ")
+
+
+@query(f"""SELECT {_f('error', 'start-week', 'id', 'missing-in-start-week')} FROM pub WHERE id % 4 = 0 AND strftime(start_day, '%G-W%V') IN (SELECT strftime(start_day, '%G-W%V') FROM pub WHERE id % 4 <> 0)""", "pub")
+def dq_start_week(spark, sf_dir):
+    rows = b.published(spark, sf_dir)
+    copies = rows.filter("id % 4 <> 0").select("id", iso_week(F.col("start_day")).alias("week"))
+    return q.missing_start_week(rows, copies, copies.select("week").distinct())
+
+
+@query(f"SELECT {_f('warning', 'generic-url', 'page_id', 'site-only')} FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN regexp_extract(url, '^[a-z]+://[^/]+/') ELSE url END AS url FROM pages) WHERE regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/?(#.*)?$')")
+def dq_generic_url(spark, sf_dir):
+    pages = b.table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 3 == 0, F.regexp_extract("url", "^[a-z]+://[^/]+/", 0)).otherwise(F.col("url")).alias("url"))
+    return q.rule_findings(pages, "generic-url", "page_id", {"site-only": ("warning", generic_url(F.col("url")))})
+
+
+@query(f"SELECT {_f('warning', 'semantic-duplicate', 'min(id)', 'several-ids')} FROM pub GROUP BY start_day, place, price_type HAVING count(DISTINCT id) > 1", "pub")
+def dq_semantic_dup(spark, sf_dir):
+    return q.key_findings(match.semantic_duplicates(b.published(spark, sf_dir), ["start_day", "place", "price_type"]), "semantic-duplicate", "first", "several-ids", "warning")
+
+
+@query(f"""SELECT {_f('error', 'candidates', 'o_custkey', 'id-in-two-files')} FROM orders GROUP BY o_custkey HAVING count(*) > 14 UNION ALL
+    SELECT {_f('error', 'candidates', 'event_id', 'missing-record')} FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier)""")
+def dq_candidates(spark, sf_dir):
+    orders = b.table(spark, sf_dir, "orders")
+    twice = q.key_findings(orders.groupBy("o_custkey").count().filter("count > 14"), "candidates", "o_custkey", "id-in-two-files")
+    return q.run_all(twice, q.dangling(b.table(spark, sf_dir, "events"), "candidates", "event_id", "user_id", b.table(spark, sf_dir, "supplier"), "s_suppkey", "missing-record"))
+
+
+@query(f"""SELECT {_f('error', 'dictionary', 'p_name', 'duplicate')} FROM part GROUP BY p_name HAVING count(*) > 1 UNION ALL
+    SELECT {_f('error', 'dictionary', 'p_partkey', 'unknown-category')} FROM part WHERE p_type NOT IN ('ECONOMY', 'PROMO', 'STANDARD')""")
+def dq_dictionary(spark, sf_dir):
+    part = b.table(spark, sf_dir, "part")
+    known = spark.createDataFrame([("ECONOMY",), ("PROMO",), ("STANDARD",)], "c string")
+    return q.run_all(q.duplicates(part, "dictionary", "p_name", "duplicate"), q.dangling(part, "dictionary", "p_partkey", "p_type", known, "c", "unknown-category"))
+
+
+@query(f"SELECT {_f('error', 'registry', 'l_suppkey', 'unknown-source')} FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
+def dq_registry(spark, sf_dir):
+    return q.dangling(b.table(spark, sf_dir, "lineitem"), "registry", "l_suppkey", "l_suppkey", b.table(spark, sf_dir, "supplier").filter("s_acctbal > 0"), "s_suppkey", "unknown-source")
+
+
+@query(f"""SELECT {_f('error', 'reports', 'event_id', 'bad-status')} FROM events WHERE event_type NOT IN ('view', 'click', 'purchase', 'signup') UNION ALL
+    SELECT {_f('warning', 'reports', 'event_id', 'duration-mismatch')} FROM events WHERE abs(value - CAST(json_extract_string(props, '$.k') AS INTEGER)) > 60""")
+def dq_reports(spark, sf_dir):
+    rules = {
+        "bad-status": ("error", ~F.col("event_type").isin("view", "click", "purchase", "signup")),
+        "duration-mismatch": ("warning", F.abs(F.col("value") - F.get_json_object("props", "$.k").cast("int")) > 60),
+    }
+    return q.rule_findings(b.table(spark, sf_dir, "events"), "reports", "event_id", rules)
+
+
+@query(f"SELECT level, count(*) AS n, level = 'error' AS fails FROM ({_TIMES} UNION ALL {_DOCS}) GROUP BY level")
+def dq_run_all(spark, sf_dir):
+    return q.summary(q.run_all(dq_times(spark, sf_dir), dq_schema(spark, sf_dir)))

@@ -1 +1,265 @@
-"""To come."""
+"""Sources, sinks, normalisation jobs and streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .. import bindings as b
+from ..functions import price, text
+from ..operators import normalize as n
+from ..sources import files as s
+from ..streaming import stateful as st
+from .registry import query
+
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
+
+
+def _week_documents(spark, sf_dir):
+    """Week documents made of the catalogue: one JSON document a week, with its events in order."""
+    rows = b.weeks(spark, sf_dir).join(b.published(spark, sf_dir).filter("id % 5 = 1"), "id")
+    event = F.struct(F.col("id").cast("string").alias("id"), F.col("week_start").cast("string").alias("week"), "title", F.col("start_day").cast("string").alias("start_at"), F.col("end_day").cast("string").alias("end_at"), F.col("place").alias("municipality"))
+    weeks = rows.groupBy(F.col("week_start").cast("string").alias("week")).agg(F.array_sort(F.collect_list(event)).alias("events"))
+    return weeks.select(F.to_json(F.struct(F.lit(1).alias("schema_version"), "week", "events")).alias("value"))
+
+
+def _catalog_files(spark, sf_dir):
+    folder = s.work_folder(spark, "weeks")
+    _week_documents(spark, sf_dir).write.text(folder)
+    return spark.read.schema(s.WEEK).json(folder).select(F.col("week").alias("file_week"), F.posexplode("events").alias("position", "e")).select("file_week", "position", "e.*")
+
+
+@query("SELECT CAST(id AS VARCHAR) AS id, CAST(week_start AS VARCHAR) AS week, title, CAST(end_day AS VARCHAR) AS end_at, CAST(row_number() OVER (PARTITION BY week_start ORDER BY CAST(id AS VARCHAR)) - 1 AS INTEGER) AS position FROM wks JOIN pub USING (id) WHERE id % 5 = 1", "wks")
+def load_catalog(spark, sf_dir):
+    return _catalog_files(spark, sf_dir).select("id", "week", "title", "end_at", "position")
+
+
+@query("SELECT lower(c) AS norm_key, min(p) AS category, 'kind' AS axis, count(DISTINCT p) AS targets FROM (SELECT p_type AS p, p_type AS c FROM part UNION ALL SELECT p_type, p_brand FROM part WHERE p_size = 50) GROUP BY 1")
+def load_dictionary(spark, sf_dir):
+    part = b.table(spark, sf_dir, "part")
+    rows = part.groupBy(F.col("p_type").alias("category")).agg(F.collect_set(F.when(F.col("p_size") == 50, F.col("p_brand"))).alias("aliases")).withColumn("axis", F.lit("kind"))
+    return s.load_dictionary(rows)
+
+
+@query("SELECT s_suppkey AS source, CASE WHEN s_acctbal < 0 THEN false ELSE true END AS enabled, CASE WHEN s_nationkey > 20 THEN 7 ELSE 1 END AS \"interval\" FROM supplier")
+def load_registry(spark, sf_dir):
+    folder = s.work_folder(spark, "registry")
+    rows = b.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source"), F.when(F.col("s_acctbal") < 0, False).alias("enabled"), F.when(F.col("s_nationkey") > 20, 7).cast("long").alias("interval"))
+    rows.write.json(folder)
+    return s.load_registry(s.load_lines(spark, folder, "source long, enabled boolean, interval long").drop("_corrupt")).select("source", "enabled", F.col("interval").cast("int").alias("interval"))
+
+
+@query("SELECT CAST(c AS VARCHAR) AS id, CASE WHEN k % 2 = 0 AND k < 7500 THEN CAST(k AS VARCHAR) END AS record FROM (SELECT o_custkey AS c, max(o_orderkey) AS k FROM orders GROUP BY 1)")
+def load_candidates(spark, sf_dir):
+    folder, orders = s.work_folder(spark, "candidates"), b.table(spark, sf_dir, "orders")
+    one = F.struct(
+        F.col("o_orderkey").alias("k"), F.col("o_custkey").cast("string").alias("id"), F.col("o_orderpriority").alias("title"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderkey").cast("string")).alias("production_event_id"),
+    )
+    documents = orders.groupBy(F.floor(F.col("o_orderkey") / 1000).alias("n")).agg(F.array_sort(F.collect_list(one)).alias("candidates"))
+    documents.select(F.to_json(F.struct(F.lit(1).alias("schema_version"), F.lpad(F.col("n").cast("string"), 12, "0").alias("generated_at"), "candidates")).alias("value")).write.text(folder)
+    known = orders.filter("o_orderkey < 7500").select(F.col("o_orderkey").alias("id"))
+    return s.last_candidates(s.load_candidates(spark, folder, "generated_at"), known).select("id", "record")
+
+
+_CODES = "(SELECT c_custkey AS code, r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE'))"
+
+
+def _codelist(spark, sf_dir):
+    folder = s.work_folder(spark, "codes")
+    nation = b.table(spark, sf_dir, "nation").join(b.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = b.table(spark, sf_dir, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows.select(F.lit("2024-01-01").alias("valid_from"), F.col("c_name").alias("name"), F.col("c_custkey").alias("code"), F.col("r_name").alias("region")).write.option("header", True).csv(folder)
+    return s.load_codelist(spark, folder, ["valid_from", "name", "code", "region"], ["ASIA", "EUROPE"], 10)
+
+
+@query(f"SELECT CAST(code AS VARCHAR) AS code, region, CAST(NULL AS VARCHAR) AS problem FROM {_CODES}")
+def load_codelist_csv(spark, sf_dir):
+    return _codelist(spark, sf_dir).select("code", "region", "problem")
+
+
+@query(f"SELECT region, count(*) AS n FROM {_CODES} GROUP BY ROLLUP (region)")
+def codelist_counts(spark, sf_dir):
+    return s.codelist_counts(_codelist(spark, sf_dir))
+
+
+@query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) || '-' || event_type AS run_id, event_type AS agent, CAST(count(*) AS VARCHAR) AS found FROM events GROUP BY 1, 2")
+def load_run_reports(spark, sf_dir):
+    folder = s.work_folder(spark, "reports")
+    rows = b.table(spark, sf_dir, "events").groupBy(F.to_date("ts").cast("string").alias("day"), F.col("event_type").alias("agent")).agg(F.count("*").cast("string").alias("n"))
+    rows.select("agent", F.concat_ws("-", "day", "agent").alias("run_id"), F.create_map(F.lit("found"), F.col("n")).alias("metrics")).write.json(folder)
+    return s.load_lines(spark, folder, s.REPORT).select("run_id", "agent", F.col("metrics")["found"].alias("found"))
+
+
+def _bridge(spark, sf_dir):
+    return b.weeks(spark, sf_dir).select("id", F.col("week_start").cast("string").alias("week"), F.lit(0).alias("position"))
+
+
+def _exported(spark, sf_dir):
+    folder = s.work_folder(spark, "export")
+    rows = b.published(spark, sf_dir).select("id", "title", F.col("end_day").cast("string").alias("end_day"))
+    s.export_weeks(rows, _bridge(spark, sf_dir), folder)
+    return s.read_weeks(spark, folder, "id long, title string, end_day string, week string").withColumn("week", F.col("week").cast("string"))
+
+
+@query("SELECT id, title, CAST(end_day AS VARCHAR) AS end_day, CAST(week_start AS VARCHAR) AS week FROM wks JOIN pub USING (id)", "wks")
+def export_week_partitions(spark, sf_dir):
+    return _exported(spark, sf_dir)
+
+
+@query("SELECT id, CASE WHEN id % 7 = 0 THEN 'missing' ELSE 'differing' END AS difference FROM pub WHERE id % 7 = 0 OR id % 11 = 0", "pub")
+def roundtrip_diff(spark, sf_dir):
+    old = b.published(spark, sf_dir).select("id", "title", F.col("end_day").cast("string").alias("end_day"))
+    new = _exported(spark, sf_dir).select("id", "title", "end_day").distinct().filter("id % 7 <> 0").withColumn("title", F.when(F.col("id") % 11 == 0, "?").otherwise(F.col("title")))
+    return s.roundtrip_diff(old, new, "id")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n FROM {t}" for t in _TABLES))
+def table_counts(spark, sf_dir):
+    return s.table_counts({t: b.table(spark, sf_dir, t) for t in _TABLES})
+
+
+@query("SELECT sha256(text) AS hash, CAST(strlen(min(text)) AS INTEGER) AS bytes, substr(sha256(text), 1, 2) || '/' || sha256(text) AS path FROM documents GROUP BY sha256(text)")
+def content_store(spark, sf_dir):
+    return s.content_store(b.table(spark, sf_dir, "documents"), "text")
+
+
+@query("""SELECT source, hash, n <= 3 OR coalesce(used = m, false) AS keep FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY id DESC) AS n, max(used) OVER (PARTITION BY source) AS m FROM
+      (SELECT source, hash, max(id) AS id, max(CASE WHEN items > 0 THEN id END) AS used FROM runs WHERE hash IS NOT NULL GROUP BY source, hash))""", "runs")
+def content_retention(spark, sf_dir):
+    return s.content_retention(b.runs(spark, sf_dir))
+
+
+@query("SELECT source, arg_max(hash, (epoch(fetched_at), id)) AS hash FROM runs WHERE hash IS NOT NULL AND status < 400 GROUP BY source", "runs")
+def latest_content(spark, sf_dir):
+    return s.latest_content(b.runs(spark, sf_dir))
+
+
+@query("SELECT id, CAST(coalesce(CASE WHEN id % 3 = 0 THEN end_day END, CASE WHEN id % 2 = 0 THEN start_day END, DATE '1990-01-01') AS VARCHAR) AS lastmod FROM pub", "pub")
+def sitemap_rows(spark, sf_dir):
+    rows = b.published(spark, sf_dir).select("id", F.when(F.col("id") % 3 == 0, F.col("end_day")).alias("verified"), F.when(F.col("id") % 2 == 0, F.col("start_day")).alias("last_seen"), F.lit("1990-01-01").cast("date").alias("first_seen"))
+    return s.sitemap_rows(rows)
+
+
+@query("""SELECT id, concat_ws(chr(13) || chr(10), 'BEGIN:VEVENT', 'UID:' || id, 'SUMMARY:' || title, 'DTSTART;VALUE=DATE:' || strftime(start_day, '%Y%m%d'), 'DTEND;VALUE=DATE:' || strftime(coalesce(end_day, start_day) + 1, '%Y%m%d'), 'END:VEVENT') AS calendar,
+      '{"@type":"Event","name":"' || title || '","startDate":"' || start_day || '"' || coalesce(',"endDate":"' || end_day || '"', '') || '}' AS data FROM pub""", "pub")
+def feed_export(spark, sf_dir):
+    return s.feed_rows(b.published(spark, sf_dir))
+
+
+# --- normalisation
+
+
+_A, _P = text.ACCENTED, text.PLAIN
+_PLAIN = f"translate(replace(lower(substr(text, 1, 80)), 'ß', 'ss'), '{_A}', '{_P}')"
+
+
+@query(f"""SELECT doc_id AS id, trim(regexp_replace({_PLAIN}, '[^a-z0-9]+', ' ', 'g')) AS "match", regexp_replace({_PLAIN}, '[^a-z0-9]+', '', 'g') AS sort,
+      regexp_replace(regexp_replace({_PLAIN}, '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents""")
+def fold_text(spark, sf_dir):
+    head = F.substring("text", 1, 80)
+    return b.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), *[text.fold(head, v).alias(v) for v in ("match", "sort", "slug")])
+
+
+@query("SELECT page_id AS id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \\t\\n]+', ' ', 'g')) AS title FROM pages")
+def clean_text(spark, sf_dir):
+    return b.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), text.clean_text(F.regexp_extract("html", "<title>([^<]*)", 1)).alias("title"))
+
+
+@query("""SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'free' WHEN 1 THEN 'paid' WHEN 2 THEN 'paid' ELSE 'unknown' END AS type,
+      CASE o_orderkey % 5 WHEN 0 THEN 0 WHEN 1 THEN CAST(floor(o_totalprice) AS BIGINT) END AS amount, CASE o_orderkey % 5 WHEN 3 THEN 'conflicting-price' END AS reason FROM orders""")
+def normalize_price(spark, sf_dir):
+    whole = F.floor("o_totalprice").cast("string")
+    k = F.col("o_orderkey") % 5
+    raw = F.when(k == 0, "Vstup  zdarma").when(k == 1, F.concat(F.lit("Vstupné "), whole, F.lit(" Kč"))).when(k == 2, F.concat(F.lit("50-"), whole, F.lit(" Kč"))).when(k == 3, "Zdarma, jinak 100 Kč").otherwise("dle dohody")
+    return b.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), price.normalize_price(raw).alias("p")).select("id", "p.type", "p.amount", "p.reason")
+
+
+def _places(spark, sf_dir):
+    nation = b.table(spark, sf_dir, "nation")
+    places = nation.select(F.col("n_nationkey").alias("place_id"), F.col("n_name").alias("name"))
+    alias = nation.select((F.col("n_nationkey")).alias("place_id"), F.concat(F.lit("Kraj "), (F.col("n_nationkey") % 20).cast("string")).alias("name"))
+    return places, alias
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN c_nationkey WHEN c_custkey % 4 = 1 THEN c_nationkey WHEN c_custkey % 4 = 2 AND c_nationkey BETWEEN 5 AND 19 THEN c_nationkey END AS place_id,
+      CASE WHEN c_custkey % 4 = 0 THEN 'item-canonical' WHEN c_custkey % 4 = 1 THEN 'source-canonical' WHEN c_custkey % 4 = 2 AND c_nationkey BETWEEN 5 AND 19 THEN 'alias' END AS method,
+      CASE WHEN c_custkey % 4 = 2 AND c_nationkey NOT BETWEEN 5 AND 19 THEN 'ambiguous-place' WHEN c_custkey % 4 = 3 THEN 'unknown-place' END AS reason FROM customer""")
+def map_place(spark, sf_dir):
+    k, name = F.col("c_custkey") % 4, F.concat(F.lit("nation_"), F.col("c_nationkey").cast("string"))
+    item = F.when(k == 0, name).when(k == 2, F.concat(F.lit("kraj "), (F.col("c_nationkey") % 20).cast("string"))).when(k == 3, "nowhere")
+    rows = b.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), item.alias("item"), F.upper(name).alias("source"))
+    return n.map_place(rows, "id", "item", "source", *_places(spark, sf_dir))
+
+
+@query("SELECT p_name AS name, min(p_partkey) AS id FROM part GROUP BY p_name HAVING count(*) = 1 UNION ALL SELECT 'alias ' || p_name, min(p_partkey) FROM part GROUP BY p_name HAVING count(*) = 1 UNION ALL SELECT s_name, s_suppkey FROM supplier")
+def unambiguous_lookup(spark, sf_dir):
+    part = b.table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("id"))
+    names = part.unionByName(b.table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("id")))
+    aliases = part.select(F.concat(F.lit("alias "), "name").alias("alias"), "name").distinct()
+    return n.unambiguous_lookup(names, aliases)
+
+
+@query("""SELECT l_orderkey AS id, coalesce(string_agg(DISTINCT CASE WHEN p_type IN ('ECONOMY', 'PROMO') THEN p_type END, ',' ORDER BY CASE WHEN p_type IN ('ECONOMY', 'PROMO') THEN p_type END), '') AS categories,
+      coalesce(string_agg(DISTINCT CASE WHEN p_type NOT IN ('ECONOMY', 'PROMO') THEN lower(p_type) END, ',' ORDER BY CASE WHEN p_type NOT IN ('ECONOMY', 'PROMO') THEN lower(p_type) END), '') AS rejected FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")
+def map_categories(spark, sf_dir):
+    lines = b.table(spark, sf_dir, "lineitem").join(b.table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = lines.groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_set(F.lower("p_type"))).alias("raw"))
+    dictionary = b.table(spark, sf_dir, "part").filter("p_type IN ('ECONOMY', 'PROMO')").select(F.lower("p_type").alias("norm_key"), F.col("p_type").alias("category")).distinct()
+    return n.map_categories(rows, "id", "raw", dictionary)
+
+
+@query("SELECT page_id AS id, 'pages-' || substr(sha256('pages' || chr(31) || page_id || chr(31) || url || chr(31) || chr(31)), 1, 24) AS candidate_id FROM pages")
+def candidate_fingerprint(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    key = n.fingerprint(F.lit("pages"), F.col("page_id").cast("string"), F.col("url"), none, none, none)
+    return b.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), key.alias("candidate_id"))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS start_day, CASE WHEN o_orderkey % 4 = 0 THEN 'free' ELSE 'unknown' END AS price_type, c_nationkey AS place_id,
+      concat_ws(',', CASE WHEN o_orderkey % 3 = 0 THEN 'unreadable-start' END, CASE WHEN o_orderkey % 2 = 0 THEN 'missing-item-url' END, CASE WHEN o_orderkey % 4 = 1 THEN 'conflicting-price' END) AS reasons,
+      CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 2 = 0 OR o_orderkey % 4 = 1 THEN 'quarantined' ELSE 'new' END AS state FROM orders JOIN customer ON o_custkey = c_custkey""")
+def normalize_candidates(spark, sf_dir):
+    k = F.col("o_orderkey")
+    orders = b.table(spark, sf_dir, "orders").join(b.table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    items = orders.select(
+        k.alias("id"), F.lit("orders").alias("source"), k.cast("string").alias("uid"), F.col("o_orderpriority").alias("title"), F.when(k % 3 == 0, "some day").otherwise(F.date_format("o_orderdate", "d. M. y")).alias("when"),
+        F.when(k % 2 != 0, F.concat(F.lit("/e/"), k.cast("string"))).alias("url"), F.lit("https://example.org/list").alias("base_url"), F.when(k % 4 == 0, "zdarma").when(k % 4 == 1, "zdarma / 50 Kč").alias("price"),
+        F.concat(F.lit("NATION_"), F.col("c_nationkey").cast("string")).alias("place"), F.lit(None).cast("string").alias("source_place"),
+    )
+    return n.normalize_candidates(items, *_places(spark, sf_dir)).select("id", F.col("start_day").cast("string").alias("start_day"), "price_type", "place_id", "reasons", "state")
+
+
+@query("""SELECT id, CAST(start_day AS VARCHAR) AS first, CAST(end_day AS VARCHAR) AS last FROM pub WHERE end_day IS NOT NULL""", "pub")
+def parse_when_range(spark, sf_dir):
+    line = F.concat(F.lit("So "), F.date_format("start_day", "d. M."), F.lit(" - "), F.date_format("end_day", "d. M. y"))
+    rows = b.published(spark, sf_dir).filter("end_day IS NOT NULL").select("id", n.parse_when_range(line, F.date_sub("start_day", 30)).alias("r"))
+    return rows.select("id", F.col("r.first").cast("string").alias("first"), F.col("r.last").cast("string").alias("last"))
+
+
+# --- streams
+
+
+@query()
+def stream_source_health(spark, sf_dir):
+    return st.drain(spark, st.source_health(st.run_stream(spark, sf_dir)), "update", "stream-health")
+
+
+@query("""SELECT user_id AS source, CAST(json_extract_string(props, '$.k') AS INTEGER) % 3 AS item, CAST(sum(CASE WHEN event_type <> 'error' AND event_type NOT IN ('view', 'click') AND event_id > last THEN 1 ELSE 0 END) AS BIGINT) AS missing
+    FROM (SELECT *, coalesce(max(CASE WHEN event_type IN ('view', 'click') THEN event_id END) OVER (PARTITION BY user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) % 3), -1) AS last FROM events) GROUP BY 1, 2""")
+def stream_missing_runs(spark, sf_dir):
+    return st.drain(spark, st.missing_runs(st.run_stream(spark, sf_dir)), "update", "stream-missing")
+
+
+@query("SELECT DISTINCT CAST(ts AS DATE)::VARCHAR || '/' || user_id AS url FROM events")
+def stream_inbox_dedup(spark, sf_dir):
+    return st.drain(spark, st.inbox_dedup(st.run_stream(spark, sf_dir)), "append", "stream-inbox")
+
+
+@query("""SELECT user_id AS source, CASE WHEN sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) > 0 THEN 'candidate' WHEN sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) >= 3 THEN 'failed' ELSE 'new' END AS state FROM events WHERE event_id < 600 GROUP BY 1""")
+def stream_retry_queue(spark, sf_dir):
+    return st.drain(spark, st.retry_queue(st.run_stream(spark, sf_dir).filter("event_id < 600")), "update", "stream-retry")
+
+
+@query("SELECT user_id AS source, max(event_id) AS last_id, count(*) AS events FROM events GROUP BY 1")
+def stream_catalog_ingest(spark, sf_dir):
+    return st.catalog_ingest(spark, st.run_stream(spark, sf_dir))
