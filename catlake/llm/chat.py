@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, pick
+from .common import pick
 
 
 @dataclass(frozen=True)
@@ -88,19 +88,12 @@ def _unescape_role(role: Column) -> Column:
 
 
 def _states(turns: Column, template: Template) -> Column:
-    """The state after each turn; null from the first wrong turn on."""
+    """The state before the first turn and after each one; empty from the first wrong turn on."""
     step = F.create_map(
         *[F.lit(x) for state, row in template.machine.items() for role, to in row.items() for x in (f"{state}\x1f{role}", to)]
     )
-    begin = F.array(F.struct(F.lit("begin").alias("state")))
-    walked = F.aggregate(
-        turns,
-        begin,
-        lambda past, t: F.concat(
-            past, F.array(F.struct(F.try_element_at(step, F.concat(F.element_at(past, -1)["state"], F.lit("\x1f"), t["role"])).alias("state")))
-        ),
-    )
-    return F.transform(walked, lambda s: s["state"])
+    after = lambda state, role: F.coalesce(F.try_element_at(step, F.concat(state, F.lit("\x1f"), role)), F.lit(""))
+    return F.aggregate(turns, F.array(F.lit("begin")), lambda past, t: F.concat(past, F.array(after(F.element_at(past, -1), t["role"]))))
 
 
 def format_conversations(rows: DataFrame, template: Template = CHAT) -> DataFrame:
@@ -146,8 +139,8 @@ def format_conversations(rows: DataFrame, template: Template = CHAT) -> DataFram
             "segments",
             F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"),
             spans.alias("loss_spans"),
-            F.coalesce(F.element_at("states", -1).isin(*template.accepts), F.lit(False)).alias("valid"),
-            let(F.array_size(F.filter("states", lambda s: s.isNotNull())), lambda n: F.when(n < F.size("states"), n.cast("long"))).alias("wrong_turn"),
+            F.element_at("states", -1).isin(*template.accepts).alias("valid"),
+            F.when(F.array_position("states", "") > 0, F.array_position("states", "") - 2).alias("wrong_turn"),
         )
     )
 
