@@ -165,7 +165,8 @@ def build_index(vectors: DataFrame, shard_rows: int = 16_384, min_shards: int =
             "vector": list(v.astype(np.float32)), "links": [x[x >= 0] for x in links],
         })
 
-    return dealt.filter(F.col("vec_id").isNotNull()).groupBy("dim", "shard").applyInPandas(graph, _NODE)
+    # One partition a shard: shards are small in bytes and long in work, so they must not be coalesced.
+    return dealt.filter(F.col("vec_id").isNotNull()).repartition(shards, "dim", "shard").groupBy("dim", "shard").applyInPandas(graph, _NODE)
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 20, beam: int = 160, block: int = 4096) -> DataFrame:
