@@ -70,13 +70,14 @@ def fold(doc_id: Column, folds: int) -> Column:
 def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """About ``rows`` rows at most, chosen by the hash of their key; all, if there are fewer.
 
-    The same rows each time. ``limit`` is a guard for a key that is repeated very often.
+    The same rows each time. As a key may be repeated very often, whoever collects what
+    is made of the sample also limits it to twice as many rows.
     """
     there = df.count()
     if there <= rows:
         return df
     share = int(1_000_000 * 0.95 * rows / there)
-    return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1_000_000)) < share).limit(rows)
+    return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1_000_000)) < share)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
@@ -86,5 +87,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
     the tasks, so no text is shuffled. An id with several labels has its least.
     """
     ids = pick(labels, "doc_id", label).filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
-    ids = bounded_sample(ids.groupBy("doc_id").agg(F.min(label).cast("int").alias("label")), "doc_id", rows)
-    return pick(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id").limit(2 * rows)
+    ids = bounded_sample(ids.groupBy("doc_id").agg(F.min(label).cast("int").alias("label")), "doc_id", rows).limit(2 * rows)
+    return pick(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id")

@@ -29,7 +29,7 @@ from .characters import letters, mixed
 from .common import bounded_sample, fold, pick
 
 BITS = 15
-SAMPLE = 3000
+SAMPLE = 1500
 _BLOCK = 1 << 20
 
 
@@ -80,20 +80,23 @@ def _examples(text: str) -> list[np.ndarray]:
     return [x for x in out if x is not None]
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE, size: int = 16, epochs: int = 3, rate: float = 40.0, reject: float = 0.4, seed: int = 1) -> Model:
+def train(labelled: DataFrame, sample: int = SAMPLE, size: int = 16, epochs: int = 5, rate: float = 40.0, reject: float = 0.4, seed: int = 1) -> Model:
     """Fit on at most ``sample`` rows of (doc_id, text, lang); features are made on the executors."""
 
-    @F.pandas_udf("array<struct<at:array<int>,n:array<int>>>")
+    @F.pandas_udf("array<binary>")
     def features(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"at": (a := np.flatnonzero(x)).astype(np.int32), "n": x[a].astype(np.int32)} for x in _examples(t)] for t in texts])
+        pack = lambda x: np.stack([a := np.flatnonzero(x), x[a]]).astype("<i4").tobytes()
+        return pd.Series([[pack(x) for x in _examples(t)] for t in texts])
 
     rows = bounded_sample(pick(labelled, "doc_id", "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL"), "doc_id", sample)
-    found = rows.orderBy("doc_id", "lang").select("lang", F.explode(features("text")).alias("x")).select("lang", "x.at", "x.n").toPandas()
+    made = rows.select("doc_id", "lang", F.posexplode(features("text")).alias("window", "x")).limit(8 * sample)
+    found = made.toPandas().sort_values(["doc_id", "lang", "window"])
     langs = tuple(sorted(found["lang"].unique()))
     if not langs:
         return Model((), np.zeros((1 << BITS, 0)), np.zeros(0), 1.0, reject)
     y = np.searchsorted(np.array(langs), found["lang"].to_numpy().astype(str))
-    x = [(np.asarray(a), np.asarray(n, np.float32) / np.sum(n)) for a, n in zip(found["at"], found["n"], strict=True)]
+    unpacked = (np.frombuffer(b, "<i4").reshape(2, -1) for b in found["x"])
+    x = [(a, (n / n.sum()).astype(np.float32)) for a, n in unpacked]
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(x))
     seen, unseen = (order[len(order) // 10 :], order[: len(order) // 10]) if len(order) >= 50 else (order, order)

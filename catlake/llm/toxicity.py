@@ -110,7 +110,7 @@ def train(labelled: DataFrame, most: int = 2048, rank: int = 8, epochs: int = 60
     def selected(found: pd.Series) -> pd.Series:
         return pd.Series([lookup.places(np.asarray(x)).astype(np.int32) for x in found])
 
-    data = rows.select("doc_id", "label", selected("found").alias("at")).toPandas().sort_values(["doc_id", "label"])
+    data = rows.select("doc_id", "label", selected("found").alias("at")).limit(2 * SAMPLE).toPandas().sort_values(["doc_id", "label"])
     y = data["label"].to_numpy().astype(float)
     lists = [np.asarray(x, np.int64) for x in data["at"]]
     k, rng = len(chosen), np.random.default_rng(seed)
