@@ -79,7 +79,7 @@ def load(path: str, pattern: str):
 class Matches:
     """Ids of texts by their matches of the pattern; each different match is encoded once, as long as it is remembered."""
 
-    LONGEST, MOST, AT_ONCE = 64, 600_000, 2000
+    LONGEST, MOST, AT_ONCE = 64, 250_000, 2000
 
     def __init__(self, tokenizer, pattern: str) -> None:
         self.tokenizer, self.find, self.known = tokenizer, regex.compile(pattern).findall, {}
