@@ -115,25 +115,23 @@ def train(labelled: DataFrame, most: int = 2048, rank: int = 8, epochs: int = 60
     lists = [np.asarray(x, np.int64) for x in data["at"]]
     k, rng = len(chosen), np.random.default_rng(seed)
     v, w, b = rng.normal(0, 0.01, (k + 1, rank)), np.zeros(k + 1), float(np.log(y.mean() / (1 - y.mean())))
-    v[k] = 0  # the last row fills up short lists
+    v[k] = 0  # the last row ends every list, so that none is empty
+    lists = [np.append(x, k) for x in lists]
+    length = np.asarray([len(x) for x in lists])
     gw, gv, gb = np.full(k + 1, 1e-8), np.full((k + 1, rank), 1e-8), 1e-8
-    lists = [x if len(x) <= 512 else rng.permutation(x)[:512] for x in lists]
     for _ in range(epochs):
         order = rng.permutation(len(y))
         for i in range(0, len(y), batch):
             rows_ = order[i : i + batch]
-            wide = max(1, max(len(lists[r]) for r in rows_))
-            at = np.full((len(rows_), wide), k)
-            for j, r in enumerate(rows_):
-                at[j, : len(lists[r])] = lists[r]
-            vs = v[at]
-            total = vs.sum(1)
-            z = b + w[at].sum(1) + 0.5 * ((total**2).sum(1) - (vs**2).sum((1, 2)))
+            at, n = np.concatenate([lists[r] for r in rows_]), length[rows_]
+            start, vs = np.cumsum(n) - n, v[at]
+            total = np.add.reduceat(vs, start)
+            z = b + np.add.reduceat(w[at], start) + 0.5 * ((total**2).sum(1) - np.add.reduceat((vs**2).sum(1), start))
             e = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[rows_]) / len(rows_)
-            dw = np.bincount(at.ravel(), np.repeat(e, wide), k + 1) + decay * w
-            dv = np.zeros_like(v)
-            np.add.at(dv, at.ravel(), ((total[:, None, :] - vs) * e[:, None, None]).reshape(-1, rank))
-            dv += decay * v
+            # Of one term, all documents pull at the same factors, so those are taken off once.
+            pull = np.bincount(at, np.repeat(e, n), k + 1)
+            pulls = np.stack([np.bincount(at, np.repeat(x, n), k + 1) for x in (e[:, None] * total).T], 1)
+            dw, dv = pull + decay * w, pulls - v * pull[:, None] + decay * v
             dw[k], dv[k] = 0, 0
             gw, gv, gb = gw + dw**2, gv + dv**2, gb + e.sum() ** 2
             w -= rate * dw / np.sqrt(gw)
