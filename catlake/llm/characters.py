@@ -13,9 +13,8 @@ LOWER, UPPER, LETTER, DIGIT, SPACE, LINE, STOP, PAUSE, SHOUT, BAR, MARK, OTHER =
 @functools.lru_cache(maxsize=1)
 def classes() -> np.ndarray:
     """A class for each code point."""
-    out = np.full(0x110000, OTHER, np.uint8)
-    for kind, name in ((LOWER, "Ll"), (UPPER, "LuLt"), (LETTER, "LoLmMnMc"), (DIGIT, "NdNlNo"), (SPACE, "ZsZlZp")):
-        out[[c for c in range(0x110000) if unicodedata.category(chr(c)) in {name[i : i + 2] for i in range(0, len(name), 2)}]] = kind
+    kinds = {"Ll": LOWER, "Lu": UPPER, "Lt": UPPER, "Nd": DIGIT, "Nl": DIGIT, "No": DIGIT} | dict.fromkeys(("Lo", "Lm", "Mn", "Mc"), LETTER) | dict.fromkeys(("Zs", "Zl", "Zp"), SPACE)
+    out = np.fromiter((kinds.get(unicodedata.category(chr(c)), OTHER) for c in range(0x110000)), np.uint8, 0x110000)
     for kind, signs in ((SPACE, "\t\r\x0b\x0c"), (LINE, "\n"), (STOP, ".?;:"), (PAUSE, ",'\"-()"), (SHOUT, "!"), (BAR, "|"), (MARK, "#*$%&<>@=+_/\\{}[]~^")):
         out[[ord(c) for c in signs]] = kind
     return out
