@@ -1,7 +1,7 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms of a whole text: its lower-cased words (runs of letters) and their first four, five
-and six letters, hashed to 2**BITS numbers; each counts once a text. On a bounded sample
+and six letters, hashed to 32-bit numbers; each counts once a text. On a bounded sample
 of labelled rows (``sample``), the ``terms`` that differ most between the labels, measured
 in standard errors, are selected; a factorization machine with a weight and ``rank``
 factors for each learns additive and pairwise effects by the logistic loss.
@@ -15,17 +15,18 @@ block's end counts in both parts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .characters import letters
-from .common import fold, labelled_sample, pick
+from .common import fold, labelled_sample, materialize, pick
 
-BITS = 22
 SAMPLE = 20_000
 _BLOCK = 1 << 20
 
@@ -58,7 +59,8 @@ def terms(text: str | None) -> np.ndarray:
     if not found:
         return np.zeros(0, np.int32)
     with np.errstate(over="ignore"):
-        return np.unique((np.concatenate(found) * np.uint32(2654435769)) >> np.uint32(32 - BITS)).astype(np.int32)
+        numbers = np.sort(np.concatenate(found).astype(np.uint32).view(np.int32))
+    return numbers[np.append(True, numbers[1:] != numbers[:-1])]
 
 
 @dataclass(frozen=True)
@@ -81,13 +83,28 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def select_terms(labelled: DataFrame, found: str, most: int, least_docs: int = 3) -> np.ndarray:
+def count_terms(rows: DataFrame) -> DataFrame:
+    """(term, n, t): how many rows, and how many toxic ones, have each term of ``found``; combined in each batch before the shuffle."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found, length = b.column(0).flatten().to_numpy(), b.column(0).value_lengths().to_numpy()
+            order = np.argsort(found, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(found[order]) != 0)) if len(found) else order
+            toxic = np.repeat(b.column(1).to_numpy(), length)[order].astype(np.int64)
+            n = np.diff(np.append(first, len(found)))
+            t = np.add.reduceat(toxic, first) if len(first) else toxic
+            yield pa.RecordBatch.from_arrays([pa.array(found[order][first], pa.int32()), pa.array(n, pa.int64()), pa.array(t, pa.int64())], ["term", "n", "t"])
+
+    parts = rows.select("found", "label").mapInArrow(counted, "term int, n long, t long")
+    return parts.groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+
+
+def select_terms(rows: DataFrame, total: int, toxic: int, most: int, least_docs: int = 3) -> np.ndarray:
     """The terms whose share of toxic documents is most standard errors from that of all."""
-    total, toxic = labelled.agg(F.count("*"), F.sum("label")).first()
     share = toxic / total
-    counts = labelled.select(F.explode(found).alias("term"), "label").groupBy("term").agg(F.count("*").alias("n"), F.sum("label").alias("t"))
     error = (F.col("t") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    ranked = counts.filter(F.col("n") >= least_docs).withColumn("error", F.abs(error)).filter("error >= 4")
+    ranked = count_terms(rows).filter(F.col("n") >= least_docs).withColumn("error", F.abs(error)).filter("error >= 4")
     return np.sort(ranked.orderBy(F.desc("error"), "term").limit(most).toPandas()["term"].to_numpy().astype(np.int32))
 
 
@@ -99,11 +116,12 @@ def train(labelled: DataFrame, most: int = 2048, rank: int = 8, epochs: int = 60
     def hashed(texts: pd.Series) -> pd.Series:
         return pd.Series([terms(x) for x in texts])
 
-    rows = labelled.select("doc_id", "label", hashed("text").alias("found"))
+    # Written once: the terms are read three times, and making them costs most.
+    rows = materialize(labelled.select("doc_id", "label", hashed("text").alias("found")), "terms")
     both = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if both[1] in (0, both[0]):
         return Model(empty, 40.0 if both[1] else -40.0, np.zeros(0), np.zeros((0, rank)))
-    chosen = select_terms(rows, "found", most)
+    chosen = select_terms(rows, both[0], both[1], most)
     lookup = Model(chosen, 0.0, np.zeros(len(chosen)), np.zeros((len(chosen), rank)))
 
     @F.pandas_udf("array<int>")
