@@ -22,13 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick
 
-#: Characters handed to the tokenizer at once.
+#: Bytes handed to the tokenizer, or ids decoded, at once.
 PIECE = 1 << 20
 
 
@@ -61,19 +63,38 @@ def merges_of(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
 
 
 @functools.lru_cache(maxsize=4)
-def load(path: str, pattern: str):
-    """(tokenizer for whole texts, encoder of matches, the bytes of each id); once a worker."""
+def token_bytes(path: str) -> pa.Array:
+    """The bytes of each id at its place (null: no such id), which is all that decoding needs; once a worker."""
+    ranks = read_ranks(path)
+    out: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return pa.array(out, pa.binary())
+
+
+def tokenizer_of(path: str, pattern: str | None = None):
+    """The BPE model as a tokenizer of texts that it splits by ``pattern``, or of single matches."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
     ranks, char = read_ranks(path), byte_characters()
     text = lambda token: "".join(char[b] for b in token)
-    model = models.BPE({text(t): r for t, r in ranks.items()}, [(text(a), text(b)) for a, b in merges_of(ranks)])
+    out = Tokenizer(models.BPE({text(t): r for t, r in ranks.items()}, [(text(a), text(b)) for a, b in merges_of(ranks)]))
     plain = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-    whole, single = Tokenizer(model), Tokenizer(model)
-    whole.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), plain])
-    single.pre_tokenizer = plain
-    return whole, Matches(single, pattern), {r: t for t, r in ranks.items()}
+    out.pre_tokenizer = plain if pattern is None else pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), plain])
+    return out
+
+
+@functools.lru_cache(maxsize=4)
+def whole_tokenizer(path: str, pattern: str):
+    """The tokenizer of whole texts, which knows offsets; once a worker."""
+    return tokenizer_of(path, pattern)
+
+
+@functools.lru_cache(maxsize=4)
+def matches_of(path: str, pattern: str) -> Matches:
+    """The encoder of matches; once a worker."""
+    return Matches(tokenizer_of(path), pattern)
 
 
 class Matches:
@@ -104,34 +125,31 @@ class Matches:
         return out
 
 
-def pieces(texts: list[str]) -> Iterator[list[str]]:
-    """The texts in order, in lists of about PIECE characters."""
-    part, size = [], 0
-    for x in texts:
-        part.append(x)
-        size += len(x)
-        if size >= PIECE:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+def pieces(batch: pa.Array, length: pa.Array) -> Iterator[pa.Array]:
+    """The rows of a batch in order, in slices of about PIECE units of ``length`` (null: 0)."""
+    part = np.cumsum(length.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) // PIECE
+    ends = np.append(np.flatnonzero(np.diff(part)) + 1, len(batch)).tolist()
+    for a, b in zip([0, *ends], ends):
+        if b > a:
+            yield batch.slice(a, b - a)
 
 
-def _texts(column: pd.Series) -> list[str]:
-    return [x if x is not None else "" for x in column]
+def _pieces_of_texts(batch: pa.Array) -> Iterator[list[str]]:
+    for part in pieces(batch, pc.binary_length(batch)):
+        yield [x or "" for x in part.to_pylist()]
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, ids): token ids of every row's whole text."""
+    """(doc_id, ids): token ids of every row's whole text. Each piece of a batch goes out by itself, so that workers stay small."""
 
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        _, matches, _ = load(path, pattern)
+    @F.arrow_udf("array<int>")
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        matches = matches_of(path, pattern)
         for batch in batches:
-            out = []
-            for part in pieces(_texts(batch)):
-                out += matches.encode(part)
-            yield pd.Series(out, dtype=object)
+            for texts in _pieces_of_texts(batch):
+                out = matches.encode(texts)
+                ends = np.cumsum([0, *map(len, out)]).astype(np.int32)
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(out), pa.int32()))
 
     return pick(docs, "doc_id", "text").select("doc_id", ids("text").alias("ids"))
 
@@ -144,13 +162,14 @@ def encode_with_offsets(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     @F.pandas_udf("ids array<int>, starts array<int>, ends array<int>, byte_ends array<int>")
     def spans(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        tokenizer, _, table = load(path, pattern)
+        tokenizer = whole_tokenizer(path, pattern)
+        size_of = pc.binary_length(token_bytes(path)).fill_null(0).to_numpy(zero_copy_only=False)
         for batch in batches:
             out = []
-            for part in pieces(_texts(batch)):
+            for part in _pieces_of_texts(pa.array(batch, pa.string())):
                 for e in tokenizer.encode_batch(part, add_special_tokens=False):
                     at = np.asarray(e.offsets, np.int32).reshape(-1, 2)
-                    sizes = np.fromiter((len(table[i]) for i in e.ids), np.int32, len(e.ids))
+                    sizes = size_of[np.asarray(e.ids, np.int64)]
                     out.append((np.asarray(e.ids, np.int32), at[:, 0], at[:, 1], np.cumsum(sizes, dtype=np.int32)))
             yield pd.DataFrame(out, columns=["ids", "starts", "ends", "byte_ends"], dtype=object)
 
@@ -160,11 +179,19 @@ def encode_with_offsets(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids, bytes): the bytes of the ids of every row."""
 
-    @F.pandas_udf("binary")
-    def joined(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        _, _, table = load(path, pattern)
+    @F.arrow_udf("binary")
+    def joined(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table = token_bytes(path)
         for batch in batches:
-            yield pd.Series([b"".join(map(table.__getitem__, [] if x is None else x.tolist())) for x in batch], dtype=object)
+            for part in pieces(batch, pc.list_value_length(batch)):
+                tokens = table.take(part.flatten())
+                if tokens.null_count:
+                    raise ValueError("an id is not in the file of ranks")
+                # Taken one after another, the tokens' bytes are already joined; rows only need other ends.
+                size = pc.binary_length(tokens).to_numpy()
+                at = np.append(0, np.cumsum(size, dtype=np.int64))
+                ends = at[np.append(0, np.cumsum(pc.list_value_length(part).fill_null(0).to_numpy()))].astype(np.int32)
+                yield pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends), tokens.buffers()[2]])
 
     return pick(encoded, "doc_id", "ids").select("doc_id", "ids", joined("ids").alias("bytes"))
 
