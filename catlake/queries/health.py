@@ -128,21 +128,32 @@ _REPORT = f"""(SELECT c_custkey AS source, coalesce(state, 'unchecked') AS state
       CAST(floor((epoch(TIMESTAMP '{_NOW}') - epoch(date_trunc('second', checked_at))) / 86400) AS BIGINT) AS days_since_check,
       coalesce(floor((epoch(TIMESTAMP '{_NOW}') - epoch(date_trunc('second', checked_at))) / 86400) > 2 * (c_custkey % 2), false) AS overdue
     FROM customer LEFT JOIN {_STATE} ON source = c_custkey WHERE c_custkey < 200)"""
+_REPORT_ALL = _REPORT.replace(" WHERE c_custkey < 200)", ")")
 
 
 def _report(spark, sf_dir):
-    sources = b.table(spark, sf_dir, "customer").filter("c_custkey < 200").select(F.col("c_custkey").alias("source"), (F.col("c_custkey") % 2).alias("interval"))
+    sources = b.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source"), (F.col("c_custkey") % 2).alias("interval"))
     return h.health_report(sources, _health(spark, sf_dir), F.lit(_NOW).cast("timestamp"))
 
 
+@query(f"SELECT * FROM {_REPORT_ALL}", "runs")
+def health_report_all(spark, sf_dir):
+    return _report(spark, sf_dir)
+
+
 @query(f"SELECT * FROM {_REPORT}", "runs")
 def health_report(spark, sf_dir):
-    return _report(spark, sf_dir)
+    return health_report_all(spark, sf_dir).filter("source < 200")
+
+
+@query(f"SELECT source, state, days_since_item FROM {_REPORT_ALL} WHERE state NOT IN ('healthy', 'unchecked')", "runs")
+def repair_queue_all(spark, sf_dir):
+    return h.repair_queue(_report(spark, sf_dir)).select("source", "state", "days_since_item")
 
 
 @query(f"SELECT source, state, days_since_item FROM {_REPORT} WHERE state NOT IN ('healthy', 'unchecked')", "runs")
 def repair_queue(spark, sf_dir):
-    return h.repair_queue(_report(spark, sf_dir)).select("source", "state", "days_since_item")
+    return repair_queue_all(spark, sf_dir).filter("source < 200")
 
 
 @query("SELECT o_orderkey AS id, o_orderpriority AS priority FROM orders ORDER BY CASE WHEN o_orderpriority = '1-URGENT' THEN 0 ELSE 1 END, o_orderkey LIMIT 500")
@@ -191,13 +202,21 @@ def missing_runs(spark, sf_dir):
     return h.missing_runs(rows)
 
 
-@query(f"""SELECT c_custkey AS source FROM customer LEFT JOIN (SELECT source, max(fetched_at) AS last FROM runs GROUP BY source) ON source = c_custkey
-    WHERE c_acctbal > 0 AND c_custkey < 300 AND (last IS NULL OR floor(epoch(last)) + (c_custkey % 5) * 86400 <= epoch(TIMESTAMP '{_NOW}'))""", "runs")
-def due_sources(spark, sf_dir):
-    sources = b.table(spark, sf_dir, "customer").filter("c_custkey < 300").select(F.col("c_custkey").alias("source"), (F.col("c_custkey") % 5).alias("interval"), (F.col("c_acctbal") > 0).alias("enabled"))
+_DUE = f"""SELECT c_custkey AS source FROM customer LEFT JOIN (SELECT source, max(fetched_at) AS last FROM runs GROUP BY source) ON source = c_custkey
+    WHERE c_acctbal > 0 AND c_custkey < 300 AND (last IS NULL OR floor(epoch(last)) + (c_custkey % 5) * 86400 <= epoch(TIMESTAMP '{_NOW}'))"""
+
+
+@query(_DUE.replace(" AND c_custkey < 300", ""), "runs")
+def due_sources_all(spark, sf_dir):
+    sources = b.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source"), (F.col("c_custkey") % 5).alias("interval"), (F.col("c_acctbal") > 0).alias("enabled"))
     return h.due_sources(sources, b.runs(spark, sf_dir), F.lit(_NOW).cast("timestamp")).select("source")
 
 
+@query(_DUE, "runs")
+def due_sources(spark, sf_dir):
+    return due_sources_all(spark, sf_dir).filter("source < 300")
+
+
 @query("""SELECT source, arg_max(id, (epoch(fetched_at), id)) AS id FROM runs WHERE ok AND items > 0 GROUP BY source""", "runs")
 def last_good_reference(spark, sf_dir):
     good = b.runs(spark, sf_dir).filter("ok AND items > 0").select("source", "fetched_at", "id")

@@ -48,8 +48,10 @@ def load_registry(spark, sf_dir):
     return s.load_registry(s.load_lines(spark, folder, "source long, enabled boolean, interval long").drop("_corrupt")).select("source", "enabled", F.col("interval").cast("int").alias("interval"))
 
 
-@query("SELECT CAST(c AS VARCHAR) AS id, CASE WHEN k % 2 = 0 AND k < 7500 THEN CAST(k AS VARCHAR) END AS record FROM (SELECT o_custkey AS c, max(o_orderkey) AS k FROM orders GROUP BY 1)")
-def load_candidates(spark, sf_dir):
+_CANDIDATES = "SELECT CAST(c AS VARCHAR) AS id, CASE WHEN k % 2 = 0 AND k < 7500 THEN CAST(k AS VARCHAR) END AS record FROM (SELECT o_custkey AS c, max(o_orderkey) AS k FROM orders GROUP BY 1)"
+
+
+def _candidates(spark, sf_dir, known):
     folder, orders = s.work_folder(spark, "candidates"), b.table(spark, sf_dir, "orders")
     one = F.struct(
         F.col("o_orderkey").alias("k"), F.col("o_custkey").cast("string").alias("id"), F.col("o_orderpriority").alias("title"),
@@ -57,10 +59,23 @@ def load_candidates(spark, sf_dir):
     )
     documents = orders.groupBy(F.floor(F.col("o_orderkey") / 1000).alias("n")).agg(F.array_sort(F.collect_list(one)).alias("candidates"))
     documents.select(F.to_json(F.struct(F.lit(1).alias("schema_version"), F.lpad(F.col("n").cast("string"), 12, "0").alias("generated_at"), "candidates")).alias("value")).write.text(folder)
-    known = orders.filter("o_orderkey < 7500").select(F.col("o_orderkey").alias("id"))
     return s.last_candidates(s.load_candidates(spark, folder, "generated_at"), known).select("id", "record")
 
 
+def _known(spark, sf_dir):
+    return b.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
+
+
+@query(_CANDIDATES.replace(" AND k < 7500", ""))
+def load_candidates_all(spark, sf_dir):
+    return _candidates(spark, sf_dir, _known(spark, sf_dir))
+
+
+@query(_CANDIDATES)
+def load_candidates(spark, sf_dir):
+    return _candidates(spark, sf_dir, _known(spark, sf_dir).filter("id < 7500"))
+
+
 _CODES = "(SELECT c_custkey AS code, r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE'))"
 
 
@@ -255,7 +270,15 @@ def stream_inbox_dedup(spark, sf_dir):
     return st.drain(spark, st.inbox_dedup(st.run_stream(spark, sf_dir)), "append", "stream-inbox")
 
 
-@query("""SELECT user_id AS source, CASE WHEN sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) > 0 THEN 'candidate' WHEN sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) >= 3 THEN 'failed' ELSE 'new' END AS state FROM events WHERE event_id < 600 GROUP BY 1""")
+_RETRY = """SELECT user_id AS source, CASE WHEN sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) > 0 THEN 'candidate' WHEN sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) >= 3 THEN 'failed' ELSE 'new' END AS state FROM events WHERE event_id < 600 GROUP BY 1"""
+
+
+@query(_RETRY.replace(" WHERE event_id < 600", ""))
+def stream_retry_queue_all(spark, sf_dir):
+    return st.drain(spark, st.retry_queue(st.run_stream(spark, sf_dir)), "update", "stream-retry")
+
+
+@query(_RETRY)
 def stream_retry_queue(spark, sf_dir):
     return st.drain(spark, st.retry_queue(st.run_stream(spark, sf_dir).filter("event_id < 600")), "update", "stream-retry")
 

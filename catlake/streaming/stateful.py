@@ -96,9 +96,9 @@ def retry_queue(runs: DataFrame, most: int = 3) -> DataFrame:
 
     def step(key, batches, state: GroupState):
         failures, done = state.get if state.exists else (0, False)
-        now = _ordered(batches)
-        failures += int((~now["ok"]).sum())
-        done = bool(done or (now["event_type"] == "purchase").any())
+        for now in batches:
+            failures += int((~now["ok"]).sum())
+            done = bool(done or (now["event_type"] == "purchase").any())
         state.update((failures, done))
         yield pd.DataFrame({"source": [key[0]], "state": ["candidate" if done else "failed" if failures >= most else "new"]})
 
