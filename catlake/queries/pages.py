@@ -11,33 +11,36 @@ from ..operators import pages as g
 from .registry import query
 
 _DERIVED = "SELECT id AS page_id, CAST({position} AS INTEGER) AS position, {uid} AS uid, title, CAST(start_day AS VARCHAR) AS start_at, CAST(end_day AS VARCHAR) AS end_at, place AS venue, {url} AS url FROM pub WHERE id % 3 = {rest}"
+_WHOLE = lambda narrowed: narrowed.replace(" WHERE id % 3 = 0", "").replace(" WHERE id % 3 = 1", "").replace(" WHERE id % 3 = 2", "")
 
 
 def _records(spark, sf_dir, rest):
-    return b.published(spark, sf_dir).filter(F.col("id") % 3 == rest).withColumns({"start": F.col("start_day").cast("string"), "end": F.col("end_day").cast("string")})
+    """The published records whose id leaves ``rest``, or all where it is None."""
+    rows = b.published(spark, sf_dir)
+    return (rows if rest is None else rows.filter(F.col("id") % 3 == rest)).withColumns({"start": F.col("start_day").cast("string"), "end": F.col("end_day").cast("string")})
 
 
-def _jsonld(spark, sf_dir):
+def _jsonld(spark, sf_dir, rest=0):
     item = F.struct(F.lit("MusicEvent").alias("@type"), F.concat(F.lit("e"), "id").alias("@id"), F.col("title").alias("name"), F.col("start").alias("startDate"), F.col("end").alias("endDate"), F.struct(F.col("place").alias("name")).alias("location"))
-    return _records(spark, sf_dir, 0).select(F.col("id").alias("page_id"), F.concat(F.lit('<html><script type="application/ld+json">{"@graph":['), F.to_json(item), F.lit("]}</script></html>")).alias("html"))
+    return _records(spark, sf_dir, rest).select(F.col("id").alias("page_id"), F.concat(F.lit('<html><script type="application/ld+json">{"@graph":['), F.to_json(item), F.lit("]}</script></html>")).alias("html"))
 
 
-def _microdata(spark, sf_dir):
+def _microdata(spark, sf_dir, rest=1):
     prop = lambda name, value: F.coalesce(F.concat(F.lit(f'<meta itemprop="{name}" content="'), value, F.lit('">')), F.lit(""))
-    return _records(spark, sf_dir, 1).select(F.col("id").alias("page_id"), F.concat(
+    return _records(spark, sf_dir, rest).select(F.col("id").alias("page_id"), F.concat(
         F.lit('<div itemscope itemtype="https://schema.org/Event"><h2 itemprop="name">'), "title", F.lit("</h2>"), prop("startDate", F.col("start")), prop("endDate", F.col("end")), prop("location", F.col("place")), F.lit("</div>"),
     ).alias("html"))
 
 
-def _cards(spark, sf_dir):
-    return _records(spark, sf_dir, 2).select(F.col("id").alias("page_id"), F.concat(
+def _cards(spark, sf_dir, rest=2):
+    return _records(spark, sf_dir, rest).select(F.col("id").alias("page_id"), F.concat(
         F.lit('<ul><div class="card"><h3>'), "title", F.lit('</h3><time datetime="'), "start", F.lit('">x</time><span class="venue">'), "place", F.lit('</span><a href="/e/'), F.col("id").cast("string"), F.lit('">more</a></div></ul>'),
     ).alias("html"))
 
 
-def _feed(spark, sf_dir):
+def _feed(spark, sf_dir, rest=0):
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}:"), value, F.lit("\r\n")), F.lit(""))
-    return _records(spark, sf_dir, 0).select(F.col("id").alias("page_id"), F.concat(
+    return _records(spark, sf_dir, rest).select(F.col("id").alias("page_id"), F.concat(
         F.lit("BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\n"), line("UID", F.concat(F.lit("e"), "id")), line("SUMMARY", F.col("title")), line("DTSTART", F.col("start")), line("DTEND", F.col("end")), line("LOCATION", F.concat(F.substring("place", 1, 3), F.lit("\r\n "), F.substring("place", 4, 99))),
         F.when(F.col("id") % 2 == 0, F.lit("RRULE:FREQ=WEEKLY\r\n")).otherwise(""), F.lit("END:VEVENT\r\n"),
     ).alias("html"))
@@ -46,22 +49,54 @@ def _feed(spark, sf_dir):
 _ITEM_COLUMNS = ["page_id", "position", "uid", "title", "start_at", "end_at", "venue", "url"]
 
 
-@query(_DERIVED.format(position=0, uid="'e' || id", url="CAST(NULL AS VARCHAR)", rest=0), "pub")
+_JSONLD = _DERIVED.format(position=0, uid="'e' || id", url="CAST(NULL AS VARCHAR)", rest=0)
+
+
+@query(_WHOLE(_JSONLD), "pub")
+def jsonld_items_all(spark, sf_dir):
+    return g.jsonld_items(_jsonld(spark, sf_dir, None)).select(*_ITEM_COLUMNS)
+
+
+@query(_JSONLD, "pub")
 def jsonld_items(spark, sf_dir):
     return g.jsonld_items(_jsonld(spark, sf_dir)).select(*_ITEM_COLUMNS)
 
 
-@query(_DERIVED.format(position=0, uid="CAST(NULL AS VARCHAR)", url="CAST(NULL AS VARCHAR)", rest=1), "pub")
+_MICRODATA = _DERIVED.format(position=0, uid="CAST(NULL AS VARCHAR)", url="CAST(NULL AS VARCHAR)", rest=1)
+
+
+@query(_WHOLE(_MICRODATA), "pub")
+def microdata_items_all(spark, sf_dir):
+    return g.extract(_microdata(spark, sf_dir, None), g.microdata).select(*_ITEM_COLUMNS)
+
+
+@query(_MICRODATA, "pub")
 def microdata_items(spark, sf_dir):
     return g.extract(_microdata(spark, sf_dir), g.microdata).select(*_ITEM_COLUMNS)
 
 
-@query(_DERIVED.format(position=0, uid="CAST(NULL AS VARCHAR)", url="'/e/' || id", rest=2).replace("CAST(end_day AS VARCHAR) AS end_at", "CAST(NULL AS VARCHAR) AS end_at"), "pub")
+_CARDS = _DERIVED.format(position=0, uid="CAST(NULL AS VARCHAR)", url="'/e/' || id", rest=2).replace("CAST(end_day AS VARCHAR) AS end_at", "CAST(NULL AS VARCHAR) AS end_at")
+
+
+@query(_WHOLE(_CARDS), "pub")
+def card_items_all(spark, sf_dir):
+    return g.extract(_cards(spark, sf_dir, None), g.cards).select(*_ITEM_COLUMNS)
+
+
+@query(_CARDS, "pub")
 def card_items(spark, sf_dir):
     return g.extract(_cards(spark, sf_dir), g.cards).select(*_ITEM_COLUMNS)
 
 
-@query(_DERIVED.format(position=0, uid="'e' || id", url="CAST(NULL AS VARCHAR)", rest=0).replace(" AS url FROM", " AS url, id % 2 = 0 AS recurring FROM"), "pub")
+_FEED = _DERIVED.format(position=0, uid="'e' || id", url="CAST(NULL AS VARCHAR)", rest=0).replace(" AS url FROM", " AS url, id % 2 = 0 AS recurring FROM")
+
+
+@query(_WHOLE(_FEED), "pub")
+def calendar_feed_items_all(spark, sf_dir):
+    return g.extract(_feed(spark, sf_dir, None), g.calendar_feed).select(*_ITEM_COLUMNS, "recurring")
+
+
+@query(_FEED, "pub")
 def calendar_feed_items(spark, sf_dir):
     return g.extract(_feed(spark, sf_dir), g.calendar_feed).select(*_ITEM_COLUMNS, "recurring")
 

@@ -14,23 +14,26 @@ from .registry import query
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
 
 
-def _week_documents(spark, sf_dir):
-    """Week documents made of the catalogue: one JSON document a week, with its events in order."""
-    rows = b.weeks(spark, sf_dir).join(b.published(spark, sf_dir).filter("id % 5 = 1"), "id")
+def _catalog_files(spark, sf_dir, records):
+    """Records written as week documents and read back through their manifest."""
+    rows = b.weeks(spark, sf_dir).join(records, "id")
     event = F.struct(F.col("id").cast("string").alias("id"), F.col("week_start").cast("string").alias("week"), "title", F.col("start_day").cast("string").alias("start_at"), F.col("end_day").cast("string").alias("end_at"), F.col("place").alias("municipality"))
-    weeks = rows.groupBy(F.col("week_start").cast("string").alias("week")).agg(F.array_sort(F.collect_list(event)).alias("events"))
-    return weeks.select(F.to_json(F.struct(F.lit(1).alias("schema_version"), "week", "events")).alias("value"))
+    folder = s.work_folder(spark, "weeks")
+    s.write_catalog(rows.select(F.col("week_start").cast("string").alias("week"), event.alias("event")), folder)
+    return s.load_catalog(spark, f"{folder}/weeks", f"{folder}/manifest").select("id", "week", "title", "end_at", "position")
 
 
-def _catalog_files(spark, sf_dir):
-    folder = s.work_folder(spark, "weeks")
-    _week_documents(spark, sf_dir).write.text(folder)
-    return spark.read.schema(s.WEEK).json(folder).select(F.col("week").alias("file_week"), F.posexplode("events").alias("position", "e")).select("file_week", "position", "e.*")
+_CATALOG = "SELECT CAST(id AS VARCHAR) AS id, CAST(week_start AS VARCHAR) AS week, title, CAST(end_day AS VARCHAR) AS end_at, CAST(row_number() OVER (PARTITION BY week_start ORDER BY CAST(id AS VARCHAR)) - 1 AS INTEGER) AS position FROM wks JOIN pub USING (id) WHERE id % 5 = 1"
+
+
+@query(_CATALOG.replace(" WHERE id % 5 = 1", ""), "wks")
+def load_catalog_all(spark, sf_dir):
+    return _catalog_files(spark, sf_dir, b.published(spark, sf_dir))
 
 
-@query("SELECT CAST(id AS VARCHAR) AS id, CAST(week_start AS VARCHAR) AS week, title, CAST(end_day AS VARCHAR) AS end_at, CAST(row_number() OVER (PARTITION BY week_start ORDER BY CAST(id AS VARCHAR)) - 1 AS INTEGER) AS position FROM wks JOIN pub USING (id) WHERE id % 5 = 1", "wks")
+@query(_CATALOG, "wks")
 def load_catalog(spark, sf_dir):
-    return _catalog_files(spark, sf_dir).select("id", "week", "title", "end_at", "position")
+    return _catalog_files(spark, sf_dir, b.published(spark, sf_dir).filter("id % 5 = 1"))
 
 
 @query("SELECT lower(c) AS norm_key, min(p) AS category, 'kind' AS axis, count(DISTINCT p) AS targets FROM (SELECT p_type AS p, p_type AS c FROM part UNION ALL SELECT p_type, p_brand FROM part WHERE p_size = 50) GROUP BY 1")

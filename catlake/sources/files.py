@@ -25,14 +25,39 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def write_catalog(rows: DataFrame, folder: str, most: int = 1000) -> None:
+    """Week documents of at most ``most`` events, one file each, and the manifest of their weeks, in ``folder``.
+
+    ``rows`` has week and event, a struct that starts with id; events are in the order of their id. No week is
+    gathered in one place: rows are dealt by ranges of (week, id), and each range is cut into documents.
+    """
+    spark = rows.sparkSession
+    dealt = f"{folder}/dealt"
+    at = F.monotonically_increasing_id()
+    rows.repartitionByRange("week", F.col("event")["id"]).sortWithinPartitions("week", F.col("event")["id"]).select("week", "event", F.shiftright(at, 33).alias("part"), at.alias("at")).write.parquet(dealt)
+    rows = spark.read.parquet(dealt)
+    first = rows.groupBy("week", "part").agg(F.min("at").alias("first"))
+    cut = rows.join(first, ["week", "part"]).withColumn("cut", F.floor((F.col("at") - F.col("first")) / most))
+    documents = cut.groupBy("week", "part", "cut").agg(F.array_sort(F.collect_list("event")).alias("events"))
+    name = F.concat_ws("-", "week", F.lpad(F.col("part").cast("string"), 10, "0"), F.lpad(F.col("cut").cast("string"), 10, "0"))
+    documents.select(name.alias("document"), F.to_json(F.struct(F.lit(1).alias("schema_version"), "week", "events")).alias("value")).write.partitionBy("document").text(f"{folder}/weeks")
+    listed = F.array_sort(F.collect_list(F.struct(F.col("week").alias("id"), F.col("week").alias("from"))))
+    first.select("week").distinct().agg(listed.alias("weeks")).select(F.to_json(F.struct(F.lit(1).alias("schema_version"), "weeks")).alias("value")).write.text(f"{folder}/manifest")
+
+
 def load_catalog(spark: SparkSession, weeks: str, manifest: str | None = None) -> DataFrame:
-    """The copies of events in week files, with (week, position, file); only weeks that the manifest lists, if one is given."""
-    files = spark.read.schema(WEEK).option("multiLine", True).json(weeks).withColumn("file", F.col("_metadata.file_name"))
-    rows = files.select(F.col("week").alias("file_week"), "file", F.posexplode("events").alias("position", "e"))
+    """The copies of events in week files, with (week, position, file: its path); only weeks that the manifest lists, if one is given.
+
+    A week may have several documents; positions count through them in the order of their paths.
+    """
+    files = spark.read.schema(WEEK).option("multiLine", True).json(weeks).withColumn("file", F.col("_metadata.file_path"))
     if manifest is not None:
-        listed = spark.read.schema(MANIFEST).option("multiLine", True).json(manifest).select(F.explode("weeks").alias("w")).select(F.col("w.id").alias("file_week"))
-        rows = rows.join(F.broadcast(listed), "file_week", "left_semi")
-    return rows.select("file_week", "file", "position", "e.*")
+        listed = spark.read.schema(MANIFEST).option("multiLine", True).json(manifest).select(F.explode("weeks").alias("w")).select(F.col("w.id").alias("week")).distinct()
+        files = files.join(F.broadcast(listed), "week", "left_semi")
+    before = Window.partitionBy("week").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("week", "file", F.coalesce(F.size("events"), F.lit(0)).alias("n")).withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("int")).select("file", "start")
+    rows = files.select(F.col("week").alias("file_week"), "file", F.posexplode("events").alias("position", "e")).join(starts, "file")
+    return rows.select("file_week", "file", (F.col("start") + F.col("position")).alias("position"), "e.*")
 
 
 def load_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:

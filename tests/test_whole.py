@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catlake.queries import ORACLE_SQL, QUERIES
+from catlake.sources import files
 from tests.test_queries import TABLES, ordered
 
 DIR = "/root/testdata/sf0.01"
@@ -44,3 +45,24 @@ def test_repairs_of_every_source(spark, duck):
 def test_retries_see_every_event(spark, duck):
     rows = same(QUERIES["stream_retry_queue_all"](spark, DIR), duck, "stream_retry_queue_all")
     assert len(rows) == spark.read.parquet(f"{DIR}/events.parquet").agg(F.count_distinct("user_id")).first()[0]
+
+
+PUBLISHED = ["load_catalog_all", "jsonld_items_all", "microdata_items_all", "card_items_all", "calendar_feed_items_all"]
+
+
+@pytest.mark.parametrize("name", PUBLISHED)
+def test_every_published_record(spark, duck, name):
+    same(QUERIES[name](spark, DIR), duck, name)
+
+
+def test_catalogue_files_are_bounded_and_follow_the_manifest(spark, tmp_path):
+    day = F.when(F.col("id") % 10 == 0, "2024-01-08").otherwise("2024-01-01")  # one hot week
+    rows = spark.range(1000).select(day.alias("week"), F.struct(F.col("id").cast("string").alias("id"), day.alias("week"), F.lit("t").alias("title")).alias("event"))
+    files.write_catalog(rows, str(tmp_path), most=50)
+    read = files.load_catalog(spark, f"{tmp_path}/weeks", f"{tmp_path}/manifest")
+    assert read.groupBy("file").count().agg(F.max("count")).first()[0] <= 50
+    for week, n in (("2024-01-01", 900), ("2024-01-08", 100)):
+        got = read.filter(F.col("file_week") == week).orderBy("position").select("id", "position").collect()
+        assert [r["position"] for r in got] == list(range(n)) and [r["id"] for r in got] == sorted(r["id"] for r in got)
+    (tmp_path / "one.json").write_text('{"schema_version": 1,\n "weeks": [{"id": "2024-01-08"}]}')
+    assert {r["file_week"] for r in files.load_catalog(spark, f"{tmp_path}/weeks", f"{tmp_path}/one.json").select("file_week").distinct().collect()} == {"2024-01-08"}
