@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,3 +102,44 @@ def _jaro_winkler(pair: Column) -> Column:
         .when(a == b, 1.0)
         .otherwise(F.aggregate(a, begin, step, finish))
     )
+
+
+def similarity(a: str | None, b: str | None) -> float | None:
+    """``jaro_winkler`` of two texts in plain Python, which long texts need: each letter is found by one search in its window."""
+    if a is None or b is None:
+        return None
+    if not a or not b:
+        return 0.0
+    if a == b:
+        return 1.0
+    try:
+        x, y, none = a.encode("latin-1"), bytearray(b, "latin-1"), 0
+        if 0 in x:
+            raise UnicodeError
+    except UnicodeError:
+        x, y, none = a, list(b), ""
+    z, reach, n, places, left = y[:], max(max(len(a), len(b)) // 2 - 1, 0), 0, [], []
+    for i, c in enumerate(x):
+        try:
+            j = y.index(c, max(i - reach, 0), min(i + reach + 1, len(y)))
+        except ValueError:
+            continue
+        y[j], n = none, n + 1
+        places.append(j)
+        left.append(c)
+    if not n:
+        return 0.0
+    wrong = sum(c != z[j] for c, j in zip(left, sorted(places), strict=True)) / 2
+    jaro = (n / len(a) + n / len(b) + (n - wrong) / n) / 3
+    same = next((k for k in range(4) if a[k : k + 1] != b[k : k + 1] or not a[k : k + 1]), 4)
+    return jaro + same * 0.1 * (1 - jaro)
+
+
+def similarity_of(a: Column, b: Column) -> Column:
+    """``similarity`` as a column, in Arrow batches."""
+
+    @F.pandas_udf("double")
+    def similarities(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([similarity(x, y) for x, y in zip(left, right, strict=True)], dtype="float64")
+
+    return similarities(a, b)

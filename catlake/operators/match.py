@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import jaro_winkler
-from .windows import best_match
+from ..functions.text import similarity_of
 
 #: Bands and weights; fixed values.
 AUTO, REVIEW = 0.92, 0.75
@@ -25,6 +24,14 @@ def block_pairs(candidates: DataFrame, records: DataFrame, block: list[str]) ->
     return c.join(r, block)
 
 
+def salted_pairs(candidates: DataFrame, records: DataFrame, block: list[str], most: int = 200) -> DataFrame:
+    """``block_pairs`` with hot blocks split: the candidates of a block are dealt over parts of about ``most``, its records go to every part."""
+    parts = candidates.groupBy(*block).agg(F.ceil(F.count("*") / most).cast("int").alias("_parts"))
+    c = candidates.join(parts, block).withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int")).drop("_parts")
+    r = records.join(parts, block).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return block_pairs(c, r, [*block, "_part"]).drop("_part")
+
+
 def time_similarity(a: Column, b: Column, reach: int = 180) -> Column:
     """1 for the same minute of the day, down to 0 at ``reach`` minutes; no wrap at midnight; 0 without a time."""
     minutes = lambda t: F.hour(t) * 60 + F.minute(t)
@@ -46,10 +53,10 @@ def match_candidates(candidates: DataFrame, records: DataFrame, block: list[str]
 
     Titles alone are compared here; times of both count as equal and venues as unknown.
     """
-    pairs = block_pairs(candidates, records, block)
-    scored = pairs.withColumn("title_similarity", jaro_winkler(F.col("c_title_key"), F.col("r_title_key")))
+    pairs = salted_pairs(candidates, records, block)
+    scored = pairs.withColumn("title_similarity", similarity_of(F.col("c_title_key"), F.col("r_title_key")))
     scored = scored.withColumn("score", match_score(F.col("title_similarity"), F.lit(1.0), F.lit(None).cast("double")))
-    best = best_match(scored, "c_id", "score", "r_id")
+    best = scored.groupBy("c_id").agg(F.min_by(F.struct("r_id", "title_similarity", "score"), F.struct(-F.col("score"), "r_id")).alias("_r")).select("c_id", "_r.*")
     return best.select("c_id", "r_id", F.round("title_similarity", 6).alias("title_similarity"), "score", decision(F.col("score")).alias("decision"))
 
 

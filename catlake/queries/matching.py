@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import bindings as b
-from ..functions.text import jaro_winkler as similarity
+from ..functions.text import similarity_of
 from ..operators import match as m
 from ..operators.merge import merge_by_key
 from ..operators.windows import best_match as best
@@ -27,10 +27,25 @@ def block_pairs(spark, sf_dir):
     return m.block_pairs(*_sides(spark, sf_dir), _BLOCK).select("c_id", "r_id")
 
 
+_WHOLE = ["lang", "source"]
+_LINES = """(SELECT lang, source, title_key, min(id) AS id FROM lines WHERE id % 3 {} 1 GROUP BY ALL)"""
+
+
+def _lines(spark, sf_dir):
+    """The candidates and the records: by thirds of the ids, as the parity of an id settles its source."""
+    rows = b.first_lines(spark, sf_dir)
+    return m.distinct_titles(rows.filter("id % 3 = 1"), _WHOLE), m.distinct_titles(rows.filter("id % 3 <> 1"), _WHOLE)
+
+
+@query(f"SELECT c.id AS c_id, r.id AS r_id FROM {_LINES.format('=')} c JOIN {_LINES.format('<>')} r USING (lang, source)", "lines")
+def block_pairs_all(spark, sf_dir):
+    return m.salted_pairs(*_lines(spark, sf_dir), _WHOLE).select("c_id", "r_id")
+
+
 @query()
 def jaro_winkler(spark, sf_dir):
-    pairs = m.block_pairs(*_sides(spark, sf_dir), _BLOCK)
-    return pairs.select("c_id", "r_id", F.round(similarity(F.col("c_title_key"), F.col("r_title_key")), 6).alias("similarity"))
+    pairs = m.salted_pairs(*_lines(spark, sf_dir), _WHOLE)
+    return pairs.select("c_id", "r_id", F.round(similarity_of(F.col("c_title_key"), F.col("r_title_key")), 6).alias("similarity"))
 
 
 @query("SELECT event_id AS id, round(greatest(0.0, 1 - abs(extract(hour FROM ts) * 60 + extract(minute FROM ts) - 720) / 180.0), 4) AS similarity FROM events")
@@ -61,7 +76,7 @@ def best_match(spark, sf_dir):
 
 
 def _matches(spark, sf_dir):
-    return m.match_candidates(*_sides(spark, sf_dir), _BLOCK)
+    return m.match_candidates(*_lines(spark, sf_dir), _WHOLE)
 
 
 @query()
@@ -72,7 +87,7 @@ def match_candidates(spark, sf_dir):
 @query()
 def apply_matches(spark, sf_dir):
     links, reviews = m.apply_matches(_matches(spark, sf_dir))
-    known = b.titles(spark, sf_dir).filter("id % 10 = 0").select(F.col("id").alias("record"), F.lit(-1).cast("long").alias("candidate"))
+    known = b.first_lines(spark, sf_dir).filter("id % 10 = 0").select(F.col("id").alias("record"), F.lit(-1).cast("long").alias("candidate"))
     merged = merge_by_key(known, links.groupBy("record").agg(F.min("candidate").alias("candidate")), ["record"], {"candidate": "coalesce_new_old"})
     return merged.select("record", "candidate", F.col("outcome").alias("outcome")).unionByName(reviews.select("record", "candidate", F.lit("queued").alias("outcome")))
 

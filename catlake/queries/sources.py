@@ -169,13 +169,22 @@ def feed_export(spark, sf_dir):
 
 _A, _P = text.ACCENTED, text.PLAIN
 _PLAIN = f"translate(replace(lower(substr(text, 1, 80)), 'ß', 'ss'), '{_A}', '{_P}')"
+_FOLD = f"""SELECT doc_id AS id, trim(regexp_replace({_PLAIN}, '[^a-z0-9]+', ' ', 'g')) AS "match", regexp_replace({_PLAIN}, '[^a-z0-9]+', '', 'g') AS sort,
+      regexp_replace(regexp_replace({_PLAIN}, '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents"""
 
 
-@query(f"""SELECT doc_id AS id, trim(regexp_replace({_PLAIN}, '[^a-z0-9]+', ' ', 'g')) AS "match", regexp_replace({_PLAIN}, '[^a-z0-9]+', '', 'g') AS sort,
-      regexp_replace(regexp_replace({_PLAIN}, '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents""")
+def _folded(spark, sf_dir, of):
+    return b.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), *[text.fold(of, v).alias(v) for v in ("match", "sort", "slug")])
+
+
+@query(_FOLD.replace("substr(text, 1, 80)", "text"))
+def fold_text_all(spark, sf_dir):
+    return _folded(spark, sf_dir, F.col("text"))
+
+
+@query(_FOLD)
 def fold_text(spark, sf_dir):
-    head = F.substring("text", 1, 80)
-    return b.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), *[text.fold(head, v).alias(v) for v in ("match", "sort", "slug")])
+    return _folded(spark, sf_dir, F.substring("text", 1, 80))
 
 
 @query("SELECT page_id AS id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \\t\\n]+', ' ', 'g')) AS title FROM pages")

@@ -33,6 +33,10 @@ VIEWS = {
         SELECT doc_id AS id, substr(text, 1, 40) AS title, lang, source,
                trim(regexp_replace(translate(replace(lower(substr(text, 1, 40)), 'ß', 'ss'), '{accented}', '{plain}'), '[^a-z0-9]+', ' ', 'g')) AS title_key
         FROM documents""",
+    "lines": """
+        SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, lang, source,
+               trim(regexp_replace(translate(replace(lower(split_part(text, chr(10), 1)), 'ß', 'ss'), '{accented}', '{plain}'), '[^a-z0-9]+', ' ', 'g')) AS title_key
+        FROM documents""",
 }
 
 #: What each view is made of.

@@ -1,11 +1,16 @@
 """Queries that take their tables whole: what a bound on ids would lose is there, and equals the SQL on larger tables."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from catlake.functions import text
+from catlake.operators import match
 from catlake.queries import ORACLE_SQL, QUERIES
 from catlake.sources import files
+from tests.test_boundaries import brute_jaro_winkler
 from tests.test_queries import TABLES, ordered
 
 DIR = "/root/testdata/sf0.01"
@@ -66,3 +71,31 @@ def test_catalogue_files_are_bounded_and_follow_the_manifest(spark, tmp_path):
         assert [r["position"] for r in got] == list(range(n)) and [r["id"] for r in got] == sorted(r["id"] for r in got)
     (tmp_path / "one.json").write_text('{"schema_version": 1,\n "weeks": [{"id": "2024-01-08"}]}')
     assert {r["file_week"] for r in files.load_catalog(spark, f"{tmp_path}/weeks", f"{tmp_path}/one.json").select("file_week").distinct().collect()} == {"2024-01-08"}
+
+
+@pytest.mark.parametrize("name", ["fold_text_all", "block_pairs_all"])
+def test_whole_texts(spark, duck, name):
+    same(QUERIES[name](spark, DIR), duck, name)
+
+
+def test_similarity_equals_brute_force():
+    rng = random.Random(5)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randrange(0, 14)))
+    pairs = [(word(x), word(x)) for x in ("abcd ", "abčdž\0", "日本a") for _ in range(300)] + [("martha", "marhta"), ("a", "b"), ("ab", "ba")]
+    for x, y in pairs:
+        assert abs(text.similarity(x, y) - brute_jaro_winkler(x, y)) < 1e-9, (x, y)
+
+
+def test_titles_differ_after_forty_letters_and_at_the_first(spark):
+    long = "one two three four five six seven eight nine ten "
+    rows = [(1, "en", "s", long + "left"), (2, "en", "s", long + "right"), (4, "en", "t", "xbcdefgh"), (5, "en", "t", "abcdefgh")]
+    lines = spark.createDataFrame(rows, "id long, lang string, source string, title_key string")
+    sides = [match.distinct_titles(lines.filter(f"id % 3 {x} 1"), ["lang", "source"]) for x in ("=", "<>")]
+    got = {r["c_id"]: (r["r_id"], r["title_similarity"]) for r in match.match_candidates(*sides, ["lang", "source"]).collect()}
+    assert got[1][0] == 2 and got[1][1] < 1 and got[4][0] == 5
+
+
+def test_hot_blocks_are_split_without_loss(spark):
+    side = lambda start, n: spark.range(start, start + n).select("id", F.lit("en").alias("lang"), F.col("id").cast("string").alias("title_key"))
+    pairs = match.salted_pairs(side(0, 450), side(1000, 20), ["lang"], most=50)
+    assert pairs.count() == pairs.distinct().count() == 450 * 20
