@@ -60,6 +60,24 @@ def match_candidates(candidates: DataFrame, records: DataFrame, block: list[str]
     return best.select("c_id", "r_id", F.round("title_similarity", 6).alias("title_similarity"), "score", decision(F.col("score")).alias("decision"))
 
 
+def title_members(rows: DataFrame, block: list[str]) -> DataFrame:
+    """(id, representative): each row with the row that stands for its title in ``distinct_titles``."""
+    return _spread(rows, distinct_titles(rows, block).select(*block, "title_key", F.col("id").alias("representative")), [*block, "title_key"]).select("id", "representative")
+
+
+def expand_matches(matches: DataFrame, candidates: DataFrame, block: list[str]) -> DataFrame:
+    """``match_candidates`` for every row of ``candidates``: equal titles of a block share what was decided for the one that was scored."""
+    members = title_members(candidates, block)
+    rest = [c for c in matches.columns if c != "c_id"]
+    return _spread(members, matches.withColumnRenamed("c_id", "representative"), ["representative"]).select(F.col("id").alias("c_id"), *rest)
+
+
+def _spread(rows: DataFrame, one: DataFrame, keys: list[str], parts: int = 16) -> DataFrame:
+    """Join many rows to one of each key; the rows of a key are dealt over ``parts``, as one title may have most of them."""
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    return dealt.join(one.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), [*keys, "_part"])
+
+
 def apply_matches(matches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(links, reviews) that follow: a link for each automatic match, a review row for each doubtful one; a separate one gives nothing."""
     links = matches.filter("decision = 'auto-merge'").select(F.col("r_id").alias("record"), F.col("c_id").alias("candidate"))

@@ -31,10 +31,21 @@ _WHOLE = ["lang", "source"]
 _LINES = """(SELECT lang, source, title_key, min(id) AS id FROM lines WHERE id % 3 {} 1 GROUP BY ALL)"""
 
 
-def _lines(spark, sf_dir):
+def _rows(spark, sf_dir):
     """The candidates and the records: by thirds of the ids, as the parity of an id settles its source."""
     rows = b.first_lines(spark, sf_dir)
-    return m.distinct_titles(rows.filter("id % 3 = 1"), _WHOLE), m.distinct_titles(rows.filter("id % 3 <> 1"), _WHOLE)
+    return rows.filter("id % 3 = 1"), rows.filter("id % 3 <> 1")
+
+
+def _lines(spark, sf_dir):
+    return tuple(m.distinct_titles(rows, _WHOLE) for rows in _rows(spark, sf_dir))
+
+
+@query("SELECT id, min(id) OVER (PARTITION BY lang, source, title_key, id % 3 = 1) AS representative FROM lines", "lines")
+def title_members(spark, sf_dir):
+    """Which row stands for each in the pairs of jaro_winkler and block_pairs_all."""
+    candidates, records = (m.title_members(rows, _WHOLE) for rows in _rows(spark, sf_dir))
+    return candidates.unionByName(records)
 
 
 @query(f"SELECT c.id AS c_id, r.id AS r_id FROM {_LINES.format('=')} c JOIN {_LINES.format('<>')} r USING (lang, source)", "lines")
@@ -76,7 +87,8 @@ def best_match(spark, sf_dir):
 
 
 def _matches(spark, sf_dir):
-    return m.match_candidates(*_lines(spark, sf_dir), _WHOLE)
+    """The decision for every candidate; equal titles are scored once and share it."""
+    return m.expand_matches(m.match_candidates(*_lines(spark, sf_dir), _WHOLE), _rows(spark, sf_dir)[0], _WHOLE)
 
 
 @query()
@@ -88,7 +100,7 @@ def match_candidates(spark, sf_dir):
 def apply_matches(spark, sf_dir):
     links, reviews = m.apply_matches(_matches(spark, sf_dir))
     known = b.first_lines(spark, sf_dir).filter("id % 10 = 0").select(F.col("id").alias("record"), F.lit(-1).cast("long").alias("candidate"))
-    merged = merge_by_key(known, links.groupBy("record").agg(F.min("candidate").alias("candidate")), ["record"], {"candidate": "coalesce_new_old"})
+    merged = merge_by_key(known, links, ["record", "candidate"], {})
     return merged.select("record", "candidate", F.col("outcome").alias("outcome")).unionByName(reviews.select("record", "candidate", F.lit("queued").alias("outcome")))
 
 

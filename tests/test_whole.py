@@ -6,6 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from catlake import bindings
 from catlake.functions import text
 from catlake.operators import match
 from catlake.queries import ORACLE_SQL, QUERIES
@@ -99,3 +100,26 @@ def test_hot_blocks_are_split_without_loss(spark):
     side = lambda start, n: spark.range(start, start + n).select("id", F.lit("en").alias("lang"), F.col("id").cast("string").alias("title_key"))
     pairs = match.salted_pairs(side(0, 450), side(1000, 20), ["lang"], most=50)
     assert pairs.count() == pairs.distinct().count() == 450 * 20
+
+
+def test_every_row_of_a_shared_title_is_matched(spark):
+    title = F.when(F.col("id") < 300, "a shared title").otherwise(F.concat(F.lit("another "), "id"))
+    rows = spark.range(330).select("id", F.lit("en").alias("lang"), F.lit("s").alias("source"), title.alias("title_key"))
+    sides = rows.filter("id % 3 = 1"), rows.filter("id % 3 <> 1")
+    block = ["lang", "source"]
+    matches = match.expand_matches(match.match_candidates(*(match.distinct_titles(x, block) for x in sides), block), sides[0], block)
+    links = match.apply_matches(matches)[0].filter("record = 0")
+    assert matches.count() == matches.select("c_id").distinct().count() == 110 and links.count() == 100
+
+
+def test_calibration_counts_every_candidate(spark, duck):
+    same(QUERIES["title_members"](spark, DIR), duck, "title_members")
+    lines = bindings.first_lines(spark, DIR)
+    records = lines.filter("id % 3 <> 1").select("lang", "source").distinct()
+    n = lines.filter("id % 3 = 1").join(records, ["lang", "source"], "left_semi").count()
+    assert QUERIES["match_calibration"](spark, DIR).agg(F.sum("n")).first()[0] == QUERIES["match_review_gate"](spark, DIR).count() == n
+
+
+def test_each_automatic_match_is_a_link(spark):
+    links = QUERIES["apply_matches"](spark, DIR).filter("outcome = 'created'")
+    assert links.count() == QUERIES["match_candidates"](spark, DIR).filter("decision = 'auto-merge'").count()
