@@ -13,18 +13,18 @@ def overlaps(first: Column, last: Column, start: str = "start_day", end: str = "
     return (F.col(start) <= last) & (F.coalesce(F.col(end), F.col(start)) >= first)
 
 
-def explode_weeks(records: DataFrame, start: str = "start_day", end: str = "end_day", most: int = 60) -> DataFrame:
-    """One row for each week touched (week_start), so that weeks join by equality; ``most`` weeks a record at most.
+def explode_weeks(records: DataFrame, start: str = "start_day", end: str = "end_day") -> DataFrame:
+    """One row for each week touched (week_start), so that weeks join by equality.
 
     An end before the start counts as the start.
     """
-    last = F.least(F.greatest(F.coalesce(F.col(end), F.col(start)), F.col(start)), F.date_add(week_start(F.col(start)), 7 * most - 1))
+    last = F.greatest(F.coalesce(F.col(end), F.col(start)), F.col(start))
     return records.filter(F.col(start).isNotNull()).withColumn("week_start", F.explode(F.sequence(week_start(F.col(start)), week_start(last), F.expr("INTERVAL 7 DAY"))))
 
 
-def explode_days(records: DataFrame, start: str = "start_day", end: str = "end_day", most: int = 366) -> DataFrame:
-    """One row for each day touched (day); ``most`` days a record at most."""
-    last = F.least(F.greatest(F.coalesce(F.col(end), F.col(start)), F.col(start)), F.date_add(F.col(start), most - 1))
+def explode_days(records: DataFrame, start: str = "start_day", end: str = "end_day") -> DataFrame:
+    """One row for each day touched (day)."""
+    last = F.greatest(F.coalesce(F.col(end), F.col(start)), F.col(start))
     return records.filter(F.col(start).isNotNull()).withColumn("day", F.explode(F.sequence(F.col(start), last)))
 
 
@@ -40,5 +40,7 @@ def calendar_days(records: DataFrame, monday: Column, spine: DataFrame) -> DataF
     ``spine`` has any one row; it makes the seven days.
     """
     days = spine.limit(1).select(F.explode(F.sequence(monday, F.date_add(monday, 6))).alias("day"))
-    touching = explode_days(records.filter(overlaps(monday, F.date_add(monday, 6))))
+    sunday = F.date_add(monday, 6)
+    clipped = records.filter(overlaps(monday, sunday)).withColumns({"_first": F.greatest("start_day", monday), "_last": F.least(F.greatest(F.coalesce("end_day", "start_day"), "start_day"), sunday)})
+    touching = explode_days(clipped, "_first", "_last").drop("_first", "_last")
     return days.join(touching, "day", "left").withColumn("role", F.when(F.col("id").isNotNull(), day_role(F.col("day"))))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.temporal import week_start
+from ..sources.files import work_folder
 
 
 def latest_per_key(rows: DataFrame, key: str, *order: str) -> DataFrame:
@@ -31,3 +32,17 @@ def default_week(rows: DataFrame, key: str, today: Column) -> DataFrame:
     monday, week = week_start(today), F.col("week_start")
     rank = F.when(week == monday, F.struct(F.lit(0), F.lit(0))).when(week > monday, F.struct(F.lit(1), F.datediff(week, monday))).otherwise(F.struct(F.lit(2), F.datediff(monday, week)))
     return rows.groupBy(key).agg(F.min_by("week_start", rank).alias("week_start"))
+
+
+def placed(rows: DataFrame, *order: str | Column, name: str = "place_in_order") -> DataFrame:
+    """Every row with its place in the order, from 1: ranges are numbered by themselves and moved by the sizes of those before.
+
+    The ranges are written once, as the sizes and the rows must come from the same ones.
+    """
+    spark, at = rows.sparkSession, F.monotonically_increasing_id()
+    folder = work_folder(spark, "placed")
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.shiftright(at, 33).alias("_part"), at.bitwiseAND((1 << 33) - 1).alias("_at")).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
+    starts = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    return rows.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at") + 1).drop("_part", "_at", "_start")

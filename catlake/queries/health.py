@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import bindings as b
 from ..operators import health as h
 from ..operators import reports
-from ..operators.windows import latest_per_key
+from ..operators.windows import latest_per_key, placed
 from .registry import query
 
 _NOW = "2024-02-01 00:00:00"
@@ -156,6 +156,12 @@ def repair_queue(spark, sf_dir):
     return repair_queue_all(spark, sf_dir).filter("source < 200")
 
 
+@query("SELECT row_number() OVER (ORDER BY CASE WHEN o_orderpriority = '1-URGENT' THEN 0 ELSE 1 END, o_orderkey) AS place_in_order, o_orderkey AS id, o_orderpriority AS priority FROM orders")
+def health_listing_order_all(spark, sf_dir):
+    rows = b.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority"))
+    return placed(rows, (F.col("priority") != "1-URGENT"), "id")
+
+
 @query("SELECT o_orderkey AS id, o_orderpriority AS priority FROM orders ORDER BY CASE WHEN o_orderpriority = '1-URGENT' THEN 0 ELSE 1 END, o_orderkey LIMIT 500")
 def health_listing_order(spark, sf_dir):
     rows = b.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority"))

@@ -264,6 +264,14 @@ def adapter_yield_by_week(spark, sf_dir):
 # --- order and pages
 
 
+@query("SELECT row_number() OVER (ORDER BY start_at, title_key, id) AS place_in_order, id FROM (SELECT *, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS title_key FROM pub)", "pub")
+def catalog_order_all(spark, sf_dir):
+    from ..operators.windows import placed
+
+    rows = b.published(spark, sf_dir).withColumn("title_key", fold(F.col("title")))
+    return placed(rows.select("start_at", "title_key", "id"), "start_at", "title_key", "id").select("place_in_order", "id")
+
+
 @query("SELECT row_number() OVER (ORDER BY start_at, title_key, id) AS place_in_order, id FROM (SELECT *, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS title_key FROM pub WHERE place = 'NATION_1') ORDER BY 1 LIMIT 100", "pub")
 def catalog_order(spark, sf_dir):
     rows = p.catalog_order(b.published(spark, sf_dir).filter("place = 'NATION_1'")).limit(100)
@@ -294,6 +302,16 @@ def default_week(spark, sf_dir):
     return choose(rows, "place", F.lit(D(1998, 1, 7))).select("place", *_text("week_start"))
 
 
+@query("""SELECT id, priority, row_number() OVER (ORDER BY priority, start_day, id) AS place_in_order FROM (SELECT id, start_day, CASE WHEN start_day BETWEEN DATE '1998-01-01' AND DATE '1998-01-07' THEN 1 WHEN start_day BETWEEN DATE '1998-01-08' AND DATE '1998-01-15' THEN 2 WHEN start_day < DATE '1998-01-01' THEN 3 ELSE 4 END AS priority
+    FROM catalog WHERE status = 'draft')""", "catalog")
+def review_priority_all(spark, sf_dir):
+    from ..operators.reports import review_priority as rank
+    from ..operators.windows import placed
+
+    rows = rank(b.catalog(spark, sf_dir).filter("status = 'draft'"), F.lit(D(1998, 1, 1)))
+    return placed(rows.select("id", "start_day", "priority"), "priority", "start_day", "id").select("id", "priority", "place_in_order")
+
+
 @query("""SELECT id, CASE WHEN start_day BETWEEN DATE '1998-01-01' AND DATE '1998-01-07' THEN 1 WHEN start_day BETWEEN DATE '1998-01-08' AND DATE '1998-01-15' THEN 2 WHEN start_day < DATE '1998-01-01' THEN 3 ELSE 4 END AS priority
     FROM catalog WHERE status = 'draft' ORDER BY 2, start_day, id LIMIT 200""", "catalog")
 def review_priority(spark, sf_dir):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from catlake import bindings
 from catlake.functions import text
-from catlake.operators import match
+from catlake.operators import intervals, match
 from catlake.queries import ORACLE_SQL, QUERIES
 from catlake.sources import files
 from tests.test_boundaries import brute_jaro_winkler
@@ -123,3 +123,15 @@ def test_calibration_counts_every_candidate(spark, duck):
 def test_each_automatic_match_is_a_link(spark):
     links = QUERIES["apply_matches"](spark, DIR).filter("outcome = 'created'")
     assert links.count() == QUERIES["match_candidates"](spark, DIR).filter("decision = 'auto-merge'").count()
+
+
+@pytest.mark.parametrize("name", ["health_listing_order_all", "review_priority_all", "catalog_order_all"])
+def test_every_row_has_its_place(spark, duck, name):
+    same(QUERIES[name](spark, DIR), duck, name)
+
+
+def test_long_records_keep_their_days_and_weeks(spark):
+    rows = spark.sql("SELECT 1 AS id, DATE'2020-01-01' AS start_day, DATE'2024-01-03' AS end_day")
+    week = intervals.calendar_days(rows, F.lit("2024-01-01").cast("date"), spark.range(1)).orderBy("day").collect()
+    assert [r["role"] for r in week] == ["continues", "continues", "ends", None, None, None, None]
+    assert intervals.explode_days(rows).count() == 1464 and intervals.explode_weeks(rows).count() == 210
