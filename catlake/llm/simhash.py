@@ -110,23 +110,29 @@ def near_pairs(fps: DataFrame, bucket: int = 64) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, bucket: int = 64) -> DataFrame:
-    """(doc_id, fp, component_id) for every row: the smallest doc_id reachable by links."""
+    """(doc_id, fp, component_id, root) for every row: the smallest doc_id reachable by links, and a fingerprint that names the component."""
     rows = materialize(fingerprints(docs), "fingerprints")
     reps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
     roots = connected_components(near_pairs(reps.select("fp"), bucket)).withColumnRenamed("node", "fp")
     linked = reps.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     least = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
-    groups = linked.join(least, "root").select("fp", "component_id")
-    return rows.join(groups, "fp").select("doc_id", "fp", "component_id")
+    groups = linked.join(least, "root").select("fp", "component_id", "root")
+    return rows.join(groups, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row of each group of ``near_duplicates``: that whose doc_id is the component's.
+    """One row of each group of ``near_duplicates``: one whose doc_id is the component's.
 
-    Rows without an id stay if their group has no id at all, one for each fingerprint.
+    Where rows of different texts share a doc_id, fingerprints tell them apart, so that an id that stands for
+    several groups keeps a row of each. Rows without an id stay if their group has no id at all, one for each fingerprint.
     """
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.filter("doc_id IS NOT NULL").join(first, F.col("doc_id") == F.col("_first"), "left_semi").dropDuplicates(["doc_id"])
+    firsts = groups.filter("doc_id = component_id").groupBy("root").agg(F.min("doc_id").alias("_first"), F.min("fp").alias("_want"))
+    clashing = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg((F.min("fp") != F.max("fp")).alias("_clash")).filter("_clash").select(F.col("doc_id").alias("_first"))
+    single, several = firsts.join(clashing, "_first", "left_anti"), firsts.join(clashing, "_first", "left_semi")
+    named, on = docs.filter("doc_id IS NOT NULL"), F.col("doc_id") == F.col("_first")
+    kept = named.join(single, on, "left_semi").dropDuplicates(["doc_id"])
+    marked = with_fingerprint(named.join(several, on, "left_semi"), to="_fp")
+    kept = kept.unionByName(marked.join(several, on & (F.col("_fp") == F.col("_want")), "left_semi").dropDuplicates(["doc_id", "_fp"]).drop("_fp"))
     unnamed = groups.filter("doc_id IS NULL AND component_id IS NULL").select("fp").distinct()
     rows = docs.filter("doc_id IS NULL")
     rows = with_fingerprint(rows, to="_fp").join(unnamed, F.col("_fp") == F.col("fp"), "left_semi").dropDuplicates(["_fp"]).drop("_fp")
