@@ -58,7 +58,7 @@ def signals(pages: DataFrame) -> DataFrame:
 
 
 def classify(marks: DataFrame) -> DataFrame:
-    """(page_id, kind, reasons): listing, event-detail or unknown; strong evidence for both, or a short text, is unknown."""
+    """(page_id, kind, reasons): listing, event-detail or unknown; strong evidence for both, or a short text without a JSON-LD event, is unknown."""
     listing = F.array_compact(F.array(
         F.when(F.col("jsonld_events") + F.col("microdata_events") > 1, F.lit("L1-many-events")), F.when(F.col("paginated"), F.lit("L2-pagination")), F.when(F.col("list_items") >= 10, F.lit("L3-long-list")),
     ))
@@ -67,7 +67,7 @@ def classify(marks: DataFrame) -> DataFrame:
     ))
     rows = marks.withColumns({"l": listing, "d": detail})
     kind = (
-        F.when(F.col("text_length") < 400, "unknown")
+        F.when((F.col("text_length") < 400) & (F.col("jsonld_events") == 0), "unknown")
         .when((F.size("l") >= 2) & (F.size("d") >= 2), "unknown")
         .when(F.size("l") > F.size("d"), "listing")
         .when(F.size("d") > F.size("l"), "event-detail")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from catlake import bindings
 from catlake.functions import text
-from catlake.operators import intervals, match
+from catlake.operators import intervals, match, pages
 from catlake.queries import ORACLE_SQL, QUERIES
 from catlake.sources import files
 from tests.test_boundaries import brute_jaro_winkler
@@ -135,3 +135,10 @@ def test_long_records_keep_their_days_and_weeks(spark):
     week = intervals.calendar_days(rows, F.lit("2024-01-01").cast("date"), spark.range(1)).orderBy("day").collect()
     assert [r["role"] for r in week] == ["continues", "continues", "ends", None, None, None, None]
     assert intervals.explode_days(rows).count() == 1464 and intervals.explode_weeks(rows).count() == 210
+
+
+def test_a_short_page_with_one_event_is_judged(spark):
+    event = '<html><title>t</title><script type="application/ld+json">{"@type": "MusicEvent"}</script><p>short</p></html>'
+    page = spark.createDataFrame([(1, "https://a.example/x", event), (2, "https://a.example/y", "<p>short</p>")], "page_id long, url string, html string")
+    kinds = {r["page_id"]: r["kind"] for r in pages.classify(pages.signals(page)).collect()}
+    assert kinds == {1: "event-detail", 2: "unknown"}
