@@ -5,18 +5,25 @@ printable characters by a fixed rule, and the merges are derived from the ranks,
 token's last merge is what the lower ranks leave of it. Texts are split by ``pattern``
 and each match is encoded by itself, without special tokens.
 
-Decoding reverses the byte table: an id gives bytes, so a character that is split over
-several tokens comes back whole once their bytes are joined.
+Decoding reverses the byte table: each token of the tokenizer's vocabulary, a string of
+printable characters, becomes the bytes that these characters stand for, so a character
+that is split over several tokens comes back whole once their bytes are joined. The ends
+of tokens in the text's UTF-8 bytes are the running sums of their lengths.
+
+``round_trip`` encodes, decodes and digests in one Python worker, so bytes that were only
+made to be compared never travel; ``encode`` and ``decode`` are its halves.
 
 Edge cases: a null text counts as empty and has no ids; null ids decode to no bytes; an
 unknown id is an error; texts of any length are encoded whole; batches are cut into
-pieces of bounded size; repeated rows, empty tables and extra columns are no matter.
+pieces of bounded size; repeated rows, null and repeated ids and empty tables are no
+matter; extra columns, also with clashing names, are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 import os
 from collections.abc import Iterator
 
@@ -27,6 +34,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import pick
 
@@ -62,23 +70,13 @@ def merges_of(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
     return merges
 
 
-@functools.lru_cache(maxsize=4)
-def token_bytes(path: str) -> pa.Array:
-    """The bytes of each id at its place (null: no such id), which is all that decoding needs; once a worker."""
-    ranks = read_ranks(path)
-    out: list[bytes | None] = [None] * (max(ranks.values(), default=-1) + 1)
-    for token, rank in ranks.items():
-        out[rank] = token
-    return pa.array(out, pa.binary())
-
-
 def tokenizer_of(path: str, pattern: str | None = None):
     """The BPE model as a tokenizer of texts that it splits by ``pattern``, or of single matches."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
     ranks, char = read_ranks(path), byte_characters()
-    text = lambda token: "".join(char[b] for b in token)
+    text = lambda token: token.decode("latin-1").translate(char)
     out = Tokenizer(models.BPE({text(t): r for t, r in ranks.items()}, [(text(a), text(b)) for a, b in merges_of(ranks)]))
     plain = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
     out.pre_tokenizer = plain if pattern is None else pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), plain])
@@ -91,10 +89,27 @@ def whole_tokenizer(path: str, pattern: str):
     return tokenizer_of(path, pattern)
 
 
+@functools.lru_cache(maxsize=4)
+def single_tokenizer(path: str):
+    """The tokenizer of single matches; once a worker."""
+    return tokenizer_of(path)
+
+
 @functools.lru_cache(maxsize=4)
 def matches_of(path: str, pattern: str) -> Matches:
     """The encoder of matches; once a worker."""
-    return Matches(tokenizer_of(path), pattern)
+    return Matches(single_tokenizer(path), pattern)
+
+
+@functools.lru_cache(maxsize=4)
+def token_bytes(path: str) -> pa.Array:
+    """The bytes of each id at its place (null: no such id): the vocabulary's characters by the reversed byte table; once a worker."""
+    byte = {ord(c): b for b, c in byte_characters().items()}
+    vocabulary = single_tokenizer(path).get_vocab(with_added_tokens=False)
+    out: list[bytes | None] = [None] * (max(vocabulary.values(), default=-1) + 1)
+    for token, rank in vocabulary.items():
+        out[rank] = token.translate(byte).encode("latin-1")
+    return pa.array(out, pa.binary())
 
 
 class Matches:
@@ -176,26 +191,52 @@ def encode_with_offsets(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return pick(docs, "doc_id", "text").select("doc_id", spans("text").alias("s")).select("doc_id", "s.*")
 
 
+def decoded(path: str, ids: pa.Array, rows: pa.Array) -> pa.Array:
+    """The bytes of rows of ids: ``ids`` one after another, and how many belong to each row."""
+    tokens = token_bytes(path).take(ids)
+    if tokens.null_count:
+        raise ValueError("an id is not in the file of ranks")
+    # Taken one after another, the tokens' bytes are already joined; rows only need other ends.
+    at = np.append(0, np.cumsum(pc.binary_length(tokens).to_numpy(), dtype=np.int64))
+    ends = at[np.append(0, np.cumsum(rows.fill_null(0).to_numpy()))].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), tokens.buffers()[2]])
+
+
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids, bytes): the bytes of the ids of every row."""
 
     @F.arrow_udf("binary")
     def joined(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table = token_bytes(path)
         for batch in batches:
             for part in pieces(batch, pc.list_value_length(batch)):
-                tokens = table.take(part.flatten())
-                if tokens.null_count:
-                    raise ValueError("an id is not in the file of ranks")
-                # Taken one after another, the tokens' bytes are already joined; rows only need other ends.
-                size = pc.binary_length(tokens).to_numpy()
-                at = np.append(0, np.cumsum(size, dtype=np.int64))
-                ends = at[np.append(0, np.cumsum(pc.list_value_length(part).fill_null(0).to_numpy()))].astype(np.int32)
-                yield pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends), tokens.buffers()[2]])
+                yield decoded(path, part.flatten(), pc.list_value_length(part))
 
     return pick(encoded, "doc_id", "ids").select("doc_id", "ids", joined("ids").alias("bytes"))
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, ids, n_bytes, decoded_sha256) of every row: its ids, the end of the last one in bytes, and the digest of what they decode to."""
+    rows = pick(docs, "doc_id", "text")
+    schema = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL("ids array<int>, n_bytes long, decoded_sha256 string").fields])
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matches = matches_of(path, pattern)
+        for batch in batches:
+            at = 0
+            for texts in _pieces_of_texts(batch.column(1)):
+                found = matches.encode(texts)
+                length = pa.array(list(map(len, found)), pa.int64())
+                ids = pa.array(np.concatenate(found), pa.int32())
+                back = decoded(path, ids, length)
+                ends = pa.array(np.append(0, np.cumsum(length.to_numpy())).astype(np.int32))
+                digests = [hashlib.sha256(x.as_buffer()).hexdigest() for x in back]
+                columns = [batch.column(0).slice(at, len(texts)), pa.ListArray.from_arrays(ends, ids), pc.binary_length(back).cast(pa.int64()), pa.array(digests, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+                at += len(texts)
+
+    return rows.mapInArrow(both, schema)
+
+
 def decode_text(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids, text): decoded as UTF-8; bytes that are no whole character become U+FFFD."""
     text = F.make_valid_utf8(F.col("bytes").cast("string"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -20,6 +21,18 @@ def classes() -> np.ndarray:
     return out
 
 
+def blocks(text: str | None, size: int = 1 << 16) -> Iterator[str]:
+    """A text in blocks of about ``size`` characters, cut after a space or line break where there is one, so that memory is bounded."""
+    text, at = text or "", 0
+    while at < len(text):
+        end = at + size
+        if end < len(text):
+            gap = max(text.rfind(" ", at, end), text.rfind("\n", at, end))
+            end = gap + 1 if gap > at else end
+        yield text[at:end]
+        at = end
+
+
 def points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 

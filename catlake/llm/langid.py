@@ -7,37 +7,40 @@ sample of labelled rows (``sample``), each with a few short windows of its text
 the whole, so that short texts are known too. As both layers are linear, prediction
 uses their product, one number for each row and language.
 
-Calibration: a temperature is fitted on a tenth of the sample that training doesn't see;
-a text is rejected if its probability is under ``reject``, or it has no letter.
+Calibration: a temperature is fitted on the windows of a tenth of the sampled documents,
+none of which training sees; a text is rejected if its probability is under ``reject``,
+or it has no letter.
 
 Edge cases: null or letterless texts are "und" with score 0 and rejected; without any
 labelled row every text is "und"; ties between languages go to the first in order of name;
-null ids count as any value for the fold; repeated rows, empty tables and extra columns
-are no matter. Whole texts are read, in blocks if very long.
+a null id is outside the held-out fold; repeated rows are learned from once and each get
+their prediction; empty tables give empty results; extra columns stay where rows are
+returned whole and are ignored elsewhere, also with clashing names. Whole texts are read,
+in blocks that end between words if very long.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .characters import letters, mixed
-from .common import bounded_sample, fold, pick
+from .characters import blocks, letters, mixed
+from .common import bounded_sample, fold, kept_by, pick, with_made
 
 BITS = 15
-SAMPLE = 1500
-_BLOCK = 1 << 20
+SAMPLE = 3000
 
 
 def subwords(text: str | None) -> np.ndarray | None:
     """How often each bucket occurs; None if there is no letter."""
-    text, out = text or "", None
-    for k in range(0, len(text), _BLOCK):
-        c = letters(text[k : k + _BLOCK])
+    out = None
+    for block in blocks(text):
+        c = letters(block)
         if len(c) < 2:
             continue
         h, parts = c, []
@@ -48,7 +51,10 @@ def subwords(text: str | None) -> np.ndarray | None:
                     break
                 h = h[:-1] * np.uint32(0x01000193) ^ c[n:]
         counts = np.bincount(np.concatenate(parts), minlength=1 << BITS)
-        out = counts if out is None else out + counts
+        if out is None:
+            out = counts
+        else:
+            out += counts
     return out
 
 
@@ -80,32 +86,43 @@ def _examples(text: str) -> list[np.ndarray]:
     return [x for x in out if x is not None]
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """The buckets that occur, in two bytes each, and their shares."""
+    at = np.flatnonzero(counts)
+    return at.astype("<u2").tobytes() + (counts[at] / counts.sum()).astype("<f4").tobytes()
+
+
+def _unpacked(packed) -> tuple[np.ndarray, np.ndarray]:
+    n = len(packed) // 6
+    return np.frombuffer(packed, "<u2", n).astype(np.int64), np.frombuffer(packed, np.uint8, 4 * n, 2 * n).view("<f4")
+
+
 def train(labelled: DataFrame, sample: int = SAMPLE, size: int = 16, epochs: int = 5, rate: float = 40.0, reject: float = 0.4, seed: int = 1) -> Model:
     """Fit on at most ``sample`` rows of (doc_id, text, lang); features are made on the executors."""
 
     @F.pandas_udf("array<binary>")
     def features(texts: pd.Series) -> pd.Series:
-        pack = lambda x: np.stack([a := np.flatnonzero(x), x[a]]).astype("<i4").tobytes()
-        return pd.Series([[pack(x) for x in _examples(t)] for t in texts])
+        return pd.Series([[_packed(x) for x in _examples(t)] for t in texts])
 
-    rows = bounded_sample(pick(labelled, "doc_id", "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL"), "doc_id", sample)
-    made = rows.select("doc_id", "lang", F.posexplode(features("text")).alias("window", "x")).limit(8 * sample)
-    found = made.toPandas().sort_values(["doc_id", "lang", "window"])
-    langs = tuple(sorted(found["lang"].unique()))
+    rows = bounded_sample(pick(labelled, "doc_id", "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL"), sample)
+    # The sample is dealt out again, as its sort leaves it in one partition.
+    made = rows.repartition(32, "doc_id", "text").select("doc_id", "lang", F.xxhash64("text").alias("hash"), F.posexplode(features("text")).alias("window", "x"))
+    found = made.toArrow().combine_chunks().sort_by([(c, "ascending") for c in ("doc_id", "lang", "hash", "window")])
+    langs = tuple(sorted(found["lang"].unique().to_pylist()))
     if not langs:
         return Model((), np.zeros((1 << BITS, 0)), np.zeros(0), 1.0, reject)
     y = np.searchsorted(np.array(langs), found["lang"].to_numpy().astype(str))
-    unpacked = (np.frombuffer(b, "<i4").reshape(2, -1) for b in found["x"])
-    x = [(a, (n / n.sum()).astype(np.float32)) for a, n in unpacked]
+    x = [v.as_buffer() for v in found["x"]]
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(x))
-    seen, unseen = (order[len(order) // 10 :], order[: len(order) // 10]) if len(order) >= 50 else (order, order)
+    document = np.cumsum(found["window"].to_numpy() == 0)
+    apart = np.isin(document, rng.permutation(np.arange(1, document[-1] + 1))[: document[-1] // 10])
+    seen, unseen = (np.flatnonzero(~apart), np.flatnonzero(apart)) if apart.any() else (np.arange(len(x)),) * 2
     e = rng.normal(0, 0.1, (1 << BITS, size)).astype(np.float32)
     w, b = np.zeros((size, len(langs)), np.float32), np.zeros(len(langs), np.float32)
     steps, k = epochs * len(seen), 0
     for _ in range(epochs):
         for i in rng.permutation(seen):
-            at, share = x[i]
+            at, share = _unpacked(x[i])
             mean = share @ e[at]
             z = mean @ w + b
             p = np.exp(z - z.max())
@@ -118,7 +135,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, size: int = 16, epochs: int
             e[at] -= np.float32(lr * rate * 0.2) * share[:, None] * back[None, :]
             k += 1
     product = e @ w
-    raw = np.stack([s @ product[a] + b for a, s in (x[i] for i in unseen)])
+    raw = np.stack([s @ product[a] + b for a, s in (_unpacked(x[i]) for i in unseen)])
 
     def loss(t: float) -> float:
         z = raw / t
@@ -128,9 +145,9 @@ def train(labelled: DataFrame, sample: int = SAMPLE, size: int = 16, epochs: int
     return Model(langs, product, b, min((0.25 * 1.15**k for k in range(30)), key=loss), reject)
 
 
-def with_language(docs: DataFrame, model: Model, text: str = "text", to: str = "language") -> DataFrame:
-    """Every row with a struct (lang_pred, score, rejected). The model's size is fixed by BITS and the number of languages."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def classifier(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """A text column's struct (lang_pred, score, rejected). The model's size is fixed by BITS and the number of languages."""
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def languages(texts: pd.Series) -> pd.DataFrame:
@@ -138,7 +155,17 @@ def with_language(docs: DataFrame, model: Model, text: str = "text", to: str = "
         found = [m.predict(x) for x in texts]
         return pd.DataFrame([(a, b, a == "und" or b < m.reject) for a, b in found], columns=["lang_pred", "score", "rejected"])
 
-    return docs.withColumn(to, languages(text))
+    return languages
+
+
+def with_language(docs: DataFrame, model: Model, text: str = "text", to: str = "language") -> DataFrame:
+    """Every row with a struct (lang_pred, score, rejected) of its whole text."""
+    return with_made(docs, text, to, classifier(docs.sparkSession, model))
+
+
+def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows whose language isn't rejected, with the columns they had."""
+    return kept_by(docs, text, classifier(docs.sparkSession, model), "NOT _made.rejected")
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -30,21 +30,17 @@ def op4_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def digests(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Ids and decoded bytes by their digests."""
-    return bpe.decode(encoded, path, pattern).select(
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+    return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("bytes", 256).alias("decoded_sha256"),
+        "decoded_sha256",
+        "n_bytes",
     )
 
 
-def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, pattern = public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN
-    return digests(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
-
-
 def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digests(spark, table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"

@@ -19,7 +19,8 @@ and at most 65 fingerprints share one point. This is exact too.
 Edge cases: a text that is null or has no word has fingerprint 0 and links as any other;
 repeated rows and ids each get their row; a null doc_id keeps its row, and its component
 is the smallest id among those reachable (null if there is none); empty tables give empty
-results; extra columns are ignored.
+results; extra columns stay where rows are returned whole and are ignored elsewhere, also
+with clashing names.
 """
 
 from __future__ import annotations
@@ -27,10 +28,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize, pick
+from .common import anonymous, column, materialize, pick, with_made
 from .components import connected_components
 
 #: Shingles whose bits are counted at once.
@@ -62,7 +64,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", to: str = "fp") -> Dat
     def simhashes(texts: pd.Series) -> pd.Series:
         return pd.Series([simhash(x) for x in texts], dtype="int64")
 
-    return docs.withColumn(to, simhashes(text))
+    return with_made(docs, text, to, simhashes)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -121,19 +123,28 @@ def near_duplicates(docs: DataFrame, bucket: int = 64) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row of each group of ``near_duplicates``: one whose doc_id is the component's.
+    """One row of each group of ``near_duplicates``, with the columns it had.
 
-    Where rows of different texts share a doc_id, fingerprints tell them apart, so that an id that stands for
-    several groups keeps a row of each. Rows without an id stay if their group has no id at all, one for each fingerprint.
+    Of a group, the row stays that is first in the order of doc_id (null last), fingerprint
+    and text; of rows that agree in all three, one of the least other columns. Where each id
+    has one row, ids alone tell which. Rows whose id is null or repeated are told apart by
+    their fingerprints, made again for them alone, so an id that stands for several groups
+    keeps a row of each and no group loses its only row.
     """
-    firsts = groups.filter("doc_id = component_id").groupBy("root").agg(F.min("doc_id").alias("_first"), F.min("fp").alias("_want"))
-    clashing = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg((F.min("fp") != F.max("fp")).alias("_clash")).filter("_clash").select(F.col("doc_id").alias("_first"))
-    single, several = firsts.join(clashing, "_first", "left_anti"), firsts.join(clashing, "_first", "left_semi")
-    named, on = docs.filter("doc_id IS NOT NULL"), F.col("doc_id") == F.col("_first")
-    kept = named.join(single, on, "left_semi").dropDuplicates(["doc_id"])
-    marked = with_fingerprint(named.join(several, on, "left_semi"), to="_fp")
-    kept = kept.unionByName(marked.join(several, on & (F.col("_fp") == F.col("_want")), "left_semi").dropDuplicates(["doc_id", "_fp"]).drop("_fp"))
-    unnamed = groups.filter("doc_id IS NULL AND component_id IS NULL").select("fp").distinct()
-    rows = docs.filter("doc_id IS NULL")
-    rows = with_fingerprint(rows, to="_fp").join(unnamed, F.col("_fp") == F.col("fp"), "left_semi").dropDuplicates(["_fp"]).drop("_fp")
-    return kept.unionByName(rows)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
+    firsts = groups.groupBy("root").agg(F.min(order).alias("f")).select("f.doc_id", "f.fp")
+    ids = groups.groupBy("doc_id").agg(F.count("*").alias("n"))
+    single, several = ids.filter("n = 1 AND doc_id IS NOT NULL").select("doc_id"), ids.filter("n > 1 OR doc_id IS NULL").select("doc_id")
+    rows, doc_id = anonymous(docs), column(docs, "doc_id")
+    named = lambda x: x.select(F.col("doc_id").alias("_want"), *[c for c in x.columns if c != "doc_id"])
+    if not several.limit(1).count():
+        return rows.join(named(firsts.select("doc_id")), doc_id == F.col("_want"), "left_semi").toDF(*docs.columns)
+    kept = rows.join(named(firsts.select("doc_id").join(single, "doc_id", "left_semi")), doc_id == F.col("_want"), "left_semi")
+    # Written before their fingerprints are made, so that no other row gets one again.
+    apart = materialize(rows.join(named(several), doc_id.eqNullSafe(F.col("_want")), "left_semi"), "repeated-ids")
+    marked = with_fingerprint(apart, f"_c{docs.columns.index('text')}", "_fp")
+    found = marked.join(named(firsts), doc_id.eqNullSafe(F.col("_want")) & (F.col("_fp") == F.col("fp")), "left_semi")
+    others = [F.col(f.name) if isinstance(f.dataType, T.AtomicType) else F.to_json(f.name) for f in rows.schema.fields]
+    first = F.row_number().over(Window.partitionBy(doc_id, "_fp").orderBy(column(docs, "text"), *others))
+    chosen = found.withColumn("_row", first).filter("_row = 1").drop("_row", "_fp")
+    return kept.unionByName(chosen).toDF(*docs.columns)

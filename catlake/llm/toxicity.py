@@ -8,27 +8,28 @@ factors for each learns additive and pairwise effects by the logistic loss.
 
 Edge cases: null, empty and letterless texts have no terms, and get the score of the
 machine's bias; without both labels every score is the share of toxic rows (0 if there are
-none); repeated rows, null ids (outside the held-out fold, never labelled), empty tables
-and extra columns are no matter. Very long texts are read in blocks; a word cut at a
-block's end counts in both parts.
+none); repeated rows are learned from once and each get their score; a null id is outside
+the held-out fold and never labelled; empty tables give empty results; extra columns stay
+where rows are returned whole and are ignored elsewhere, also with clashing names. Very
+long texts are read in blocks that end between words; a word longer than a block counts in
+each of its parts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .characters import letters
-from .common import fold, labelled_sample, materialize, pick
+from .characters import blocks, letters
+from .common import fold, labelled_sample, materialize, pick, with_made
 
 SAMPLE = 20_000
-_BLOCK = 1 << 20
 
 
 def _powers(n: int) -> np.ndarray:
@@ -41,9 +42,9 @@ _POWER = _powers(64)
 
 def terms(text: str | None) -> np.ndarray:
     """The different hashed terms, sorted."""
-    text, found = text or "", []
-    for k in range(0, len(text), _BLOCK):
-        c = letters(text[k : k + _BLOCK])
+    found = []
+    for block in blocks(text):
+        c = letters(block)
         gap = np.flatnonzero(c == 32)
         start = gap[:-1] + 1
         start = start[start < gap[1:]]
@@ -108,8 +109,8 @@ def select_terms(rows: DataFrame, total: int, toxic: int, most: int, least_docs:
     return np.sort(ranked.orderBy(F.desc("error"), "term").limit(most).toPandas()["term"].to_numpy().astype(np.int32))
 
 
-def train(labelled: DataFrame, most: int = 2048, rank: int = 8, epochs: int = 60, batch: int = 128, rate: float = 0.1, decay: float = 1e-4, seed: int = 5) -> Model:
-    """Fit on (doc_id, text, label), a bounded sample; terms are found and counted on the executors."""
+def train(labelled: DataFrame, sample: int = SAMPLE, most: int = 2048, rank: int = 8, epochs: int = 60, batch: int = 128, rate: float = 0.1, decay: float = 1e-4, seed: int = 5) -> Model:
+    """Fit on ``sample`` rows at most of (doc_id, text, label); terms are found and counted on the executors."""
     empty = np.zeros(0, np.int32)
 
     @F.pandas_udf("array<int>")
@@ -117,7 +118,8 @@ def train(labelled: DataFrame, most: int = 2048, rank: int = 8, epochs: int = 60
         return pd.Series([terms(x) for x in texts])
 
     # Written once: the terms are read three times, and making them costs most.
-    rows = materialize(labelled.select("doc_id", "label", hashed("text").alias("found")), "terms")
+    rows = labelled.select("doc_id", "label", F.xxhash64("text").alias("hash"), hashed("text").alias("found"))
+    rows = materialize(rows.dropDuplicates(["doc_id", "label", "hash"]), "terms")
     both = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     if both[1] in (0, both[0]):
         return Model(empty, 40.0 if both[1] else -40.0, np.zeros(0), np.zeros((0, rank)))
@@ -128,7 +130,7 @@ def train(labelled: DataFrame, most: int = 2048, rank: int = 8, epochs: int = 60
     def selected(found: pd.Series) -> pd.Series:
         return pd.Series([lookup.places(np.asarray(x)).astype(np.int32) for x in found])
 
-    data = rows.select("doc_id", "label", selected("found").alias("at")).limit(2 * SAMPLE).toPandas().sort_values(["doc_id", "label"])
+    data = rows.select("doc_id", "label", "hash", selected("found").alias("at")).orderBy(F.xxhash64("doc_id", "hash"), "doc_id", "hash", "label").limit(sample).toPandas()
     y = data["label"].to_numpy().astype(float)
     lists = [np.asarray(x, np.int64) for x in data["at"]]
     k, rng = len(chosen), np.random.default_rng(seed)
@@ -158,16 +160,21 @@ def train(labelled: DataFrame, most: int = 2048, rank: int = 8, epochs: int = 60
     return Model(chosen, b, w[:k], v[:k])
 
 
-def with_toxicity(docs: DataFrame, model: Model, text: str = "text", to: str = "toxicity") -> DataFrame:
-    """Every row with the score of its whole text; the model has a fixed size."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def scorer(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """A text column's score; the model has a fixed size."""
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def scores(texts: pd.Series) -> pd.Series:
         m = shared.value
         return pd.Series([m.score(x) for x in texts], dtype="float64")
 
-    return docs.withColumn(to, scores(text))
+    return scores
+
+
+def with_toxicity(docs: DataFrame, model: Model, text: str = "text", to: str = "toxicity") -> DataFrame:
+    """Every row with the score of its whole text."""
+    return with_made(docs, text, to, scorer(docs.sparkSession, model))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -180,4 +187,4 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0,
     """Learn labels outside the held-out fold and score every row: (doc_id, held_out, score, predicted)."""
     out = F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False))
     known = labelled_sample(docs, pick(labels, "doc_id", "toxic").filter(~out), "toxic", sample)
-    return score(docs, train(known)).select("doc_id", out.alias("held_out"), "score", "predicted")
+    return score(docs, train(known, sample)).select("doc_id", out.alias("held_out"), "score", "predicted")
