@@ -7,6 +7,16 @@
 5. encode: byte-level BPE ids of every row that is left, decoded again to check them.
 
 Each stage gets what the one before it has kept, written as Parquet and read again.
+
+Edge cases, alike for every stage: an empty table gives an empty one; columns beside those
+of ``documents`` stay as they are, whatever their names, up to the last stage, which has
+columns of its own; texts are read whole, however long. Null and empty texts are rejected
+by the first stage; later stages, given any, score them, group them (fingerprint 0), give
+them no copies (size 0), and encode them as no ids. A null id is an id like any other,
+and null is a source of its own. Of repeated rows the third stage keeps one; the fourth
+makes copies of each row by itself. Ties: equal scores share their decision; of a group
+the least (doc_id, fingerprint, text) stays; of one source and size, rows with the least
+hashes of their ids get the larger number of copies.
 """
 
 from __future__ import annotations
@@ -22,12 +32,12 @@ TOKENIZER = "byte_bpe_50k.tiktoken"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.with_language(docs, langid.train(docs), to="_language").filter("NOT _language.rejected").drop("_language")
+    return langid.accepted(docs, langid.train(docs))
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.train(quality.known_labels(docs, table(spark, sf_dir, "labels")))
-    return quality.with_quality(docs, model, to="_quality").filter("_quality >= 0.5").drop("_quality")
+    return quality.accepted(docs, model)
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,14 +45,13 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.apply_mix(docs, mixing.mix(docs))
+    return mixing.apply_mix(docs, mixing.shares(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256): ids of every row, and the digest of what they decode to."""
-    path, pattern = public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN
-    decoded = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("bytes", 256).alias("decoded_sha256"))
+    back = bpe.round_trip(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN)
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES = [("language", language), ("quality", quality_filter), ("dedup", dedup), ("mix", mix), ("encode", encode)]
