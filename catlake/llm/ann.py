@@ -1,44 +1,62 @@
 """Approximate nearest neighbours by robust-pruned directed graphs, one a shard.
 
-Index: the distinct vectors are dealt to shards by the hash of their ids; each shard's graph is
-built in one task, whose input is bounded by ``shard_rows`` on average. Vectors join
-the graph in batches: a greedy beam search over the graph so far proposes neighbours,
+Index: the distinct rows are dealt to shards by the hash of id and vector; each shard's
+graph is built in one task, whose input is bounded by ``shard_rows`` on average. Vectors
+join the graph in batches: a greedy beam search over the graph so far proposes neighbours,
 relaxed pruning keeps a candidate unless a nearer one that is kept lies ``alpha`` times
 nearer to it, and each kept edge is also offered to its end, which prunes again when full.
 
-Search: every query runs a beam search in every shard, in blocks of queries; the shards'
-best are merged. Largest inner product becomes smallest Euclidean distance by one added
-coordinate, sqrt(longest norm squared - own norm squared), so vectors of any length do.
+Search: a task reads a shard's graph once and then lets the queries pass, batch by batch;
+the shards' best are merged. Queries travel to every shard, graphs only once for each
+``slice_rows`` queries, which are there so that one task's work is bounded. Largest inner
+product becomes smallest Euclidean distance by one added coordinate, sqrt(longest norm
+squared - own norm squared), so vectors of any length do; for the distances vectors are
+scaled, so none overflows. Scores are made in double precision of the original vectors.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no
 part, neither as query nor as candidate; vectors of different lengths are never compared;
 equal vectors are one node that carries all their ids, and ties go to the smaller id; rows
 that repeat both id and vector count once, and a query's own id is never its candidate; of
-a query id with several vectors the least vector asks; fewer candidates than k give all of
-them; empty tables give empty results; extra columns are ignored.
+a query id with several vectors the least vector asks, and of a candidate id with several
+the best counts; fewer candidates than k give all of them; an inner product beyond what a
+double holds is infinite; empty tables give empty results; extra columns are ignored, also
+with clashing names.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialize, pick
 
-_NODE = "dim int, shard int, node int, ids array<long>, vector array<float>, links array<int>"
 _FOUND = "query_id long, vec_id long, score double"
 
 
+def _kind(vectors: DataFrame) -> str:
+    """The elements' type: float where the table has floats, which are exact as doubles, else double."""
+    element = getattr(vectors.schema["embedding"].dataType, "elementType", None)
+    return "float" if isinstance(element, T.FloatType) else "double"
+
+
+def _node_schema(kind: str) -> str:
+    return f"dim int, shard int, node int, ids array<long>, vector array<{kind}>, links array<int>"
+
+
 def valid_vectors(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding, dim) of the rows that take part."""
+    rows = pick(vectors, "vec_id", "embedding")
     e = F.col("embedding")
-    finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")).cast("float")))
-    rows = pick(vectors, "vec_id", "embedding").withColumn("embedding", e.cast("array<float>"))
-    return rows.filter(e.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(e, lambda x: x != 0)).withColumn("dim", F.size("embedding"))
+    rows = rows.withColumn("embedding", e.cast(f"array<{_kind(rows)}>"))
+    finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return rows.filter(F.col("vec_id").isNotNull() & e.isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists(e, lambda x: x != 0)).withColumn("dim", F.size("embedding"))
 
 
 def _beam(points, links, entry, queries, beam):
@@ -110,11 +128,16 @@ def _prune(points, p, candidates, degree, alpha):
     return np.asarray(kept, np.int32)
 
 
-def build_graph(vectors, degree: int = 32, beam: int = 64, alpha: float = 1.2, batch: int = 512):
-    """(points with the added coordinate, links): the graph over distinct vectors of one shard."""
-    v = np.asarray(vectors, np.float64)
+def _points(vectors: np.ndarray) -> np.ndarray:
+    """The vectors in one scale, with the coordinate that makes them all equally long."""
+    v = np.asarray(vectors, np.float64) / np.abs(vectors).max()
     norm = np.einsum("ij,ij->i", v, v)
-    points = np.concatenate([v, np.sqrt(np.maximum(norm.max() - norm, 0))[:, None]], 1)
+    return np.concatenate([v, np.sqrt(np.maximum(norm.max() - norm, 0))[:, None]], 1)
+
+
+def build_graph(vectors, degree: int = 64, beam: int = 96, alpha: float = 1.05, batch: int = 512):
+    """(points with the added coordinate, links): the graph over distinct vectors of one shard."""
+    points = _points(vectors)
     n = len(points)
     room = degree + degree // 2  # a node's list may grow this long before it is pruned again
     links = np.full((n, room), -1, np.int32)
@@ -150,11 +173,11 @@ def entries(n: int, most: int = 32) -> np.ndarray:
     return np.unique(np.linspace(0, n - 1, min(n, most)).astype(np.int32))
 
 
-def build_index(vectors: DataFrame, shard_rows: int = 16_384, min_shards: int = 8, degree: int = 32, beam: int = 64, alpha: float = 1.2) -> DataFrame:
+def build_index(vectors: DataFrame, shard_rows: int = 8192, min_shards: int = 8, degree: int = 64, beam: int = 96, alpha: float = 1.05) -> DataFrame:
     """The graphs as a table, one row a node: dim, shard, node, ids, vector, links. Every valid row is in it."""
-    rows = valid_vectors(vectors)
+    rows = valid_vectors(vectors).dropDuplicates()
     shards = max(min_shards, math.ceil(rows.count() / shard_rows))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(shards)).cast("int"))
 
     def graph(key, group):
         v, owner = np.unique(np.stack(group["embedding"].to_numpy()), axis=0, return_inverse=True)
@@ -162,53 +185,88 @@ def build_index(vectors: DataFrame, shard_rows: int = 16_384, min_shards: int =
         _, links = build_graph(v, degree, beam, alpha)
         return pd.DataFrame({
             "dim": key[0], "shard": key[1], "node": np.arange(len(v), dtype=np.int32), "ids": ids,
-            "vector": list(v.astype(np.float32)), "links": [x[x >= 0] for x in links],
+            "vector": list(v), "links": [x[x >= 0] for x in links],
         })
 
     # One partition a shard: shards are small in bytes and long in work, so they must not be coalesced.
-    return dealt.filter(F.col("vec_id").isNotNull()).repartition(shards, "dim", "shard").groupBy("dim", "shard").applyInPandas(graph, _NODE)
+    return dealt.repartition(shards, "dim", "shard").groupBy("dim", "shard").applyInPandas(graph, _node_schema(_kind(rows)))
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 20, beam: int = 160, block: int = 4096) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found for each query vector (vec_id, embedding)."""
-    asked = valid_vectors(queries).filter(F.col("vec_id").isNotNull()).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    asked = asked.withColumn("dim", F.size("embedding"))
-    blocks = max(1, math.ceil(asked.count() / block))
-    shards = index.select(F.col("dim").alias("dim"), F.col("shard").alias("shard")).distinct()
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit("block")), F.lit(blocks)).cast("int")).join(shards, "dim")
-    nodes = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def find(nodes, asked):
-        if not len(nodes) or not len(asked):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        nodes = nodes.sort_values("node")
-        v = np.stack(nodes["vector"].to_numpy()).astype(np.float64)
-        q = np.stack(asked["embedding"].to_numpy()).astype(np.float64)
-        own, ids = asked["vec_id"].to_numpy(), nodes["ids"].tolist()
-        links = np.full((len(v), max(1, max(map(len, nodes["links"])))), -1, np.int32)
-        for i, x in enumerate(nodes["links"]):
-            links[i, : len(x)] = x
-        norm = np.einsum("ij,ij->i", v, v)
-        points = np.concatenate([v, np.sqrt(np.maximum(norm.max() - norm, 0))[:, None]], 1)
-        wide = np.concatenate([q, np.zeros((len(q), 1))], 1)
-        out = []
-        for at in range(0, len(q), 256):
-            found, _ = _beam(points, links, entries(len(v)), wide[at : at + 256], beam)
-            for j, row in enumerate(found, at):
-                row = row[row >= 0]
-                score = np.einsum("ij,j->i", v[row], q[j])
-                taken = [(s, i) for r, s in zip(row.tolist(), score.tolist(), strict=True) for i in ids[r][: k + 1].tolist() if i != own[j]]
+class _Shard:
+    """The graph of one shard in memory: its nodes come first, and then it answers queries."""
+
+    def __init__(self) -> None:
+        self.parts: list[pa.RecordBatch] = []
+        self.points = None
+
+    def ready(self) -> None:
+        nodes = pa.Table.from_batches(self.parts).combine_chunks().sort_by("node")
+        self.parts = []
+        rows = lambda name: nodes[name].combine_chunks()
+        self.vectors = rows("vector").flatten().to_numpy().reshape(len(nodes), -1).astype(np.float64)
+        self.ids, self.at = rows("ids").flatten().to_numpy(), np.append(0, np.cumsum(rows("ids").value_lengths().to_numpy()))
+        many, flat = rows("links").value_lengths().to_numpy(), rows("links").flatten().to_numpy()
+        self.links = np.full((len(nodes), max(1, int(many.max()))), -1, np.int32)
+        self.links[np.repeat(np.arange(len(nodes)), many), np.arange(len(flat)) - np.repeat(np.cumsum(many) - many, many)] = flat
+        self.points = _points(self.vectors)
+
+    def answer(self, own: np.ndarray, asked: np.ndarray, k: int, beam: int) -> pa.RecordBatch:
+        out: list[tuple] = []
+        wide = np.concatenate([asked / np.abs(asked).max(1, keepdims=True), np.zeros((len(asked), 1))], 1)
+        for i in range(0, len(asked), 256):
+            found, _ = _beam(self.points, self.links, entries(len(self.points)), wide[i : i + 256], beam)
+            for j, nodes in enumerate(found, i):
+                nodes = nodes[nodes >= 0]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    score = np.einsum("ij,j->i", self.vectors[nodes], asked[j])
+                # Of equal vectors only the k + 1 smallest ids can be among the k nearest others.
+                taken = [(s, x) for n, s in zip(nodes.tolist(), score.tolist(), strict=True) for x in self.ids[self.at[n] : min(self.at[n + 1], self.at[n] + k + 1)].tolist() if x != own[j]]
                 taken.sort(key=lambda x: (-x[0], x[1]))
-                out += [(own[j], i, s) for s, i in taken[:k]]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                out += [(own[j], x, s) for s, x in taken[:k]]
+        query, vec, score = zip(*out, strict=True) if out else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(vec, pa.int64()), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
+
+
+def search(index: DataFrame, queries: DataFrame, k: int = 20, beam: int = 256, slice_rows: int = 1 << 17) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found for each query vector (vec_id, embedding)."""
+    kind = index.schema["vector"].dataType.simpleString()
+    asked = valid_vectors(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    slices = max(1, math.ceil(asked.count() / slice_rows))
+    shards = index.groupBy(F.col("dim").alias("of"), "shard").agg(F.lit(1).alias("one"))
+    asked = asked.join(shards, F.size("embedding") == F.col("of")).select(
+        F.col("of").alias("dim"), "shard", F.pmod(F.xxhash64("vec_id", F.lit("slice")), F.lit(slices)).cast("int").alias("slice"), F.lit(None).cast("int").alias("node"),
+        F.array("vec_id").alias("ids"), F.col("embedding").cast(kind).alias("vector"), F.lit(None).cast("array<int>").alias("links"),
+    )
+    nodes = index.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    # A graph's nodes come before its queries; groups that meet in one partition come one after another.
+    key = ["dim", "shard", "slice"]
+    mixed = nodes.select(*asked.columns).unionByName(asked).repartition(max(1, shards.count() * slices), *key).sortWithinPartitions(*key, F.col("node").isNull())
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, shard = None, None
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy() for i in range(3)] + [batch.column(3).is_null().to_numpy(zero_copy_only=False).astype(np.int32)], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for a, b in zip(cuts, cuts[1:]):
+                if b == a:
+                    continue
+                part, (*group, is_query) = batch.slice(a, b - a), keys[a].tolist()
+                if group != now:
+                    now, shard = group, _Shard()
+                if not is_query:
+                    shard.parts.append(part)
+                    continue
+                if shard.points is None:
+                    shard.ready()
+                vectors = part.column(5).flatten().to_numpy().reshape(b - a, -1).astype(np.float64)
+                yield shard.answer(part.column(4).flatten().to_numpy(), vectors, k, beam)
 
-    key = ["dim", "shard", "block"]
-    found = nodes.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(find, _FOUND)
+    found = mixed.mapInArrow(find, _FOUND)
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int = 160) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int = 256) -> DataFrame:
     """Build the index over ``vectors``, write it to the shared folder, and search it for ``queries``."""
     return search(materialize(build_index(vectors), "graphs"), queries, k, beam)

@@ -208,7 +208,7 @@ def test_neighbours(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(1200, 24)) * rng.uniform(0.5, 2, (1200, 1))
     v[100:140] = v[100]
-    rows = [(i, [float(x) for x in np.float32(r)], 0) for i, r in enumerate(v)] + [(2000, None, 0), (2020, [0.0] * 24, 0), (2040, [float("nan")] * 24, 0), (2060, [1.0, None], 0), (40, [1.0, 2.0], 0)]
+    rows = [(i, [float(x) for x in np.float32(r)], 0) for i, r in enumerate(v)] + [(2000, None, 0), (2020, [0.0] * 24, 0), (2040, [float("nan")] * 24, 0), (2060, [1.0, None], 0), (40, [1.0, 2.0], 0), (7, [float(x) for x in np.float32(v[7])], 0)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("dim", F.lit("extra"))
     found = ann.nearest(table, table.filter("vec_id % 20 = 0 AND vec_id <> 40"), 20).toPandas()
     w, hit = np.float32(v).astype(float), 0
@@ -219,11 +219,35 @@ def test_neighbours(spark):
         best = np.lexsort((np.arange(1200), -s))[:20]
         part = part.sort_values("rank")
         hit += len(set(best) & set(part["vec_id"]))
-        assert np.allclose(part["score"], s[part["vec_id"]]) and list(part["rank"]) == list(range(1, 21))
+        assert np.allclose(part["score"], s[part["vec_id"]], rtol=1e-12) and list(part["rank"]) == list(range(1, 21))
+        if 100 <= q < 140:  # forty equal vectors tie at every rank: the smaller ids come first
+            assert list(part["vec_id"]) == [x for x in range(100, 140) if x != q][:20]
     assert hit / (20 * found["query_id"].nunique()) >= 0.97
     assert ann.nearest(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_neighbours_in_double_precision(spark):
+    rows = [(0, [0.3, 0.7]), (1, [1.0, 0.1]), (2, [1e-60, 1e200]), (3, [-0.2, 0.1]), (20, [0.3, 0.7])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {(r["query_id"], r["vec_id"]): (r["rank"], r["score"]) for r in ann.nearest(table, table.filter("vec_id % 20 = 0")).collect()}
+    assert found[0, 1] == (3, 0.3 * 1.0 + 0.7 * 0.1) and found[0, 2] == (1, 0.7e200) and found[20, 0] == (2, 0.3 * 0.3 + 0.7 * 0.7)
+    assert len(found) == 8
+
+
+@pytest.mark.parametrize("spread", [0.3, None])
+def test_recall_on_one_full_shard(spread):
+    """As many vectors as a shard has on average, clustered and without any structure."""
+    rng, n = np.random.default_rng(0), 8192
+    v = rng.normal(size=(n, 64)) if spread is None else rng.normal(size=(64, 64))[rng.integers(64, size=n)] + spread * rng.normal(size=(n, 64))
+    points, links = ann.build_graph(v)
+    asked = v[:200]
+    found, _ = ann._beam(points, links, ann.entries(n), np.concatenate([asked, np.zeros((200, 1))], 1), 256)
+    true = np.argsort(-(asked @ v.T), 1)[:, :20]
+    exact = np.einsum("qbj,qj->qb", v[found], asked)
+    best = np.take_along_axis(found, np.argsort(-exact, 1)[:, :20], 1)
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(true, best, strict=True)]) / 20 >= 0.94
+
+
 def test_classifiers_on_odd_rows(spark, odd, empty, labels):
     rows = langid.identify(odd).collect()
     assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 for r in rows)
