@@ -1,14 +1,18 @@
 """WARC archives with a two-level capture index.
 
-Writing: each task writes one archive (a gzip member a record), under a name given by its
-partition and moved into place when whole, so a repeated task leaves the same file. Of
-records with equal payloads the one with the largest page_id is a response; the others
-are revisits that refer to it and hold headers only.
+Writing: each task writes archives (a gzip member a record) under names of its partition
+and attempt, and names them in its captures, so of a task that runs twice only the files
+of the attempt that Spark commits are ever read. Of records with equal payloads the one
+with the largest page_id is a response; the others are revisits that refer to it and hold
+headers only.
 
 Index: one line a capture, sorted by the key of its URL with the host reversed, packed
-into compressed blocks; the sparse directory has the first and last key of each block.
-A lookup searches the directory by bisection, reads one range of the index file for each
-block, and then one range of the archive for each capture.
+into compressed blocks; each file of blocks ends with its sparse directory, the first and
+last key and the place of each block. The table of files, one row a partition like the
+bounds that Spark's own range partitioning keeps in the driver, has the first and last key
+and the directory's place of each. A lookup bisects the files, then in each file's
+directory the blocks, reads one range of the file for each block, and then one range of
+the archive for each capture. It is the same for one URL and for all.
 
 Files are read and written through pyarrow's file systems, so the folder can be any URI
 they know (file, s3, gs, hdfs); it has to be one that all executors share.
@@ -38,25 +42,28 @@ from pyspark.sql import functions as F
 from .common import materialize, pick, scratch
 
 _CAPTURE = "key string, page string, file string, offset long, length long"
-_BLOCK = "first string, last string, path string, offset long, length long, captures long"
+_FILE = "first string, last string, path string, offset long, length long, blocks long, captures long"
 _RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, url string"
 _URI = "urn:page:"
 
 
 @dataclass(frozen=True)
 class Archive:
-    """Where an archive lies: folder, its captures (one row each, unsorted) and the block directory."""
+    """Where an archive lies: folder, its captures (one row each, unsorted) and the index files."""
 
     folder: str
     captures: DataFrame
-    directory: DataFrame
+    files: DataFrame
 
 
 def url_key(url: Column) -> Column:
-    """The host reversed and lower-cased, then port, path and query: ``com,example,www)/a?b``."""
+    """The host reversed and lower-cased, then port, path and query: ``com,example,www)/a?b``; tabs and line breaks are escaped."""
     parts = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)(.*)$"
     host = F.array_join(F.reverse(F.split(F.lower(F.regexp_extract(url, parts, 1)), r"\.")), ",")
-    return F.coalesce(F.when(url.rlike(parts), F.concat(host, F.lit(")"), F.regexp_extract(url, parts, 2))).otherwise(url), F.lit("-"))
+    key = F.coalesce(F.when(url.rlike(parts), F.concat(host, F.lit(")"), F.regexp_extract(url, parts, 2))).otherwise(url), F.lit("-"))
+    for sign, escaped in (("\t", "%09"), ("\n", "%0A"), ("\r", "%0D")):
+        key = F.replace(key, F.lit(sign), F.lit(escaped))
+    return key
 
 
 def with_representatives(pages: DataFrame) -> DataFrame:
@@ -120,10 +127,9 @@ class _Out:
 
     def __init__(self, folder: str, name: str) -> None:
         self.fs, base = pa.fs.FileSystem.from_uri(folder)
-        task = TaskContext.get()
-        self.path, self.part = f"{base}/{name}", f"{base}/.{name}.{task.taskAttemptId() if task else 0}"
+        self.path, self.part = f"{base}/{name}", f"{base}/.{name}"
         self.fs.create_dir(base, recursive=True)
-        self.to, self.at = self.fs.open_output_stream(self.part), 0
+        self.to, self.at = self.fs.open_output_stream(self.part, compression=None), 0
 
     def write(self, data: bytes) -> int:
         at = self.at
@@ -136,6 +142,12 @@ class _Out:
         self.fs.move(self.part, self.path)
 
 
+def _task() -> str:
+    """A name for what this attempt of this task writes, which no other attempt has."""
+    task = TaskContext.get()
+    return f"{task.partitionId():06d}-{task.taskAttemptId()}"
+
+
 def _uri(folder: str) -> str:
     return folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
 
@@ -159,11 +171,11 @@ def write_archive(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:0
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def captures() -> Iterator[dict]:
-            out, files, number = None, 0, TaskContext.get().partitionId()
+            out, files, task = None, 0, _task()
             for b in batches:
                 for key, page, url, html, refers in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
                     if out is None:
-                        out, files = _Out(f"{folder}/archive", name := f"{number:06d}-{files:04d}.warc.gz"), files + 1
+                        out, files = _Out(f"{folder}/archive", name := f"{task}-{files:04d}.warc.gz"), files + 1
                     page = "-" if page is None else str(page)
                     member = record(page, url or "-", html.encode("utf-8", "surrogatepass"), refers, date)
                     yield {"key": key, "page": page, "file": name, "offset": out.write(member), "length": len(member)}
@@ -179,41 +191,51 @@ def write_archive(pages: DataFrame, folder: str, date: str = "2024-01-01T00:00:0
     captures = materialize(rows.mapInArrow(write, _CAPTURE), "captures")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def blocks() -> Iterator[dict]:
-            out, lines = None, []
-            name = f"{TaskContext.get().partitionId():06d}.idx"
+        def files() -> Iterator[dict]:
+            out, lines, blocks, count = None, [], [], 0
+            name = f"{_task()}.idx"
+
+            def packed(rows: list[list[str]]) -> bytes:
+                return zlib.compress("\n".join("\t".join(x) for x in rows).encode("utf-8", "surrogatepass"), 6)
 
-            def full() -> dict:
-                data = zlib.compress("\n".join("\t".join(x) for x in lines).encode("utf-8", "surrogatepass"), 6)
-                return {"first": lines[0][0], "last": lines[-1][0], "path": name, "offset": out.write(data), "length": len(data), "captures": len(lines)}
+            def full() -> None:
+                data = packed(lines)
+                blocks.append([lines[0][0], lines[-1][0], str(out.write(data)), str(len(data))])
+                lines.clear()
 
             for b in batches:
                 for x in zip(*[b.column(i).to_pylist() for i in range(5)], strict=True):
                     out = out or _Out(f"{folder}/index", name)
-                    lines.append([x[0].replace("\t", "%09").replace("\n", "%0A").replace("\r", "%0D"), *map(str, x[1:])])
+                    lines.append(list(map(str, x)))
+                    count += 1
                     if len(lines) == block:
-                        yield full()
-                        lines.clear()
-            if lines:
-                yield full()
+                        full()
             if out is not None:
+                if lines:
+                    full()
+                directory = packed(blocks)
+                at = out.write(directory)
                 out.close()
+                yield {"first": blocks[0][0], "last": blocks[-1][1], "path": name, "offset": at, "length": len(directory), "blocks": len(blocks), "captures": count}
 
-        return _batches(blocks(), _BLOCK)
+        return _batches(files(), _FILE)
 
     ordered = captures.repartitionByRange("key", "file", "offset").sortWithinPartitions("key", "file", "offset")
-    return Archive(folder, captures, materialize(ordered.mapInArrow(pack, _BLOCK), "directory"))
+    return Archive(folder, captures, materialize(ordered.mapInArrow(pack, _FILE), "index-files"))
 
 
-def _lines(fs, path: str, offset: int, length: int) -> list[list[str]]:
-    with fs.open_input_file(path) as f:
-        f.seek(offset)
-        data = zlib.decompress(f.read(length)).decode("utf-8", "surrogatepass")
-    return [x.split("\t") for x in data.split("\n")]
+def _lines(f, offset: int, length: int) -> list[list[str]]:
+    f.seek(offset)
+    return [x.split("\t") for x in zlib.decompress(f.read(length)).decode("utf-8", "surrogatepass").split("\n")]
+
+
+def _capture(line: list[str]) -> dict:
+    key, page, file, offset, length = line
+    return {"key": key, "page": page, "file": file, "offset": int(offset), "length": int(length)}
 
 
 def index_captures(archive: Archive) -> DataFrame:
-    """Every capture, read from the blocks that the directory names."""
+    """Every capture, read from the blocks of every index file."""
     folder = archive.folder
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,15 +244,70 @@ def index_captures(archive: Archive) -> DataFrame:
         def captures() -> Iterator[dict]:
             for b in batches:
                 for x in b.to_pylist():
-                    for key, page, file, offset, length in _lines(fs, f"{base}/{x['path']}", x["offset"], x["length"]):
-                        yield {"key": key, "page": page, "file": file, "offset": int(offset), "length": int(length)}
+                    with fs.open_input_file(f"{base}/{x['path']}") as f:
+                        for _, _, at, size in _lines(f, x["offset"], x["length"]):
+                            yield from map(_capture, _lines(f, int(at), int(size)))
 
         return _batches(captures(), _CAPTURE, 4096)
 
-    return archive.directory.repartition("path", "offset").mapInArrow(read, _CAPTURE)
+    return archive.files.repartition(F.col("path")).mapInArrow(read, _CAPTURE)
+
 
+def lookup(archive: Archive, urls: DataFrame) -> DataFrame:
+    """The captures of the URLs in column ``url``, each once, by bisection of the index and range reads."""
+    folder, spark = archive.folder, archive.files.sparkSession
+    files = sorted(map(tuple, archive.files.select("first", "last", "path", "offset", "length").collect()))  # one row a partition
+    shared = spark.sparkContext.broadcast(files)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = shared.value
+        lasts = [x[1] for x in files]
+
+        def places() -> Iterator[dict]:
+            for b in batches:
+                for key in b.column(0).to_pylist():
+                    k = bisect_left(lasts, key)
+                    while k < len(files) and files[k][0] <= key:
+                        yield {"number": k, "key": key}
+                        k += 1
 
-def read_records(archive: Archive, captures: DataFrame, payload: bool = True) -> DataFrame:
+        return _batches(places(), "number long, key string", 4096)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pa.fs.FileSystem.from_uri(f"{folder}/index")
+        files = shared.value
+
+        def captures() -> Iterator[dict]:
+            number, f, read, lines = None, None, None, []
+            for b in batches:
+                for n, key in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                    if n != number:
+                        if f is not None:
+                            f.close()
+                        number, read = n, None
+                        f = fs.open_input_file(f"{base}/{files[n][2]}")
+                        blocks = _lines(f, *files[n][3:])
+                        lasts = [x[1] for x in blocks]
+                    k = bisect_left(lasts, key)
+                    while k < len(blocks) and blocks[k][0] <= key:
+                        if read != k:  # keys come in order, so a block is read once for all of its keys
+                            read, lines = k, _lines(f, int(blocks[k][2]), int(blocks[k][3]))
+                        i = bisect_left(lines, key, key=lambda x: x[0])
+                        while i < len(lines) and lines[i][0] == key:
+                            yield _capture(lines[i])
+                            i += 1
+                        k += 1
+            if f is not None:
+                f.close()
+
+        return _batches(captures(), _CAPTURE, 4096)
+
+    keys = pick(urls, "url").select(url_key(F.col("url")).alias("key")).distinct()
+    placed = keys.mapInArrow(place, "number long, key string")
+    return placed.repartitionByRange("number", "key").sortWithinPartitions("number", "key").mapInArrow(find, _CAPTURE)
+
+
+def read_records(archive: Archive, captures: DataFrame, payload: bool = True, part_bytes: int = 1 << 27) -> DataFrame:
     """The records at the captures' ranges; neighbours in one archive are read by one task in order."""
     folder = archive.folder
 
@@ -252,43 +329,14 @@ def read_records(archive: Archive, captures: DataFrame, payload: bool = True) ->
 
         return _batches(records(), _RECORD)
 
-    places = captures.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    # By the bytes that are to be read, as the rows that name them are tiny.
+    written = archive.captures.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    parts = max(captures.sparkSession.sparkContext.defaultParallelism, -(-written // part_bytes))
+    places = captures.select("file", "offset", "length").repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
     return places.mapInArrow(read, _RECORD)
 
 
-def lookup(archive: Archive, urls: DataFrame, most_blocks: int = 200_000) -> DataFrame:
-    """The captures of the URLs in column ``url``, by bisection in the directory and range reads.
-
-    The directory is sparse (one row a block); up to ``most_blocks`` rows it is sent to
-    the tasks, beyond that its blocks are all read and joined with the keys.
-    """
-    folder = archive.folder
-    keys = urls.select(url_key(F.col("url")).alias("key")).distinct()
-    if archive.directory.count() > most_blocks:
-        return index_captures(archive).join(keys, "key", "left_semi")
-    blocks = sorted(map(tuple, archive.directory.select("last", "first", "path", "offset", "length").collect()))
-    lasts = [b[0] for b in blocks]
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pa.fs.FileSystem.from_uri(f"{folder}/index")
-
-        def captures() -> Iterator[dict]:
-            for b in batches:
-                for key in b.column(0).to_pylist():
-                    k = bisect_left(lasts, key)
-                    while k < len(blocks) and blocks[k][1] <= key:
-                        _, _, path, at, size = blocks[k]
-                        for name, page, file, offset, length in _lines(fs, f"{base}/{path}", at, size):
-                            if name == key:
-                                yield {"key": name, "page": page, "file": file, "offset": int(offset), "length": int(length)}
-                        k += 1
-
-        return _batches(captures(), _CAPTURE)
-
-    return keys.mapInArrow(find, _CAPTURE)
-
-
 def archive_digests(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Write the pages as an archive in the shared folder and read every record back by its index."""
+    """Write the pages as an archive in the shared folder, look their URLs up in its index and read the records back."""
     archive = write_archive(pages, scratch(spark, "warc"))
-    return read_records(archive, index_captures(archive), payload=False).drop("payload")
+    return read_records(archive, lookup(archive, pages), payload=False).drop("payload")

@@ -132,16 +132,23 @@ def test_bpe(spark, odd):
 
 
 def test_warc(spark, tmp_path):
-    data = [(1, "http://b.example.org/x", "<p>é"), (2, "http://a.example.org/", "<p>é"), (3, None, None), (4, "odd\turl", ""), (5, "http://a.example.org/", "z" * 200_000), (None, "http://c.org/q", "<p>é"), (5, "http://a.example.org/", "z" * 200_000)]
+    data = [(1, "http://b.example.org/x", "<p>é"), (0, "http://b.example.org/x", "<p>é"), (2, "http://a.example.org/", "<p>é"), (3, None, None), (4, "odd\turl", ""), (5, "http://a.example.org/", "z" * 200_000), (None, "http://c.org/q", "<p>é"), (5, "http://a.example.org/", "z" * 200_000)]
     pages = spark.createDataFrame(data, "page_id long, url string, html string").withColumn("sha", F.lit("extra"))
     archive = warc.write_archive(pages, str(tmp_path / "w"), block=2)
     rows = warc.read_records(archive, warc.index_captures(archive)).collect()
     got = collections.Counter((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in rows)
     n = len("<p>é".encode())
-    assert got == collections.Counter([(2, "response", None, n), (1, "revisit", 2, n), (None, "revisit", 2, n), (4, "response", None, 0), (3, "revisit", 4, 0), (5, "response", None, 200_000), (5, "response", None, 200_000)])
+    assert got == collections.Counter([(2, "response", None, n), (1, "revisit", 2, n), (0, "revisit", 2, n), (None, "revisit", 2, n), (4, "response", None, 0), (3, "revisit", 4, 0), (5, "response", None, 200_000), (5, "response", None, 200_000)])
     assert {bytes(r["payload"]) for r in rows if r["page_id"] == 2} == {"<p>é".encode()}
     found = warc.lookup(archive, spark.createDataFrame([("http://A.example.org/",), ("http://none.org/",)], "url string"))
     assert sorted(r["page"] for r in found.collect()) == ["2", "5", "5"]
+    every = warc.lookup(archive, pages)  # tabs, nulls and keys that fill several blocks among them
+    assert sorted(map(tuple, every.collect())) == sorted(map(tuple, warc.index_captures(archive).collect()))
+    assert every.count() == len(data) and archive.files.agg(F.sum("blocks")).first()[0] >= 4
+    # Of two attempts of one task, the captures name the files of one only.
+    again = warc.write_archive(pages, str(tmp_path / "w"), block=2)
+    assert not {r["file"] for r in again.captures.collect()} & {r["file"] for r in archive.captures.collect()}
+    assert warc.read_records(archive, warc.lookup(archive, pages)).count() == len(data)
     none = warc.write_archive(pages.limit(0), str(tmp_path / "e"))
     assert warc.read_records(none, warc.index_captures(none)).count() == 0
 
