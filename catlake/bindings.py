@@ -76,6 +76,18 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def matchable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, customer, title, start_at with a time of day, place_id, venue (null for every fourth), status): orders as events and candidates."""
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    minutes = F.make_dt_interval(mins=(F.col("o_orderkey") * 37 % 1440).cast("int"))
+    return orders.join(customer, orders["o_custkey"] == customer["c_custkey"]).select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer"), F.concat_ws(" ", "o_orderpriority", "c_mktsegment").alias("title"),
+        (F.col("o_orderdate").cast("timestamp") + minutes).alias("start_at"), F.col("c_nationkey").alias("place_id"),
+        F.when(F.col("o_orderkey") % 4 != 0, F.col("c_mktsegment")).alias("venue"),
+        F.when(F.col("o_orderstatus") == "F", "published").when(F.col("o_orderstatus") == "O", "draft").otherwise("archived").alias("status"),
+    )
+
+
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, title, lang, source, title_key): the first forty characters of each document, to be matched in blocks of language and beginning."""
     docs = table(spark, sf_dir, "documents")

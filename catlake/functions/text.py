@@ -140,6 +140,11 @@ def similarity_of(a: Column, b: Column) -> Column:
 
     @F.pandas_udf("double")
     def similarities(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([similarity(x, y) for x, y in zip(left, right, strict=True)], dtype="float64")
+        # Records of one block share titles and venues, so a batch scores each different pair once.
+        known: dict[tuple, float | None] = {}
+        for pair in zip(left, right, strict=True):
+            if pair not in known:
+                known[pair] = similarity(*pair)
+        return pd.Series([known[pair] for pair in zip(left, right, strict=True)], dtype="float64")
 
     return similarities(a, b)

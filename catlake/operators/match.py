@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import similarity_of
+from ..functions.text import fold, similarity_of
+from .merge import merge_by_key
 
 #: Bands and weights; fixed values.
 AUTO, REVIEW = 0.92, 0.75
@@ -60,6 +61,62 @@ def match_candidates(candidates: DataFrame, records: DataFrame, block: list[str]
     return best.select("c_id", "r_id", F.round("title_similarity", 6).alias("title_similarity"), "score", decision(F.col("score")).alias("decision"))
 
 
+def event_pairs(candidates: DataFrame, events: DataFrame) -> DataFrame:
+    """Candidates beside the events of their block, the day of the start and the place, with the parts of the score.
+
+    Both sides have id, title, start_at, place_id and venue. A null day or place pairs with nothing.
+    Returns c_id, r_id, title, time, venue (null unless both have one) and score.
+    """
+    block = ["day", "place_id"]
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        venue = F.nullif(F.trim("venue"), F.lit(""))
+        return rows.select("id", F.to_date("start_at").alias("day"), "place_id", "start_at", F.coalesce(fold(F.col("title")), F.lit("")).alias("title"), fold(venue).alias("venue"))
+
+    pairs = salted_pairs(keyed(candidates), keyed(events), block)
+    parts = pairs.select(
+        "c_id", "r_id",
+        similarity_of(F.col("c_title"), F.col("r_title")).alias("title"),
+        time_similarity(F.col("c_start_at"), F.col("r_start_at")).alias("time"),
+        similarity_of(F.col("c_venue"), F.col("r_venue")).alias("venue"),
+    )
+    return parts.withColumn("score", match_score(F.col("title"), F.col("time"), F.col("venue")))
+
+
+def match_events(candidates: DataFrame, events: DataFrame) -> DataFrame:
+    """(c_id, r_id, score, decision, title, time, venue): the best event of each candidate that has any in its block, and what its score is made of."""
+    parts = ["r_id", "score", "title", "time", "venue"]
+    best = event_pairs(candidates, events).groupBy("c_id").agg(F.min_by(F.struct(*parts), F.struct(-F.col("score"), "r_id")).alias("_r")).select("c_id", "_r.*")
+    rounded = [F.round(c, 4).alias(c) for c in ("title", "time", "venue")]
+    return best.select("c_id", "r_id", "score", decision(F.col("score")).alias("decision"), *rounded)
+
+
+def store_matches(matches: DataFrame, candidates: DataFrame, links: DataFrame, reviews: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables after the matches have been applied: (links, reviews, candidates); none creates an event.
+
+    links (event_id, url, source_id, first_seen, last_seen): an automatic match adds its candidate's source, or
+    moves last_seen; a known source and first_seen stay. reviews (candidate_id, event_id, score, state, created): a
+    doubtful match adds a pending row, or renews the score of one that is there. candidates (id, source_id, url,
+    state, event_id): an automatic match is imported with its event, a doubtful one needs verification.
+    """
+    own = matches.join(candidates.select(F.col("id").alias("c_id"), "source_id", "url"), "c_id")
+    merged = own.filter("decision = 'auto-merge'").groupBy(F.col("r_id").alias("event_id"), "url").agg(F.min("source_id").alias("source_id"))
+    new = merged.withColumns({"first_seen": now, "last_seen": now})
+    links = merge_by_key(links, new, ["event_id", "url"], {"source_id": "coalesce_old_new", "first_seen": "old", "last_seen": "new"}).drop("outcome")
+    doubtful = matches.filter("decision = 'review'").select(F.col("c_id").alias("candidate_id"), F.col("r_id").alias("event_id"), "score", F.lit("pending").alias("state"), now.alias("created"))
+    reviews = merge_by_key(reviews, doubtful, ["candidate_id", "event_id"], {"score": "new", "state": "old", "created": "old"}).drop("outcome")
+    decided = matches.filter("decision <> 'separate'").select(F.col("c_id").alias("id"), F.when(F.col("decision") == "auto-merge", "imported").otherwise("needs-verification").alias("state"), F.when(F.col("decision") == "auto-merge", F.col("r_id")).alias("event_id"))
+    candidates = merge_by_key(candidates, decided.join(candidates.select("id"), "id", "left_semi"), ["id"], {"source_id": F.col("o.source_id"), "url": F.col("o.url"), "state": "new", "event_id": "coalesce_new_old"}).drop("outcome")
+    return links, reviews, candidates
+
+
+def calibration(pairs: DataFrame) -> DataFrame:
+    """(same, decision, n, wrong) of scored pairs whose truth ``same`` is known: positives below the automatic band and negatives above the lowest are wrong."""
+    made = pairs.withColumn("decision", decision(F.col("score")))
+    wrong = F.when(F.col("same"), F.col("decision") != "auto-merge").otherwise(F.col("decision") != "separate")
+    return made.groupBy("same", "decision").agg(F.count("*").alias("n")).withColumn("wrong", wrong)
+
+
 def title_members(rows: DataFrame, block: list[str]) -> DataFrame:
     """(id, representative): each row with the row that stands for its title in ``distinct_titles``."""
     return _spread(rows, distinct_titles(rows, block).select(*block, "title_key", F.col("id").alias("representative")), [*block, "title_key"]).select("id", "representative")
@@ -99,7 +156,7 @@ def merge_copies(copies: DataFrame, key: str, week: str, fields: list[str]) -> D
 
 def identity_conflicts(copies: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Keys whose copies differ, and in which fields; nulls are values."""
-    differs = [F.when(F.count_distinct(F.struct(F.col(f))) > 1, F.lit(f)) for f in fields]
+    differs = [F.when((F.min(f) != F.max(f)) | ((F.count(f) > 0) & (F.count(f) < F.count("*"))), F.lit(f)) for f in fields]
     return copies.groupBy(key).agg(F.array_join(F.array_compact(F.array(*differs)), ",").alias("fields")).filter("fields <> ''")
 
 

@@ -23,8 +23,8 @@ def first_occurrence(rows: DataFrame, key: str, *order: str) -> DataFrame:
 
 def best_match(pairs: DataFrame, key: str, score: str, other: str) -> DataFrame:
     """The pair with the highest score of each key; ties go to the smaller partner."""
-    order = Window.partitionBy(key).orderBy(F.desc(score), other)
-    return pairs.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    rest = [c for c in pairs.columns if c != key]
+    return pairs.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(-F.col(score), other)).alias("_r")).select(key, "_r.*").select(*pairs.columns)
 
 
 def default_week(rows: DataFrame, key: str, today: Column) -> DataFrame:

@@ -54,11 +54,22 @@ def block_pairs_all(spark, sf_dir):
 
 
 @query()
-def jaro_winkler(spark, sf_dir):
+def jaro_winkler_lines(spark, sf_dir):
     pairs = m.salted_pairs(*_lines(spark, sf_dir), _WHOLE)
     return pairs.select("c_id", "r_id", F.round(similarity_of(F.col("c_title_key"), F.col("r_title_key")), 6).alias("similarity"))
 
 
+def _events(spark, sf_dir):
+    """Drafts as candidates, published orders as events."""
+    rows = b.matchable(spark, sf_dir)
+    return rows.filter("status = 'draft'"), rows.filter("status = 'published'")
+
+
+@query("SELECT c_id, r_id, round(title, 6) AS similarity FROM scored", "scored")
+def jaro_winkler(spark, sf_dir):
+    return m.event_pairs(*_events(spark, sf_dir)).select("c_id", "r_id", F.round("title", 6).alias("similarity"))
+
+
 @query("SELECT event_id AS id, round(greatest(0.0, 1 - abs(extract(hour FROM ts) * 60 + extract(minute FROM ts) - 720) / 180.0), 4) AS similarity FROM events")
 def time_similarity(spark, sf_dir):
     noon = F.lit("2024-01-01 12:00:00").cast("timestamp")
@@ -86,33 +97,74 @@ def best_match(spark, sf_dir):
     return best(rows, "c_id", "score", "r_id").select("c_id", "r_id")
 
 
-def _matches(spark, sf_dir):
+def _line_matches(spark, sf_dir):
     """The decision for every candidate; equal titles are scored once and share it."""
     return m.expand_matches(m.match_candidates(*_lines(spark, sf_dir), _WHOLE), _rows(spark, sf_dir)[0], _WHOLE)
 
 
 @query()
-def match_candidates(spark, sf_dir):
-    return _matches(spark, sf_dir)
+def match_lines(spark, sf_dir):
+    return _line_matches(spark, sf_dir)
 
 
 @query()
-def apply_matches(spark, sf_dir):
-    links, reviews = m.apply_matches(_matches(spark, sf_dir))
+def match_lines_links(spark, sf_dir):
+    links, reviews = m.apply_matches(_line_matches(spark, sf_dir))
     known = b.first_lines(spark, sf_dir).filter("id % 10 = 0").select(F.col("id").alias("record"), F.lit(-1).cast("long").alias("candidate"))
     merged = merge_by_key(known, links, ["record", "candidate"], {})
     return merged.select("record", "candidate", F.col("outcome").alias("outcome")).unionByName(reviews.select("record", "candidate", F.lit("queued").alias("outcome")))
 
 
-@query()
+@query("SELECT * FROM matches", "matches")
+def match_candidates(spark, sf_dir):
+    return m.match_events(*_events(spark, sf_dir))
+
+
+_URL = "'https://' || customer || '.example/' || id"
+_APPLIED = f"""
+    SELECT 'link' AS kind, coalesce(o.event_id, n.event_id) AS event_id, coalesce(o.url, n.url) AS key, CAST(coalesce(o.source_id, n.source_id) AS VARCHAR) AS value, CAST(coalesce(o.first_seen, n.seen) AS VARCHAR) AS first, CAST(coalesce(n.seen, o.last_seen) AS VARCHAR) AS last
+    FROM (SELECT r_id AS event_id, {_URL} AS url, CASE WHEN c_id % 3 = 0 THEN c_id END AS source_id, DATE '2024-01-01' AS first_seen, DATE '2024-01-01' AS last_seen FROM matches JOIN matchable ON id = c_id WHERE c_id % 2 = 0) o
+    FULL JOIN (SELECT r_id AS event_id, {_URL} AS url, min(customer) AS source_id, DATE '2024-02-01' AS seen FROM matches JOIN matchable ON id = c_id WHERE decision = 'auto-merge' GROUP BY 1, 2) n ON o.event_id = n.event_id AND o.url = n.url
+    UNION ALL SELECT 'review', coalesce(o.event_id, n.event_id), CAST(coalesce(o.c_id, n.c_id) AS VARCHAR), CASE WHEN o.c_id IS NULL THEN 'pending' ELSE 'open' END, CAST(coalesce(n.score, o.score) AS VARCHAR), CAST(coalesce(o.created, DATE '2024-02-01') AS VARCHAR)
+    FROM (SELECT c_id, r_id AS event_id, 0.5e0 AS score, DATE '2024-01-01' AS created FROM matches WHERE c_id % 5 = 0) o
+    FULL JOIN (SELECT c_id, r_id AS event_id, score FROM matches WHERE decision = 'review') n ON o.c_id = n.c_id AND o.event_id = n.event_id
+    UNION ALL SELECT 'candidate', CASE decision WHEN 'auto-merge' THEN r_id END, CAST(id AS VARCHAR), CASE decision WHEN 'auto-merge' THEN 'imported' WHEN 'review' THEN 'needs-verification' ELSE 'new' END, NULL, NULL FROM matchable LEFT JOIN matches ON c_id = id WHERE status = 'draft'"""
+
+
+@query(_APPLIED, "matches")
+def apply_matches(spark, sf_dir):
+    """The three tables after the matches, one below the other; half of the links and a fifth of the reviews were there before."""
+    drafts, events = _events(spark, sf_dir)
+    matches = m.match_events(drafts, events)
+    url = F.concat(F.lit("https://"), F.col("customer").cast("string"), F.lit(".example/"), F.col("id").cast("string"))
+    candidates = drafts.select("id", F.col("customer").alias("source_id"), url.alias("url"), F.lit("new").alias("state"), F.lit(None).cast("long").alias("event_id"))
+    day = lambda x: F.lit(x).cast("date")
+    known = matches.join(candidates.select(F.col("id").alias("c_id"), "url"), "c_id")
+    links = known.filter("c_id % 2 = 0").select(F.col("r_id").alias("event_id"), "url", F.when(F.col("c_id") % 3 == 0, F.col("c_id")).alias("source_id"), day("2024-01-01").alias("first_seen"), day("2024-01-01").alias("last_seen"))
+    reviews = matches.filter("c_id % 5 = 0").select(F.col("c_id").alias("candidate_id"), F.col("r_id").alias("event_id"), F.lit(0.5).alias("score"), F.lit("open").alias("state"), day("2024-01-01").alias("created"))
+    links, reviews, candidates = m.store_matches(matches, candidates, links, reviews, day("2024-02-01"))
+    text = lambda c: F.col(c).cast("string")
+    out = links.select(F.lit("link").alias("kind"), "event_id", F.col("url").alias("key"), text("source_id").alias("value"), text("first_seen").alias("first"), text("last_seen").alias("last"))
+    out = out.unionByName(reviews.select(F.lit("review").alias("kind"), "event_id", text("candidate_id").alias("key"), F.col("state").alias("value"), text("score").alias("first"), text("created").alias("last")))
+    none = F.lit(None).cast("string")
+    return out.unionByName(candidates.select(F.lit("candidate").alias("kind"), "event_id", text("id").alias("key"), F.col("state").alias("value"), none.alias("first"), none.alias("last")))
+
+
+@query("SELECT c_id, CASE decision WHEN 'auto-merge' THEN 'imported' WHEN 'review' THEN 'needs-verification' ELSE 'new' END AS state, count(*) OVER (PARTITION BY decision) AS n FROM matches", "matches")
 def match_review_gate(spark, sf_dir):
-    return m.review_gate(_matches(spark, sf_dir)).select("c_id", "state")
+    """The state of each candidate, and how many have it."""
+    states = m.review_gate(m.match_events(*_events(spark, sf_dir))).select("c_id", "state")
+    return states.join(F.broadcast(states.groupBy("state").agg(F.count("*").alias("n"))), "state").select("c_id", "state", "n")
 
 
-@query()
+@query("""SELECT same, decision, count(*) AS n, CASE WHEN same THEN decision <> 'auto-merge' ELSE decision <> 'separate' END AS wrong
+    FROM (SELECT same, CASE WHEN score >= 0.92 THEN 'auto-merge' WHEN score >= 0.75 THEN 'review' ELSE 'separate' END AS decision FROM scored) GROUP BY same, decision""", "scored")
 def match_calibration(spark, sf_dir):
-    known = _matches(spark, sf_dir).withColumn("same", F.col("title_similarity") == 1.0)
-    return known.groupBy("same", "decision").agg(F.count("*").alias("n"))
+    """Pairs of one customer are known positives, the others known negatives; the score sees neither."""
+    drafts, events = _events(spark, sf_dir)
+    truth = lambda rows, side: rows.select(F.col("id").alias(f"{side}_id"), F.col("customer").alias(f"{side}_customer"))
+    pairs = m.event_pairs(drafts, events).join(truth(drafts, "c"), "c_id").join(truth(events, "r"), "r_id")
+    return m.calibration(pairs.withColumn("same", F.col("c_customer") == F.col("r_customer")))
 
 
 @query("SELECT pub.id, min(title) AS title, string_agg(CAST(week_start AS VARCHAR), ',' ORDER BY week_start) AS week_ids FROM wks JOIN pub ON wks.id = pub.id GROUP BY pub.id", "wks")
