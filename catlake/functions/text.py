@@ -2,15 +2,34 @@
 
 from __future__ import annotations
 
+import unicodedata
+from html.entities import html5
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented letters and what they fold to; fixed values.
-ACCENTED = "àáâäãåāăąçćčďđèéêëēęěìíîïīłľĺñńňòóôöõōőøŕřśšşťţùúûüūůűýÿźžż"
-PLAIN = "aaaaaaaaacccddeeeeeeeiiiiilllnnnoooooooorrsssttuuuuuuuyyzzz"
-#: Named entities that are decoded; fixed values.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+from .binding import let
+
+
+def _folding() -> tuple[str, str]:
+    """Lower-case characters that decompose to one character and marks, what they fold to, and then the marks, which go."""
+    letters, plain, marks = [], [], []
+    for c in map(chr, [*range(0x80, 0x3000), *range(0xFB00, 0x10000)]):
+        if unicodedata.combining(c):
+            marks.append(c)
+            continue
+        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if len(base) == 1 and base != c and c.lower() == c and base.lower() == base and base.isalnum():
+            letters.append(c)
+            plain.append(base)
+    return "".join(letters + marks), "".join(plain)
+
+
+ACCENTED, PLAIN = _folding()
+#: Entities by name, as HTML defines them.
+_NAMED = "\x01".join(f"{name[:-1]}\x02{sign}" for name, sign in html5.items() if name.endswith(";") and "\x01" not in sign and "\x02" not in sign)
+_ENTITY = "&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 
 def unaccent(text: Column) -> Column:
@@ -39,11 +58,32 @@ def fold(text: Column, variant: str = "match") -> Column:
     raise ValueError(f"unknown variant {variant!r}")
 
 
+def decode_entities(text: Column) -> Column:
+    """One round of decoding: entities by name, decimal and hexadecimal number; what is none stays as it is."""
+    names = F.str_to_map(F.lit(_NAMED), F.lit("\x01"), F.lit("\x02"))
+
+    def sign(entity: Column) -> Column:
+        body = F.substring(entity, 2, F.char_length(entity) - 2)
+        hexadecimal = F.lower(body).startswith("#x")
+        number = F.when(hexadecimal, F.conv(F.substring(body, 3, 6), 16, 10).cast("int")).when(body.startswith("#"), F.substring(body, 2, 7).cast("int"))
+        valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        by_number = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        return F.coalesce(by_number, F.when(~body.startswith("#"), F.try_element_at(names, body)), entity)
+
+    def joined(x: Column) -> Column:
+        return F.array_join(F.transform(x["parts"], lambda p, i: F.concat(p, F.when(i < F.size(x["found"]), sign(F.get(x["found"], i))).otherwise(""))), "")
+
+    def decoded(t: Column) -> Column:
+        cut = F.struct(F.split(t, _ENTITY, -1).alias("parts"), F.regexp_extract_all(t, F.lit(_ENTITY), F.lit(0)).alias("found"))
+        return F.when(F.contains(t, F.lit("&")), let(cut, joined)).otherwise(t)
+
+    return let(text, decoded)
+
+
 def clean_text(text: Column) -> Column:
     """Up to three rounds of entity decoding, odd spaces removed, white space collapsed; empty becomes null."""
     for _ in range(3):
-        for entity, sign in ENTITIES.items():
-            text = F.replace(text, F.lit(entity), F.lit(sign))
+        text = decode_entities(text)
     text = F.regexp_replace(text, "[​‌‍﻿]", "")
     return F.nullif(F.trim(F.regexp_replace(text, "[\\s ]+", " ")), F.lit(""))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 #: Query parameters that only track visits, and the prefix of more; fixed values.
 TRACKING_NAMES = (
     "fbclid", "gclid", "gbraid", "wbraid", "dclid", "msclkid", "yclid", "igshid", "mc_cid", "mc_eid", "_ga", "_gl",
@@ -17,18 +19,39 @@ _PARTS = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 def canonical_url(url: Column) -> Column:
     """https, lower-case host, no default port, no tracking, sorted parameters, no fragment but ``#!``, no trailing slash.
 
-    Null for anything that is no http or https URL with a host, or that holds white space.
+    Odd characters of path and query are escaped once, escapes are in capitals and never decoded; a host that isn't
+    ASCII stays as written, as Spark has no punycode. Null for anything that is no http or https URL with a host, or that holds white space.
     """
+    return let(F.regexp_replace(F.trim(url), "^<|>$", ""), _canonical)
+
+
+def _encoded(text: Column) -> Column:
+    """Characters that a URL can't hold as their UTF-8 bytes in hexadecimal; escapes that are there stay, in capitals."""
+    bytes_of = lambda c: F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")
+    odd = r"[^A-Za-z0-9/%:@!$&'()*+,;=~._?\-]"
+
+    def each(t: Column) -> Column:
+        cut = F.struct(F.split(t, odd, -1).alias("parts"), F.regexp_extract_all(t, F.lit(odd), F.lit(0)).alias("found"))
+        return let(cut, lambda x: F.array_join(F.transform(x["parts"], lambda p, i: F.concat(p, F.coalesce(bytes_of(F.get(x["found"], i)), F.lit("")))), ""))
+
+    def capitals(t: Column) -> Column:
+        return F.array_join(F.transform(F.split(t, "%"), lambda p, i: F.when((i > 0) & p.rlike("^[0-9A-Fa-f]{2}"), F.concat(F.upper(F.substring(p, 1, 2)), F.substring(p, 3, 1 << 30))).otherwise(p)), "%")
+
+    escaped = F.when(text.rlike(odd), let(text, each)).otherwise(text)
+    return F.when(F.contains(text, F.lit("%")) | text.rlike(odd), let(escaped, capitals)).otherwise(text)
+
+
+def _canonical(url: Column) -> Column:
     part = lambda k: F.regexp_extract(url, _PARTS, k)
     host = F.regexp_replace(F.regexp_replace(F.lower(part(2)), r"^[^@]*@", ""), r":(80|443)?$", "")
-    path = F.when(F.regexp_replace(part(3), "/+$", "") == "", "/").otherwise(F.regexp_replace(part(3), "/+$", ""))
+    path = F.when(F.regexp_replace(part(3), "/+$", "") == "", "/").otherwise(_encoded(F.regexp_replace(part(3), "/+$", "")))
     name = lambda p: F.lower(F.substring_index(p, "=", 1))
     pairs = F.filter(
         F.split(F.substring(part(4), 2, 1 << 30), "&"),
         lambda p: (p != "") & ~name(p).isin(*TRACKING_NAMES) & ~name(p).startswith(TRACKING_PREFIX),
     )
     ordered = F.array_sort(F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1).alias("name"), p.alias("pair"))))
-    query = F.array_join(F.transform(ordered, lambda x: x["pair"]), "&")
+    query = _encoded(F.array_join(F.transform(ordered, lambda x: x["pair"]), "&"))
     mark = F.when(part(5).startswith("#!"), part(5)).otherwise("")
     whole = F.concat(F.lit("https://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""), mark)
     good = url.rlike(_PARTS) & F.lower(part(1)).isin("http", "https") & (host != "") & ~url.rlike(r"\s")

@@ -137,11 +137,10 @@ def missing_runs(sightings: DataFrame) -> DataFrame:
 
     ``sightings`` has a row for each item and run: source, item, id, seen, healthy.
     """
-    up = Window.partitionBy("source", "item").orderBy("id")
-    epoch = F.sum((F.col("seen") & F.col("healthy")).cast("int")).over(up)
-    rows = sightings.withColumn("epoch", epoch).withColumn("absent", (F.col("healthy") & ~F.col("seen")).cast("long"))
-    per = rows.groupBy("source", "item", "epoch").agg(F.sum("absent").alias("missing"))
-    return per.groupBy("source", "item").agg(F.max_by("missing", "epoch").alias("missing"))
+    last = sightings.groupBy("source", "item").agg(F.max(F.when(F.col("seen") & F.col("healthy"), F.col("id"))).alias("_last"))
+    since = sightings.filter(F.col("healthy") & ~F.col("seen")).join(last, ["source", "item"])
+    absent = since.filter(F.col("_last").isNull() | (F.col("id") > F.col("_last"))).groupBy("source", "item").agg(F.count("*").alias("missing"))
+    return last.select("source", "item").join(absent, ["source", "item"], "left").select("source", "item", F.coalesce("missing", F.lit(0).cast("long")).alias("missing"))
 
 
 def fetched_window(links: DataFrame, today: Column) -> DataFrame:
@@ -208,14 +207,23 @@ FACTORS = {"days_since_check": 0.40, "event_yield": 0.20, "season": 0.15, "gap":
 SHARES = {1: 0.35, 2: 0.35, 3: 0.30}
 
 
-def plan_batch(places: DataFrame, most: int = 30, budget: int = 180) -> DataFrame:
+def plan_batch(places: DataFrame, most: int = 30, budget: int = 180, districts: int = 0) -> DataFrame:
     """The places to visit: the best of each tier up to its share, as far as the queries' budget lasts.
 
-    ``places`` has place, tier, queries and the factors, each between 0 and 1.
+    ``places`` has place, tier, queries and the factors, each between 0 and 1; with ``districts`` also district, of
+    which so many at least have to be among the chosen, so the best place of each of the best districts comes first.
+    Each tier's best are taken by its own order and limit, which Spark cuts in every task, so no tier is sorted whole.
     """
     score = sum(F.col(f) * w for f, w in FACTORS.items())
-    share = F.element_at(F.create_map(*[F.lit(x) for t, s in SHARES.items() for x in (t, int(s * most + 0.5))]), F.col("tier"))
-    rank = F.row_number().over(Window.partitionBy("tier").orderBy(F.desc("priority"), "place"))
-    chosen = places.withColumn("priority", F.round(score, 6)).withColumn("rank", rank).filter(F.col("rank") <= share)
-    spent = F.sum("queries").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("priority"), "place"))  # at most ``most`` rows
-    return chosen.withColumn("spent", spent).filter(F.col("spent") <= budget)
+    rated = places.withColumn("priority", F.round(score, 6)).withColumn("ahead", F.lit(1))
+    if districts:
+        best = rated.groupBy("district").agg(F.max_by(F.struct("place", "priority"), F.struct("priority", F.col("place"))).alias("b"))
+        first = best.orderBy(F.desc("b.priority"), "district").limit(districts).select(F.col("b.place").alias("_first"))
+        rated = rated.join(F.broadcast(first), F.col("place") == F.col("_first"), "left").withColumn("ahead", F.when(F.col("_first").isNull(), 1).otherwise(0)).drop("_first")
+    chosen = None
+    for tier, share in SHARES.items():
+        top = rated.filter(F.col("tier") == tier).orderBy("ahead", F.desc("priority"), "place").limit(int(share * most + 0.5))
+        chosen = top if chosen is None else chosen.unionByName(top)
+    order = Window.partitionBy("tier").orderBy("ahead", F.desc("priority"), "place")
+    spent = F.sum("queries").over(Window.partitionBy(F.lit(0)).orderBy("ahead", F.desc("priority"), "place"))  # at most ``most`` rows
+    return chosen.withColumn("rank", F.row_number().over(order)).withColumn("spent", spent).filter(F.col("spent") <= budget).drop("ahead")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.binding import let
 from ..functions.price import normalize_price
-from ..functions.temporal import parse_when
-from ..functions.text import clean_text, fold
+from ..functions.temporal import MONTHS, date_parts, parse_when
+from ..functions.text import clean_text, fold, unaccent
 from ..functions.urls import resolve_item_url
 
 
@@ -62,7 +62,7 @@ def normalize_candidates(items: DataFrame, places: DataFrame, aliases: DataFrame
     Raw values stay beside the normalised ones.
     """
     placed = map_place(items, "id", "place", "source_place", places, aliases).select("id", "place_id", "method", F.col("reason").alias("place_reason"))
-    rows = items.withColumns({"t": clean_text(F.col("title")), "w": parse_when(F.col("when"), zone), "u": resolve_item_url(F.col("url"), F.col("base_url")), "p": normalize_price(F.col("price"))}).join(placed, "id", "left")
+    rows = items.withColumns({"t": clean_text(F.col("title")), "w": parse_when(F.col("when"), zone), "u": let(F.struct("url", "base_url"), lambda x: resolve_item_url(x["url"], x["base_url"])), "p": normalize_price(F.col("price"))}).join(placed, "id", "left")
     reasons = F.array_distinct(F.array_compact(F.array(
         F.when(F.col("t").isNull(), F.lit("missing-title")),
         F.when(F.col("w.day").isNull(), F.when(F.col("when").isNull(), F.lit("missing-start")).otherwise(F.lit("unreadable-start"))),
@@ -71,20 +71,19 @@ def normalize_candidates(items: DataFrame, places: DataFrame, aliases: DataFrame
     return rows.select(
         fingerprint(F.col("source"), F.col("uid"), F.col("u.url"), F.col("t"), F.col("w.day").cast("string"), F.to_json(F.struct(*[F.col(c) for c in sorted(items.columns)]))).alias("candidate_id"),
         "id", F.col("t").alias("title"), F.col("title").alias("raw_title"), F.col("w.day").alias("start_day"), "w.all_day", "u.url", F.col("p.type").alias("price_type"), F.col("p.amount").alias("amount"),
-        "place_id", "method", F.array_join(reasons, ",").alias("reasons"), F.when(F.size(reasons) > 0, "quarantined").otherwise("new").alias("state"),
-    )
+        "place_id", "method", reasons.alias("_reasons"),
+    ).withColumns({"reasons": F.array_join("_reasons", ","), "state": F.when(F.size("_reasons") > 0, "quarantined").otherwise("new")}).drop("_reasons")
 
 
 def parse_when_range(text: Column, as_of: Column, most_days: int = 60) -> Column:
-    """struct(first, last, reason) of ``a - b`` with ``d. m. [yyyy]`` dates, or one date.
+    """struct(first, last, reason) of ``a - b`` with ``d. m. [yyyy]`` dates, months in figures or by name, or one date; a weekday may stand before.
 
     A missing year is the nearest that isn't more than two days past; the end anchors a start without a year;
     a range that would last longer than ``most_days`` has a reason instead.
     """
-    one = r"(\d{1,2})\.\s*(\d{1,2})\.(?:\s*(\d{4}))?"
-    clean = F.regexp_replace(F.lower(text), r"^(po|ut|st|ct|pa|so|ne|út|čt|pá)\s+", "")
-    number = lambda x, k: F.nullif(F.regexp_extract(x, one, k), F.lit("")).cast("int")
-    parts = F.transform(F.regexp_extract_all(clean, F.lit(one), F.lit(0)), lambda x: F.struct(number(x, 1).alias("d"), number(x, 2).alias("m"), number(x, 3).alias("y")))
+    plain = F.regexp_replace(unaccent(text), r"^\s*(?:po|ut|st|ct|pa|so|ne)[a-z]*[.,]?\s+", "")
+    written = rf"\d{{1,2}}\.\s*(?:\d{{1,2}}\.|(?:{'|'.join(sorted(MONTHS, key=len, reverse=True))})\b)(?:\s*\d{{4}})?"
+    parts = F.transform(F.regexp_extract_all(plain, F.lit(written), F.lit(0)), date_parts)
     two = lambda x: F.lpad(x.cast("string"), 2, "0")
     made = lambda y, p: F.try_to_date(F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.when(p["m"] < 100, two(p["m"])), F.when(p["d"] < 100, two(p["d"]))))
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..functions.text import tokens, unaccent
 
 
@@ -23,15 +27,18 @@ def query_tokens(text: str, most: int = 8) -> list[str]:
     return re.findall("[a-z0-9]+", "".join(c for c in plain if not unicodedata.combining(c)))[:most]
 
 
+def _begins(words: Column, beginning: str) -> Column:
+    return F.exists(words, lambda word: word.startswith(beginning))
+
+
 def fulltext_prefix(records: DataFrame, key: str, text: str, *texts: str) -> DataFrame:
     """The records in which every search word is the beginning of some word; none without a usable word."""
     wanted = list(dict.fromkeys(query_tokens(text)))
     if not wanted:
         return records.filter(F.lit(False))
-    found = token_table(records, key, *texts)
-    hits = found.select(key, F.explode(F.filter(F.array(*map(F.lit, wanted)), lambda w: F.startswith(F.col("token"), w))).alias("word"))
-    all_words = hits.groupBy(key).agg(F.count_distinct("word").alias("n")).filter(F.col("n") == len(wanted))
-    return records.join(all_words, key, "left_semi")
+    # A predicate of each record: no shuffle, and the other filters of a listing stay beside it.
+    words = F.flatten(F.array(*[F.coalesce(tokens(F.col(t)), F.array().cast("array<string>")) for t in texts]))
+    return records.filter(let(words, lambda have: reduce(and_, [_begins(have, w) for w in wanted])))
 
 
 def fulltext_substring(records: DataFrame, text: str, *texts: str) -> DataFrame:
@@ -44,9 +51,4 @@ def has_category(records: DataFrame, bridge: DataFrame, axis: str, category: str
     return records.join(bridge.filter((F.col("axis") == axis) & (F.col("category") == category)), key, "left_semi")
 
 
-def resolved(column: str, value, known: DataFrame, name: str) -> Column:
-    """Equality with a value; false for every row if the value isn't among the known ones."""
-    return F.col(column) == value if known.filter(F.col(name) == value).limit(1).count() else F.lit(False)
-
-
-__all__ = ["fulltext_prefix", "fulltext_substring", "has_category", "query_tokens", "resolved", "token_table", "unaccent"]
+__all__ = ["fulltext_prefix", "fulltext_substring", "has_category", "query_tokens", "token_table", "unaccent"]

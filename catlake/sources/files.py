@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,8 +19,15 @@ REPORT = "agent string, run_id string, started_at string, finished_at string, du
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: in spark.checkpoint.dir, or a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="catlake-")
+    """A new folder that driver and executors share, in spark.checkpoint.dir; only a local master may go without it.
+
+    There it is below the warehouse, which one machine has for itself.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/.scratch"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -119,8 +125,9 @@ def export_weeks(records: DataFrame, bridge: DataFrame, folder: str) -> None:
     ``records`` has id and its fields; ``bridge`` (id, week, position).
     """
     fields = [c for c in records.columns if c != "id"]
-    rows = bridge.join(records, "id").select("week", "position", F.to_json(F.struct("id", "position", *fields)).alias("value"))
-    rows.repartition("week").sortWithinPartitions("week", "position").select("week", "value").write.partitionBy("week").text(folder)
+    rows = bridge.join(records, "id").select("week", "position", "id", F.to_json(F.struct("id", "position", *fields)).alias("value"))
+    # By ranges of both, so that a week with very many records is several files, in order.
+    rows.repartitionByRange("week", "position", "id").sortWithinPartitions("week", "position", "id").select("week", "value").write.partitionBy("week").text(folder)
 
 
 def read_weeks(spark: SparkSession, folder: str, schema: str) -> DataFrame:
