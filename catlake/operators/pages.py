@@ -10,7 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_text
+from ..functions.binding import let
+from ..functions.temporal import ISO_DATE, MONTHS, WRITTEN_DATE, dates_in
+from ..functions.text import clean_text, decode_entities, unaccent
 
 ITEM = "page_id long, position int, uid string, title string, start_at string, end_at string, venue string, url string, recurring boolean"
 _ITEM_FIELDS = ["uid", "title", "start_at", "end_at", "venue", "url"]
@@ -23,57 +25,181 @@ def visible_text(html: Column) -> Column:
 
 def date_mentions(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, day, month, year): the distinct valid dates in a text; one without a year is dropped if the same day occurs with one."""
-    iso = F.transform(F.regexp_extract_all(text, F.lit(r"\b(\d{4}-\d{2}-\d{2})\b"), F.lit(1)), lambda x: F.struct(F.substring(x, 9, 2).cast("int").alias("day"), F.substring(x, 6, 2).cast("int").alias("month"), F.substring(x, 1, 4).cast("int").alias("year")))
-    local = F.transform(
-        F.regexp_extract_all(text, F.lit(r"(?<![\d.])(\d{1,2}\. ?\d{1,2}\.(?: ?\d{4})?)(?!\d)"), F.lit(1)),
-        lambda x: F.struct(
-            F.try_element_at(F.split(F.replace(x, F.lit(" "), F.lit("")), r"\."), F.lit(1)).cast("int").alias("day"),
-            F.try_element_at(F.split(F.replace(x, F.lit(" "), F.lit("")), r"\."), F.lit(2)).cast("int").alias("month"),
-            F.nullif(F.try_element_at(F.split(F.replace(x, F.lit(" "), F.lit("")), r"\."), F.lit(3)), F.lit("")).cast("int").alias("year"),
-        ),
-    )
-    found = texts.select(key, F.explode(F.array_distinct(F.concat(iso, local))).alias("d")).select(key, "d.*")
-    valid = found.filter(F.col("month").between(1, 12) & F.col("day").between(1, 31) & F.expr("try_to_date(concat_ws('-', coalesce(year, 2024), month, day), 'y-M-d')").isNotNull())
+    found = texts.select(key, F.explode(F.array_distinct(dates_in(unaccent(F.col(text))))).alias("d")).select(key, F.col("d.d").alias("day"), F.col("d.m").alias("month"), F.col("d.y").alias("year"))
     dated = F.count("year").over(Window.partitionBy(key, "day", "month"))
-    return valid.withColumn("_n", dated).filter("year IS NOT NULL OR _n = 0").drop("_n")
+    return found.withColumn("_n", dated).filter("year IS NOT NULL OR _n = 0").drop("_n")
+
+
+#: What marks events, listings and calendars in addresses, attributes, texts and types; fixed values.
+EVENT_FOLDERS = ("akce", "akci", "udalost", "udalosti", "event", "events", "program", "koncert", "koncerty", "predstaveni", "vystava", "vystavy", "detail")
+PAGER_NAMES = ("pagination", "pager", "paging", "strankovani", "page-numbers")
+CALENDAR_NAMES = ("kalendar", "calendar", "datepicker", "fc-daygrid", "month-grid")
+CALENDAR_LINKS = (r"\.ics\b", "/ical", "format=ical", "add-to-calendar", "pridat-do-kalendare")
+CALENDAR_PHRASES = ("pridat do kalendare", "add to calendar", "exportovat do kalendare")
+LIST_TYPES = ("ItemList", "CollectionPage", "BreadcrumbList")
+WEEKDAYS = (
+    "po", "ut", "st", "ct", "pa", "so", "ne", "pon", "ute", "str", "ctv", "pat", "sob", "ned", "pondeli", "utery", "streda", "ctvrtek", "patek", "sobota", "nedele",
+)
+#: Characters before and after a link in which a date counts as the link's, and the least text of a page that is judged; fixed values.
+BEFORE, AFTER, LEAST_TEXT = 180, 60, 400
+
+_EVENT_FOLDER = rf"(?i)/(?:{'|'.join(EVENT_FOLDERS)})/[^/?#]+"
+_EVENT_TYPE = r'"@type"\s*:\s*(?:\[[^\]]*?)?"(?:[A-Za-z]*Event|Festival)"'
+_LINK, _AIM, _END = "\x01", "\x02", "\x03"
+
+
+def _marked_text(html: Column) -> Column:
+    """The visible text with a mark before each link, one after its target and one at its end."""
+    bare = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>", " ")
+    bare = F.regexp_replace(bare, r"[\x01-\x03]", " ")
+    bare = F.regexp_replace(bare, r"""(?is)<a\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]*)[^>]*>""", f"{_LINK}$1{_AIM}")
+    bare = F.regexp_replace(bare, r"(?i)</a\s*>", _END)
+    bare = F.regexp_replace(bare, r"(?i)</?(?:p|div|br|li|h[1-6]|tr|td|th|table|ul|ol|dl|dt|dd|article|section|header|footer|nav|time|blockquote)\b[^>]*>", "\n")
+    return decode_entities(F.regexp_replace(bare, r"<[^>]*>", ""))
+
+
+def _links(marked: Column) -> Column:
+    """struct(href, near) of each link: its target, and its text with what stands near it."""
+    bare = lambda x: F.regexp_replace(x, f"{_LINK}[^{_AIM}]*{_AIM}|{_END}", "")
+    pieces = F.split(marked, _LINK)
+    text = lambda p, i: F.when(i == 0, bare(p)).otherwise(F.substring_index(F.replace(p, F.lit(_END), F.lit("")), _AIM, -1))
+
+    def near(x: Column) -> Column:
+        # The tail of what stands before each piece, and the head of what follows it, are carried along from piece to piece.
+        nothing = F.array(F.lit(""))
+        tails = F.aggregate(x["texts"], nothing, lambda past, t: F.concat(past, F.array(F.substring(F.concat(F.element_at(past, -1), t), -BEFORE, BEFORE))))
+        heads = F.reverse(F.aggregate(F.reverse(x["texts"]), nothing, lambda past, t: F.concat(past, F.array(F.substring(F.concat(t, F.element_at(past, -1)), 1, AFTER)))))
+
+        def made(y: Column) -> Column:
+            def one(p: Column, i: Column) -> Column:
+                inner = F.substring_index(F.substring_index(p, _AIM, -1), _END, 1)
+                rest = F.when(F.contains(p, F.lit(_END)), F.substring_index(p, _END, -1)).otherwise("")
+                after = F.substring(F.concat(rest, F.get(y["heads"], i + 1)), 1, AFTER)
+                return F.struct(F.substring_index(p, _AIM, 1).alias("href"), F.concat(F.get(y["tails"], i), inner, after).alias("near"))
+
+            return F.slice(F.transform(x["pieces"], one), F.lit(2), F.greatest(F.size(x["pieces"]) - 1, F.lit(0)))
+
+        return let(F.struct(tails.alias("tails"), heads.alias("heads")), made)
+
+    return let(pieces, lambda p: let(F.struct(p.alias("pieces"), F.transform(p, text).alias("texts")), near))
+
+
+def _absorbed(dates: Column) -> Column:
+    """How many different dates: a day with its year takes in the same day without."""
+    each = F.array_distinct(dates)
+    return let(each, lambda d: F.size(F.filter(d, lambda x: x["y"].isNotNull() | ~F.exists(d, lambda o: o["y"].isNotNull() & (o["d"] == x["d"]) & (o["m"] == x["m"])))))
+
+
+def _in_years(dates: Column) -> Column:
+    return F.filter(dates, lambda x: x["y"].isNull() | x["y"].between(2000, 2100))
+
+
+def _meta(name: str) -> Column:
+    tag = F.regexp_extract("html", rf"""(?is)<meta\b[^>]*\b(?:property|name)\s*=\s*["']{name}["'][^>]*>""", 0)
+    return F.nullif(F.trim(F.regexp_extract(tag, r"""(?is)\bcontent\s*=\s*["']([^"']*)""", 1)), F.lit(""))
 
 
 def signals(pages: DataFrame) -> DataFrame:
-    """Counts and marks of each page, by expressions over its source."""
-    count = lambda p: F.regexp_count("html", F.lit(p))
-    text = visible_text(F.col("html"))
-    return pages.select(
+    """Counts and marks of each page (page_id, url, html), by expressions over its source.
+
+    Events in a list are those after the first list type of their JSON-LD block. A page without a source has no marks.
+    """
+    count = lambda p: F.coalesce(F.regexp_count("html", F.lit(p)), F.lit(0))
+    found = lambda p: F.coalesce(F.col("html").rlike(p), F.lit(False))
+    rows = pages.select("page_id", "url", "html", _marked_text(F.coalesce("html", F.lit(""))).alias("marked"))
+    blocks = F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*ld\+json[^>]*>(.*?)</script>"), F.lit(1))
+    listed = F.transform(blocks, lambda x: F.regexp_count(F.regexp_extract(x, rf'(?is)"@type"\s*:\s*(?:\[[^\]]*?)?"(?:{"|".join(LIST_TYPES)})"(.*)', 1), F.lit(_EVENT_TYPE)))
+    total = lambda x: F.coalesce(F.aggregate(x, F.lit(0), lambda a, n: a + n), F.lit(0))
+    cells = F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]\s*>"), F.lit(1)), lambda x: F.rtrim(F.regexp_replace(unaccent(x), r"<[^>]*>|\s+", ""), F.lit(".")))
+    times = F.transform(F.regexp_extract_all("html", F.lit(r"""(?is)<time\b[^>]*\bdatetime\s*=\s*["']\s*(\d{4}-\d{2}-\d{2})"""), F.lit(1)), lambda x: x)
+    attribute = lambda names: rf"""(?i)<[^>]*\b(?:class|id|rel)\s*=\s*["'][^"']*({'|'.join(names)})"""
+    text = F.regexp_replace(F.regexp_replace("marked", f"{_LINK}[^{_AIM}]*{_AIM}|{_END}", ""), r"[ \t]+", " ")
+    rows = rows.select(
+        "page_id", "url", "html",
+        text.alias("text"),
+        _links(F.col("marked")).alias("links_near"),
+        F.transform(blocks, lambda x: x).alias("blocks"),
+        total(F.transform(blocks, lambda x: F.regexp_count(x, F.lit(_EVENT_TYPE)))).alias("jsonld_events"),
+        total(listed).alias("jsonld_events_in_list"),
+        let(cells, lambda c: F.struct(F.size(F.filter(c, lambda x: x.rlike(r"^\d{1,2}$"))).alias("numbers"), F.size(F.filter(c, lambda x: x.isin(*WEEKDAYS))).alias("weekdays"))).alias("cells"),
+        times.alias("times"),
+    )
+    rows = rows.withColumns({"dates": _in_years(dates_in(unaccent(F.col("text")))), "time_dates": _in_years(F.flatten(F.transform("times", dates_in)))})
+    usable = F.filter("links_near", lambda x: ~x["href"].rlike(r"(?i)^(#|javascript:|mailto:|tel:)") & (x["href"] != ""))
+    several = lambda x: F.size(F.array_distinct(F.transform(x, lambda y: y["href"])))
+    slug = unaccent(F.regexp_extract("path", rf"(?i)/(?:{'|'.join(EVENT_FOLDERS)})/([^/?#]+)", 1))
+    rows = rows.withColumns({"usable": usable, "path": F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)})
+    event = F.filter("blocks", lambda x: x.rlike(_EVENT_TYPE))
+    first = F.get(event, F.lit(0))
+    own = (F.col("jsonld_events") > 0) & (F.col("jsonld_events_in_list") == 0)
+    heading = clean_text(F.regexp_replace(F.regexp_extract("html", r"(?is)<h1\b[^>]*>(.*?)</h1", 1), r"<[^>]*>", " "))
+    head_title = clean_text(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
+    return rows.select(
         "page_id",
         count(r"(?i)<a\s[^>]*href=").alias("links"),
         count(r"(?i)<h1\b").alias("h1"),
         count(r"(?i)<li\b").alias("list_items"),
         count(r"(?i)<p\b").alias("paragraphs"),
-        count(r'(?i)"@type"\s*:\s*"[A-Za-z]*Event"').alias("jsonld_events"),
-        count(r"(?i)itemtype=\"https?://schema\.org/[A-Za-z]*Event\"").alias("microdata_events"),
+        "jsonld_events",
+        "jsonld_events_in_list",
+        count(r"(?i)itemtype\s*=\s*.https?://schema\.org/[A-Za-z]*Event\b").alias("microdata_events"),
+        _absorbed(F.concat("dates", "time_dates")).alias("distinct_dates"),
+        several(F.filter("usable", lambda x: F.size(_in_years(dates_in(unaccent(x["near"])))) > 0)).alias("dated_links"),
+        several(F.filter("usable", lambda x: x["href"].rlike(_EVENT_FOLDER))).alias("event_links"),
+        (found(attribute(rf"\b{n}\b" for n in PAGER_NAMES)) | found(r"""(?i)<[^>]*\brel\s*=\s*["']next["']""")).alias("pagination"),
+        ((F.col("cells.weekdays") >= 5) | (found(attribute(CALENDAR_NAMES)) & (F.col("cells.numbers") >= 20))).alias("calendar_grid"),
+        F.lower(_meta("og:type")).alias("og_type"),
+        (F.exists("usable", lambda x: x["href"].rlike(f"(?i){'|'.join(CALENDAR_LINKS)}")) | unaccent(F.col("text")).rlike("|".join(CALENDAR_PHRASES))).alias("calendar_link"),
+        (F.coalesce(F.col("path").rlike(_EVENT_FOLDER), F.lit(False)) & ~slug.isin(*MONTHS) & ~slug.rlike(r"^\d{4}(-\d{1,2})?$")).alias("detail_url"),
         F.col("url").rlike(r"[?&]page=\d+|/page/\d+").alias("paginated"),
         F.col("url").rlike(r"/\d+/?([?#].*)?$").alias("numbered_url"),
-        F.coalesce(F.char_length(text), F.lit(0)).alias("text_length"),
-        clean_text(F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1)).alias("title"),
-    )
+        F.char_length(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("text_length"),
+        F.coalesce(F.when(own, clean_text(F.regexp_extract(first, r'"name"\s*:\s*"((?:[^"\\\\]|\\\\.)*)"', 1))), heading, _meta("og:title"), head_title).alias("title"),
+        F.coalesce(F.when(own, F.nullif(F.regexp_extract(first, r'"startDate"\s*:\s*"([^"]*)"', 1), F.lit(""))), F.nullif(F.regexp_extract(unaccent(F.col("text")), f"{WRITTEN_DATE}|{ISO_DATE}", 0), F.lit(""))).alias("date_text"),
+    )
 
 
 def classify(marks: DataFrame) -> DataFrame:
-    """(page_id, kind, reasons): listing, event-detail or unknown; strong evidence for both, or a short text without a JSON-LD event, is unknown."""
-    listing = F.array_compact(F.array(
-        F.when(F.col("jsonld_events") + F.col("microdata_events") > 1, F.lit("L1-many-events")), F.when(F.col("paginated"), F.lit("L2-pagination")), F.when(F.col("list_items") >= 10, F.lit("L3-long-list")),
-    ))
-    detail = F.array_compact(F.array(
-        F.when(F.col("jsonld_events") + F.col("microdata_events") == 1, F.lit("D1-one-event")), F.when(F.col("numbered_url") & ~F.col("paginated"), F.lit("D2-numbered-url")), F.when((F.col("h1") == 1) & (F.col("paragraphs") >= 2), F.lit("D3-article")),
-    ))
-    rows = marks.withColumns({"l": listing, "d": detail})
+    """(page_id, kind, reasons): listing, event-detail or unknown, and the evidence.
+
+    Strong evidence decides: of a detail, one JSON-LD event of its own or the page's type; of a listing, many events or a
+    calendar. Strong evidence of both is a conflict, and unknown, as is a page with little text and no JSON-LD event. Else
+    any sign of a listing makes one, then any sign of a detail; but a detail without a title or a date is unknown.
+    """
+    few = F.col("distinct_dates").between(1, 2)
+    strong_listing = {
+        "L1-many-jsonld-events": F.col("jsonld_events") >= 3,
+        "L1-jsonld-list": F.col("jsonld_events_in_list") >= 2,
+        "L4-calendar": F.col("calendar_grid"),
+        "L5-many-microdata-events": F.col("microdata_events") >= 3,
+    }
+    weak_listing = {
+        "L2-dated-links": (F.col("dated_links") >= 4) & (F.col("distinct_dates") >= 3),
+        "L3-pagination": F.col("pagination") & (F.col("distinct_dates") >= 2),
+        "L6-many-event-links": F.col("event_links") >= 8,
+    }
+    strong_detail = {
+        "D1-one-jsonld-event": (F.col("jsonld_events") == 1) & (F.col("jsonld_events_in_list") == 0),
+        "D2-page-type": F.col("og_type").isin("event", "article:event"),
+    }
+    weak_detail = {
+        "D3-one-date-one-heading": few & (F.col("h1") == 1),
+        "D4-calendar-link": F.col("calendar_link") & few,
+        "D5-detail-url": F.col("detail_url") & (F.col("distinct_dates") > 0) & F.col("title").isNotNull(),
+    }
+    named = lambda rules: F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]))
+    rows = marks.withColumns({"ls": named(strong_listing), "lw": named(weak_listing), "ds": named(strong_detail), "dw": named(weak_detail)})
+    some = lambda *names: F.size(F.concat(*names)) > 0
+    whole = F.col("title").isNotNull() & F.col("date_text").isNotNull()
     kind = (
-        F.when((F.col("text_length") < 400) & (F.col("jsonld_events") == 0), "unknown")
-        .when((F.size("l") >= 2) & (F.size("d") >= 2), "unknown")
-        .when(F.size("l") > F.size("d"), "listing")
-        .when(F.size("d") > F.size("l"), "event-detail")
+        F.when((F.col("text_length") < LEAST_TEXT) & (F.col("jsonld_events") == 0), "unknown")
+        .when(some("ls") & some("ds"), "unknown")
+        .when(some("ds"), F.when(whole, "event-detail").otherwise("unknown"))
+        .when(some("ls", "lw"), "listing")
+        .when(some("dw"), F.when(whole, "event-detail").otherwise("unknown"))
         .otherwise("unknown")
     )
-    return rows.select("page_id", kind.alias("kind"), F.array_join(F.concat("l", "d"), ",").alias("reasons"))
+    return rows.select("page_id", kind.alias("kind"), F.array_join(F.array_sort(F.concat("ls", "lw", "ds", "dw")), ",").alias("reasons"))
 
 
 def jsonld_items(pages: DataFrame) -> DataFrame:
@@ -195,12 +321,12 @@ def listing_blocks(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def detail_fields(texts: DataFrame, key: str, text: str, most: int = 60) -> DataFrame:
-    """(key, date_text, address, organizers): the first dated line within ``most``, the line after "Address:", names after "Organizer:"."""
-    lines = F.slice(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), 1, most)
-    first = lambda cond: F.get(F.filter("l", cond), F.lit(0))
+    """(key, date_text, address, organizers): the first dated line within ``most``, the line after "Address:", names after "Organizer:"; these anywhere."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    first = lambda of, cond: F.get(F.filter(of, cond), F.lit(0))
     return texts.select(key, lines.alias("l")).select(
-        key, first(lambda x: x.rlike(r"\d{1,2}\. ?\d{1,2}\. ?\d{4}|\d{4}-\d{2}-\d{2}")).alias("date_text"),
-        F.nullif(F.regexp_extract(first(lambda x: x.startswith("Address:")), r"^Address:\s*(.*)$", 1), F.lit("")).alias("address"),
+        key, first(F.slice("l", 1, most), lambda x: x.rlike(r"\d{1,2}\. ?\d{1,2}\. ?\d{4}|\d{4}-\d{2}-\d{2}")).alias("date_text"),
+        F.nullif(F.regexp_extract(first(F.col("l"), lambda x: x.startswith("Address:")), r"^Address:\s*(.*)$", 1), F.lit("")).alias("address"),
         F.array_join(F.transform(F.filter("l", lambda x: x.startswith("Organizer:")), lambda x: F.regexp_extract(x, r"^Organizer:\s*(.*)$", 1)), ",").alias("organizers"),
     )
 

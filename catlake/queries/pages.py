@@ -119,13 +119,58 @@ def page_signals(spark, sf_dir):
     return g.signals(b.table(spark, sf_dir, "pages")).select("page_id", "links", "h1", "list_items", "paragraphs", "paginated", "numbered_url")
 
 
-@query()
+_LONG = "Lorem ipsum dolor sit amet consectetur. " * 12
+
+
+def _shown(spark, sf_dir):
+    """A page of each published record, in one of ten forms by its id."""
+    rows = b.published(spark, sf_dir).withColumn("start_day", F.add_months("start_day", 120)).withColumn("day", F.date_format("start_day", "d. M. y"))
+    event = F.concat(F.lit('{"@type":"MusicEvent","name":"'), "title", F.lit('","startDate":"'), F.col("start_day").cast("string"), F.lit('"}'))
+    block = lambda *x: F.concat(F.lit('<script type="application/ld+json">'), *x, F.lit("</script>"))
+    long, heading = F.lit(f"<p>{_LONG}</p>"), F.concat(F.lit("<h1>"), "title", F.lit("</h1>"))
+    link = lambda k, folder: F.concat(F.lit(f'<li><a href="/{folder}/{k}">x{k}</a> '), F.date_format(F.date_add("start_day", k), "d. M. y"), F.lit(f"</li>{'<p>' + 'y' * 200 + '</p>'}"))
+    days = "".join(f"<td>{d}</td>" for d in ("po", "ut", "st", "ct", "pa"))
+    forms = [
+        block(event),
+        F.concat(block(event, F.lit(""),), block(event), block(event), long),
+        F.concat(long, heading, F.lit("<p>"), "day", F.lit("</p>")),
+        F.concat(long, *[link(k, "x") for k in range(4)]),
+        F.concat(F.lit(f"<table><tr>{days}</tr></table>"), block(event), long),
+        F.concat(long, F.lit('<meta property="og:type" content="event">'), heading),
+        F.concat(long, *[F.lit(f'<a href="/akce/{k}">e</a>') for k in range(8)]),
+        F.concat(F.lit("<p>short "), "day", F.lit("</p>"), heading),
+        F.concat(long, F.lit("<p>"), "day", F.lit('</p><a href="/e.ics">c</a><title>t</title>')),
+        F.concat(long, heading),
+    ]
+    html = F.element_at(F.array(*forms), (F.col("id") % 10 + 1).cast("int"))
+    return rows.select(F.col("id").alias("page_id"), F.concat(F.lit("https://example.org/p/"), F.col("id").cast("string")).alias("url"), html.alias("html"))
+
+
+_KINDS = """SELECT id AS page_id, CASE id % 10 WHEN 0 THEN 'event-detail' WHEN 1 THEN 'listing' WHEN 2 THEN 'event-detail' WHEN 3 THEN 'listing' WHEN 6 THEN 'listing' WHEN 8 THEN 'event-detail' ELSE 'unknown' END AS kind,
+      CASE id % 10 WHEN 0 THEN 'D1-one-jsonld-event' WHEN 1 THEN 'L1-many-jsonld-events' WHEN 2 THEN 'D3-one-date-one-heading' WHEN 3 THEN 'L2-dated-links' WHEN 4 THEN 'D1-one-jsonld-event,L4-calendar' WHEN 5 THEN 'D2-page-type' WHEN 6 THEN 'L6-many-event-links'
+        WHEN 7 THEN 'D3-one-date-one-heading' WHEN 8 THEN 'D4-calendar-link' ELSE '' END AS reasons FROM pub"""
+
+
+@query(_KINDS, "pub")
 def page_classify(spark, sf_dir):
-    return g.classify(g.signals(b.table(spark, sf_dir, "pages")))
+    return g.classify(g.signals(_shown(spark, sf_dir)))
 
 
 @query()
+def page_classify_given(spark, sf_dir):
+    """The given pages, which hold few dates and no events."""
+    return g.classify(g.signals(b.table(spark, sf_dir, "pages")))
+
+
+@query(f"""SELECT page_id, CASE kind WHEN 'event-detail' THEN 'candidate' WHEN 'listing' THEN 'source-proposal' ELSE 'failed' END AS state,
+      CASE kind WHEN 'event-detail' THEN 'inbox-' || substr(sha256('https://example.org/p/' || page_id), 1, 24) END AS candidate_id FROM ({_KINDS})""", "pub")
 def inbox_outcomes(spark, sf_dir):
+    pages = _shown(spark, sf_dir)
+    return g.inbox_outcomes(g.classify(g.signals(pages)), pages)
+
+
+@query()
+def inbox_outcomes_given(spark, sf_dir):
     pages = b.table(spark, sf_dir, "pages")
     return g.inbox_outcomes(g.classify(g.signals(pages)), pages)
 
