@@ -95,19 +95,26 @@ def parse_when(text: Column, zone: str = "UTC") -> Column:
     """
     iso = r"^\s*(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2}:\d{2})(:\d{2})?(?:\.\d+)?\s*(Z|[+-]\d{2}:?\d{2})?)?\s*$"
     local = r"(?i)^\s*(\d{1,2})\.\s*(\d{1,2})\.\s*(\d{4})(?:\s+(?:od\s+)?(\d{1,2}):(\d{2}))?\s*$"
-    return let(text, lambda x: _parsed(x, iso, local, zone))
-
-
-def _parsed(text: Column, iso: str, local: str, zone: str) -> Column:
-    is_iso = text.rlike(iso)
-    part = lambda p, k: F.nullif(F.regexp_extract(text, p, k), F.lit(""))
+    part = lambda x, p, k: F.nullif(F.regexp_extract(x, p, k), F.lit(""))
     two = lambda c: F.lpad(c, 2, "0")
-    day = F.when(is_iso, F.concat_ws("-", part(iso, 1), part(iso, 2), part(iso, 3))).when(
-        text.rlike(local), F.concat_ws("-", part(local, 3), two(part(local, 2)), two(part(local, 1)))
-    )
-    clock = F.when(is_iso, part(iso, 4)).when(part(local, 4).isNotNull(), F.concat(two(part(local, 4)), F.lit(":"), part(local, 5)))
-    offset = F.when(is_iso, F.regexp_replace(part(iso, 6), r"^([+-]\d{2})(\d{2})$", "$1:$2"))
-    stamp = F.concat(day, F.lit(" "), F.coalesce(clock, F.lit("00:00")), F.coalesce(part(iso, 5), F.lit(":00")))
-    written = F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ss"))
-    at = F.when(offset.isNull() | clock.isNull(), F.to_utc_timestamp(written, zone)).otherwise(F.to_utc_timestamp(written, F.regexp_replace(offset, "^Z$", "+00:00")))
-    return F.struct(at.alias("at"), F.to_date(written).alias("day"), F.when(written.isNotNull(), clock.isNull()).alias("all_day"))
+
+    def fields(x: Column) -> Column:
+        """The day, the clock, the seconds and the offset as they are written; each form is read only where it fits."""
+        colon = F.regexp_replace(part(x, iso, 6), r"^([+-]\d{2})(\d{2})$", "$1:$2")
+        exact = F.struct(F.substring(F.trim(x), 1, 10).alias("day"), part(x, iso, 4).alias("clock"), F.coalesce(part(x, iso, 5), F.lit(":00")).alias("seconds"), colon.alias("offset"))
+        hour, minute = part(x, local, 4), part(x, local, 5)
+        spoken = F.struct(
+            F.concat_ws("-", part(x, local, 3), two(part(x, local, 2)), two(part(x, local, 1))).alias("day"), F.concat(two(hour), F.lit(":"), minute).alias("clock"),
+            F.lit(":00").alias("seconds"), F.lit(None).cast("string").alias("offset"),
+        )
+        return F.when(x.rlike(iso), exact).when(x.rlike(local), spoken)
+
+    def read(f: Column) -> Column:
+        stamp = F.concat(f["day"], F.lit(" "), F.coalesce(f["clock"], F.lit("00:00")), f["seconds"])
+        return let(F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ss")), lambda written: made(f, written))
+
+    def made(f: Column, written: Column) -> Column:
+        zoned = F.when(f["offset"].isNull() | f["clock"].isNull(), F.lit(zone)).otherwise(F.regexp_replace(f["offset"], "^Z$", "+00:00"))
+        return F.struct(F.to_utc_timestamp(written, zoned).alias("at"), F.to_date(written).alias("day"), F.when(written.isNotNull(), f["clock"].isNull()).alias("all_day"))
+
+    return let(text, lambda x: let(fields(x), read))

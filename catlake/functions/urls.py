@@ -42,38 +42,49 @@ def _encoded(text: Column) -> Column:
 
 
 def _canonical(url: Column) -> Column:
-    part = lambda k: F.regexp_extract(url, _PARTS, k)
-    host = F.regexp_replace(F.regexp_replace(F.lower(part(2)), r"^[^@]*@", ""), r":(80|443)?$", "")
-    path = F.when(F.regexp_replace(part(3), "/+$", "") == "", "/").otherwise(_encoded(F.regexp_replace(part(3), "/+$", "")))
+    names = ("scheme", "authority", "path", "query", "mark")
+    return let(F.struct(*[F.regexp_extract(url, _PARTS, k).alias(n) for k, n in enumerate(names, 1)], url.rlike(r"\s").alias("spaced")), _joined)
+
+
+def _joined(part: Column) -> Column:
+    host = F.regexp_replace(F.regexp_replace(F.lower(part["authority"]), r"^[^@]*@", ""), r":(80|443)?$", "")
+    bare = F.rtrim(part["path"], F.lit("/"))
+    path = F.when(bare == "", "/").otherwise(let(bare, _encoded))
     name = lambda p: F.lower(F.substring_index(p, "=", 1))
     pairs = F.filter(
-        F.split(F.substring(part(4), 2, 1 << 30), "&"),
+        F.split(F.substring(part["query"], 2, 1 << 30), "&"),
         lambda p: (p != "") & ~name(p).isin(*TRACKING_NAMES) & ~name(p).startswith(TRACKING_PREFIX),
     )
     ordered = F.array_sort(F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1).alias("name"), p.alias("pair"))))
-    query = _encoded(F.array_join(F.transform(ordered, lambda x: x["pair"]), "&"))
-    mark = F.when(part(5).startswith("#!"), part(5)).otherwise("")
-    whole = F.concat(F.lit("https://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""), mark)
-    good = url.rlike(_PARTS) & F.lower(part(1)).isin("http", "https") & (host != "") & ~url.rlike(r"\s")
-    return F.when(good, whole)
+    joined = F.array_join(F.transform(ordered, lambda x: x["pair"]), "&")
+    asked = F.when(part["query"] == "", "").otherwise(let(joined, lambda q: F.when(q != "", F.concat(F.lit("?"), _encoded(q))).otherwise("")))
+    mark = F.when(part["mark"].startswith("#!"), part["mark"]).otherwise("")
+    good = F.lower(part["scheme"]).isin("http", "https") & ~part["spaced"]
+    return F.when(good, let(host, lambda h: F.when(h != "", F.concat(F.lit("https://"), h, path, asked, mark))))
 
 
 def resolve_item_url(item: Column, base: Column) -> Column:
     """struct(url, reason): the item's URL joined to its source's, canonical, and why if it isn't the item's own."""
-    item = F.nullif(F.trim(item), F.lit(""))
+    return let(F.struct(F.nullif(F.trim(item), F.lit("")).alias("item"), base.alias("base")), _resolved)
+
+
+def _resolved(x: Column) -> Column:
+    item, base = x["item"], x["base"]
     root = F.regexp_extract(base, r"^([A-Za-z]+://[^/?#]+)", 1)
     folder = F.regexp_extract(base, r"^([A-Za-z]+://[^?#]*/)", 1)
+    beside = let(folder, lambda f: F.when(f.rlike("://.*[^/]/|://.+/$"), f).otherwise(F.concat(root, F.lit("/"))))
     joined = (
         F.when(item.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), item)
         .when(item.startswith("//"), F.concat(F.regexp_extract(base, r"^([A-Za-z]+:)", 1), item))
         .when(item.startswith("/"), F.concat(root, item))
-        .when(item.isNotNull(), F.concat(F.when(folder.rlike("://.*[^/]/|://.+/$"), folder).otherwise(F.concat(root, F.lit("/"))), item))
+        .when(item.isNotNull(), F.concat(beside, item))
     )
-    own = canonical_url(joined)
-    reason = (
-        F.when(item.isNull() & base.isNull(), "missing-url").when(item.isNull(), "missing-item-url").when(own.isNull(), "invalid-url")
-    )
-    return F.struct(F.when(item.isNull(), canonical_url(base)).otherwise(own).alias("url"), reason.alias("reason"))
+
+    def judged(own: Column) -> Column:
+        reason = F.when(item.isNull() & base.isNull(), "missing-url").when(item.isNull(), "missing-item-url").when(own.isNull(), "invalid-url")
+        return F.struct(own.alias("url"), reason.alias("reason"))
+
+    return let(canonical_url(F.when(item.isNull(), base).otherwise(joined)), judged)
 
 
 def generic_url(url: Column) -> Column:
