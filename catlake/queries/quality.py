@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import functions as F
 
 from .. import bindings as b
@@ -36,11 +34,28 @@ def dq_schema(spark, sf_dir):
     return q.rule_findings(b.table(spark, sf_dir, "documents"), "schema", "doc_id", rules)
 
 
-@query(f"""SELECT {_f('error', 'manifest', 'wk', 'not-listed')} FROM (SELECT DISTINCT strftime(week_start, '%G-W%V') AS wk FROM wks WHERE week_start >= DATE '2001-06-01') WHERE wk NOT IN (SELECT DISTINCT strftime(start_day, '%G-W%V') FROM pub WHERE start_day < DATE '2001-07-01')""", "wks")
+_LISTED = """(SELECT strftime(week_start, '%G-W%V') AS week, week_start + CASE WHEN extract(day FROM week_start) = 5 THEN 1 ELSE 0 END AS first, week_start + 6 AS last,
+      strftime(week_start, '%G-W%V') || CASE WHEN extract(day FROM week_start) = 9 THEN '.js' ELSE '.json' END AS file, week_start FROM (SELECT DISTINCT week_start FROM wks) WHERE extract(day FROM week_start) <> 20)"""
+
+
+@query(f"""SELECT {_f('error', 'manifest', 'week', 'wrong-bounds')} FROM {_LISTED} WHERE first <> week_start UNION ALL SELECT {_f('error', 'manifest', 'week', 'wrong-file-name')} FROM {_LISTED} WHERE NOT file LIKE '%.json' UNION ALL
+    SELECT {_f('error', 'manifest', 'week', 'not-listed')} FROM (SELECT DISTINCT strftime(week_start, '%G-W%V') AS week FROM wks WHERE extract(day FROM week_start) = 20)""", "wks")
 def dq_manifest(spark, sf_dir):
-    files = b.weeks(spark, sf_dir).filter(F.col("week_start") >= F.lit(datetime.date(2001, 6, 1))).select(iso_week(F.col("week_start")).alias("week")).distinct()
-    listed = b.published(spark, sf_dir).filter(F.col("start_day") < F.lit(datetime.date(2001, 7, 1))).select(iso_week(F.col("start_day")).alias("week"))
-    return q.key_findings(files.join(listed, "week", "left_anti"), "manifest", "week", "not-listed")
+    weeks = b.weeks(spark, sf_dir).select("week_start").distinct().withColumn("week", iso_week(F.col("week_start")))
+    day, start = F.day("week_start"), F.col("week_start")
+    listed = weeks.filter(day != 20).select("week", F.when(day == 5, F.date_add(start, 1)).otherwise(start).alias("first"), F.date_add(start, 6).alias("last"), F.concat("week", F.when(day == 9, ".js").otherwise(".json")).alias("file"))
+    return q.manifest(listed, weeks)
+
+
+_AT = "(SELECT id, start_day, extract(year FROM start_day) AS y FROM pub)"
+_SUNDAY = "(make_date(y, {m}, 31) - CAST(extract(dow FROM make_date(y, {m}, 31)) AS INTEGER))"
+
+
+@query(f"""SELECT {_f('error', 'times', 'id', 'wrong-offset')} FROM {_AT} WHERE (id % 2 = 0) <> (start_day >= {_SUNDAY.format(m=3)} AND start_day < CASE WHEN y < 1996 THEN make_date(y, 9, 30) - CAST(extract(dow FROM make_date(y, 9, 30)) AS INTEGER) ELSE {_SUNDAY.format(m=10)} END)""", "pub")
+def dq_offsets(spark, sf_dir):
+    """Times at noon in central Europe, with the summer's offset for even ids and the winter's for odd ones."""
+    text = F.concat(F.col("start_day").cast("string"), F.lit("T12:00:00"), F.when(F.col("id") % 2 == 0, "+02:00").otherwise("+01:00"))
+    return q.offsets(b.published(spark, sf_dir).select("id", text.alias("start_at")), "Europe/Prague")
 
 
 @query(f"""SELECT {_f('warning', 'manifest-fresh', 'place', 'older-than-records')} FROM (SELECT place, max(start_day) AS newest, max(CASE WHEN price_type = 'free' THEN start_day END) AS listed FROM pub GROUP BY place) WHERE listed < newest""", "pub")
@@ -95,35 +110,83 @@ def dq_semantic_dup(spark, sf_dir):
     return q.key_findings(match.semantic_duplicates(b.published(spark, sf_dir), ["start_day", "place", "price_type"]), "semantic-duplicate", "first", "several-ids", "warning")
 
 
-@query(f"""SELECT {_f('error', 'candidates', 'o_custkey', 'id-in-two-files')} FROM orders GROUP BY o_custkey HAVING count(*) > 14 UNION ALL
-    SELECT {_f('error', 'candidates', 'event_id', 'missing-record')} FROM events WHERE user_id NOT IN (SELECT s_suppkey FROM supplier)""")
+_ROWS = """(SELECT l_orderkey || '-' || l_linenumber AS key, l_orderkey AS id, l_suppkey % 2 AS file, CASE l_returnflag WHEN 'A' THEN 'imported' WHEN 'R' THEN 'rejected' ELSE 'new' END AS state,
+      CASE WHEN l_linenumber > 1 THEN l_partkey END AS event_id, CASE WHEN l_quantity > 10 THEN 'old' WHEN l_quantity > 5 THEN ' ' END AS reason FROM lineitem)"""
+
+
+@query(f"""SELECT {_f('error', 'candidates', 'id', 'id-in-two-files')} FROM {_ROWS} GROUP BY id HAVING min(file) <> max(file) UNION ALL
+    SELECT {_f('error', 'candidates', 'key', 'imported-without-event')} FROM {_ROWS} WHERE state = 'imported' AND event_id IS NULL UNION ALL
+    SELECT {_f('error', 'candidates', 'key', 'rejected-without-reason')} FROM {_ROWS} WHERE state = 'rejected' AND coalesce(trim(reason), '') = '' UNION ALL
+    SELECT {_f('error', 'candidates', 'key', 'event-missing')} FROM {_ROWS} WHERE state = 'imported' AND event_id NOT IN (SELECT p_partkey FROM part WHERE p_size > 5)""")
 def dq_candidates(spark, sf_dir):
-    orders = b.table(spark, sf_dir, "orders")
-    twice = q.key_findings(orders.groupBy("o_custkey").count().filter("count > 14"), "candidates", "o_custkey", "id-in-two-files")
-    return q.run_all(twice, q.dangling(b.table(spark, sf_dir, "events"), "candidates", "event_id", "user_id", b.table(spark, sf_dir, "supplier"), "s_suppkey", "missing-record"))
+    lines = b.table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("key"), F.col("l_orderkey").alias("id"), (F.col("l_suppkey") % 2).alias("file"),
+        F.when(F.col("l_returnflag") == "A", "imported").when(F.col("l_returnflag") == "R", "rejected").otherwise("new").alias("state"),
+        F.when(F.col("l_linenumber") > 1, F.col("l_partkey")).alias("event_id"), F.when(F.col("l_quantity") > 10, "old").when(F.col("l_quantity") > 5, " ").alias("reason"),
+    )
+    return q.candidates(lines, b.table(spark, sf_dir, "part").filter("p_size > 5").select(F.col("p_partkey").alias("id")))
 
 
-@query(f"""SELECT {_f('error', 'dictionary', 'p_name', 'duplicate')} FROM part GROUP BY p_name HAVING count(*) > 1 UNION ALL
-    SELECT {_f('error', 'dictionary', 'p_partkey', 'unknown-category')} FROM part WHERE p_type NOT IN ('ECONOMY', 'PROMO', 'STANDARD')""")
-def dq_dictionary(spark, sf_dir):
+_CATEGORIES = "(SELECT CASE WHEN p_size > 45 THEN 'colour' WHEN p_partkey % 2 = 0 THEN 'kind' ELSE 'audience' END AS axis, p_name AS category, p_partkey FROM part)"
+_ALIASES = "(SELECT CASE WHEN s_suppkey % 7 = 0 THEN coalesce(p_name, 'x') ELSE 'alias ' || (s_suppkey % 40) END AS alias, CASE WHEN s_suppkey % 5 = 0 THEN 'nothing' ELSE coalesce(p_name, 'y') END AS category FROM supplier LEFT JOIN part ON p_partkey = s_suppkey)"
+
+
+def _dictionary(spark, sf_dir):
     part = b.table(spark, sf_dir, "part")
-    known = spark.createDataFrame([("ECONOMY",), ("PROMO",), ("STANDARD",)], "c string")
-    return q.run_all(q.duplicates(part, "dictionary", "p_name", "duplicate"), q.dangling(part, "dictionary", "p_partkey", "p_type", known, "c", "unknown-category"))
+    categories = part.select(F.when(F.col("p_size") > 45, "colour").when(F.col("p_partkey") % 2 == 0, "kind").otherwise("audience").alias("axis"), F.col("p_name").alias("category"))
+    rows, key = b.table(spark, sf_dir, "supplier").join(part, F.col("p_partkey") == F.col("s_suppkey"), "left"), F.col("s_suppkey")
+    alias = F.when(key % 7 == 0, F.coalesce("p_name", F.lit("x"))).otherwise(F.concat(F.lit("alias "), (key % 40).cast("string")))
+    return categories, rows.select(alias.alias("alias"), F.when(key % 5 == 0, "nothing").otherwise(F.coalesce("p_name", F.lit("y"))).alias("category"))
 
 
-@query(f"SELECT {_f('error', 'registry', 'l_suppkey', 'unknown-source')} FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)")
+@query(f"""SELECT {_f('error', 'dictionary', 'category', 'duplicate-category')} FROM {_CATEGORIES} GROUP BY axis, category HAVING count(*) > 1 UNION ALL
+    SELECT {_f('error', 'dictionary', 'category', 'unknown-axis')} FROM (SELECT DISTINCT category FROM {_CATEGORIES} WHERE axis = 'colour') UNION ALL
+    SELECT {_f('error', 'dictionary', 'alias', 'alias-of-unknown')} FROM (SELECT DISTINCT alias FROM {_ALIASES} WHERE category NOT IN (SELECT p_name FROM part)) UNION ALL
+    SELECT {_f('error', 'dictionary', 'alias', 'alias-shadows-category')} FROM (SELECT DISTINCT alias FROM {_ALIASES} WHERE alias IN (SELECT p_name FROM part)) UNION ALL
+    SELECT {_f('error', 'dictionary', 'alias', 'alias-of-several')} FROM {_ALIASES} GROUP BY alias HAVING min(category) <> max(category)""")
+def dq_dictionary(spark, sf_dir):
+    return q.dictionary(*_dictionary(spark, sf_dir), ["kind", "audience"])
+
+
+_USED = "(SELECT l_orderkey AS id, CASE WHEN l_partkey % 2 = 0 THEN 'kind' ELSE 'audience' END AS axis, CASE WHEN l_quantity > 48 THEN 'odd ' || l_suppkey ELSE p_name END AS category, l_returnflag = 'A' AS published FROM lineitem JOIN part ON l_partkey = p_partkey)"
+_KNOWN = f"(SELECT p_name AS value FROM part UNION SELECT alias FROM {_ALIASES})"
+
+
+@query(f"""SELECT {_f('error', 'dictionary', 'category', 'not-canonical')} FROM (SELECT DISTINCT category FROM {_USED} WHERE published AND category NOT IN (SELECT p_name FROM part)) UNION ALL
+    SELECT {_f('warning', 'dictionary', 'category', 'unknown-value')} FROM (SELECT DISTINCT category FROM {_USED} WHERE NOT published AND category NOT IN (SELECT value FROM {_KNOWN})) UNION ALL
+    SELECT {_f('warning', 'dictionary', 'value', 'reviewed-but-known')} FROM (SELECT DISTINCT 'alias ' || (c_custkey % 60) AS value FROM customer) WHERE value IN (SELECT value FROM {_KNOWN}) UNION ALL
+    SELECT {_f('warning', 'dictionary', 'o_orderkey', 'no-kind')} FROM orders WHERE o_orderkey NOT IN (SELECT id FROM {_USED} WHERE axis = 'kind' AND category IN (SELECT p_name FROM part))""")
+def dq_dictionary_use(spark, sf_dir):
+    lines = b.table(spark, sf_dir, "lineitem").join(b.table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    category = F.when(F.col("l_quantity") > 48, F.concat(F.lit("odd "), F.col("l_suppkey").cast("string"))).otherwise(F.col("p_name"))
+    used = lines.select(F.col("l_orderkey").alias("id"), F.when(F.col("l_partkey") % 2 == 0, "kind").otherwise("audience").alias("axis"), category.alias("category"), (F.col("l_returnflag") == "A").alias("published"))
+    reviewed = b.table(spark, sf_dir, "customer").select(F.concat(F.lit("alias "), (F.col("c_custkey") % 60).cast("string")).alias("value"))
+    return q.dictionary_use(used, b.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), *_dictionary(spark, sf_dir), reviewed, ["kind"])
+
+
+@query(f"""SELECT {_f('error', 'registry', 's_name', 'duplicate-source')} FROM (SELECT s_suppkey % 90 AS s_name FROM supplier) GROUP BY s_name HAVING count(*) > 1 UNION ALL
+    SELECT {_f('error', 'registry', 'event_id', 'unknown-source')} FROM events WHERE user_id NOT IN (SELECT s_suppkey % 90 FROM supplier)""")
 def dq_registry(spark, sf_dir):
-    return q.dangling(b.table(spark, sf_dir, "lineitem"), "registry", "l_suppkey", "l_suppkey", b.table(spark, sf_dir, "supplier").filter("s_acctbal > 0"), "s_suppkey", "unknown-source")
+    sources = b.table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 90).alias("source"))
+    return q.registry(sources, b.table(spark, sf_dir, "events").select(F.col("event_id").alias("page"), F.col("user_id").alias("source")))
+
+
+_K = "CAST(json_extract_string(props, '$.k') AS INTEGER)"
+_REPORTS = f"""(SELECT event_id AS key, CASE WHEN event_id % 11 = 0 THEN 'run' ELSE strftime(ts, '%Y-%m-%d-%H%M') || '-' || event_type END AS run_id, CASE WHEN event_id % 13 = 0 THEN 'planner' ELSE event_type END AS agent,
+      CASE WHEN event_id % 17 = 0 THEN '1999-01' ELSE strftime(ts, '%Y-%m') END AS folder, {_K} - 20 AS measured, value AS declared, event_type = 'error' AS part, event_id % 2 = 0 AS said, event_type FROM events)"""
 
 
-@query(f"""SELECT {_f('error', 'reports', 'event_id', 'bad-status')} FROM events WHERE event_type NOT IN ('view', 'click', 'purchase', 'signup') UNION ALL
-    SELECT {_f('warning', 'reports', 'event_id', 'duration-mismatch')} FROM events WHERE abs(value - CAST(json_extract_string(props, '$.k') AS INTEGER)) > 60""")
+@query(f"""SELECT {_f('error', 'reports', 'key', 'bad-run-id')} FROM {_REPORTS} WHERE key % 11 = 0 UNION ALL SELECT {_f('error', 'reports', 'key', 'other-agent')} FROM {_REPORTS} WHERE key % 11 <> 0 AND agent <> event_type UNION ALL
+    SELECT {_f('error', 'reports', 'key', 'other-month')} FROM {_REPORTS} WHERE key % 11 <> 0 AND folder = '1999-01' UNION ALL SELECT {_f('error', 'reports', 'key', 'finished-before-start')} FROM {_REPORTS} WHERE measured < 0 UNION ALL
+    SELECT {_f('warning', 'reports', 'key', 'other-duration')} FROM {_REPORTS} WHERE abs(measured - declared) > 60 UNION ALL SELECT {_f('error', 'reports', 'key', 'partial-without-reason')} FROM {_REPORTS} WHERE part AND NOT said""")
 def dq_reports(spark, sf_dir):
-    rules = {
-        "bad-status": ("error", ~F.col("event_type").isin("view", "click", "purchase", "signup")),
-        "duration-mismatch": ("warning", F.abs(F.col("value") - F.get_json_object("props", "$.k").cast("int")) > 60),
-    }
-    return q.rule_findings(b.table(spark, sf_dir, "events"), "reports", "event_id", rules)
+    key, at = F.col("event_id"), F.col("ts").cast("timestamp")
+    rows = b.table(spark, sf_dir, "events").select(
+        key.alias("key"), F.when(key % 11 == 0, "run").otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd-HHmm"), F.lit("-"), "event_type")).alias("run_id"), F.when(key % 13 == 0, "planner").otherwise(F.col("event_type")).alias("agent"),
+        F.when(key % 17 == 0, "1999-01").otherwise(F.date_format("ts", "yyyy-MM")).alias("folder"), at.alias("started"), (at + F.make_dt_interval(secs=F.get_json_object("props", "$.k").cast("int") - 20)).alias("finished"),
+        F.col("value").alias("declared"), F.when(F.col("event_type") == "error", "partial").otherwise("success").alias("status"), F.when(key % 2 == 0, "blocked").alias("reason"),
+    )
+    return q.reports(rows)
 
 
 @query(f"SELECT level, count(*) AS n, level = 'error' AS fails FROM ({_TIMES} UNION ALL {_DOCS}) GROUP BY level")

@@ -9,6 +9,7 @@ from ..functions import price, text
 from ..operators import normalize as n
 from ..sources import files as s
 from ..streaming import stateful as st
+from .health import _SIG
 from .registry import query
 
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
@@ -266,7 +267,7 @@ def parse_when_range(spark, sf_dir):
 # --- streams
 
 
-@query()
+@query(f"""SELECT source, failures, items, CASE WHEN failures >= 3 THEN 'broken' WHEN baseline >= 3 AND items = 0 THEN 'suspect' WHEN baseline >= 3 AND items < 0.4 * baseline THEN 'degraded' ELSE 'healthy' END AS state FROM {_SIG}""", "runs")
 def stream_source_health(spark, sf_dir):
     return st.drain(spark, st.source_health(st.run_stream(spark, sf_dir)), "update", "stream-health")
 

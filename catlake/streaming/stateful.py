@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from statistics import median
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -20,12 +20,19 @@ from ..operators.merge import merge_by_key
 from ..sources.files import work_folder
 
 
-def run_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The attempts of the table ``events`` as a stream of files."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 4).parquet(sf_dir)
+def run_stream(spark: SparkSession, sf_dir: str, arrivals: int = 3) -> DataFrame:
+    """The attempts of the table ``events`` as a stream of files that arrive in the order of their days, in about ``arrivals`` micro-batches."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    folder = work_folder(spark, "arrivals")
+    part = F.ntile(arrivals).over(Window.orderBy("day"))  # over the days, of which there are few
+    days = rows.groupBy(F.to_date("ts").alias("day")).count().select("day", part.alias("arrival"))
+    dealt = rows.withColumn("day", F.to_date("ts")).join(days, "day").drop("day")
+    for k in range(1, arrivals + 1):  # one after another, as files arrive
+        dealt.filter(F.col("arrival") == k).drop("arrival").write.mode("append").parquet(folder)
+    files = len(spark.read.parquet(folder).inputFiles())
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, -(-files // arrivals))).parquet(folder)
     k = F.get_json_object("props", "$.k").cast("int")
-    return rows.select(
+    return stream.select(
         F.col("user_id").alias("source"), (k % 3).alias("item"), "event_id", "event_type", F.col("ts").cast("timestamp").alias("at"),
         (F.col("event_type") != "error").alias("ok"), F.when(F.col("event_type") != "error", k % 7).alias("items"),
     )
@@ -38,8 +45,10 @@ def drain(spark: SparkSession, stream: DataFrame, mode: str, name: str) -> DataF
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
+    empty = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema)
+    spark.createDataFrame([], empty).write.parquet(f"{folder}/out/batch=-1")  # an empty stream has no batch
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in stream.schema)}, batch int").parquet(f"{folder}/out")
+    rows = spark.read.schema(f"{empty}, batch int").parquet(f"{folder}/out")
     keys = [c for c in ("source", "item") if c in stream.columns]
     if mode != "update":
         return rows.drop("batch")
@@ -66,9 +75,9 @@ def source_health(runs: DataFrame) -> DataFrame:
         baseline, items = (median(base) if base else 0), newest[0][1]
         judged = baseline >= LOW_BASELINE and items is not None
         verdict = "broken" if failures >= BROKEN_AFTER else "suspect" if judged and items == 0 else "degraded" if judged and items < DEGRADED_RATIO * baseline else "healthy"
-        yield pd.DataFrame({"source": [key[0]], "failures": [failures], "items": pd.array([items], dtype="Int64"), "state": [verdict]})
+        yield pd.DataFrame({"source": [key[0]], "failures": [failures], "items": [float("nan") if items is None else items], "state": [verdict]}).astype({"items": "float64"})
 
-    return runs.groupBy("source").applyInPandasWithState(step, "source long, failures long, items long, state string", "past string", "update", GroupStateTimeout.NoTimeout)
+    return runs.groupBy("source").applyInPandasWithState(step, "source long, failures long, items double, state string", "past string", "update", GroupStateTimeout.NoTimeout).withColumn("items", F.when(~F.isnan("items"), F.col("items").cast("long")))
 
 
 def missing_runs(runs: DataFrame) -> DataFrame:
@@ -110,13 +119,16 @@ def catalog_ingest(spark: SparkSession, runs: DataFrame) -> DataFrame:
     folder = work_folder(spark, "ingest")
     schema = "source long, last_id long, events long"
 
+    spark.createDataFrame([], schema).write.parquet(f"{folder}/version=-1")
+
     def upsert(batch: DataFrame, number: int) -> None:
+        # A batch that is repeated after a restart starts from the version before it again.
         new = batch.groupBy("source").agg(F.max("event_id").alias("last_id"), F.count("*").alias("events"))
-        old = spark.read.schema(schema).parquet(f"{folder}/version={number - 1}") if number else spark.createDataFrame([], schema)
+        old = spark.read.schema(schema).parquet(f"{folder}/version={number - 1}")
         rules = {"last_id": F.greatest("o.last_id", "n.last_id"), "events": F.coalesce("o.events", F.lit(0)) + F.coalesce("n.events", F.lit(0))}
         merge_by_key(old, new, ["source"], rules).drop("outcome").write.mode("overwrite").parquet(f"{folder}/version={number}")
 
     query = runs.writeStream.option("checkpointLocation", f"{folder}/state").foreachBatch(upsert).trigger(availableNow=True).start()
     query.awaitTermination()
-    last = max((p["batchId"] for p in query.recentProgress if p["numInputRows"]), default=0)
+    last = max((p["batchId"] for p in query.recentProgress if p["numInputRows"]), default=-1)
     return spark.read.schema(schema).parquet(f"{folder}/version={last}")
