@@ -115,6 +115,18 @@ def match_lines_links(spark, sf_dir):
     return merged.select("record", "candidate", F.col("outcome").alias("outcome")).unionByName(reviews.select("record", "candidate", F.lit("queued").alias("outcome")))
 
 
+@query()
+def match_lines_gate(spark, sf_dir):
+    return m.review_gate(_line_matches(spark, sf_dir)).select("c_id", "state")
+
+
+@query()
+def match_lines_calibration(spark, sf_dir):
+    """How decisions agree with equal titles; ``match_calibration`` has pairs whose truth doesn't come from the score."""
+    known = _line_matches(spark, sf_dir).withColumn("same", F.col("title_similarity") == 1.0)
+    return known.groupBy("same", "decision").agg(F.count("*").alias("n"))
+
+
 @query("SELECT * FROM matches", "matches")
 def match_candidates(spark, sf_dir):
     return m.match_events(*_events(spark, sf_dir))

@@ -117,12 +117,12 @@ def test_calibration_counts_every_candidate(spark, duck):
     lines = bindings.first_lines(spark, DIR)
     records = lines.filter("id % 3 <> 1").select("lang", "source").distinct()
     n = lines.filter("id % 3 = 1").join(records, ["lang", "source"], "left_semi").count()
-    assert QUERIES["match_calibration"](spark, DIR).agg(F.sum("n")).first()[0] == QUERIES["match_review_gate"](spark, DIR).count() == n
+    assert QUERIES["match_lines_calibration"](spark, DIR).agg(F.sum("n")).first()[0] == QUERIES["match_lines_gate"](spark, DIR).count() == n
 
 
 def test_each_automatic_match_is_a_link(spark):
-    links = QUERIES["apply_matches"](spark, DIR).filter("outcome = 'created'")
-    assert links.count() == QUERIES["match_candidates"](spark, DIR).filter("decision = 'auto-merge'").count()
+    links = QUERIES["match_lines_links"](spark, DIR).filter("outcome = 'created'")
+    assert links.count() == QUERIES["match_lines"](spark, DIR).filter("decision = 'auto-merge'").count()
 
 
 @pytest.mark.parametrize("name", ["health_listing_order_all", "review_priority_all", "catalog_order_all"])
@@ -138,7 +138,7 @@ def test_long_records_keep_their_days_and_weeks(spark):
 
 
 def test_a_short_page_with_one_event_is_judged(spark):
-    event = '<html><title>t</title><script type="application/ld+json">{"@type": "MusicEvent"}</script><p>short</p></html>'
+    event = '<html><title>t</title><script type="application/ld+json">{"@type": "MusicEvent", "startDate": "2026-05-01"}</script><p>short</p></html>'
     page = spark.createDataFrame([(1, "https://a.example/x", event), (2, "https://a.example/y", "<p>short</p>")], "page_id long, url string, html string")
     kinds = {r["page_id"]: r["kind"] for r in pages.classify(pages.signals(page)).collect()}
     assert kinds == {1: "event-detail", 2: "unknown"}
