@@ -88,14 +88,7 @@ def matchable(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, title, lang, source, title_key): the first forty characters of each document, to be matched in blocks of language and beginning."""
-    docs = table(spark, sf_dir, "documents")
-    title = F.substring(F.col("text"), 1, 40)
-    return docs.select(F.col("doc_id").alias("id"), title.alias("title"), "lang", "source", fold(title).alias("title_key"))
-
-
 def first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, title, lang, source, title_key): the whole first line of each document, to be matched in blocks of language and source."""
+    """(id, title, lang, source, title_key): the whole first line of each document, to be matched in blocks of its language and more."""
     title = F.substring_index("text", "\n", 1)
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), title.alias("title"), "lang", "source", fold(title).alias("title_key"))

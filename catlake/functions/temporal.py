@@ -84,8 +84,13 @@ def date_parts(written: Column) -> Column:
 def dates_in(plain: Column) -> Column:
     """The valid dates of an unaccented text, as structs (d, m, y), in the order of their forms; a day that only leap years have is valid without a year."""
     found = F.concat(F.regexp_extract_all(plain, F.lit(WRITTEN_DATE), F.lit(0)), F.regexp_extract_all(plain, F.lit(ISO_DATE), F.lit(0)))
-    there = lambda p: F.coalesce(p["m"].between(1, 12) & p["d"].between(1, 31) & (p["d"] <= F.day(F.last_day(F.make_date(F.coalesce(p["y"], F.lit(2024)), F.when(p["m"].between(1, 12), p["m"]), F.lit(1))))), F.lit(False))
-    return F.filter(F.transform(found, date_parts), there)
+    return F.filter(F.transform(found, date_parts), valid_parts)
+
+
+def valid_parts(p: Column) -> Column:
+    """Whether a calendar has the day of a struct (d, m, y)."""
+    last = F.last_day(F.make_date(F.coalesce(p["y"], F.lit(2024)), F.when(p["m"].between(1, 12), p["m"]), F.lit(1)))
+    return F.coalesce(p["m"].between(1, 12) & p["d"].between(1, 31) & (p["d"] <= F.day(last)), F.lit(False))
 
 
 def parse_when(text: Column, zone: str = "UTC") -> Column:

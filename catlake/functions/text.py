@@ -32,6 +32,11 @@ _NAMED = "\x01".join(f"{name[:-1]}\x02{sign}" for name, sign in html5.items() if
 _ENTITY = "&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 
 
+def unaccent_in_place(text: Column) -> Column:
+    """Lower case without accents, character by character, so that offsets stay those of the text; marks of their own and the sharp s stay."""
+    return F.translate(F.lower(text), ACCENTED[: len(PLAIN)], PLAIN)
+
+
 def unaccent(text: Column) -> Column:
     return F.translate(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), ACCENTED, PLAIN)
 

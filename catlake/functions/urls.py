@@ -20,7 +20,7 @@ def canonical_url(url: Column) -> Column:
     """https, lower-case host, no default port, no tracking, sorted parameters, no fragment but ``#!``, no trailing slash.
 
     Odd characters of path and query are escaped once, escapes are in capitals and never decoded; a host that isn't
-    ASCII stays as written, as Spark has no punycode. Null for anything that is no http or https URL with a host, or that holds white space.
+    ASCII is put into punycode where it can be. Null for anything that is no http or https URL with a host, or that holds white space.
     """
     return let(F.regexp_replace(F.trim(url), "^<|>$", ""), _canonical)
 
@@ -60,7 +60,8 @@ def _joined(part: Column) -> Column:
     asked = F.when(part["query"] == "", "").otherwise(let(joined, lambda q: F.when(q != "", F.concat(F.lit("?"), _encoded(q))).otherwise("")))
     mark = F.when(part["mark"].startswith("#!"), part["mark"]).otherwise("")
     good = F.lower(part["scheme"]).isin("http", "https") & ~part["spaced"]
-    return F.when(good, let(host, lambda h: F.when(h != "", F.concat(F.lit("https://"), h, path, asked, mark))))
+    ascii_host = let(host, lambda h: F.when(h.rlike(r"[^\x00-\x7F]"), F.coalesce(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), h), h)).otherwise(h))
+    return F.when(good, let(ascii_host, lambda h: F.when(h != "", F.concat(F.lit("https://"), h, path, asked, mark))))
 
 
 def resolve_item_url(item: Column, base: Column) -> Column:

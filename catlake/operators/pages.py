@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binding import let
-from ..functions.temporal import ISO_DATE, MONTHS, WRITTEN_DATE, dates_in
-from ..functions.text import clean_text, decode_entities, unaccent
+from ..functions.temporal import ISO_DATE, MONTHS, WRITTEN_DATE, date_parts, dates_in, valid_parts
+from ..functions.text import clean_text, decode_entities, unaccent, unaccent_in_place
 
 ITEM = "page_id long, position int, uid string, title string, start_at string, end_at string, venue string, url string, recurring boolean"
 _ITEM_FIELDS = ["uid", "title", "start_at", "end_at", "venue", "url"]
@@ -30,6 +30,20 @@ def date_mentions(texts: DataFrame, key: str, text: str) -> DataFrame:
     return found.withColumn("_n", dated).filter("year IS NOT NULL OR _n = 0").drop("_n")
 
 
+def date_offsets(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, day, month, year, start, end): every valid date in a text, repeats included, and which characters of it (from 0, end excluded) write it.
+
+    ``key`` tells texts apart. A text is cut at its dates, and the lengths of what lies before a date are summed.
+    """
+    plain = unaccent_in_place(F.col(text))
+    cut = lambda form: F.arrays_zip(F.split(plain, form, -1).alias("gap"), F.regexp_extract_all(plain, F.lit(form), F.lit(0)).alias("written"))
+    forms = texts.select(key, F.posexplode(F.array(cut(WRITTEN_DATE), cut(ISO_DATE))).alias("_form", "pieces"))
+    pieces = forms.select(key, "_form", F.posexplode("pieces").alias("_at", "p")).select(key, "_form", "_at", "p.gap", "p.written").filter("written IS NOT NULL")
+    through = F.sum(F.length("gap") + F.length("written")).over(Window.partitionBy(key, "_form").orderBy("_at")).cast("int")
+    dates = pieces.withColumn("end", through).withColumn("d", date_parts(F.col("written"))).filter(valid_parts(F.col("d")))
+    return dates.select(key, F.col("d.d").alias("day"), F.col("d.m").alias("month"), F.col("d.y").alias("year"), (F.col("end") - F.length("written")).alias("start"), "end")
+
+
 #: What marks events, listings and calendars in addresses, attributes, texts and types; fixed values.
 EVENT_FOLDERS = ("akce", "akci", "udalost", "udalosti", "event", "events", "program", "koncert", "koncerty", "predstaveni", "vystava", "vystavy", "detail")
 PAGER_NAMES = ("pagination", "pager", "paging", "strankovani", "page-numbers")
@@ -202,16 +216,45 @@ def classify(marks: DataFrame) -> DataFrame:
     return rows.select("page_id", kind.alias("kind"), F.array_join(F.array_sort(F.concat("ls", "lw", "ds", "dw")), ",").alias("reasons"))
 
 
+#: Types of events beside those whose name ends in Event; fixed values.
+OTHER_EVENT_TYPES = ("CourseInstance", "EventSeries", "Festival", "Hackathon")
+
+
+def _json_objects(node: Column) -> Column:
+    """The texts of a JSON value and of what it holds at any depth in lists, in fields without @ and in @graph, each with its path."""
+    made = lambda path, json: F.struct(path.alias("path"), json.alias("json"))
+    none = F.array().cast("array<string>")
+
+    def held(json: Column) -> Column:
+        fields = F.map_filter(F.from_json(json, "map<string,string>"), lambda k, v: (~k.startswith("@") | (k == "@graph")) & F.ltrim(v).rlike(r"^[\[{]"))
+        opened = F.flatten(F.transform(F.map_values(fields), lambda v: F.when(F.ltrim(v).startswith("["), F.from_json(v, "array<string>")).otherwise(F.array(v))))
+        return F.coalesce(F.when(json.startswith("["), F.from_json(json, "array<string>")).when(json.startswith("{"), opened), none)
+
+    def below(nodes: Column) -> Column:
+        inner = lambda n: F.transform(held(n["json"]), lambda c, i: made(F.concat(n["path"], F.array(i)), F.ltrim(c)))
+        return F.flatten(F.transform(nodes, inner))
+
+    def deeper(found: Column, _: Column) -> Column:
+        added = lambda new: F.struct(F.concat(found["all"], new).alias("all"), new.alias("last"))
+        return F.when(F.size(found["last"]) == 0, found).otherwise(let(below(found["last"]), added))
+
+    root = F.array(made(F.array().cast("array<int>"), F.trim(node)))
+    levels = F.sequence(F.lit(0), F.size(F.split(node, r"[\[{]")))  # no value is nested deeper than it has brackets
+    return F.aggregate(levels, F.struct(root.alias("all"), root.alias("last")), deeper)["all"]
+
+
 def jsonld_items(pages: DataFrame) -> DataFrame:
-    """Event items of the JSON-LD blocks, each block an item, a list or a @graph; an unreadable block is an item of nulls."""
+    """Event items of the JSON-LD blocks, wherever a block holds them (lists, @graph, ItemList, fields), in the order of the text;
+    an unreadable block is an item of nulls."""
     blocks = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r'(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>'), F.lit(1))).alias("block", "json"))
     one = "struct<`@type`:string,`@id`:string,name:string,startDate:string,endDate:string,url:string,location:struct<name:string>>"
-    graph = F.from_json("json", f"struct<`@graph`:array<{one}>>")["@graph"]
-    items = F.when(F.trim("json").startswith("["), F.from_json("json", f"array<{one}>")).when(F.coalesce(F.size(graph), F.lit(0)) > 0, graph).otherwise(F.array(F.from_json("json", one)))
-    rows = blocks.select("page_id", "block", F.try_parse_json("json").isNull().alias("unparsed"), F.posexplode_outer(items).alias("i", "e"))
-    kept = rows.filter(F.col("unparsed") | F.col("e")["@type"].endswith("Event"))
+    kind = rf'(?:^|["/])(?:[A-Za-z]*Event|{"|".join(OTHER_EVENT_TYPES)})(?:"|$)'
+    rows = blocks.select("page_id", "block", F.try_parse_json("json").isNull().alias("unparsed"), "json")
+    nodes = F.when(F.col("unparsed"), F.array(F.struct(F.array().cast("array<int>").alias("path"), F.lit(None).cast("string").alias("json")))).otherwise(_json_objects(F.col("json")))
+    each = rows.select("page_id", "block", "unparsed", F.explode(nodes).alias("n")).filter("unparsed OR startswith(n.json, '{')")
+    kept = each.withColumn("e", F.from_json("n.json", one)).filter(F.col("unparsed") | F.col("e")["@type"].rlike(kind))
     return kept.select(
-        "page_id", (F.row_number().over(Window.partitionBy("page_id").orderBy("block", "i")) - 1).alias("position"), F.col("e")["@id"].alias("uid"), clean_text(F.col("e")["name"]).alias("title"),
+        "page_id", (F.row_number().over(Window.partitionBy("page_id").orderBy("block", "n.path")) - 1).alias("position"), F.col("e")["@id"].alias("uid"), clean_text(F.col("e")["name"]).alias("title"),
         F.col("e")["startDate"].alias("start_at"), F.col("e")["endDate"].alias("end_at"), F.col("e")["location"]["name"].alias("venue"), F.col("e")["url"].alias("url"), F.lit(False).alias("recurring"),
     )
 

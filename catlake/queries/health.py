@@ -63,6 +63,12 @@ def last_success_at(spark, sf_dir):
     return _signals(spark, sf_dir).select("source", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("last_success_at", "last_item_at")])
 
 
+@query("SELECT source, strftime(max(CASE WHEN items > 0 THEN fetched_at END), '%Y-%m-%d %H:%M:%S') AS last_item_at FROM runs GROUP BY source", "runs")
+def last_item_at(spark, sf_dir):
+    newest = F.max(F.when(F.col("items") > 0, F.col("fetched_at")))
+    return b.runs(spark, sf_dir).groupBy("source").agg(F.date_format(newest, "yyyy-MM-dd HH:mm:ss").alias("last_item_at"))
+
+
 @query(f"SELECT source, CAST(baseline AS DOUBLE) AS baseline FROM {_SIG}", "runs")
 def baseline_median(spark, sf_dir):
     return _signals(spark, sf_dir).select("source", "baseline")
@@ -127,8 +133,7 @@ _REPORT = f"""(SELECT c_custkey AS source, coalesce(state, 'unchecked') AS state
       CAST(floor((epoch(TIMESTAMP '{_NOW}') - epoch(date_trunc('second', last_item_at))) / 86400) AS BIGINT) AS days_since_item,
       CAST(floor((epoch(TIMESTAMP '{_NOW}') - epoch(date_trunc('second', checked_at))) / 86400) AS BIGINT) AS days_since_check,
       coalesce(floor((epoch(TIMESTAMP '{_NOW}') - epoch(date_trunc('second', checked_at))) / 86400) > 2 * (c_custkey % 2), false) AS overdue
-    FROM customer LEFT JOIN {_STATE} ON source = c_custkey WHERE c_custkey < 200)"""
-_REPORT_ALL = _REPORT.replace(" WHERE c_custkey < 200)", ")")
+    FROM customer LEFT JOIN {_STATE} ON source = c_custkey)"""
 
 
 def _report(spark, sf_dir):
@@ -136,37 +141,24 @@ def _report(spark, sf_dir):
     return h.health_report(sources, _health(spark, sf_dir), F.lit(_NOW).cast("timestamp"))
 
 
-@query(f"SELECT * FROM {_REPORT_ALL}", "runs")
-def health_report_all(spark, sf_dir):
-    return _report(spark, sf_dir)
-
-
 @query(f"SELECT * FROM {_REPORT}", "runs")
 def health_report(spark, sf_dir):
-    return health_report_all(spark, sf_dir).filter("source < 200")
-
+    return _report(spark, sf_dir)
 
-@query(f"SELECT source, state, days_since_item FROM {_REPORT_ALL} WHERE state NOT IN ('healthy', 'unchecked')", "runs")
-def repair_queue_all(spark, sf_dir):
-    return h.repair_queue(_report(spark, sf_dir)).select("source", "state", "days_since_item")
 
 
 @query(f"SELECT source, state, days_since_item FROM {_REPORT} WHERE state NOT IN ('healthy', 'unchecked')", "runs")
 def repair_queue(spark, sf_dir):
-    return repair_queue_all(spark, sf_dir).filter("source < 200")
+    return h.repair_queue(_report(spark, sf_dir)).select("source", "state", "days_since_item")
+
 
 
 @query("SELECT row_number() OVER (ORDER BY CASE WHEN o_orderpriority = '1-URGENT' THEN 0 ELSE 1 END, o_orderkey) AS place_in_order, o_orderkey AS id, o_orderpriority AS priority FROM orders")
-def health_listing_order_all(spark, sf_dir):
+def health_listing_order(spark, sf_dir):
     rows = b.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority"))
     return placed(rows, (F.col("priority") != "1-URGENT"), "id")
 
 
-@query("SELECT o_orderkey AS id, o_orderpriority AS priority FROM orders ORDER BY CASE WHEN o_orderpriority = '1-URGENT' THEN 0 ELSE 1 END, o_orderkey LIMIT 500")
-def health_listing_order(spark, sf_dir):
-    rows = b.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority"))
-    return rows.orderBy((F.col("priority") == "1-URGENT").desc(), "id").limit(500)
-
 
 @query(f"""SELECT o.source, coalesce(o.first_alerted_at, CASE WHEN s_acctbal > 0 THEN '2023-12-31' END) AS first_alerted_at FROM {_STORED} o LEFT JOIN supplier ON s_suppkey = o.source""")
 def seed_state(spark, sf_dir):
@@ -209,19 +201,15 @@ def missing_runs(spark, sf_dir):
 
 
 _DUE = f"""SELECT c_custkey AS source FROM customer LEFT JOIN (SELECT source, max(fetched_at) AS last FROM runs GROUP BY source) ON source = c_custkey
-    WHERE c_acctbal > 0 AND c_custkey < 300 AND (last IS NULL OR floor(epoch(last)) + (c_custkey % 5) * 86400 <= epoch(TIMESTAMP '{_NOW}'))"""
+    WHERE c_acctbal > 0 AND (last IS NULL OR floor(epoch(last)) + (c_custkey % 5) * 86400 <= epoch(TIMESTAMP '{_NOW}'))"""
 
 
-@query(_DUE.replace(" AND c_custkey < 300", ""), "runs")
-def due_sources_all(spark, sf_dir):
+@query(_DUE, "runs")
+def due_sources(spark, sf_dir):
     sources = b.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source"), (F.col("c_custkey") % 5).alias("interval"), (F.col("c_acctbal") > 0).alias("enabled"))
     return h.due_sources(sources, b.runs(spark, sf_dir), F.lit(_NOW).cast("timestamp")).select("source")
 
 
-@query(_DUE, "runs")
-def due_sources(spark, sf_dir):
-    return due_sources_all(spark, sf_dir).filter("source < 300")
-
 
 @query("""SELECT source, arg_max(id, (epoch(fetched_at), id)) AS id FROM runs WHERE ok AND items > 0 GROUP BY source""", "runs")
 def last_good_reference(spark, sf_dir):

@@ -13,16 +13,16 @@ from ..operators.windows import first_occurrence as first
 from .registry import query
 
 _BLOCK = ["lang", "start"]
-_SIDES = """(SELECT lang, substr(title_key, 1, 4) AS start, title_key, min(id) AS id, count(*) AS copies FROM titles WHERE id % 2 = {} GROUP BY ALL)"""
+_SIDES = """(SELECT lang, substr(title_key, 1, 4) AS start, title_key, min(id) AS id, count(*) AS copies FROM lines WHERE id % 2 = {} GROUP BY ALL)"""
 _PAIRS = f"(SELECT c.id AS c_id, r.id AS r_id, c.title_key AS c_key, r.title_key AS r_key FROM {_SIDES.format(1)} c JOIN {_SIDES.format(0)} r USING (lang, start))"
 
 
 def _sides(spark, sf_dir):
-    rows = b.titles(spark, sf_dir).withColumn("start", F.substring("title_key", 1, 4))
+    rows = b.first_lines(spark, sf_dir).withColumn("start", F.substring("title_key", 1, 4))
     return m.distinct_titles(rows.filter("id % 2 = 1"), _BLOCK), m.distinct_titles(rows.filter("id % 2 = 0"), _BLOCK)
 
 
-@query(f"SELECT c_id, r_id FROM {_PAIRS}", "titles")
+@query(f"SELECT c_id, r_id FROM {_PAIRS}", "lines")
 def block_pairs(spark, sf_dir):
     return m.block_pairs(*_sides(spark, sf_dir), _BLOCK).select("c_id", "r_id")
 

@@ -10,8 +10,7 @@ from ..functions.temporal import parse_when as when_of
 from ..operators import pages as g
 from .registry import query
 
-_DERIVED = "SELECT id AS page_id, CAST({position} AS INTEGER) AS position, {uid} AS uid, title, CAST(start_day AS VARCHAR) AS start_at, CAST(end_day AS VARCHAR) AS end_at, place AS venue, {url} AS url FROM pub WHERE id % 3 = {rest}"
-_WHOLE = lambda narrowed: narrowed.replace(" WHERE id % 3 = 0", "").replace(" WHERE id % 3 = 1", "").replace(" WHERE id % 3 = 2", "")
+_DERIVED = "SELECT id AS page_id, CAST({position} AS INTEGER) AS position, {uid} AS uid, title, CAST(start_day AS VARCHAR) AS start_at, CAST(end_day AS VARCHAR) AS end_at, place AS venue, {url} AS url FROM pub"
 
 
 def _records(spark, sf_dir, rest):
@@ -49,56 +48,40 @@ def _feed(spark, sf_dir, rest=0):
 _ITEM_COLUMNS = ["page_id", "position", "uid", "title", "start_at", "end_at", "venue", "url"]
 
 
-_JSONLD = _DERIVED.format(position=0, uid="'e' || id", url="CAST(NULL AS VARCHAR)", rest=0)
-
-
-@query(_WHOLE(_JSONLD), "pub")
-def jsonld_items_all(spark, sf_dir):
-    return g.jsonld_items(_jsonld(spark, sf_dir, None)).select(*_ITEM_COLUMNS)
+_JSONLD = _DERIVED.format(position=0, uid="'e' || id", url="CAST(NULL AS VARCHAR)")
 
 
 @query(_JSONLD, "pub")
 def jsonld_items(spark, sf_dir):
-    return g.jsonld_items(_jsonld(spark, sf_dir)).select(*_ITEM_COLUMNS)
+    return g.jsonld_items(_jsonld(spark, sf_dir, None)).select(*_ITEM_COLUMNS)
 
 
-_MICRODATA = _DERIVED.format(position=0, uid="CAST(NULL AS VARCHAR)", url="CAST(NULL AS VARCHAR)", rest=1)
 
-
-@query(_WHOLE(_MICRODATA), "pub")
-def microdata_items_all(spark, sf_dir):
-    return g.extract(_microdata(spark, sf_dir, None), g.microdata).select(*_ITEM_COLUMNS)
+_MICRODATA = _DERIVED.format(position=0, uid="CAST(NULL AS VARCHAR)", url="CAST(NULL AS VARCHAR)")
 
 
 @query(_MICRODATA, "pub")
 def microdata_items(spark, sf_dir):
-    return g.extract(_microdata(spark, sf_dir), g.microdata).select(*_ITEM_COLUMNS)
-
+    return g.extract(_microdata(spark, sf_dir, None), g.microdata).select(*_ITEM_COLUMNS)
 
-_CARDS = _DERIVED.format(position=0, uid="CAST(NULL AS VARCHAR)", url="'/e/' || id", rest=2).replace("CAST(end_day AS VARCHAR) AS end_at", "CAST(NULL AS VARCHAR) AS end_at")
 
 
-@query(_WHOLE(_CARDS), "pub")
-def card_items_all(spark, sf_dir):
-    return g.extract(_cards(spark, sf_dir, None), g.cards).select(*_ITEM_COLUMNS)
+_CARDS = _DERIVED.format(position=0, uid="CAST(NULL AS VARCHAR)", url="'/e/' || id").replace("CAST(end_day AS VARCHAR) AS end_at", "CAST(NULL AS VARCHAR) AS end_at")
 
 
 @query(_CARDS, "pub")
 def card_items(spark, sf_dir):
-    return g.extract(_cards(spark, sf_dir), g.cards).select(*_ITEM_COLUMNS)
-
+    return g.extract(_cards(spark, sf_dir, None), g.cards).select(*_ITEM_COLUMNS)
 
-_FEED = _DERIVED.format(position=0, uid="'e' || id", url="CAST(NULL AS VARCHAR)", rest=0).replace(" AS url FROM", " AS url, id % 2 = 0 AS recurring FROM")
 
 
-@query(_WHOLE(_FEED), "pub")
-def calendar_feed_items_all(spark, sf_dir):
-    return g.extract(_feed(spark, sf_dir, None), g.calendar_feed).select(*_ITEM_COLUMNS, "recurring")
+_FEED = _DERIVED.format(position=0, uid="'e' || id", url="CAST(NULL AS VARCHAR)").replace(" AS url FROM", " AS url, id % 2 = 0 AS recurring FROM")
 
 
 @query(_FEED, "pub")
 def calendar_feed_items(spark, sf_dir):
-    return g.extract(_feed(spark, sf_dir), g.calendar_feed).select(*_ITEM_COLUMNS, "recurring")
+    return g.extract(_feed(spark, sf_dir, None), g.calendar_feed).select(*_ITEM_COLUMNS, "recurring")
+
 
 
 @query("SELECT CASE id % 3 WHEN 0 THEN 'jsonld' WHEN 1 THEN 'microdata' ELSE 'cards' END AS adapter, count(*) AS n FROM pub GROUP BY 1 UNION ALL SELECT 'calendar', count(*) FROM pub WHERE id % 3 = 0", "pub")
@@ -181,6 +164,19 @@ def page_date_mentions(spark, sf_dir):
     return g.date_mentions(b.published(spark, sf_dir).select("id", text.alias("text")), "id", "text")
 
 
+_SPOKEN = "extract(day FROM start_day) || '. ' || extract(month FROM start_day) || '. ' || extract(year FROM start_day)"
+_PARTS_OF = "CAST(extract(day FROM {0}) AS INTEGER) AS day, CAST(extract(month FROM {0}) AS INTEGER) AS month, CAST(extract(year FROM {0}) AS INTEGER) AS year"
+
+
+@query(f"""SELECT id, {_PARTS_OF.format('start_day')}, CAST(length(title) + 6 AS INTEGER) AS start, CAST(length(title) + 6 + length({_SPOKEN}) AS INTEGER) AS "end" FROM pub UNION ALL
+    SELECT id, {_PARTS_OF.format('start_day')}, CAST(length(title) + 9 + length({_SPOKEN}) AS INTEGER), CAST(length(title) + 9 + 2 * length({_SPOKEN}) AS INTEGER) FROM pub UNION ALL
+    SELECT id, {_PARTS_OF.format('end_day')}, CAST(length(title) + 13 + 2 * length({_SPOKEN}) AS INTEGER), CAST(length(title) + 23 + 2 * length({_SPOKEN}) AS INTEGER) FROM pub WHERE end_day IS NOT NULL""", "pub")
+def page_date_offsets(spark, sf_dir):
+    spoken = F.date_format("start_day", "d. M. y")
+    text = F.concat(F.lit("Říj "), "title", F.lit(": "), spoken, F.lit(" = "), spoken, F.lit(" až "), F.coalesce(F.col("end_day").cast("string"), F.lit("?")))
+    return g.date_offsets(b.published(spark, sf_dir).select("id", text.alias("text")), "id", "text")
+
+
 @query("SELECT id, CAST(start_day AS VARCHAR) AS date_text, title, place AS venue, id % 2 = 0 AS ongoing FROM pub", "pub")
 def listing_block_items(spark, sf_dir):
     text = F.concat(F.lit("\n  "), F.col("start_day").cast("string"), F.lit(" \n\n"), "title", F.lit("\n"), "place", F.when(F.col("id") % 2 == 0, "\nOngoing").otherwise(""))

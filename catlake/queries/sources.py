@@ -24,17 +24,13 @@ def _catalog_files(spark, sf_dir, records):
     return s.load_catalog(spark, f"{folder}/weeks", f"{folder}/manifest").select("id", "week", "title", "end_at", "position")
 
 
-_CATALOG = "SELECT CAST(id AS VARCHAR) AS id, CAST(week_start AS VARCHAR) AS week, title, CAST(end_day AS VARCHAR) AS end_at, CAST(row_number() OVER (PARTITION BY week_start ORDER BY CAST(id AS VARCHAR)) - 1 AS INTEGER) AS position FROM wks JOIN pub USING (id) WHERE id % 5 = 1"
-
-
-@query(_CATALOG.replace(" WHERE id % 5 = 1", ""), "wks")
-def load_catalog_all(spark, sf_dir):
-    return _catalog_files(spark, sf_dir, b.published(spark, sf_dir))
+_CATALOG = "SELECT CAST(id AS VARCHAR) AS id, CAST(week_start AS VARCHAR) AS week, title, CAST(end_day AS VARCHAR) AS end_at, CAST(row_number() OVER (PARTITION BY week_start ORDER BY CAST(id AS VARCHAR)) - 1 AS INTEGER) AS position FROM wks JOIN pub USING (id)"
 
 
 @query(_CATALOG, "wks")
 def load_catalog(spark, sf_dir):
-    return _catalog_files(spark, sf_dir, b.published(spark, sf_dir).filter("id % 5 = 1"))
+    return _catalog_files(spark, sf_dir, b.published(spark, sf_dir))
+
 
 
 @query("SELECT lower(c) AS norm_key, min(p) AS category, 'kind' AS axis, count(DISTINCT p) AS targets FROM (SELECT p_type AS p, p_type AS c FROM part UNION ALL SELECT p_type, p_brand FROM part WHERE p_size = 50) GROUP BY 1")
@@ -52,7 +48,7 @@ def load_registry(spark, sf_dir):
     return s.load_registry(s.load_lines(spark, folder, "source long, enabled boolean, interval long").drop("_corrupt")).select("source", "enabled", F.col("interval").cast("int").alias("interval"))
 
 
-_CANDIDATES = "SELECT CAST(c AS VARCHAR) AS id, CASE WHEN k % 2 = 0 AND k < 7500 THEN CAST(k AS VARCHAR) END AS record FROM (SELECT o_custkey AS c, max(o_orderkey) AS k FROM orders GROUP BY 1)"
+_CANDIDATES = "SELECT CAST(c AS VARCHAR) AS id, CASE WHEN k % 2 = 0 THEN CAST(k AS VARCHAR) END AS record FROM (SELECT o_custkey AS c, max(o_orderkey) AS k FROM orders GROUP BY 1)"
 
 
 def _candidates(spark, sf_dir, known):
@@ -70,30 +66,32 @@ def _known(spark, sf_dir):
     return b.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"))
 
 
-@query(_CANDIDATES.replace(" AND k < 7500", ""))
-def load_candidates_all(spark, sf_dir):
-    return _candidates(spark, sf_dir, _known(spark, sf_dir))
-
-
 @query(_CANDIDATES)
 def load_candidates(spark, sf_dir):
-    return _candidates(spark, sf_dir, _known(spark, sf_dir).filter("id < 7500"))
+    return _candidates(spark, sf_dir, _known(spark, sf_dir))
 
 
-_CODES = "(SELECT c_custkey AS code, r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE'))"
+
+_KINDS = {"AUTOMOBILE": "town", "BUILDING": "city", "FURNITURE": "village", "HOUSEHOLD": "village", "MACHINERY": "market-town"}
+_KIND = f"CASE c_mktsegment {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _KINDS.items())} END"
+_CODES = f"(SELECT c_custkey AS code, r_name AS region, n_name AS district, {_KIND} AS type FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE'))"
 
 
 def _codelist(spark, sf_dir):
     folder = s.work_folder(spark, "codes")
     nation = b.table(spark, sf_dir, "nation").join(b.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     rows = b.table(spark, sf_dir, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
-    rows.select(F.lit("2024-01-01").alias("valid_from"), F.col("c_name").alias("name"), F.col("c_custkey").alias("code"), F.col("r_name").alias("region")).write.option("header", True).csv(folder)
-    return s.load_codelist(spark, folder, ["valid_from", "name", "code", "region"], ["ASIA", "EUROPE"], 10)
+    rows.select(
+        F.lit("2024-01-01").alias("valid_from"), F.col("c_name").alias("name"), F.col("c_custkey").alias("code"), F.col("r_name").alias("region"), F.col("n_name").alias("district"), F.col("c_mktsegment").alias("type")
+    ).write.option("header", True).csv(folder)
+    districts = nation.select(F.col("r_name").alias("region"), F.col("n_name").alias("district"))
+    return s.load_codelist(spark, folder, ["valid_from", "name", "code", "region", "district", "type"], ["ASIA", "EUROPE"], 10, _KINDS, districts)
 
 
-@query(f"SELECT CAST(code AS VARCHAR) AS code, region, CAST(NULL AS VARCHAR) AS problem FROM {_CODES}")
+@query(f"""SELECT CAST(code AS VARCHAR) AS code, region, district, type, CASE WHEN EXISTS (FROM {_CODES} WHERE type IS NULL) THEN 'unknown-type'
+      WHEN (SELECT count(DISTINCT district) FROM {_CODES}) <> (SELECT count(*) FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE')) THEN 'other-districts' END AS problem FROM {_CODES}""")
 def load_codelist_csv(spark, sf_dir):
-    return _codelist(spark, sf_dir).select("code", "region", "problem")
+    return _codelist(spark, sf_dir).select("code", "region", "district", "type", "problem")
 
 
 @query(f"SELECT region, count(*) AS n FROM {_CODES} GROUP BY ROLLUP (region)")
@@ -169,7 +167,7 @@ def feed_export(spark, sf_dir):
 
 
 _A, _P = text.ACCENTED, text.PLAIN
-_PLAIN = f"translate(replace(lower(substr(text, 1, 80)), 'ß', 'ss'), '{_A}', '{_P}')"
+_PLAIN = f"translate(replace(lower(text), 'ß', 'ss'), '{_A}', '{_P}')"
 _FOLD = f"""SELECT doc_id AS id, trim(regexp_replace({_PLAIN}, '[^a-z0-9]+', ' ', 'g')) AS "match", regexp_replace({_PLAIN}, '[^a-z0-9]+', '', 'g') AS sort,
       regexp_replace(regexp_replace({_PLAIN}, '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents"""
 
@@ -178,14 +176,10 @@ def _folded(spark, sf_dir, of):
     return b.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), *[text.fold(of, v).alias(v) for v in ("match", "sort", "slug")])
 
 
-@query(_FOLD.replace("substr(text, 1, 80)", "text"))
-def fold_text_all(spark, sf_dir):
-    return _folded(spark, sf_dir, F.col("text"))
-
-
 @query(_FOLD)
 def fold_text(spark, sf_dir):
-    return _folded(spark, sf_dir, F.substring("text", 1, 80))
+    return _folded(spark, sf_dir, F.col("text"))
+
 
 
 @query("SELECT page_id AS id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \\t\\n]+', ' ', 'g')) AS title FROM pages")
@@ -283,17 +277,22 @@ def stream_inbox_dedup(spark, sf_dir):
     return st.drain(spark, st.inbox_dedup(st.run_stream(spark, sf_dir)), "append", "stream-inbox")
 
 
-_RETRY = """SELECT user_id AS source, CASE WHEN sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) > 0 THEN 'candidate' WHEN sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) >= 3 THEN 'failed' ELSE 'new' END AS state FROM events WHERE event_id < 600 GROUP BY 1"""
+@query("""SELECT 'https://example.org/' || day || '?a=' || user_id AS url, string_agg(line, chr(10) ORDER BY ts, event_id) AS note FROM
+    (SELECT *, CASE WHEN event_type <> 'signup' AND row_number() OVER (PARTITION BY day, user_id, event_type ORDER BY ts, event_id) = 1 THEN event_type END AS line FROM (SELECT *, CAST(ts AS DATE) AS day FROM events)) GROUP BY day, user_id""")
+def stream_inbox_notes(spark, sf_dir):
+    day, user = F.to_date("at").cast("string"), F.col("source").cast("string")
+    url = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("HTTP://Example.org:80/"), day, F.lit("/?utm_source=x&a="), user)).otherwise(F.concat(F.lit("https://example.org/"), day, F.lit("?a="), user, F.lit("#top")))
+    note = F.when(F.col("event_type") != "signup", F.concat(F.lit(" "), "event_type"))
+    return st.inbox_notes(spark, st.run_stream(spark, sf_dir).select(url.alias("url"), note.alias("note"), "at", F.col("event_id").alias("id")))
 
 
-@query(_RETRY.replace(" WHERE event_id < 600", ""))
-def stream_retry_queue_all(spark, sf_dir):
-    return st.drain(spark, st.retry_queue(st.run_stream(spark, sf_dir)), "update", "stream-retry")
+_RETRY = """SELECT user_id AS source, CASE WHEN sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) > 0 THEN 'candidate' WHEN sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) >= 3 THEN 'failed' ELSE 'new' END AS state FROM events GROUP BY 1"""
 
 
 @query(_RETRY)
 def stream_retry_queue(spark, sf_dir):
-    return st.drain(spark, st.retry_queue(st.run_stream(spark, sf_dir).filter("event_id < 600")), "update", "stream-retry")
+    return st.drain(spark, st.retry_queue(st.run_stream(spark, sf_dir)), "update", "stream-retry")
+
 
 
 @query("SELECT user_id AS source, max(event_id) AS last_id, count(*) AS events FROM events GROUP BY 1")

@@ -64,10 +64,6 @@ VIEWS = {
         SELECT c_id, best.r_id AS r_id, best.score AS score, CASE WHEN best.score >= 0.92 THEN 'auto-merge' WHEN best.score >= 0.75 THEN 'review' ELSE 'separate' END AS decision,
                round(best.title, 4) AS title, round(best.time, 4) AS time, round(best.venue, 4) AS venue
         FROM (SELECT c_id, arg_min({'r_id': r_id, 'score': score, 'title': title, 'time': time, 'venue': venue}, (-score, r_id)) AS best FROM scored GROUP BY c_id)""",
-    "titles": """
-        SELECT doc_id AS id, substr(text, 1, 40) AS title, lang, source,
-               trim(regexp_replace(translate(replace(lower(substr(text, 1, 40)), 'ß', 'ss'), '{accented}', '{plain}'), '[^a-z0-9]+', ' ', 'g')) AS title_key
-        FROM documents""",
     "lines": """
         SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, lang, source,
                trim(regexp_replace(translate(replace(lower(split_part(text, chr(10), 1)), 'ß', 'ss'), '{accented}', '{plain}'), '[^a-z0-9]+', ' ', 'g')) AS title_key

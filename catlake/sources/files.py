@@ -97,20 +97,32 @@ def load_registry(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"enabled": F.coalesce("enabled", F.lit(True)), "interval": F.coalesce("interval", F.lit(1).cast("long"))})
 
 
-def load_codelist(spark: SparkSession, path: str, required: list[str], regions: list[str], minimum: int) -> DataFrame:
+def load_codelist(spark: SparkSession, path: str, required: list[str], regions: list[str], minimum: int, types: dict[str, str] | None = None, districts: DataFrame | None = None) -> DataFrame:
     """Rows of a code list file within the regions, with a column ``problem`` that is null if the whole list is sound.
 
-    Sound: all columns present, one validity date, numeric codes, each once, and at least ``minimum`` rows.
+    Sound: all columns present, at least ``minimum`` rows, one validity date, numeric codes, each once; if ``types`` (as
+    written to canonical) is given, no other type; if ``districts`` (region, district) is given, each region has just these.
+    The column type is then the canonical one, null for a type that isn't known.
     """
     raw = spark.read.option("header", True).csv(path)
     missing = [c for c in required if c not in raw.columns]
     if missing:
         raise ValueError(f"the code list lacks {', '.join(missing)}")
     rows = raw.select(*required).filter(F.col("region").isin(*regions))
+    if types is not None:
+        rows = rows.withColumn("type", F.try_element_at(F.create_map(*[F.lit(x) for pair in types.items() for x in pair]), F.col("type")))
     facts = rows.agg(
-        F.count("*").alias("n"), F.count_distinct("valid_from").alias("dates"), F.count_distinct("code").alias("codes"), F.count_if(~F.col("code").rlike(r"^\d+$")).alias("odd")
-    ).first()
-    problem = "too-few-rows" if facts["n"] < minimum else "several-dates" if facts["dates"] != 1 else "bad-code" if facts["odd"] else "repeated-code" if facts["codes"] != facts["n"] else None
+        F.count("*").alias("n"), F.count_distinct("valid_from").alias("dates"), F.count_distinct("code").alias("codes"), F.count_if(~F.coalesce(F.col("code").rlike(r"^\d+$"), F.lit(False))).alias("odd"),
+        F.count_if(F.col("type").isNull() if types is not None else F.lit(False)).alias("untyped"),
+    ).first()
+    problem = (
+        "too-few-rows" if facts["n"] < minimum else "several-dates" if facts["dates"] != 1 else "unknown-type" if facts["untyped"]
+        else "bad-code" if facts["odd"] else "repeated-code" if facts["codes"] != facts["n"] else None
+    )
+    if problem is None and districts is not None:
+        wanted, found = districts.filter(F.col("region").isin(*regions)).select("region", "district"), rows.select("region", "district")
+        if not (wanted.exceptAll(found.distinct()).isEmpty() and found.join(F.broadcast(wanted), ["region", "district"], "left_anti").isEmpty()):
+            problem = "other-districts"
     return rows.withColumn("problem", F.lit(problem).cast("string"))
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.urls import canonical_url
 from ..operators.health import BASELINE_RUNS, BROKEN_AFTER, DEGRADED_RATIO, LOOKBACK, LOW_BASELINE
 from ..operators.merge import merge_by_key
 from ..sources.files import work_folder
@@ -114,21 +115,49 @@ def retry_queue(runs: DataFrame, most: int = 3) -> DataFrame:
     return runs.groupBy("source").applyInPandasWithState(step, "source long, state string", "failures long, done boolean", "update", GroupStateTimeout.NoTimeout)
 
 
-def catalog_ingest(spark: SparkSession, runs: DataFrame) -> DataFrame:
-    """Each micro-batch is merged into the next version of the table (source, last_id, events); the last version is returned."""
-    folder = work_folder(spark, "ingest")
-    schema = "source long, last_id long, events long"
+def _versions(spark: SparkSession, stream: DataFrame, name: str, schema: str, merged) -> DataFrame:
+    """``merged(table, batch)`` of each micro-batch is the next version of a table; the last is returned, an empty one if there was no batch.
 
+    A batch that is repeated after a restart starts from the version before it again.
+    """
+    folder = work_folder(spark, name)
     spark.createDataFrame([], schema).write.parquet(f"{folder}/version=-1")
 
-    def upsert(batch: DataFrame, number: int) -> None:
-        # A batch that is repeated after a restart starts from the version before it again.
-        new = batch.groupBy("source").agg(F.max("event_id").alias("last_id"), F.count("*").alias("events"))
-        old = spark.read.schema(schema).parquet(f"{folder}/version={number - 1}")
-        rules = {"last_id": F.greatest("o.last_id", "n.last_id"), "events": F.coalesce("o.events", F.lit(0)) + F.coalesce("n.events", F.lit(0))}
-        merge_by_key(old, new, ["source"], rules).drop("outcome").write.mode("overwrite").parquet(f"{folder}/version={number}")
+    def step(batch: DataFrame, number: int) -> None:
+        merged(spark.read.schema(schema).parquet(f"{folder}/version={number - 1}"), batch).write.mode("overwrite").parquet(f"{folder}/version={number}")
 
-    query = runs.writeStream.option("checkpointLocation", f"{folder}/state").foreachBatch(upsert).trigger(availableNow=True).start()
+    query = stream.writeStream.option("checkpointLocation", f"{folder}/state").foreachBatch(step).trigger(availableNow=True).start()
     query.awaitTermination()
     last = max((p["batchId"] for p in query.recentProgress if p["numInputRows"]), default=-1)
     return spark.read.schema(schema).parquet(f"{folder}/version={last}")
+
+
+def catalog_ingest(spark: SparkSession, runs: DataFrame) -> DataFrame:
+    """Each micro-batch is merged into the next version of the table (source, last_id, events); the last version is returned."""
+    rules = {"last_id": F.greatest("o.last_id", "n.last_id"), "events": F.coalesce("o.events", F.lit(0)) + F.coalesce("n.events", F.lit(0))}
+
+    def merged(old: DataFrame, batch: DataFrame) -> DataFrame:
+        new = batch.groupBy("source").agg(F.max("event_id").alias("last_id"), F.count("*").alias("events"))
+        return merge_by_key(old, new, ["source"], rules).drop("outcome")
+
+    return _versions(spark, runs, "ingest", "source long, last_id long, events long", merged)
+
+
+def inbox_notes(spark: SparkSession, submitted: DataFrame) -> DataFrame:
+    """(url, note) of submissions (url, note, at, id): one row a canonical URL, its different note lines in the order they came in, joined by newlines.
+
+    URLs that have no canonical form are left to the caller. Lines are trimmed, and a line that is there already isn't
+    added; the note is null where no submission had one. Lines are combined before the shuffle.
+    """
+    # A submission without a note is a null line, which keeps its URL.
+    lines = F.coalesce(F.filter(F.transform(F.split("note", "\n"), lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>"))
+    known = submitted.select(canonical_url(F.col("url")).alias("url"), lines.alias("lines"), "at", "id").filter("url IS NOT NULL")
+    rows = known.select("url", F.posexplode_outer("lines").alias("k", "line"), "at", "id")
+    first = rows.select("url", "line", F.struct("at", "id", F.coalesce("k", F.lit(0)).alias("k")).alias("first"))
+
+    def merged(old: DataFrame, batch: DataFrame) -> DataFrame:
+        return old.unionByName(batch).groupBy("url", "line").agg(F.min("first").alias("first"))
+
+    table = _versions(spark, first, "inbox", "url string, line string, first struct<at:timestamp,id:long,k:int>", merged)
+    ordered = F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("first", "line"))))
+    return table.groupBy("url").agg(F.nullif(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n"), F.lit("")).alias("note"))

@@ -36,7 +36,7 @@ def same(df, duck, name):
 
 @pytest.mark.parametrize(
     ("name", "beyond"),
-    [("health_report_all", "source >= 200"), ("due_sources_all", "source >= 300"), ("load_candidates_all", "CAST(record AS LONG) >= 7500")],
+    [("health_report", "source >= 200"), ("due_sources", "source >= 300"), ("load_candidates", "CAST(record AS LONG) >= 7500")],
 )
 def test_ids_beyond_the_old_bound(spark, duck, name, beyond):
     df = QUERIES[name](spark, DIR)
@@ -45,15 +45,15 @@ def test_ids_beyond_the_old_bound(spark, duck, name, beyond):
 
 
 def test_repairs_of_every_source(spark, duck):
-    same(QUERIES["repair_queue_all"](spark, DIR), duck, "repair_queue_all")
+    same(QUERIES["repair_queue"](spark, DIR), duck, "repair_queue")
 
 
 def test_retries_see_every_event(spark, duck):
-    rows = same(QUERIES["stream_retry_queue_all"](spark, DIR), duck, "stream_retry_queue_all")
+    rows = same(QUERIES["stream_retry_queue"](spark, DIR), duck, "stream_retry_queue")
     assert len(rows) == spark.read.parquet(f"{DIR}/events.parquet").agg(F.count_distinct("user_id")).first()[0]
 
 
-PUBLISHED = ["load_catalog_all", "jsonld_items_all", "microdata_items_all", "card_items_all", "calendar_feed_items_all"]
+PUBLISHED = ["load_catalog", "jsonld_items", "microdata_items", "card_items", "calendar_feed_items"]
 
 
 @pytest.mark.parametrize("name", PUBLISHED)
@@ -74,7 +74,7 @@ def test_catalogue_files_are_bounded_and_follow_the_manifest(spark, tmp_path):
     assert {r["file_week"] for r in files.load_catalog(spark, f"{tmp_path}/weeks", f"{tmp_path}/one.json").select("file_week").distinct().collect()} == {"2024-01-08"}
 
 
-@pytest.mark.parametrize("name", ["fold_text_all", "block_pairs_all"])
+@pytest.mark.parametrize("name", ["fold_text", "block_pairs", "block_pairs_all"])
 def test_whole_texts(spark, duck, name):
     same(QUERIES[name](spark, DIR), duck, name)
 
@@ -125,7 +125,7 @@ def test_each_automatic_match_is_a_link(spark):
     assert links.count() == QUERIES["match_lines"](spark, DIR).filter("decision = 'auto-merge'").count()
 
 
-@pytest.mark.parametrize("name", ["health_listing_order_all", "review_priority_all", "catalog_order_all"])
+@pytest.mark.parametrize("name", ["health_listing_order", "review_priority", "catalog_order"])
 def test_every_row_has_its_place(spark, duck, name):
     same(QUERIES[name](spark, DIR), duck, name)
 
