@@ -43,7 +43,7 @@ def _lines(spark, sf_dir):
 
 @query("SELECT id, min(id) OVER (PARTITION BY lang, source, title_key, id % 3 = 1) AS representative FROM lines", "lines")
 def title_members(spark, sf_dir):
-    """Which row stands for each in the pairs of jaro_winkler and block_pairs_all."""
+    """Which row stands for each in the pairs of jaro_winkler_lines and block_pairs_all."""
     candidates, records = (m.title_members(rows, _WHOLE) for rows in _rows(spark, sf_dir))
     return candidates.unionByName(records)
 
