@@ -1,4 +1,4 @@
-"""The ten operators as queries over the given tables, and SQL for those that SQL can express."""
+"""The operators as queries over the given tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, langid, mixing, ngram_ratio, quality, simhash, toxicity, warc
+from . import ann, audit, bpe, chat, langid, mixing, ngram_ratio, quality, simhash, toxicity, warc
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -80,9 +80,14 @@ def op10_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(audit.failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mix_entropy_balancing, op2_graph_neighbours, op3_language_id, op4_simhash_near_duplicates, op5_byte_bpe,
     op6_warc_index, op7_ngram_ratio_rules, op8_pairwise_quality, op9_chat_template, op10_toxicity_fm,
+    op11_filter_audit,
 )}
 
 
@@ -99,7 +104,39 @@ _BASE32 = " || ".join(
     for j in range(8)
 )
 
+_LETTERS = [f"SELECT '{c}' AS c{{0}}, {1 << k} AS b{{0}}" for k, c in enumerate("ABCDE")]
+_EACH = " UNION ALL ".join(_LETTERS)
+
 ORACLE_SQL = {
+    "op11_filter_audit": f"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+             m AS (SELECT doc_id, part, t, min(doc_id) OVER (PARTITION BY t) AS first_id,
+                          regexp_extract_all(t, '[^ \\t\\n\\x0B\\f\\r]+') AS words FROM d),
+             l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+             f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+                          (CASE WHEN len(words) < 50 THEN 1 ELSE 0 END)
+                          + (CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 2 ELSE 0 END)
+                          + (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END)
+                          + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END)
+                          + (CASE WHEN first_id < m.doc_id THEN 16 ELSE 0 END) AS mask
+                   FROM m LEFT JOIN l ON m.doc_id = l.doc_id),
+             c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f GROUP BY ALL),
+             o AS (SELECT c1 || c2 || c3 || c4 || c5 AS filter_order, [b1, b2, b3, b4, b5] AS bits
+                   FROM {", ".join(f"({_EACH.format(k)}) t{k}" for k in range(1, 6))}
+                   WHERE b1 | b2 | b3 | b4 | b5 = 31),
+             s AS (SELECT filter_order, step, bits[step] AS own, CAST(list_sum(list_slice([0] || bits, 1, step)) AS INTEGER) AS prior
+                   FROM o, (SELECT unnest(range(1, 6)) AS step) x),
+             r AS (SELECT part, filter_order, step, own,
+                          CAST(coalesce(sum(n) FILTER (WHERE mask & (prior | own) = 0), 0) AS BIGINT) AS kept,
+                          CAST(coalesce(sum(n) FILTER (WHERE mask & own <> 0 AND mask & prior = 0), 0) AS BIGINT) AS removed,
+                          CAST(coalesce(sum(n) FILTER (WHERE mask & own <> 0 AND mask & prior <> 0), 0) AS BIGINT) AS redundant,
+                          CAST(coalesce(sum(n) FILTER (WHERE mask = own), 0) AS BIGINT) AS unique_fails,
+                          CAST(coalesce(sum(good) FILTER (WHERE mask & own <> 0 AND mask & prior = 0), 0) AS BIGINT) AS good_lost,
+                          CAST(coalesce(sum(toxic) FILTER (WHERE mask & own <> 0 AND mask & prior = 0), 0) AS BIGINT) AS toxic_lost
+                   FROM c, s GROUP BY ALL)
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+        FROM r""",
     "op6_warc_index": f"""
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages),
              b AS (SELECT page_id, html, sha, max(page_id) OVER (PARTITION BY sha) AS best FROM p)
