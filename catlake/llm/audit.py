@@ -65,7 +65,7 @@ def measure(texts: pa.Array, symbols: str = SYMBOLS) -> list[pa.Array]:
     words = np.bincount(row, minlength=n)
     table = SpanTable(len(begin))
     table.number(data, begin, stop - begin, row)
-    different = np.bincount(table.group, minlength=n)
+    different = np.bincount(table.group[: table.count], minlength=n)
 
     def counted(bit: int) -> np.ndarray:
         at = np.searchsorted(np.flatnonzero(out & bit), ends)
@@ -98,6 +98,7 @@ def failures(docs: DataFrame, labels: DataFrame, filters: Mapping[str, str] = FI
     """(doc_id, part, mask, good, toxic) of every row; bit k of the mask is set if the k-th filter fails."""
     measured = materialize(facts(docs, part), "facts")
     copies = measured.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    copies = materialize(copies, "copies")  # a join of two tables, so that adaptive execution may split a text with very many copies
     marks = pick(labels, "doc_id", "quality", "toxic").filter("doc_id IS NOT NULL AND (quality = 1 OR toxic = 1)")
     marks = marks.groupBy("doc_id").agg(*[F.max(F.coalesce(F.col(c) == 1, F.lit(False))).alias(to) for c, to in (("quality", "good"), ("toxic", "toxic"))])
     mask = sum((F.when(F.expr(rule), 1 << k).otherwise(0) for k, rule in enumerate(filters.values())), F.lit(0))

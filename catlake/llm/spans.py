@@ -41,8 +41,9 @@ class SpanTable:
         self.slots = np.full(1 << max(4, room.bit_length()), -1, np.int64)
         self.arena = np.zeros(1 << 16, np.uint8)
         self.used = self.count = 0
-        self.start = self.length = self.group = np.zeros(0, np.int64)
-        self.hash = self.first = np.zeros(0, np.uint64)
+        # Room for entries, and after them for the spans of a call.
+        self.start, self.length, self.group = (np.zeros(16, np.int64) for _ in range(3))
+        self.first, self.hash = (np.zeros(16, np.uint64) for _ in range(2))
 
     def _words(self, at: np.ndarray, left: np.ndarray) -> np.ndarray:
         """Eight bytes of the arena from each place, those beyond ``left`` as zeros."""
@@ -79,7 +80,7 @@ class SpanTable:
         if 2 * (self.count + spans) > len(self.slots):
             size = 1 << (3 * (self.count + spans)).bit_length()
             self.slots = np.full(size, -1, np.int64)
-            at, who = (self.hash & np.uint64(size - 1)).astype(np.int64), np.arange(self.count)
+            at, who = (self.hash[: self.count] & np.uint64(size - 1)).astype(np.int64), np.arange(self.count)
             while len(who):  # entries differ, so each only needs a free slot
                 free = self.slots[at] < 0
                 self.slots[at[free]] = who[free]
@@ -97,8 +98,11 @@ class SpanTable:
         first, h = self._hashes(start, length, group)
         # Spans of this call have the numbers after those of the entries, until the call ends.
         base, n = self.count, len(start)
-        all_of = lambda own, new: np.concatenate([own[:base], new])
-        starts, lengths, groups, firsts, hashes = (all_of(a, b) for a, b in ((self.start, start), (self.length, length), (self.group, group), (self.first, first), (self.hash, h)))
+        for name, new in (("start", start), ("length", length), ("group", group), ("first", first), ("hash", h)):
+            if base + n > len(getattr(self, name)):
+                setattr(self, name, np.concatenate([getattr(self, name)[:base], np.zeros(base + 2 * n, new.dtype)]))
+            getattr(self, name)[base : base + n] = new
+        starts, lengths, groups, firsts, hashes = self.start, self.length, self.group, self.first, self.hash
         mask, entry = len(self.slots) - 1, np.full(n, -1, np.int64)
         at, who = (h & np.uint64(mask)).astype(np.int64), np.arange(n)
         claimed = []
@@ -122,16 +126,16 @@ class SpanTable:
         self.slots[slots] = new[owners - base]
         late = entry >= base
         entry[late] = new[entry[late] - base]
-        keep = np.concatenate([np.arange(base), owners])
-        self.start, self.length, self.group, self.first, self.hash = starts[keep], lengths[keep], groups[keep], firsts[keep], hashes[keep]
-        self.count = len(keep)
+        for own in (starts, lengths, groups, firsts, hashes):
+            own[base : base + len(owners)] = own[owners]
+        self.count = base + len(owners)
         # The new entries' bytes move together; the rest of the buffer goes.
-        size = self.length[base:]
+        size = lengths[base : self.count]
         ends = np.cumsum(size)
         if len(size):
-            places = np.repeat(self.start[base:] - (ends - size), size) + np.arange(ends[-1])
+            places = np.repeat(starts[base : self.count] - (ends - size), size) + np.arange(ends[-1])
             self.arena[self.used : self.used + int(ends[-1])] = self.arena[places]
-            self.start[base:] = self.used + ends - size
+            starts[base : self.count] = self.used + ends - size
             self.used += int(ends[-1])
         return entry
 
