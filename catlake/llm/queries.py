@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, audit, bpe, chat, langid, mixing, ngram_ratio, packing, quality, simhash, toxicity, warc
+from . import ann, audit, bpe, chat, langid, mixing, ngram_ratio, packing, quality, simhash, toxicity, warc, whitening
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -88,10 +88,14 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_mix_entropy_balancing, op2_graph_neighbours, op3_language_id, op4_simhash_near_duplicates, op5_byte_bpe,
     op6_warc_index, op7_ngram_ratio_rules, op8_pairwise_quality, op9_chat_template, op10_toxicity_fm,
-    op11_filter_audit, op12_best_fit_packing,
+    op11_filter_audit, op12_best_fit_packing, op13_whitening,
 )}
 
 
