@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pick
@@ -87,74 +87,93 @@ def _unescape_role(role: Column) -> Column:
     return role
 
 
-def _states(turns: Column, template: Template) -> Column:
-    """The state before the first turn and after each one; empty from the first wrong turn on."""
+def _run(turns: Column, template: Template) -> Column:
+    """The machine over the turns: a struct of its last state (empty once a turn was wrong), the turns read, and the place of the first wrong one."""
     step = F.create_map(
         *[F.lit(x) for state, row in template.machine.items() for role, to in row.items() for x in (f"{state}\x1f{role}", to)]
     )
     after = lambda state, role: F.coalesce(F.try_element_at(step, F.concat(state, F.lit("\x1f"), role)), F.lit(""))
-    return F.aggregate(turns, F.array(F.lit("begin")), lambda past, t: F.concat(past, F.array(after(F.element_at(past, -1), t["role"]))))
+
+    def read(past: Column, turn: Column) -> Column:
+        state = after(past["state"], turn["role"])
+        wrong = F.when(past["wrong"].isNull() & (state == ""), past["read"]).otherwise(past["wrong"])
+        return F.struct(state.alias("state"), (past["read"] + 1).alias("read"), wrong.alias("wrong"))
+
+    begin = F.struct(F.lit("begin").alias("state"), F.lit(0).cast("long").alias("read"), F.lit(None).cast("long").alias("wrong"))
+    return F.aggregate(turns, begin, read)
 
 
 def format_conversations(rows: DataFrame, template: Template = CHAT) -> DataFrame:
-    """(conv_id, n_turns, segments, formatted, loss_spans, valid, wrong_turn) per conversation.
+    """(conv_id, n_turns, segments, formatted, turn_marks, loss_spans, valid, wrong_turn) per conversation.
 
-    segments: array of (text, loss); formatted: their texts joined; loss_spans: (start,
-    end) in code points of formatted, which is what a stored training row needs.
+    segments: array of (text, loss); formatted: their texts joined; turn_marks: for each
+    turn, where it starts in formatted, and where the part of it that bears loss does and
+    ends (null: none), in code points; loss_spans: those parts alone, as (start, end),
+    which is what a stored training row needs. Offsets are a running sum over a
+    conversation's rows, so the work grows with its turns and not with their square.
     """
-    turn = F.struct(
-        "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    made = pick(rows, "conv_id", "turn", "role", "text").select(
+        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
-    convs = (
-        pick(rows, "conv_id", "turn", "role", "text")
-        .groupBy("conv_id")
-        .agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    made = made.withColumns({
+        "head": F.concat(F.lit(template.start), _escape_role(F.col("role")), F.lit(template.after_role)),
+        "body": escape(F.col("text"), template),
+    })
+    size = (F.char_length("head") + F.char_length("body") + len(template.end)).cast("long")
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    made = made.withColumn("size", size).withColumn("at", F.sum("size").over(order) - F.col("size"))
+    convs = made.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("at", "role", "head", "body"))).alias("turns"))
+    bears = lambda t: t["role"].isin(*template.loss_roles)
+    first = lambda t: t["at"] + F.char_length(t["head"])
+    marks = F.transform(
+        "turns",
+        lambda t: F.struct(
+            t["at"].alias("at"),
+            F.when(bears(t), first(t)).alias("start"),
+            F.when(bears(t), first(t) + F.char_length(t["body"])).alias("end"),
+        ),
     )
     parts = F.flatten(
         F.transform(
             "turns",
             lambda t: F.array(
-                F.struct(F.concat(F.lit(template.start), _escape_role(t["role"]), F.lit(template.after_role)).alias("text"), F.lit(False).alias("loss")),
-                F.struct(escape(t["text"], template).alias("text"), t["role"].isin(*template.loss_roles).alias("loss")),
+                F.struct(t["head"].alias("text"), F.lit(False).alias("loss")),
+                F.struct(t["body"].alias("text"), bears(t).alias("loss")),
                 F.struct(F.lit(template.end).alias("text"), F.lit(False).alias("loss")),
             ),
         )
     )
-    spans = F.aggregate(
-        "segments",
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans")),
-        lambda s, x: F.struct(
-            (s["at"] + F.char_length(x["text"])).alias("at"),
-            F.when(x["loss"], F.concat(s["spans"], F.array(F.struct(s["at"].alias("start"), (s["at"] + F.char_length(x["text"])).alias("end")))))
-            .otherwise(s["spans"]).alias("spans"),
-        ),
-        lambda s: s["spans"],
-    )
-    return (
-        convs.withColumn("segments", parts)
-        .withColumn("states", _states(F.col("turns"), template))
-        .select(
-            "conv_id",
-            F.size("turns").cast("long").alias("n_turns"),
-            "segments",
-            F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"),
-            spans.alias("loss_spans"),
-            F.element_at("states", -1).isin(*template.accepts).alias("valid"),
-            F.when(F.array_position("states", "") > 0, F.array_position("states", "") - 2).alias("wrong_turn"),
-        )
+    spans = F.transform(F.filter(marks, lambda m: m["start"].isNotNull()), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end")))
+    return convs.withColumn("run", _run(F.col("turns"), template)).select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        parts.alias("segments"),
+        F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(template.end))), "").alias("formatted"),
+        marks.alias("turn_marks"),
+        spans.alias("loss_spans"),
+        F.col("run.state").isin(*template.accepts).alias("valid"),
+        F.col("run.wrong").alias("wrong_turn"),
     )
 
 
 def parse_conversations(formatted: DataFrame, template: Template = CHAT) -> DataFrame:
-    """(conv_id, turns, loss_text, loss_parts, formatted): turns and loss texts read back from the formatted string."""
+    """(conv_id, turns, loss_text, loss_parts, formatted, valid, wrong_turn): turns and loss texts read back from the formatted string.
+
+    The string is cut at the start marks once, and what bears loss is taken from its own
+    turn's part, by the turn's marks.
+    """
     pieces = F.filter(F.split("formatted", "\\Q" + template.start + "\\E", -1), lambda p, i: i > 0)  # nothing stands before the first mark
     head = lambda p: F.substring_index(p, "\n", 1)
     body = lambda p: F.substring(p, F.char_length(head(p)) + 2, F.char_length(p) - F.char_length(head(p)) - 1 - len(template.end))
-    loss = F.transform("loss_spans", lambda s: unescape(F.substring("formatted", (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), template))
-    return formatted.select(
-        "conv_id",
-        F.transform(pieces, lambda p: F.struct(_unescape_role(head(p)).alias("role"), unescape(body(p), template).alias("text"))).alias("turns"),
-        loss.alias("loss_parts"),
-        F.array_join(loss, "").alias("loss_text"),
-        "formatted",
-    )
+    whole = lambda x: F.concat(F.lit(template.start), x["piece"])
+    part = lambda x: F.substring(whole(x), (x["mark"]["start"] - x["mark"]["at"] + 1).cast("int"), (x["mark"]["end"] - x["mark"]["start"]).cast("int"))
+    marked = F.filter(F.arrays_zip(pieces.alias("piece"), F.col("turn_marks").alias("mark")), lambda x: x["mark"]["start"].isNotNull())
+    return (
+        formatted.select(
+            "conv_id",
+            F.transform(pieces, lambda p: F.struct(_unescape_role(head(p)).alias("role"), unescape(body(p), template).alias("text"))).alias("turns"),
+            F.transform(marked, lambda x: unescape(part(x), template)).alias("loss_parts"),
+            "formatted", "valid", "wrong_turn",
+        )
+        .withColumn("loss_text", F.array_join("loss_parts", ""))
+    )

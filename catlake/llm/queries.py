@@ -73,6 +73,8 @@ def op9_chat_template(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length("loss_text").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+        "wrong_turn",
     )
 
 
@@ -155,12 +157,18 @@ ORACLE_SQL = {
     "op9_chat_template": f"""
         WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
                    UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-             c AS (SELECT conv_id, count(*) AS n_turns,
+             p AS (SELECT *, row_number() OVER w - 1 AS place, lag(role) OVER w AS past,
+                          row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) = 1 AS final
+                   FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+             v AS (SELECT *, CASE WHEN past IS NULL THEN role IN ('system', 'user') WHEN past = 'user' THEN role = 'assistant'
+                                  ELSE past IN ('system', 'assistant') AND role = 'user' END AS right_turn FROM p),
+             c AS (SELECT conv_id, count(*) AS n_turns, min(place) FILTER (WHERE NOT right_turn) AS wrong_turn,
+                          bool_and(right_turn) AND bool_or(final AND role = 'assistant') AS valid,
                           string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
                           coalesce(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text), '') AS loss,
                           CAST(sum({len(chat.CHAT.start) + 1 + len(chat.CHAT.end)} + length(role) + length({_escaped('text')})) AS BIGINT) AS formatted_chars
-                   FROM t GROUP BY conv_id)
+                   FROM v GROUP BY conv_id)
         SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
-               formatted_chars
+               formatted_chars, valid, wrong_turn
         FROM c""",
 }

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -211,6 +212,40 @@ def test_chat(spark):
     assert chat.format_conversations(table.limit(0)).count() == 0
 
 
+def test_chat_machine_is_on_the_path_of_op9(spark):
+    found = queries.op9_chat_template(spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert all(state in plan for state in chat.CHAT.machine) and {"valid", "wrong_turn"} <= set(found.columns)
+    probe = found.filter("conv_id = -1").first()
+    assert (probe["valid"], probe["wrong_turn"]) == (True, None)
+
+
+def test_chat_machine_against_a_plain_one(spark):
+    rng, rows = np.random.default_rng(6), []
+    for c in range(60):
+        roles = rng.choice(["user", "assistant", "system", "tool"], rng.integers(1, 7), p=[0.45, 0.45, 0.08, 0.02]).tolist()
+        roles = roles if c % 2 else (["system"] if c % 4 else []) + ["user", "assistant"] * len(roles) + roles[:1]
+        rows += [(c, i, r, f"<|im_end|>{i}\\") for i, r in enumerate(roles)]
+    for r in chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect():
+        state, wrong = "begin", None
+        for i, role in [x[1:3] for x in rows if x[0] == r["conv_id"]]:
+            state = chat.CHAT.machine.get(state, {}).get(role, "")
+            wrong = i if wrong is None and not state else wrong
+        assert (r["valid"], r["wrong_turn"]) == (state in chat.CHAT.accepts, wrong)
+        assert "".join(s["text"] for s in r["segments"]) == r["formatted"]
+        assert [r["formatted"][s["start"] : s["end"]] for s in r["loss_spans"]] == [s["text"] for s in r["segments"] if s["loss"]]
+
+
+def test_chat_of_very_many_turns(spark):
+    """Work grows with the turns: sixteen times the turns of one conversation don't take the square of it."""
+    n = 40_000
+    rows = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é <|im_end|> "), F.col("id")).alias("text"))
+    began = time.time()
+    r = chat.parse_conversations(chat.format_conversations(rows)).first()
+    assert time.time() - began < 30
+    assert (len(r["turns"]), r["valid"]) == (n, True) and r["loss_text"] == "".join(f"é <|im_end|> {i}" for i in range(1, n, 2))
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(1200, 24)) * rng.uniform(0.5, 2, (1200, 1))
