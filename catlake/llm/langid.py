@@ -67,8 +67,9 @@ class Model:
     reject: float
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        counts = subwords(text)
-        if counts is None or not self.langs:
+        # Marks belong to words, but a text of marks alone has no letter.
+        counts = subwords(text) if self.langs and any(map(str.isalpha, text or "")) else None
+        if counts is None:
             return "und", 0.0
         at = np.flatnonzero(counts)
         z = (counts[at] @ self.logits[at] / counts.sum() + self.bias) / self.temperature

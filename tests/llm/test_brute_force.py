@@ -36,6 +36,8 @@ def single_spaced(text):
 
 
 def plain_language(model, text):
+    if not any(unicodedata.category(x)[0] == "L" for x in text):
+        return "und", 0.0
     c = [ord(x) for x in single_spaced(text)]
     if len(c) < 3:
         return "und", 0.0
@@ -55,7 +57,7 @@ def plain_language(model, text):
 
 def test_language_by_a_plain_predictor(spark, docs):
     model = langid.train(docs)
-    short = [t for t in TEXTS if len(t) < 1000] + [r["text"][:600] for r in docs.limit(20).collect()]
+    short = [t for t in TEXTS if len(t) < 1000] + ["\u0301", "\u093e 12", "12 \u0301\u0301 \u0bbe!", "e\u0301t\u0301"] + [r["text"][:600] for r in docs.limit(20).collect()]
     rows = spark.createDataFrame(list(enumerate(short)) + [(0, short[0])], "doc_id long, text string")
     found = langid.predict(rows, model).collect()
     assert len(found) == len(short) + 1
