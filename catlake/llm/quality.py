@@ -91,7 +91,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, epochs: int = 30, batch: in
     if not len(good) or not len(bad):
         return Model(np.zeros(width), 0.0 if not len(y) else -40.0 if len(good) else 40.0)
     rng, w, speed = np.random.default_rng(seed), np.zeros(width), np.full(width, 1e-8)
-    for _ in range(epochs * (min(len(y), 6000) // batch + 1)):
+    for _ in range(epochs * (min(len(y), sample) // batch + 1)):
         d = x[rng.choice(good, batch)] - x[rng.choice(bad, batch)]
         p = 1 / (1 + np.exp(np.clip(d @ w, -40, 40)))
         g = -(p @ d) / batch + decay * w
