@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from .. import bindings as b
@@ -9,7 +11,7 @@ from ..functions import price, text
 from ..operators import normalize as n
 from ..sources import files as s
 from ..streaming import stateful as st
-from .health import _SIG
+from .health import _STATE
 from .registry import query
 
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
@@ -261,20 +263,29 @@ def parse_when_range(spark, sf_dir):
 # --- streams
 
 
-@query(f"""SELECT source, failures, items, CASE WHEN failures >= 3 THEN 'broken' WHEN baseline >= 3 AND items = 0 THEN 'suspect' WHEN baseline >= 3 AND items < 0.4 * baseline THEN 'degraded' ELSE 'healthy' END AS state FROM {_SIG}""", "runs")
+def _work(spark, name):
+    return s.work_folder(spark, name)
+
+
+_OVERDUE_DAYS = 20
+
+
+@query(f"""SELECT source, failures, items, CAST(unchanged_days AS BIGINT) AS unchanged_days, state, checked_at + INTERVAL {_OVERDUE_DAYS} DAY <= (SELECT max(ts) FROM events) AS overdue FROM {_STATE}""", "runs")
 def stream_source_health(spark, sf_dir):
-    return st.drain(spark, st.source_health(st.run_stream(spark, sf_dir)), "update", "stream-health")
+    future = b.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source"))
+    made = st.source_health(st.run_stream(spark, sf_dir), future, timedelta(days=_OVERDUE_DAYS))
+    return st.drain(spark, made, "update", _work(spark, "stream-health"), ("source",))
 
 
 @query("""SELECT user_id AS source, CAST(json_extract_string(props, '$.k') AS INTEGER) % 3 AS item, CAST(sum(CASE WHEN event_type <> 'error' AND event_type NOT IN ('view', 'click') AND event_id > last THEN 1 ELSE 0 END) AS BIGINT) AS missing
     FROM (SELECT *, coalesce(max(CASE WHEN event_type IN ('view', 'click') THEN event_id END) OVER (PARTITION BY user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) % 3), -1) AS last FROM events) GROUP BY 1, 2""")
 def stream_missing_runs(spark, sf_dir):
-    return st.drain(spark, st.missing_runs(st.run_stream(spark, sf_dir)), "update", "stream-missing")
+    return st.drain(spark, st.missing_runs(st.run_stream(spark, sf_dir)), "update", _work(spark, "stream-missing"), ("source", "item"))
 
 
 @query("SELECT DISTINCT CAST(ts AS DATE)::VARCHAR || '/' || user_id AS url FROM events")
 def stream_inbox_dedup(spark, sf_dir):
-    return st.drain(spark, st.inbox_dedup(st.run_stream(spark, sf_dir)), "append", "stream-inbox")
+    return st.drain(spark, st.inbox_dedup(st.run_stream(spark, sf_dir)), "append", _work(spark, "stream-inbox"))
 
 
 @query("""SELECT 'https://example.org/' || day || '?a=' || user_id AS url, string_agg(line, chr(10) ORDER BY ts, event_id) AS note FROM
@@ -283,7 +294,7 @@ def stream_inbox_notes(spark, sf_dir):
     day, user = F.to_date("at").cast("string"), F.col("source").cast("string")
     url = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("HTTP://Example.org:80/"), day, F.lit("/?utm_source=x&a="), user)).otherwise(F.concat(F.lit("https://example.org/"), day, F.lit("?a="), user, F.lit("#top")))
     note = F.when(F.col("event_type") != "signup", F.concat(F.lit(" "), "event_type"))
-    return st.inbox_notes(spark, st.run_stream(spark, sf_dir).select(url.alias("url"), note.alias("note"), "at", F.col("event_id").alias("id")))
+    return st.inbox_notes(spark, st.run_stream(spark, sf_dir).select(url.alias("url"), note.alias("note"), "at", F.col("event_id").alias("id")), _work(spark, "stream-notes"))
 
 
 _RETRY = """SELECT user_id AS source, CASE WHEN sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) > 0 THEN 'candidate' WHEN sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) >= 3 THEN 'failed' ELSE 'new' END AS state FROM events GROUP BY 1"""
@@ -291,10 +302,10 @@ _RETRY = """SELECT user_id AS source, CASE WHEN sum(CASE WHEN event_type = 'purc
 
 @query(_RETRY)
 def stream_retry_queue(spark, sf_dir):
-    return st.drain(spark, st.retry_queue(st.run_stream(spark, sf_dir)), "update", "stream-retry")
+    return st.drain(spark, st.retry_queue(st.run_stream(spark, sf_dir)), "update", _work(spark, "stream-retry"), ("source",))
 
 
 
 @query("SELECT user_id AS source, max(event_id) AS last_id, count(*) AS events FROM events GROUP BY 1")
 def stream_catalog_ingest(spark, sf_dir):
-    return st.catalog_ingest(spark, st.run_stream(spark, sf_dir))
+    return st.catalog_ingest(spark, st.run_stream(spark, sf_dir), _work(spark, "stream-ingest"))

@@ -31,6 +31,25 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _path(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def numbered(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """The numbers n of the finished tables ``name=n`` in a folder, which need not exist."""
+    path, system = _path(spark, folder)
+    if not system.exists(path):
+        return []
+    found = [x.getPath().getName() for x in system.listStatus(path)]
+    return sorted(int(x.split("=")[1]) for x in found if x.startswith(f"{name}=") and system.exists(_path(spark, f"{folder}/{x}/_SUCCESS")[0]))
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path, system = _path(spark, folder)
+    system.delete(path, True)
+
+
 def write_catalog(rows: DataFrame, folder: str, most: int = 1000) -> None:
     """Week documents of at most ``most`` events, one file each, and the manifest of their weeks, in ``folder``.
 

@@ -1,24 +1,37 @@
 """Incremental forms of the per-source state machines, on Structured Streaming.
 
-Rows of one micro-batch are taken in the order of their time and id. State is kept per
-key and stays small: the last attempts of a source, or one counter.
+State is kept per key and stays small: the last attempts of a source as a list, or a few
+counters. The rows of a key pass through in pieces, so a micro-batch of one source needn't
+fit into memory; what a piece leaves behind doesn't depend on the order of the pieces.
+
+Every stream runs in a folder that the caller names: its checkpoint and its committed rows
+or versions lie there. Called again with the same folder, after an end, a stop or a crash, it
+goes on where it was: a micro-batch that was not committed is repeated under its number, and
+its output replaces what the first try may have written.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from datetime import timedelta
 from statistics import median
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.urls import canonical_url
-from ..operators.health import BASELINE_RUNS, BROKEN_AFTER, DEGRADED_RATIO, LOOKBACK, LOW_BASELINE
+from ..operators.health import BASELINE_RUNS, BROKEN_AFTER, DEGRADED_RATIO, DRIFT_RATIO, LOOKBACK, LOW_BASELINE, STALE_DAYS
 from ..operators.merge import merge_by_key
-from ..sources.files import work_folder
+from ..sources.files import numbered, remove, work_folder
+
+#: Micro-batches after which the rows of a stream are brought together.
+COMPACT_AFTER = 20
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def run_stream(spark: SparkSession, sf_dir: str, arrivals: int = 3) -> DataFrame:
@@ -31,68 +44,173 @@ def run_stream(spark: SparkSession, sf_dir: str, arrivals: int = 3) -> DataFrame
     for k in range(1, arrivals + 1):  # one after another, as files arrive
         dealt.filter(F.col("arrival") == k).drop("arrival").write.mode("append").parquet(folder)
     files = len(spark.read.parquet(folder).inputFiles())
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, -(-files // arrivals))).parquet(folder)
+    return read_runs(spark, folder, rows.schema, max(1, -(-files // arrivals)))
+
+
+def read_runs(spark: SparkSession, folder: str, schema, files_a_batch: int = 1000) -> DataFrame:
+    """The files of a folder, with the columns of ``events``, as a stream of attempts."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(folder)
     k = F.get_json_object("props", "$.k").cast("int")
+    ok = F.col("event_type") != "error"
     return stream.select(
-        F.col("user_id").alias("source"), (k % 3).alias("item"), "event_id", "event_type", F.col("ts").cast("timestamp").alias("at"),
-        (F.col("event_type") != "error").alias("ok"), F.when(F.col("event_type") != "error", k % 7).alias("items"),
+        F.col("user_id").alias("source"), (k % 3).alias("item"), "event_id", "event_type", F.col("ts").cast("timestamp").alias("at"), ok.alias("ok"),
+        F.when(ok, k % 7).cast("long").alias("items"), F.floor(F.col("value") / 20).cast("long").alias("hash"), F.when(ok & (k % 7 > 0), F.round((k % 10) / 10, 4)).alias("fill"),
     )
 
 
-def drain(spark: SparkSession, stream: DataFrame, mode: str, name: str) -> DataFrame:
-    """Run the stream over what there is, and return the rows it gives; of repeated keys (update mode) the last."""
-    folder = work_folder(spark, name)
+@contextmanager
+def _state_in_rocks(spark: SparkSession) -> Iterator[None]:
+    """List state and timers need the state store that spills to disk."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_PROVIDER) if before is None else spark.conf.set(_PROVIDER, before)
+
+
+def drain(spark: SparkSession, stream: DataFrame, mode: str, folder: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Run the stream over what has arrived since the last call with this folder; returns its rows so far, of repeated keys (update mode) the last."""
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema)
+
+    def so_far(last: int | None = None) -> DataFrame:
+        whole = max((n for n in numbered(spark, f"{folder}/whole", "upto") if last is None or n <= last), default=-1)
+        parts = [n for n in numbered(spark, f"{folder}/rows", "batch") if n > whole and (last is None or n <= last)]
+        rows = spark.createDataFrame([], f"{schema}, _batch long")
+        if whole >= 0:
+            rows = rows.unionByName(spark.read.schema(f"{schema}, _batch long").parquet(f"{folder}/whole/upto={whole}"))
+        for n in parts:
+            rows = rows.unionByName(spark.read.schema(schema).parquet(f"{folder}/rows/batch={n}").withColumn("_batch", F.lit(n).cast("long")))
+        if mode != "update":
+            return rows
+        rest = [c for c in stream.columns if c not in keys]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_r"), F.max("_batch").alias("_batch")).select(*keys, "_r.*", "_batch")
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        if number % COMPACT_AFTER == COMPACT_AFTER - 1:
+            # What came before this batch is committed; this one may yet be repeated.
+            so_far(number - 1).write.mode("overwrite").parquet(f"{folder}/whole/upto={number - 1}")
+            for n in numbered(spark, f"{folder}/rows", "batch"):
+                if n < number - COMPACT_AFTER:
+                    remove(spark, f"{folder}/rows/batch={n}")
+
+    with _state_in_rocks(spark):
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(keep).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return so_far().drop("_batch").select(*stream.columns)
+
+
+_ATTEMPT = ["at", "event_id", "ok", "items", "hash", "fill"]
+
+
+def judge(attempts: pd.DataFrame, future: bool) -> tuple[int, int | None, int | None, str]:
+    """Failures in a row, newest items, days unchanged and the state, from the last attempts of one source, the newest first."""
+    ok, items, hashes, fill = (attempts[c].tolist() for c in ("ok", "items", "hash", "fill"))
+    failures = next((n for n, x in enumerate(ok) if x), len(ok))
+    usable = [i for i in range(1, len(ok)) if items[i] == items[i] and items[i] > 0][:BASELINE_RUNS]
+    base = median([items[i] for i in usable]) if usable else None
+    fills = [fill[i] for i in usable if fill[i] == fill[i]]
+    base_fill = median(fills) if fills else 0
+    now = items[0] if items[0] == items[0] else None
+    same = next((n for n, x in enumerate(hashes) if x != hashes[0]), len(hashes)) if hashes[0] == hashes[0] else 0
+    seconds = attempts["at"] // 1_000_000
+    days = int((seconds.iloc[0] - seconds.iloc[same - 1]) // 86400) if same >= 2 else None
+    judged = base is not None and base >= LOW_BASELINE and now is not None
+    state = (
+        "broken" if failures >= BROKEN_AFTER
+        else "suspect" if judged and now == 0
+        else "degraded" if judged and now < DEGRADED_RATIO * base
+        else "schema-drift" if now and base_fill > 0 and fill[0] == fill[0] and fill[0] < DRIFT_RATIO * base_fill
+        else "stale" if days is not None and days > STALE_DAYS and not future
+        else "healthy"
+    )
+    return failures, None if now is None else int(now), days, state
 
-    empty = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema)
-    spark.createDataFrame([], empty).write.parquet(f"{folder}/out/batch=-1")  # an empty stream has no batch
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.schema(f"{empty}, batch int").parquet(f"{folder}/out")
-    keys = [c for c in ("source", "item") if c in stream.columns]
-    if mode != "update":
-        return rows.drop("batch")
-    rest = [c for c in stream.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
 
+class _Health(StatefulProcessor):
+    """The last attempts of a source as list state, and a timer that tells when the next one is overdue."""
 
-def _ordered(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(batches)).sort_values(["at", "event_id"])
+    def __init__(self, overdue: timedelta | None) -> None:
+        self.overdue = overdue
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.past = handle.getListState("attempts", "at long, event_id long, ok boolean, items double, hash double, fill double")
+        self.future = handle.getValueState("future", "future boolean")
 
-def source_health(runs: DataFrame) -> DataFrame:
-    """(source, failures, items, state) after each micro-batch, from the last attempts kept in state."""
+    def _row(self, key: tuple, attempts: pd.DataFrame, overdue: bool) -> pd.DataFrame:
+        known = self.future.get() if self.future.exists() else (False,)
+        failures, items, days, state = judge(attempts, bool(known[0]))
+        row = pd.DataFrame({"source": [key[0]], "failures": [failures], "items": [items], "unchanged_days": [days], "state": [state], "overdue": [overdue]})
+        return row.astype({"items": "Int64", "unchanged_days": "Int64"})
 
-    def step(key, batches, state: GroupState):
-        past = json.loads(state.get[0]) if state.exists else []
-        now = _ordered(batches)
-        past += [(bool(o), None if pd.isna(i) else int(i)) for o, i in zip(now["ok"], now["items"], strict=True)]
-        past = past[-LOOKBACK:]
-        state.update((json.dumps(past),))
-        newest = past[::-1]
-        failures = next((n for n, (ok, _) in enumerate(newest) if ok), len(newest))
-        base = [i for _, i in newest[1:] if i][:BASELINE_RUNS]
-        baseline, items = (median(base) if base else 0), newest[0][1]
-        judged = baseline >= LOW_BASELINE and items is not None
-        verdict = "broken" if failures >= BROKEN_AFTER else "suspect" if judged and items == 0 else "degraded" if judged and items < DEGRADED_RATIO * baseline else "healthy"
-        yield pd.DataFrame({"source": [key[0]], "failures": [failures], "items": [float("nan") if items is None else items], "state": [verdict]}).astype({"items": "float64"})
+    def _newest(self) -> pd.DataFrame:
+        return pd.DataFrame(list(self.past.get()), columns=_ATTEMPT)
 
-    return runs.groupBy("source").applyInPandasWithState(step, "source long, failures long, items double, state string", "past string", "update", GroupStateTimeout.NoTimeout).withColumn("items", F.when(~F.isnan("items"), F.col("items").cast("long")))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now = self._newest()
+        for piece in rows:
+            newest = piece.loc[piece["at"].idxmax()]
+            if not len(now) or newest["at"].value // 1000 >= now["at"].max():
+                self.future.update((bool(newest["future"]),))
+            piece = piece.assign(at=piece["at"].astype("datetime64[us]").astype("int64"))[_ATTEMPT]
+            now = (pd.concat([now, piece]) if len(now) else piece).sort_values(["at", "event_id"], ascending=False, kind="stable").head(LOOKBACK)
+        self.past.put([(int(a), int(i), bool(o), *(float(x) for x in more)) for a, i, o, *more in now.astype({c: float for c in _ATTEMPT[3:]}).itertuples(index=False)])
+        if self.overdue is not None:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at[0] if isinstance(at, tuple) else at)
+            self.handle.registerTimer(int(now["at"].iloc[0] // 1000 + self.overdue.total_seconds() * 1000))
+        yield self._row(key, now, False)
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._row(key, self._newest(), True)
 
-def missing_runs(runs: DataFrame) -> DataFrame:
-    """(source, item, missing): absences in a row; a sighting resets them, failed attempts don't count."""
+    def close(self) -> None:
+        pass
+
+
+def source_health(runs: DataFrame, with_future: DataFrame, overdue: timedelta | None = None, late: str = "0 seconds") -> DataFrame:
+    """(source, failures, items, unchanged_days, state, overdue) after each micro-batch, from the last attempts kept in state.
+
+    ``with_future`` has the sources that still announce something. A source is overdue once
+    the watermark, ``late`` behind the newest attempt of all, is ``overdue`` past its last
+    attempt; the next attempt ends that.
+    """
+    known = with_future.select("source").distinct().withColumn("future", F.lit(True))
+    rows = runs.join(known, "source", "left").select("source", *_ATTEMPT, F.coalesce("future", F.lit(False)).alias("future"))
+    timed = overdue is not None
+    rows = rows.withWatermark("at", late) if timed else rows
+    return rows.groupBy("source").transformWithStateInPandas(
+        _Health(overdue), "source long, failures long, items long, unchanged_days long, state string, overdue boolean", "Update", "EventTime" if timed else "None"
+    )
+
+
+class _Missing(StatefulProcessor):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.count = handle.getValueState("missing", "missing long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        seen, absent = (-1, -1), []
+        for piece in rows:
+            at = piece["at"].astype("datetime64[us]").astype("int64").to_numpy()
+            order = pd.MultiIndex.from_arrays([at, piece["event_id"].to_numpy()])
+            here = piece["event_type"].isin(("view", "click")).to_numpy()
+            if here.any():
+                seen = max(seen, order[here].max())
+            absent.append(order[~here & piece["ok"].to_numpy(bool)])
+        after = sum(int(np.count_nonzero(x > seen)) for x in absent if len(x))
+        n = after if seen != (-1, -1) else after + (self.count.get()[0] if self.count.exists() else 0)
+        self.count.update((n,))
+        yield pd.DataFrame({"source": [key[0]], "item": pd.array([key[1]], "Int32"), "missing": [n]})
+
+    def close(self) -> None:
+        pass
 
-    def step(key, batches, state: GroupState):
-        n = state.get[0] if state.exists else 0
-        now = _ordered(batches)
-        for kind, ok in zip(now["event_type"], now["ok"], strict=True):
-            n = 0 if kind in ("view", "click") else n + 1 if ok else n
-        state.update((n,))
-        yield pd.DataFrame({"source": [key[0]], "item": [key[1]], "missing": [n]})
 
-    return runs.groupBy("source", "item").applyInPandasWithState(step, "source long, item int, missing long", "n long", "update", GroupStateTimeout.NoTimeout)
+def missing_runs(runs: DataFrame) -> DataFrame:
+    """(source, item, missing): absences in a row, in the order of micro-batches and in each by time and id; a sighting resets them, failed attempts don't count."""
+    return runs.groupBy("source", "item").transformWithStateInPandas(_Missing(), "source long, item int, missing long", "Update", "None")
 
 
 def inbox_dedup(runs: DataFrame) -> DataFrame:
@@ -101,38 +219,51 @@ def inbox_dedup(runs: DataFrame) -> DataFrame:
     return urls.withWatermark("at", "2 days").dropDuplicatesWithinWatermark(["url"]).select("url")
 
 
-def retry_queue(runs: DataFrame, most: int = 3) -> DataFrame:
-    """(source, attempts, state): candidate once a purchase is seen, failed after ``most`` failures without one, else new."""
+class _Retry(StatefulProcessor):
+    def __init__(self, most: int) -> None:
+        self.most = most
 
-    def step(key, batches, state: GroupState):
-        failures, done = state.get if state.exists else (0, False)
-        for now in batches:
-            failures += int((~now["ok"]).sum())
-            done = bool(done or (now["event_type"] == "purchase").any())
-        state.update((failures, done))
-        yield pd.DataFrame({"source": [key[0]], "state": ["candidate" if done else "failed" if failures >= most else "new"]})
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.tried = handle.getValueState("tried", "failures long, done boolean")
 
-    return runs.groupBy("source").applyInPandasWithState(step, "source long, state string", "failures long, done boolean", "update", GroupStateTimeout.NoTimeout)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        failures, done = self.tried.get() if self.tried.exists() else (0, False)
+        for piece in rows:
+            failures += int((~piece["ok"].astype(bool)).sum())
+            done = bool(done or (piece["event_type"] == "purchase").any())
+        self.tried.update((failures, done))
+        yield pd.DataFrame({"source": [key[0]], "state": ["candidate" if done else "failed" if failures >= self.most else "new"]})
 
+    def close(self) -> None:
+        pass
 
-def _versions(spark: SparkSession, stream: DataFrame, name: str, schema: str, merged) -> DataFrame:
-    """``merged(table, batch)`` of each micro-batch is the next version of a table; the last is returned, an empty one if there was no batch.
 
-    A batch that is repeated after a restart starts from the version before it again.
+def retry_queue(runs: DataFrame, most: int = 3) -> DataFrame:
+    """(source, state): candidate once a purchase is seen, failed after ``most`` failures without one, else new."""
+    return runs.groupBy("source").transformWithStateInPandas(_Retry(most), "source long, state string", "Update", "None")
+
+
+def versions(spark: SparkSession, stream: DataFrame, folder: str, schema: str, merged: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """``merged(table, batch)`` of each micro-batch is the next version of a table in ``folder``; the last is returned, an empty one if there was none.
+
+    A micro-batch that is repeated after a crash starts from the version before it again; older versions than that one go.
     """
-    folder = work_folder(spark, name)
-    spark.createDataFrame([], schema).write.parquet(f"{folder}/version=-1")
+
+    def version(last: int | None = None) -> DataFrame:
+        known = [n for n in numbered(spark, folder, "version") if last is None or n <= last]
+        return spark.read.schema(schema).parquet(f"{folder}/version={max(known)}") if known else spark.createDataFrame([], schema)
 
     def step(batch: DataFrame, number: int) -> None:
-        merged(spark.read.schema(schema).parquet(f"{folder}/version={number - 1}"), batch).write.mode("overwrite").parquet(f"{folder}/version={number}")
+        merged(version(number - 1), batch).write.mode("overwrite").parquet(f"{folder}/version={number}")
+        for n in numbered(spark, folder, "version"):
+            if n < number - 1:
+                remove(spark, f"{folder}/version={n}")
 
-    query = stream.writeStream.option("checkpointLocation", f"{folder}/state").foreachBatch(step).trigger(availableNow=True).start()
-    query.awaitTermination()
-    last = max((p["batchId"] for p in query.recentProgress if p["numInputRows"]), default=-1)
-    return spark.read.schema(schema).parquet(f"{folder}/version={last}")
+    stream.writeStream.option("checkpointLocation", f"{folder}/state").foreachBatch(step).trigger(availableNow=True).start().awaitTermination()
+    return version()
 
 
-def catalog_ingest(spark: SparkSession, runs: DataFrame) -> DataFrame:
+def catalog_ingest(spark: SparkSession, runs: DataFrame, folder: str) -> DataFrame:
     """Each micro-batch is merged into the next version of the table (source, last_id, events); the last version is returned."""
     rules = {"last_id": F.greatest("o.last_id", "n.last_id"), "events": F.coalesce("o.events", F.lit(0)) + F.coalesce("n.events", F.lit(0))}
 
@@ -140,10 +271,10 @@ def catalog_ingest(spark: SparkSession, runs: DataFrame) -> DataFrame:
         new = batch.groupBy("source").agg(F.max("event_id").alias("last_id"), F.count("*").alias("events"))
         return merge_by_key(old, new, ["source"], rules).drop("outcome")
 
-    return _versions(spark, runs, "ingest", "source long, last_id long, events long", merged)
+    return versions(spark, runs, folder, "source long, last_id long, events long", merged)
 
 
-def inbox_notes(spark: SparkSession, submitted: DataFrame) -> DataFrame:
+def inbox_notes(spark: SparkSession, submitted: DataFrame, folder: str) -> DataFrame:
     """(url, note) of submissions (url, note, at, id): one row a canonical URL, its different note lines in the order they came in, joined by newlines.
 
     URLs that have no canonical form are left to the caller. Lines are trimmed, and a line that is there already isn't
@@ -158,6 +289,6 @@ def inbox_notes(spark: SparkSession, submitted: DataFrame) -> DataFrame:
     def merged(old: DataFrame, batch: DataFrame) -> DataFrame:
         return old.unionByName(batch).groupBy("url", "line").agg(F.min("first").alias("first"))
 
-    table = _versions(spark, first, "inbox", "url string, line string, first struct<at:timestamp,id:long,k:int>", merged)
+    table = versions(spark, first, folder, "url string, line string, first struct<at:timestamp,id:long,k:int>", merged)
     ordered = F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("first", "line"))))
     return table.groupBy("url").agg(F.nullif(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n"), F.lit("")).alias("note"))

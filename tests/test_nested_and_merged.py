@@ -76,11 +76,11 @@ def test_notes_are_merged_over_batches(spark, tmp_path):
     for rows in batches:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    got = {r["url"]: r["note"] for r in stateful.inbox_notes(spark, stream).collect()}
+    got = {r["url"]: r["note"] for r in stateful.inbox_notes(spark, stream, f"{tmp_path}/notes").collect()}
     assert got == {"https://a.example/x": "one\ntwo\nthree", "https://b.example/": None, "https://c.example/": "late"}
 
 
 def test_no_submission_gives_no_row(spark, tmp_path):
     schema = "id long, url string, note string, at timestamp"
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/in")
-    assert stateful.inbox_notes(spark, spark.readStream.schema(schema).parquet(f"{tmp_path}/in")).isEmpty()
+    assert stateful.inbox_notes(spark, spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/notes").isEmpty()

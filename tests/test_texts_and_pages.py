@@ -122,6 +122,7 @@ def test_matches_need_day_and_place(spark):
 
 def test_streams_of_an_empty_table(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(0).write.parquet(f"{tmp_path}/events.parquet")
-    for made, mode in ((st.source_health, "update"), (st.inbox_dedup, "append")):
-        assert st.drain(spark, made(st.run_stream(spark, str(tmp_path))), mode, "empty").count() == 0
-    assert st.catalog_ingest(spark, st.run_stream(spark, str(tmp_path))).count() == 0
+    none = spark.createDataFrame([], "source long")
+    for made, mode, keys in ((lambda r: st.source_health(r, none), "update", ("source",)), (st.inbox_dedup, "append", ())):
+        assert st.drain(spark, made(st.run_stream(spark, str(tmp_path))), mode, f"{tmp_path}/{mode}", keys).count() == 0
+    assert st.catalog_ingest(spark, st.run_stream(spark, str(tmp_path)), f"{tmp_path}/ingest").count() == 0
