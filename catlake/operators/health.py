@@ -79,10 +79,23 @@ def decide(future: Column) -> Column:
     )
 
 
+def reason(state: Column) -> Column:
+    """Why a source has its state, from the signals; null for a healthy one."""
+    usual = F.round("baseline").cast("long").cast("string")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    return (
+        F.when(state == "broken", text(F.col("failures"), " failed attempts in a row"))
+        .when(state == "suspect", text("no items, usually ", usual))
+        .when(state == "degraded", text(F.col("items"), " items, usually ", usual))
+        .when(state == "schema-drift", text("fields filled less than usual: ", F.array_join("drifted", ", ")))
+        .when(state == "stale", text("unchanged for ", F.col("unchanged_days"), " days, nothing ahead"))
+    )
+
+
 def source_health(runs: DataFrame, fills: list[str], with_future: DataFrame) -> DataFrame:
     """Signals and state of every source; ``with_future`` has the sources that still announce something."""
     marked = signals(runs, fills).join(with_future.select("source").distinct().withColumn("_f", F.lit(True)), "source", "left")
-    return marked.withColumn("future", F.coalesce("_f", F.lit(False))).drop("_f").withColumn("state", decide(F.col("future")))
+    return marked.withColumn("future", F.coalesce("_f", F.lit(False))).drop("_f").withColumn("state", decide(F.col("future"))).withColumn("reason", reason(F.col("state")))
 
 
 def first_alerted_at(old_state: Column, old_alert: Column, state: Column, now: Column) -> Column:
@@ -98,9 +111,9 @@ def health_upsert(stored: DataFrame, fresh: DataFrame, now: Column) -> DataFrame
 
 
 def seed_state(stored: DataFrame, seeds: DataFrame, fields: list[str]) -> DataFrame:
-    """Stored rows with empty fields filled from the seeds; seeds of unknown sources are left out."""
+    """Stored rows with only their empty fields filled from the seeds; a seed of an unknown source is listed as skipped, as it stands."""
     merged = merge_by_key(stored, seeds, ["source"], {f: "coalesce_old_new" for f in fields})
-    return merged.filter("outcome <> 'created'")
+    return merged.select("source", *fields, (F.col("outcome") == "created").alias("skipped"))
 
 
 def severity(state: Column) -> Column:

@@ -118,7 +118,7 @@ def calibration(pairs: DataFrame) -> DataFrame:
 
 
 def title_members(rows: DataFrame, block: list[str]) -> DataFrame:
-    """(id, representative): each row with the row that stands for its title in ``distinct_titles``."""
+    """(id, representative): each row with the row that stands for its title in ``distinct_titles``; rows whose block or title is null are members too, of groups that pair with nothing."""
     return _spread(rows, distinct_titles(rows, block).select(*block, "title_key", F.col("id").alias("representative")), [*block, "title_key"]).select("id", "representative")
 
 
@@ -131,8 +131,11 @@ def expand_matches(matches: DataFrame, candidates: DataFrame, block: list[str])
 
 def _spread(rows: DataFrame, one: DataFrame, keys: list[str], parts: int = 16) -> DataFrame:
     """Join many rows to one of each key; the rows of a key are dealt over ``parts``, as one title may have most of them."""
-    dealt = rows.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-    return dealt.join(one.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), [*keys, "_part"])
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).alias("_many")
+    each = one.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).alias("_one")
+    on = [F.col(f"_many.{k}").eqNullSafe(F.col(f"_one.{k}")) for k in (*keys, "_part")]
+    rest = [F.col(f"_one.{c}") for c in one.columns if c not in keys]
+    return dealt.join(each, on).select(*[F.col(f"_many.{c}") for c in rows.columns], *rest)
 
 
 def apply_matches(matches: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binding import let
-from ..functions.temporal import ISO_DATE, MONTHS, WRITTEN_DATE, date_parts, dates_in, valid_parts
+from ..functions.lines import ONGOING, block_lines, organizer, parse_when_range
+from ..functions.temporal import DATE_RUN, MONTHS, dates_in, run_dates, valid_parts, written_dates
 from ..functions.text import clean_text, decode_entities, unaccent, unaccent_in_place
 
 ITEM = "page_id long, position int, uid string, title string, start_at string, end_at string, venue string, url string, recurring boolean"
@@ -36,12 +37,12 @@ def date_offsets(texts: DataFrame, key: str, text: str) -> DataFrame:
     ``key`` tells texts apart. A text is cut at its dates, and the lengths of what lies before a date are summed.
     """
     plain = unaccent_in_place(F.col(text))
-    cut = lambda form: F.arrays_zip(F.split(plain, form, -1).alias("gap"), F.regexp_extract_all(plain, F.lit(form), F.lit(0)).alias("written"))
-    forms = texts.select(key, F.posexplode(F.array(cut(WRITTEN_DATE), cut(ISO_DATE))).alias("_form", "pieces"))
-    pieces = forms.select(key, "_form", F.posexplode("pieces").alias("_at", "p")).select(key, "_form", "_at", "p.gap", "p.written").filter("written IS NOT NULL")
-    through = F.sum(F.length("gap") + F.length("written")).over(Window.partitionBy(key, "_form").orderBy("_at")).cast("int")
-    dates = pieces.withColumn("end", through).withColumn("d", date_parts(F.col("written"))).filter(valid_parts(F.col("d")))
-    return dates.select(key, F.col("d.d").alias("day"), F.col("d.m").alias("month"), F.col("d.y").alias("year"), (F.col("end") - F.length("written")).alias("start"), "end")
+    pieces = F.arrays_zip(F.split(plain, DATE_RUN, -1).alias("gap"), F.regexp_extract_all(plain, F.lit(DATE_RUN), F.lit(0)).alias("run"))
+    runs = texts.select(key, F.posexplode(pieces).alias("_at", "p")).select(key, "_at", "p.gap", "p.run").filter("run IS NOT NULL")
+    through = F.sum(F.length("gap") + F.length("run")).over(Window.partitionBy(key).orderBy("_at")).cast("int")
+    dates = runs.withColumn("end", through).withColumn("d", F.explode(F.filter(run_dates(F.col("run")), valid_parts)))
+    first = F.col("end") - F.length("run") + F.col("d.start")
+    return dates.select(key, F.col("d.d").alias("day"), F.col("d.m").alias("month"), F.col("d.y").alias("year"), first.alias("start"), (first + F.length("d.text")).alias("end"))
 
 
 #: What marks events, listings and calendars in addresses, attributes, texts and types; fixed values.
@@ -169,7 +170,7 @@ def signals(pages: DataFrame) -> DataFrame:
         F.col("url").rlike(r"/\d+/?([?#].*)?$").alias("numbered_url"),
         F.char_length(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("text_length"),
         F.coalesce(F.when(own, clean_text(F.regexp_extract(first, r'"name"\s*:\s*"((?:[^"\\\\]|\\\\.)*)"', 1))), heading, _meta("og:title"), head_title).alias("title"),
-        F.coalesce(F.when(own, F.nullif(F.regexp_extract(first, r'"startDate"\s*:\s*"([^"]*)"', 1), F.lit(""))), F.nullif(F.regexp_extract(unaccent(F.col("text")), f"{WRITTEN_DATE}|{ISO_DATE}", 0), F.lit(""))).alias("date_text"),
+        F.coalesce(F.when(own, F.nullif(F.regexp_extract(first, r'"startDate"\s*:\s*"([^"]*)"', 1), F.lit(""))), F.get(written_dates(unaccent(F.col("text"))), F.lit(0))["text"]).alias("date_text"),
     )
 
 
@@ -354,26 +355,89 @@ def run_extractors(pages: DataFrame) -> DataFrame:
     return out
 
 
-def listing_blocks(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, title, date_text, venue, ongoing) of text blocks: a date line, then the title, then the place."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    at = F.array_position(F.transform(lines, lambda x: x.rlike(r"\d{1,2}\. ?\d{1,2}\. ?\d{4}|\d{4}-\d{2}-\d{2}")), True)
-    return texts.select(key, lines.alias("l"), at.cast("int").alias("at")).select(
-        key, F.when(F.col("at") > 0, F.get("l", F.col("at") - 1)).alias("date_text"), F.get("l", F.col("at")).alias("title"), F.get("l", F.col("at") + 1).alias("venue"), F.exists("l", lambda x: F.lower(x) == "ongoing").alias("ongoing")
-    )
+#: Labels and ends of sections of a detail's text; fixed values.
+SECTION = ("Pořadatelé", "Organizers")
+SECTION_ENDS = (
+    "Navrhované události", "Podrobnosti", "Transparentnost události", "Zobrazit víc", "Zajímá mě", "Sdílet", "Pozvat", "Koupit vstupenky", "Diskuse", "Diskuze",
+    "Zúčastním se", "Hosté", "Další", "Informace", "Místo konání", "Suggested events", "Details", "See more", "Share", "Invite", "Tickets", "Discussion", "Guests", "Venue",
+)
+ADDRESS_LABELS = ("adresa:", "address:")
+#: A postal code before a town, and the longest line that is an address or a name; lines of a section, and lines that may hold the date; fixed values.
+POSTAL, LONGEST_ADDRESS, LONGEST_NAME, SECTION_LINES, DATE_LINES = r"\d{3}\s\d{2}\s+[^\d,]{2,}", 160, 80, 20, 60
+_SUMMARY = r"(?<!\s)\s++(?:spolu s(?:e)?\s+\d+\s+dalšími|and\s+\d+\s+others)\s*$"
 
 
-def detail_fields(texts: DataFrame, key: str, text: str, most: int = 60) -> DataFrame:
-    """(key, date_text, address, organizers): the first dated line within ``most``, the line after "Address:", names after "Organizer:"; these anywhere."""
-    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    first = lambda of, cond: F.get(F.filter(of, cond), F.lit(0))
-    return texts.select(key, lines.alias("l")).select(
-        key, first(F.slice("l", 1, most), lambda x: x.rlike(r"\d{1,2}\. ?\d{1,2}\. ?\d{4}|\d{4}-\d{2}-\d{2}")).alias("date_text"),
-        F.nullif(F.regexp_extract(first(F.col("l"), lambda x: x.startswith("Address:")), r"^Address:\s*(.*)$", 1), F.lit("")).alias("address"),
-        F.array_join(F.transform(F.filter("l", lambda x: x.startswith("Organizer:")), lambda x: F.regexp_extract(x, r"^Organizer:\s*(.*)$", 1)), ",").alias("organizers"),
+def listing_blocks(texts: DataFrame, key: str, text: str, as_of: str, prefer: str = "future", zone: str = "UTC") -> DataFrame:
+    """(key, title, date_text, start_at, end_at, all_day, ongoing, total_dates, venue, municipality, organizers, reason) of text blocks.
+
+    A block's first line says when (see ``functions/lines.py``) or that it is under way, which
+    leaves the start open and may give the end; the second is the title. The lines after them
+    are judged one by one: an organiser by its prefix, a place by the dot before it, and the
+    first other line is the venue. A block whose first line has no accepted form has a reason
+    and no times, and one of fewer than two lines nothing else.
+    """
+    def kinds(x: Column) -> Column:
+        name = organizer(x)
+        return F.struct(F.when(name.isNotNull(), "organizer").when(x.startswith("·"), "place").otherwise("text").alias("kind"), F.coalesce(name, F.when(x.startswith("·"), F.trim(F.ltrim(x, F.lit("·"))))).alias("value"), x.alias("line"))
+
+    rows = texts.select(key, F.col(as_of).alias("as_of"), block_lines(F.col(text)).alias("l"))
+    first = F.get("l", F.lit(0))
+    rows = rows.select(key, "as_of", "l", first.alias("date_text"), F.regexp_extract(unaccent(first), rf"^{ONGOING}(.*)$", 1).alias("rest"), unaccent(first).rlike(rf"^{ONGOING}").alias("ongoing"))
+    rest = F.regexp_replace(F.ltrim(F.col("rest"), F.lit(" .–—-")), r"^(?:do|az|until)\s+", "")
+    rows = rows.select(
+        key, "date_text", F.coalesce("ongoing", F.lit(False)).alias("ongoing"), F.get("l", F.lit(1)).alias("title"), (F.size("l") < 2).alias("short"),
+        F.transform(F.slice("l", F.lit(3), F.greatest(F.size("l") - 2, F.lit(0))), kinds).alias("more"),
+        parse_when_range(F.when(F.col("ongoing"), rest).otherwise(F.col("date_text")), F.col("as_of"), prefer, zone).alias("w"),
+    )
+    of = lambda kind: F.transform(F.filter("more", lambda x: x["kind"] == kind), lambda x: F.coalesce(x["value"], x["line"]))
+    whole = lambda c: F.when(~F.col("short"), c)
+    at = lambda c: whole(F.when(~F.col("ongoing"), c))
+    return rows.select(
+        key, whole(F.col("title")).alias("title"), "date_text",
+        at(F.col("w.start_at")).alias("start_at"), whole(F.when(F.col("ongoing"), F.col("w.start_at")).otherwise(F.col("w.end_at"))).alias("end_at"), at(F.col("w.all_day")).alias("all_day"),
+        "ongoing", whole(F.col("w.total_dates")).alias("total_dates"), whole(F.get(of("text"), F.lit(0))).alias("venue"), whole(F.nullif(F.try_element_at(of("place"), F.lit(-1)), F.lit(""))).alias("municipality"),
+        of("organizer").alias("organizers"), F.when(F.col("short"), "short-block").when(~F.col("ongoing"), F.col("w.reason")).alias("reason"),
     )
 
 
+def detail_fields(texts: DataFrame, key: str, text: str, as_of: str, prefer: str = "future", zone: str = "UTC") -> DataFrame:
+    """(key, date_text, start_at, end_at, all_day, address, organizers) of the text of a detail.
+
+    The date is the first accepted line among the first ``DATE_LINES``; the address the first
+    line with a comma and a postal code, or what a label has behind it; organisers are the
+    lines of their section up to the next section, else the names behind an organiser's
+    prefix without "and n others", each once.
+    """
+    lines = block_lines(F.col(text))
+    rows = texts.select(key, F.col(as_of).alias("as_of"), lines.alias("l"))
+    dated = F.transform(
+        F.filter(F.slice("l", 1, DATE_LINES), lambda x: x.rlike(r"\d")), lambda x: F.struct(x.alias("line"), parse_when_range(x, F.col("as_of"), prefer, zone).alias("w"))
+    )
+    label = lambda x: F.lower(x).rlike(rf"^(?:{'|'.join(ADDRESS_LABELS)})")
+    addressed = F.filter("l", lambda x: label(x) | (x.contains(",") & x.rlike(POSTAL) & (F.length(x) < LONGEST_ADDRESS)))
+    head = F.array_max(F.transform(F.array(*[F.array_position("l", name) for name in SECTION]), lambda x: x)).cast("int")
+    section = F.when(head > 0, F.slice("l", head + 1, F.lit(SECTION_LINES)))
+    ends = F.array_position(F.transform(section, lambda x: x.isin(*SECTION_ENDS)), True).cast("int")
+    listed = F.filter(F.when(ends > 0, F.slice(section, F.lit(1), ends - 1)).otherwise(section), lambda x: F.length(x) < LONGEST_NAME)
+    # A summary may stand before the section only, as what follows the section is of other sections.
+    before = F.when(head > 0, F.slice("l", F.lit(1), head)).otherwise(F.col("l"))
+    named = F.transform(F.filter(F.transform(before, organizer), lambda x: x.isNotNull()), lambda x: F.trim(F.regexp_replace(x, _SUMMARY, "")))
+    chosen = F.when(F.size(listed) > 0, F.filter(listed, lambda x: ~x.rlike(_SUMMARY))).otherwise(named)
+    rows = rows.select(
+        key, F.get(F.filter(dated, lambda x: x["w"]["reason"].isNull()), F.lit(0)).alias("d"), F.get(addressed, F.lit(0)).alias("a"), F.array_distinct(F.filter(chosen, lambda x: x != "")).alias("organizers")
+    )
+    address = F.nullif(F.trim(F.regexp_replace("a", rf"(?i)^(?:{'|'.join(ADDRESS_LABELS)})", "")), F.lit(""))
+    return rows.select(key, F.col("d.line").alias("date_text"), F.col("d.w.start_at").alias("start_at"), F.col("d.w.end_at").alias("end_at"), F.col("d.w.all_day").alias("all_day"), address.alias("address"), "organizers")
+
+
+def programmes(blocks: DataFrame, times: DataFrame, key: str) -> DataFrame:
+    """(key, kind, recurring, total_dates, times): a block with several dates by its own words, or with several links to times (key, time_id), is a programme."""
+    known = times.groupBy(key).agg(F.count_distinct("time_id").alias("times"))
+    rows = blocks.select(key, "total_dates").join(known, key, "left").withColumn("times", F.coalesce("times", F.lit(0).cast("long")))
+    recurring = F.coalesce(F.col("total_dates") > 1, F.lit(False)) | (F.col("times") > 1)
+    return rows.select(key, F.when(recurring, "programme").otherwise("single-event").alias("kind"), recurring.alias("recurring"), "total_dates", "times")
+
+
 def inbox_outcomes(classified: DataFrame, pages: DataFrame) -> DataFrame:
     """What becomes of a submitted page: a candidate with a stable id, a proposed source, or a failure."""
     state = F.when(F.col("kind") == "event-detail", "candidate").when(F.col("kind") == "listing", "source-proposal").otherwise("failed")

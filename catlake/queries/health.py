@@ -93,9 +93,14 @@ def future_flag(spark, sf_dir):
     return sources.join(last, "source", "left").select("source", F.coalesce(F.col("day") >= F.lit(datetime.date(2001, 7, 20)), F.lit(False)).alias("future"))
 
 
-@query(f"SELECT source, state FROM {_STATE}", "runs")
+_REASON = """CASE state WHEN 'broken' THEN failures || ' failed attempts in a row' WHEN 'suspect' THEN 'no items, usually ' || CAST(round(baseline) AS BIGINT)
+      WHEN 'degraded' THEN items || ' items, usually ' || CAST(round(baseline) AS BIGINT) WHEN 'schema-drift' THEN 'fields filled less than usual: title_fill'
+      WHEN 'stale' THEN 'unchanged for ' || CAST(unchanged_days AS BIGINT) || ' days, nothing ahead' END"""
+
+
+@query(f"SELECT source, state, {_REASON} AS reason FROM {_STATE}", "runs")
 def health_decide(spark, sf_dir):
-    return _health(spark, sf_dir).select("source", "state")
+    return _health(spark, sf_dir).select("source", "state", "reason")
 
 
 @query(f"SELECT source, runs, failures, items, CAST(baseline AS DOUBLE) AS baseline, CAST(unchanged_runs AS BIGINT) AS unchanged_runs, state, source IN (SELECT s_suppkey FROM supplier) AS future FROM {_STATE}", "runs")
@@ -103,13 +108,13 @@ def source_health(spark, sf_dir):
     return _health(spark, sf_dir).select("source", "runs", "failures", "items", "baseline", "unchanged_runs", "state", "future")
 
 
-_STORED = "(SELECT c_custkey AS source, CASE WHEN c_custkey % 3 = 0 THEN 'healthy' ELSE 'broken' END AS state, CASE WHEN c_custkey % 3 = 1 THEN '2024-01-01' END AS first_alerted_at, CAST(2.0 AS DOUBLE) AS baseline FROM customer WHERE c_custkey < 170)"
+_STORED = "(SELECT c_custkey AS source, CASE WHEN c_custkey % 3 = 0 THEN 'healthy' ELSE 'broken' END AS state, CASE WHEN c_custkey % 3 = 1 THEN '2024-01-01' END AS first_alerted_at, CAST(2.0 AS DOUBLE) AS baseline FROM customer)"
 
 
 def _stored(spark, sf_dir):
     key = F.col("c_custkey")
     empty = F.lit(None).cast("timestamp")
-    return b.table(spark, sf_dir, "customer").filter(key < 170).select(
+    return b.table(spark, sf_dir, "customer").select(
         key.alias("source"), F.when(key % 3 == 0, "healthy").otherwise("broken").alias("state"),
         empty.alias("last_success_at"), empty.alias("last_item_at"), F.lit(2.0).alias("baseline"), F.when(key % 3 == 1, "2024-01-01").alias("first_alerted_at"),
     )
@@ -141,9 +146,12 @@ def _report(spark, sf_dir):
     return h.health_report(sources, _health(spark, sf_dir), F.lit(_NOW).cast("timestamp"))
 
 
-@query(f"SELECT * FROM {_REPORT}", "runs")
+_SEVERITY = "CASE state WHEN 'broken' THEN 1 WHEN 'suspect' THEN 2 WHEN 'degraded' THEN 3 WHEN 'schema-drift' THEN 4 WHEN 'stale' THEN 5 WHEN 'healthy' THEN 6 ELSE 7 END"
+
+
+@query(f"SELECT *, row_number() OVER (ORDER BY {_SEVERITY}, days_since_item DESC NULLS LAST, source) AS place_in_order FROM {_REPORT}", "runs")
 def health_report(spark, sf_dir):
-    return _report(spark, sf_dir)
+    return placed(_report(spark, sf_dir), h.severity(F.col("state")), F.desc_nulls_last("days_since_item"), "source")
 
 
 
@@ -160,10 +168,17 @@ def health_listing_order(spark, sf_dir):
 
 
 
-@query(f"""SELECT o.source, coalesce(o.first_alerted_at, CASE WHEN s_acctbal > 0 THEN '2023-12-31' END) AS first_alerted_at FROM {_STORED} o LEFT JOIN supplier ON s_suppkey = o.source""")
+_SEEDS = "(SELECT s_suppkey * 3 AS source, CASE WHEN s_acctbal > 0 THEN '2023-12-31' END AS first_alerted_at, CAST(s_nationkey AS DOUBLE) AS baseline FROM supplier)"
+
+
+@query(f"""SELECT source, coalesce(o.first_alerted_at, n.first_alerted_at) AS first_alerted_at, coalesce(o.baseline, n.baseline) AS baseline, source NOT IN (SELECT c_custkey FROM customer) AS skipped
+    FROM (SELECT source, first_alerted_at, CASE WHEN source % 2 = 0 THEN baseline END AS baseline FROM {_STORED}) o FULL JOIN {_SEEDS} n USING (source)""")
 def seed_state(spark, sf_dir):
-    seeds = b.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source"), F.when(F.col("s_acctbal") > 0, "2023-12-31").alias("first_alerted_at"))
-    return h.seed_state(_stored(spark, sf_dir).select("source", "first_alerted_at"), seeds, ["first_alerted_at"]).select("source", "first_alerted_at")
+    seeds = b.table(spark, sf_dir, "supplier").select(
+        (F.col("s_suppkey") * 3).alias("source"), F.when(F.col("s_acctbal") > 0, "2023-12-31").alias("first_alerted_at"), F.col("s_nationkey").cast("double").alias("baseline")
+    )
+    stored = _stored(spark, sf_dir).select("source", "first_alerted_at", F.when(F.col("source") % 2 == 0, F.col("baseline")).alias("baseline"))
+    return h.seed_state(stored, seeds, ["first_alerted_at", "baseline"])
 
 
 _LINKS = "(SELECT l_suppkey AS source, l_orderkey * 10 + l_linenumber AS item, CAST(l_shipdate AS DATE) AS day, l_orderkey % 4 AS missing FROM lineitem)"

@@ -5,26 +5,36 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import bindings as b
-from ..functions.text import similarity_of
+from ..functions.text import fold, similarity_of
 from ..operators import match as m
 from ..operators.merge import merge_by_key
 from ..operators.windows import best_match as best
 from ..operators.windows import first_occurrence as first
 from .registry import query
 
-_BLOCK = ["lang", "start"]
-_SIDES = """(SELECT lang, substr(title_key, 1, 4) AS start, title_key, min(id) AS id, count(*) AS copies FROM lines WHERE id % 2 = {} GROUP BY ALL)"""
-_PAIRS = f"(SELECT c.id AS c_id, r.id AS r_id, c.title_key AS c_key, r.title_key AS r_key FROM {_SIDES.format(1)} c JOIN {_SIDES.format(0)} r USING (lang, start))"
+_DAY_PLACE = ["day", "place_id"]
+_KEYED = """(SELECT CAST(start_at AS DATE) AS day, place_id, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS title_key, id, status FROM matchable)"""
+_SIDE = f"(SELECT day, place_id, title_key, min(id) AS id FROM {_KEYED} WHERE status = '{{}}' GROUP BY ALL)"
 
 
-def _sides(spark, sf_dir):
-    rows = b.first_lines(spark, sf_dir).withColumn("start", F.substring("title_key", 1, 4))
-    return m.distinct_titles(rows.filter("id % 2 = 1"), _BLOCK), m.distinct_titles(rows.filter("id % 2 = 0"), _BLOCK)
+def _keyed(spark, sf_dir):
+    """Drafts and published orders by their day and place, with folded titles."""
+    rows = b.matchable(spark, sf_dir).select("id", F.to_date("start_at").alias("day"), "place_id", fold(F.col("title")).alias("title_key"), "status")
+    return tuple(rows.filter(F.col("status") == s).drop("status") for s in ("draft", "published"))
 
 
-@query(f"SELECT c_id, r_id FROM {_PAIRS}", "lines")
+@query(f"SELECT c.id AS c_id, r.id AS r_id, c.title_key AS c_title, r.title_key AS r_title FROM {_SIDE.format('draft')} c JOIN {_SIDE.format('published')} r USING (day, place_id)", "matchable")
 def block_pairs(spark, sf_dir):
-    return m.block_pairs(*_sides(spark, sf_dir), _BLOCK).select("c_id", "r_id")
+    """Pairs of the different titles of a day and place; block_members says who each stands for."""
+    sides = (m.distinct_titles(rows, _DAY_PLACE) for rows in _keyed(spark, sf_dir))
+    return m.salted_pairs(*sides, _DAY_PLACE).select("c_id", "r_id", F.col("c_title_key").alias("c_title"), F.col("r_title_key").alias("r_title"))
+
+
+@query(f"SELECT status, id, min(id) OVER (PARTITION BY day, place_id, title_key, status) AS representative FROM {_KEYED} WHERE status IN ('draft', 'published')", "matchable")
+def block_members(spark, sf_dir):
+    """Which row stands for each in block_pairs."""
+    drafts, published = (m.title_members(rows, _DAY_PLACE).withColumn("status", F.lit(s)) for rows, s in zip(_keyed(spark, sf_dir), ("draft", "published"), strict=True))
+    return drafts.unionByName(published)
 
 
 _WHOLE = ["lang", "source"]

@@ -177,22 +177,64 @@ def page_date_offsets(spark, sf_dir):
     return g.date_offsets(b.published(spark, sf_dir).select("id", text.alias("text")), "id", "text")
 
 
-@query("SELECT id, CAST(start_day AS VARCHAR) AS date_text, title, place AS venue, id % 2 = 0 AS ongoing FROM pub", "pub")
-def listing_block_items(spark, sf_dir):
-    text = F.concat(F.lit("\n  "), F.col("start_day").cast("string"), F.lit(" \n\n"), "title", F.lit("\n"), "place", F.when(F.col("id") % 2 == 0, "\nOngoing").otherwise(""))
-    return g.listing_blocks(b.published(spark, sf_dir).select("id", text.alias("text")), "id", "text")
+_MONTH_NAMES = ("ledna", "února", "března", "dubna", "května", "června", "července", "srpna", "září", "října", "listopadu", "prosince")
 
 
-@query("SELECT id, 'Start ' || CAST(start_day AS VARCHAR) AS date_text, place AS address, title || ',' || region AS organizers FROM pub", "pub")
-def detail_block_fields(spark, sf_dir):
-    text = F.concat(F.lit("Start "), F.col("start_day").cast("string"), F.lit("\nAddress: "), "place", F.lit("\nOrganizer: "), "title", F.lit("\nOrganizer: "), "region")
-    return g.detail_fields(b.published(spark, sf_dir).select("id", text.alias("text")), "id", "text")
+def _spoken(day, year=True):
+    return F.date_format(day, "d. M. y" if year else "d. M.")
+
+
+def _blocks(spark, sf_dir):
+    """A text block of each published record, with its date in one of five forms."""
+    k, last = F.col("id") % 5, F.coalesce("end_day", "start_day")
+    named = F.concat_ws(" ", F.date_format("start_day", "d."), F.element_at(F.array(*map(F.lit, _MONTH_NAMES)), F.month("start_day")), F.date_format("start_day", "y"))
+    when = (
+        F.when(k == 0, F.concat(F.lit("Právě probíhá"), F.when(F.col("id") % 2 == 0, F.concat(F.lit(" do "), _spoken(last))).otherwise("")))
+        .when(k == 1, F.concat(F.lit("Út, "), _spoken("start_day"), F.lit(" ve 9:00 CEST a "), (F.col("id") % 30).cast("string"), F.lit(" dalších")))
+        .when(k == 2, F.concat(named, F.lit(" v 20:30 až 3:00")))
+        .when(k == 3, F.concat(_spoken("start_day", False), F.lit(" – "), _spoken(last)))
+        .otherwise(F.concat(F.lit("zrušeno "), _spoken("start_day"), F.lit(", nově "), _spoken(last)))
+    )
+    text = F.concat(
+        F.lit("\n  "), when, F.lit(" \n\n"), "title", F.when(F.col("id") % 2 == 0, F.concat(F.lit("\n"), "region")).otherwise(""), F.lit("\n · "), "place", F.lit("\nUdálost vytvořena "), "title",
+        F.when(F.col("id") % 3 == 0, F.concat(F.lit("\nEvent by "), "region")).otherwise(""),
+    )
+    rows = b.published(spark, sf_dir).select("id", text.alias("text"), F.date_sub("start_day", 30).alias("as_of"))
+    return g.listing_blocks(rows, "id", "text", "as_of")
+
 
+_AT = "strftime(CAST({} AS TIMESTAMP), '%Y-%m-%d %H:%M')"
 
-@query("SELECT l_orderkey AS id, CASE WHEN count(*) > 4 THEN 'programme' ELSE 'single' END AS kind, count(DISTINCT l_shipdate) > 1 AS recurring FROM lineitem GROUP BY 1")
+
+@query(f"""SELECT id, title, CASE id % 5 WHEN 1 THEN {_AT.format('start_day + INTERVAL 9 HOUR')} WHEN 2 THEN {_AT.format('start_day + INTERVAL 1230 MINUTE')} WHEN 3 THEN {_AT.format('start_day')} END AS start_at,
+      CASE id % 5 WHEN 0 THEN CASE WHEN id % 2 = 0 THEN {_AT.format('coalesce(end_day, start_day)')} END WHEN 2 THEN {_AT.format('start_day + INTERVAL 27 HOUR')} WHEN 3 THEN {_AT.format('coalesce(end_day, start_day)')} END AS end_at,
+      CASE id % 5 WHEN 1 THEN false WHEN 2 THEN false WHEN 3 THEN true END AS all_day, id % 5 = 0 AS ongoing, CASE WHEN id % 5 = 1 THEN CAST(id % 30 + 1 AS INTEGER) END AS total_dates,
+      CASE WHEN id % 2 = 0 THEN region END AS venue, place AS municipality, title || CASE WHEN id % 3 = 0 THEN ',' || region ELSE '' END AS organizers, CASE WHEN id % 5 = 4 THEN 'unread-line' END AS reason FROM pub""", "pub")
+def listing_block_items(spark, sf_dir):
+    minute = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm").alias(c)
+    return _blocks(spark, sf_dir).select("id", "title", minute("start_at"), minute("end_at"), "all_day", "ongoing", "total_dates", "venue", "municipality", F.array_join("organizers", ",").alias("organizers"), "reason")
+
+
+@query(f"""SELECT id, 'So, ' || {_SPOKEN} || ' od 18:15' AS date_text, {_AT.format('start_day + INTERVAL 1095 MINUTE')} AS start_at,
+      CASE WHEN id % 2 = 0 THEN 'Ulice 1, 530 02 ' || place ELSE place END AS address, CASE WHEN id % 3 = 0 THEN title || ',' || region ELSE title END AS organizers FROM pub""", "pub")
+def detail_block_fields(spark, sf_dir):
+    even, third = F.col("id") % 2 == 0, F.col("id") % 3 == 0
+    text = F.concat(
+        F.lit("30 lidí\nzrušeno 1. 5. 2024, nově 3. 5. 2024\nSo, "), _spoken("start_day"), F.lit(" od 18:15\n"),
+        F.when(even, F.concat(F.lit("Ulice 1, 530 02 "), "place")).otherwise(F.concat(F.lit("Address: "), "place")),
+        F.lit("\nUdálost pořádá "), "title", F.lit(" spolu s 3 dalšími"),
+        F.when(third, F.concat(F.lit("\nPořadatelé\n"), "title", F.lit("\n"), "region", F.lit("\n"), "title", F.lit("\nPodrobnosti\nNikdo"))).otherwise(""),
+    )
+    rows = g.detail_fields(b.published(spark, sf_dir).select("id", text.alias("text"), F.date_sub("start_day", 30).alias("as_of")), "id", "text", "as_of")
+    return rows.select("id", "date_text", F.date_format("start_at", "yyyy-MM-dd HH:mm").alias("start_at"), "address", F.array_join("organizers", ",").alias("organizers"))
+
+
+@query("""SELECT id, CASE WHEN many OR coalesce(n, 0) > 1 THEN 'programme' ELSE 'single-event' END AS kind, many OR coalesce(n, 0) > 1 AS recurring, total_dates, coalesce(n, 0) AS times FROM
+      (SELECT id, CASE WHEN id % 5 = 1 THEN CAST(id % 30 + 1 AS INTEGER) END AS total_dates, id % 5 = 1 AND id % 30 > 0 AS many FROM pub)
+      LEFT JOIN (SELECT l_orderkey, count(DISTINCT l_shipdate) AS n FROM lineitem GROUP BY 1) ON id = l_orderkey""", "pub")
 def programme_candidates(spark, sf_dir):
-    n = b.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("n"), F.count_distinct("l_shipdate").alias("days"))
-    return n.select("id", F.when(F.col("n") > 4, "programme").otherwise("single").alias("kind"), (F.col("days") > 1).alias("recurring"))
+    times = b.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_shipdate").alias("time_id"))
+    return g.programmes(_blocks(spark, sf_dir), times, "id")
 
 
 @query("""SELECT page_id, 'https://' || lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) || regexp_replace(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/+$', '')
@@ -217,8 +259,13 @@ def url_usage(spark, sf_dir):
     return uses.groupBy("url").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("place")), ",").alias("places"))
 
 
-@query("SELECT id, CASE id % 3 WHEN 2 THEN NULL ELSE CAST(start_day AS VARCHAR) END AS day, CASE id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS all_day FROM pub", "pub")
+@query("""SELECT id, CASE id % 4 WHEN 3 THEN NULL ELSE CAST(start_day AS VARCHAR) END AS day, CASE id % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false END AS all_day,
+      CAST(CASE id % 4 WHEN 0 THEN epoch(start_day) WHEN 1 THEN epoch(start_day) + 59400 WHEN 2 THEN epoch(start_day) + 33900 END AS BIGINT) AS instant FROM pub""", "pub")
 def parse_when(spark, sf_dir):
-    text = F.when(F.col("id") % 3 == 0, F.date_format("start_day", "d. M. y")).when(F.col("id") % 3 == 1, F.concat(F.col("start_day").cast("string"), F.lit("T18:30:00+02:00"))).otherwise("soon")
+    k = F.col("id") % 4
+    text = (
+        F.when(k == 0, _spoken("start_day")).when(k == 1, F.concat(F.col("start_day").cast("string"), F.lit("T18:30:00+02:00")))
+        .when(k == 2, F.concat(_spoken("start_day"), F.lit(" od 9:25"))).otherwise("soon")
+    )
     rows = b.published(spark, sf_dir).select("id", when_of(text).alias("w"))
-    return rows.select("id", F.col("w.day").cast("string").alias("day"), "w.all_day")
+    return rows.select("id", F.col("w.day").cast("string").alias("day"), "w.all_day", F.unix_timestamp("w.at").alias("instant"))

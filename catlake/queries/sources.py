@@ -232,11 +232,22 @@ def map_categories(spark, sf_dir):
     return n.map_categories(rows, "id", "raw", dictionary)
 
 
-@query("SELECT page_id AS id, 'pages-' || substr(sha256('pages' || chr(31) || page_id || chr(31) || url || chr(31) || chr(31)), 1, 24) AS candidate_id FROM pages")
+_EMPTY = "page_id % 5 = 0"
+
+
+@query(f"""SELECT page_id AS id, 'pages-' || substr(sha256(CASE WHEN {_EMPTY} THEN '{{"a":{{"k":' || page_id || ',"z":null}},"b":[1,2.5,"' || page_id || '"],"url":"' || replace(replace(url, '\\', '\\\\'), '"', '\\"') || '"}}'
+      ELSE '{{"source":"pages","start":null,"title":null,"uid":"' || page_id || '","url":"' || replace(replace(url, '\\', '\\\\'), '"', '\\"') || '"}}' END), 1, 24) AS candidate_id FROM pages""")
 def candidate_fingerprint(spark, sf_dir):
-    none = F.lit(None).cast("string")
-    key = n.fingerprint(F.lit("pages"), F.col("page_id").cast("string"), F.col("url"), none, none, none)
-    return b.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), key.alias("candidate_id"))
+    none, full = F.lit(None).cast("string"), F.col("page_id") % 5 != 0
+    uid = F.col("page_id").cast("string")
+    nested = F.array(F.struct(F.lit("x").alias("x")))
+    rows = b.table(spark, sf_dir, "pages").withColumns({
+        "b": F.array(F.lit("1"), F.lit("2.5"), uid), "a": F.create_map(F.lit("z"), F.lit(None).cast("long"), F.lit("k"), F.col("page_id")), "n": nested,
+    })
+    mixed = F.concat(F.lit("[1,2.5,"), n.json_value(F.element_at("b", 3), rows.schema["url"].dataType), F.lit("]"))
+    payload = n.canonical_json({"url": n.json_value(F.col("url"), rows.schema["url"].dataType), "b": mixed, "a": n.json_value(F.col("a"), rows.schema["a"].dataType)})
+    key = n.fingerprint(F.lit("pages"), F.when(full, uid), F.when(full, F.col("url")), none, none, payload)
+    return rows.select(F.col("page_id").alias("id"), key.alias("candidate_id"))
 
 
 @query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS start_day, CASE WHEN o_orderkey % 4 = 0 THEN 'free' ELSE 'unknown' END AS price_type, c_nationkey AS place_id,
@@ -253,11 +264,28 @@ def normalize_candidates(spark, sf_dir):
     return n.normalize_candidates(items, *_places(spark, sf_dir)).select("id", F.col("start_day").cast("string").alias("start_day"), "price_type", "place_id", "reasons", "state")
 
 
-@query("""SELECT id, CAST(start_day AS VARCHAR) AS first, CAST(end_day AS VARCHAR) AS last FROM pub WHERE end_day IS NOT NULL""", "pub")
+_RANGE = "coalesce(end_day, start_day)"
+
+
+@query(f"""SELECT id, CASE WHEN id % 6 IN (0, 1, 2, 3) THEN CAST(start_day AS VARCHAR) END AS first,
+      CASE WHEN id % 6 = 0 THEN CAST({_RANGE} AS VARCHAR) WHEN id % 6 = 1 THEN CAST({_RANGE} AS VARCHAR) WHEN id % 6 = 2 THEN CAST(start_day + 1 AS VARCHAR) END AS last,
+      CAST(CASE id % 6 WHEN 0 THEN epoch(start_day) WHEN 1 THEN epoch(start_day) + 64800 WHEN 2 THEN epoch(start_day) + 79200 WHEN 3 THEN epoch(start_day) + 73800 END AS BIGINT) AS start_at,
+      CAST(CASE id % 6 WHEN 0 THEN epoch({_RANGE}) WHEN 1 THEN epoch({_RANGE}) + 68700 WHEN 2 THEN epoch(start_day) + 97200 END AS BIGINT) AS end_at,
+      CASE id % 6 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false WHEN 3 THEN false END AS all_day, CASE id % 6 WHEN 4 THEN 'unread-line' WHEN 5 THEN 'no-date' END AS reason FROM pub""", "pub")
 def parse_when_range(spark, sf_dir):
-    line = F.concat(F.lit("So "), F.date_format("start_day", "d. M."), F.lit(" - "), F.date_format("end_day", "d. M. y"))
-    rows = b.published(spark, sf_dir).filter("end_day IS NOT NULL").select("id", n.parse_when_range(line, F.date_sub("start_day", 30)).alias("r"))
-    return rows.select("id", F.col("r.first").cast("string").alias("first"), F.col("r.last").cast("string").alias("last"))
+    k, last = F.col("id") % 6, F.coalesce("end_day", "start_day")
+    short, whole = (lambda d: F.date_format(d, "d. M.")), (lambda d: F.date_format(d, "d. M. y"))
+    line = (
+        F.when(k == 0, F.concat(F.lit("So "), short("start_day"), F.lit(" - "), whole(last)))
+        .when(k == 1, F.concat(F.lit("Pátek, "), short("start_day"), F.lit(" v 18:00 až "), short(last), F.lit(" v 19:05 CEST")))
+        .when(k == 2, F.concat(short("start_day"), F.lit(" v 22:00–3:00")))
+        .when(k == 3, F.concat(F.lit("ne, "), short("start_day"), F.lit(" v 20:30 CET")))
+        .when(k == 4, F.concat(short("start_day"), F.lit(", "), short(last), F.lit(", "), whole(last)))
+        .otherwise("Zobrazit víc")
+    )
+    rows = b.published(spark, sf_dir).select("id", n.parse_when_range(line, F.date_sub("start_day", 30)).alias("r"))
+    at = lambda c: F.unix_timestamp(F.col(f"r.{c}")).alias(c)
+    return rows.select("id", F.col("r.first").cast("string").alias("first"), F.col("r.last").cast("string").alias("last"), at("start_at"), at("end_at"), "r.all_day", "r.reason")
 
 
 # --- streams
