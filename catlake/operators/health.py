@@ -7,8 +7,11 @@ before the shuffle, so a source with very many attempts doesn't gather in one ta
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.temporal import elapsed_days
 from .merge import merge_by_key
@@ -220,23 +223,59 @@ FACTORS = {"days_since_check": 0.40, "event_yield": 0.20, "season": 0.15, "gap":
 SHARES = {1: 0.35, 2: 0.35, 3: 0.30}
 
 
-def plan_batch(places: DataFrame, most: int = 30, budget: int = 180, districts: int = 0) -> DataFrame:
-    """The places to visit: the best of each tier up to its share, as far as the queries' budget lasts.
+#: Rows that one round of the plan looks at.
+AT_ONCE = 1000
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What a plan may take at most, and the districts it needs at least; every region has to be among its places."""
+
+    places: int = 30
+    queries: int = 180
+    candidates: int = 120
+    new_sources: int = 25
+    districts: int = 4
+
+
+def plan_batch(places: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
+    """(place, tier, district, region, queries, candidates, new_sources, priority, spent) of the places to visit, in the order of choice.
 
-    ``places`` has place, tier, queries and the factors, each between 0 and 1; with ``districts`` also district, of
-    which so many at least have to be among the chosen, so the best place of each of the best districts comes first.
-    Each tier's best are taken by its own order and limit, which Spark cuts in every task, so no tier is sorted whole.
+    ``places`` has these columns but the last two, and the factors, each between 0 and 1. The
+    best place of each region comes first, then the best of each of the best districts, then
+    the others by priority. A place is taken if its tier's share and every limit still hold
+    with it, and passed over if not, so a dear place doesn't end the plan. Each round takes
+    from Spark the first rows of those that still fit one by one, so it chooses at least
+    one, and there are as many rounds as places at most.
     """
     score = sum(F.col(f) * w for f, w in FACTORS.items())
-    rated = places.withColumn("priority", F.round(score, 6)).withColumn("ahead", F.lit(1))
-    if districts:
-        best = rated.groupBy("district").agg(F.max_by(F.struct("place", "priority"), F.struct("priority", F.col("place"))).alias("b"))
-        first = best.orderBy(F.desc("b.priority"), "district").limit(districts).select(F.col("b.place").alias("_first"))
-        rated = rated.join(F.broadcast(first), F.col("place") == F.col("_first"), "left").withColumn("ahead", F.when(F.col("_first").isNull(), 1).otherwise(0)).drop("_first")
-    chosen = None
-    for tier, share in SHARES.items():
-        top = rated.filter(F.col("tier") == tier).orderBy("ahead", F.desc("priority"), "place").limit(int(share * most + 0.5))
-        chosen = top if chosen is None else chosen.unionByName(top)
-    order = Window.partitionBy("tier").orderBy("ahead", F.desc("priority"), "place")
-    spent = F.sum("queries").over(Window.partitionBy(F.lit(0)).orderBy("ahead", F.desc("priority"), "place"))  # at most ``most`` rows
-    return chosen.withColumn("rank", F.row_number().over(order)).withColumn("spent", spent).filter(F.col("spent") <= budget).drop("ahead")
+    columns = ["place", "tier", "district", "region", "queries", "candidates", "new_sources"]
+    rated = places.select(*columns, F.round(score, 6).alias("priority"))
+    best = lambda by: rated.groupBy(by).agg(F.min_by(F.struct("place", "priority"), F.struct(-F.col("priority"), F.col("place"))).alias("b"))
+    firsts = best("region").select(F.col("b.place").alias("_first"), F.lit(0).alias("_ahead"))
+    top = best("district").orderBy(F.desc("b.priority"), "district").limit(limits.districts).select(F.col("b.place").alias("_first"), F.lit(1).alias("_ahead"))
+    seeds = firsts.unionByName(top).groupBy("_first").agg(F.min("_ahead").alias("_ahead"))
+    rated = rated.join(seeds, F.col("place") == F.col("_first"), "left").withColumn("_ahead", F.coalesce("_ahead", F.lit(2))).drop("_first")
+    left = {"queries": limits.queries, "candidates": limits.candidates, "new_sources": limits.new_sources}
+    quota = {tier: int(share * limits.places + 0.5) for tier, share in SHARES.items()}
+    chosen: list[tuple] = []
+    last: tuple | None = None
+    while len(chosen) < limits.places:
+        open_tiers = [t for t, n in quota.items() if n]
+        fits = F.col("tier").isin(*open_tiers)
+        for c, n in left.items():
+            fits = fits & (F.col(c) <= n)
+        if last is not None:
+            order = F.struct("_ahead", (-F.col("priority")).alias("p"), "place")
+            fits = fits & (order > F.struct(F.lit(last[0]).alias("_ahead"), F.lit(-last[1]).alias("p"), F.lit(last[2]).cast(rated.schema["place"].dataType).alias("place")))
+        rows = rated.filter(fits).orderBy("_ahead", F.desc("priority"), "place").limit(AT_ONCE).collect() if open_tiers else []
+        if not rows:
+            break
+        for r in rows:
+            last = (r["_ahead"], r["priority"], r["place"])
+            if len(chosen) < limits.places and quota.get(r["tier"], 0) and all(r[c] <= n for c, n in left.items()):
+                quota[r["tier"]] -= 1
+                left = {c: n - r[c] for c, n in left.items()}
+                chosen.append((*[r[c] for c in columns], r["priority"], limits.queries - left["queries"]))
+    schema = T.StructType([rated.schema[c] for c in (*columns, "priority")]).add("spent", "long")
+    return places.sparkSession.createDataFrame(chosen, schema)

@@ -159,7 +159,7 @@ def run_all(*findings: DataFrame) -> DataFrame:
     return out.select(*FINDING)
 
 
-def summary(findings: DataFrame, strict: bool = False) -> DataFrame:
-    """Counts by level, and whether the level fails the run: errors always, warnings in strict mode."""
+def summary(findings: DataFrame, strict: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """Counts by level (and more columns), and whether the level fails the run: errors always, warnings in strict mode."""
     fails = (F.col("level") == "error") | F.lit(strict)
-    return findings.groupBy("level").agg(F.count("*").alias("n")).withColumn("fails", fails)
+    return findings.groupBy("level", *by).agg(F.count("*").alias("n")).withColumn("fails", fails)

@@ -300,16 +300,28 @@ def pending_batch(spark, sf_dir):
     return rows.filter("state = 'new' AND attempts < 3").select("id").orderBy("id").limit(50)
 
 
-_PLAN = """(SELECT c_custkey AS place, CAST(c_custkey % 3 + 1 AS INTEGER) AS tier, c_custkey % 7 + 1 AS queries,
-      round(0.40 * ((c_custkey * 7) % 100) / 100.0 + 0.20 * ((c_custkey * 13) % 100) / 100.0 + 0.15 * (c_nationkey / 25.0) + 0.15 * (c_custkey % 2) + 0.10 * (c_custkey % 5) / 5.0, 6) AS priority FROM customer)"""
-
-
-@query(f"""SELECT place, tier, queries, priority, CAST(spent AS BIGINT) AS spent FROM (SELECT *, sum(queries) OVER (ORDER BY priority DESC, place) AS spent FROM
-      (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY priority DESC, place) AS r FROM {_PLAN}) WHERE r <= CASE tier WHEN 3 THEN 9 ELSE 11 END) WHERE spent <= 100""")
+_PLAN = """(SELECT c_custkey AS place, CAST(c_custkey % 3 + 1 AS INTEGER) AS tier, c_nationkey AS district, n_regionkey AS region, c_custkey % 17 + 1 AS queries, c_custkey % 11 AS candidates, CAST(c_custkey % 4 = 0 AS BIGINT) AS new_sources,
+      round(0.40 * ((c_custkey * 7) % 100) / 100.0 + 0.20 * ((c_custkey * 13) % 100) / 100.0 + 0.15 * (c_nationkey / 25.0) + 0.15 * (c_custkey % 2) + 0.10 * (c_custkey % 5) / 5.0, 6) AS priority FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+_LIMITS = h.Limits(places=30, queries=120, candidates=70, new_sources=5, districts=7)
+_RANKED = f"""(SELECT *, row_number() OVER (ORDER BY ahead, priority DESC, place) AS r FROM (SELECT *, CASE WHEN row_number() OVER (PARTITION BY region ORDER BY priority DESC, place) = 1 THEN 0
+      WHEN place IN (SELECT arg_min(place, (-priority, place)) AS best FROM {_PLAN} GROUP BY district ORDER BY max(priority) DESC, district LIMIT {_LIMITS.districts}) THEN 1 ELSE 2 END AS ahead FROM {_PLAN}))"""
+
+
+@query(f"""SELECT place, tier, district, region, queries, priority, CAST({_LIMITS.queries} - q AS BIGINT) AS spent FROM (
+    WITH RECURSIVE ranked AS MATERIALIZED (SELECT * FROM {_RANKED}), plan AS (
+      SELECT CAST(NULL AS BIGINT) AS place, CAST(0 AS INTEGER) AS tier, CAST(NULL AS BIGINT) AS district, CAST(NULL AS BIGINT) AS region, CAST(0 AS BIGINT) AS queries, CAST(0 AS DOUBLE) AS priority, CAST(0 AS BIGINT) AS r,
+             CAST({_LIMITS.queries} AS BIGINT) AS q, CAST({_LIMITS.candidates} AS BIGINT) AS c, CAST({_LIMITS.new_sources} AS BIGINT) AS s, [11, 11, 9] AS quota, 0 AS n
+      UNION ALL
+      SELECT b.place, b.tier, b.district, b.region, b.queries, b.priority, b.r, q - b.queries, c - b.candidates, s - b.new_sources,
+             [quota[1] - CAST(b.tier = 1 AS INTEGER), quota[2] - CAST(b.tier = 2 AS INTEGER), quota[3] - CAST(b.tier = 3 AS INTEGER)], n + 1
+      FROM (SELECT p.q, p.c, p.s, p.quota, p.n, arg_min({{'place': k.place, 'tier': k.tier, 'district': k.district, 'region': k.region, 'queries': k.queries, 'candidates': k.candidates, 'new_sources': k.new_sources, 'priority': k.priority, 'r': k.r}}, k.r) AS b
+            FROM plan p JOIN ranked k ON k.r > p.r AND k.queries <= p.q AND k.candidates <= p.c AND k.new_sources <= p.s AND p.quota[k.tier] > 0 WHERE p.n < {_LIMITS.places} GROUP BY ALL))
+    SELECT * FROM plan WHERE n > 0)""")
 def plan_batch(spark, sf_dir):
     key = F.col("c_custkey")
-    places = b.table(spark, sf_dir, "customer").select(
-        key.alias("place"), (key % 3 + 1).cast("int").alias("tier"), (key % 7 + 1).alias("queries"), ((key * 7) % 100 / 100).alias("days_since_check"), ((key * 13) % 100 / 100).alias("event_yield"),
-        (F.col("c_nationkey") / 25).alias("season"), (key % 2).cast("double").alias("gap"), (key % 5 / 5).alias("new_source"),
+    nation = b.table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("region"))
+    places = b.table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        key.alias("place"), (key % 3 + 1).cast("int").alias("tier"), F.col("c_nationkey").alias("district"), "region", (key % 17 + 1).alias("queries"), (key % 11).alias("candidates"),
+        (key % 4 == 0).cast("long").alias("new_sources"), ((key * 7) % 100 / 100).alias("days_since_check"), ((key * 13) % 100 / 100).alias("event_yield"), (F.col("c_nationkey") / 25).alias("season"), (key % 2).alias("gap"), (key % 5 / 5).alias("new_source"),
     )
-    return h.plan_batch(places, budget=100).select("place", "tier", "queries", "priority", "spent")
+    return h.plan_batch(places, _LIMITS).select("place", "tier", "district", "region", "queries", "priority", "spent")

@@ -8,7 +8,8 @@ from .. import bindings as b
 from ..functions.temporal import iso_week
 from ..functions.urls import generic_url
 from ..operators import match, quality as q
-from .registry import query
+from ..operators.schemas import schema_findings
+from .registry import ORACLE_SQL, QUERIES, query
 
 _F = "'{}' AS level, '{}' AS \"check\", CAST({} AS VARCHAR) AS key, '{}' AS message"
 
@@ -17,21 +18,63 @@ def _f(level, check, key, message):
     return _F.format(level, check, key, message)
 
 
-_DOCS = f"""SELECT {_f('error', 'schema', 'doc_id', 'no-text')} FROM documents WHERE text IS NULL OR trim(text) = '' UNION ALL
-    SELECT {_f('warning', 'schema', 'doc_id', 'short-text')} FROM documents WHERE n_chars < 200 UNION ALL
-    SELECT {_f('error', 'schema', 'doc_id', 'bad-length')} FROM documents WHERE n_chars <> length(text) UNION ALL
-    SELECT {_f('error', 'schema', 'doc_id', 'unknown-language')} FROM documents WHERE lang NOT IN ('en', 'de', 'fr')"""
+_DOCS = f"""SELECT {_f('error', 'texts', 'doc_id', 'no-text')} FROM documents WHERE text IS NULL OR trim(text) = '' UNION ALL
+    SELECT {_f('warning', 'texts', 'doc_id', 'short-text')} FROM documents WHERE n_chars < 200 UNION ALL
+    SELECT {_f('error', 'texts', 'doc_id', 'bad-length')} FROM documents WHERE n_chars <> length(text) UNION ALL
+    SELECT {_f('error', 'texts', 'doc_id', 'unknown-language')} FROM documents WHERE lang NOT IN ('en', 'de', 'fr')"""
 
 
 @query(_DOCS)
-def dq_schema(spark, sf_dir):
+def dq_texts(spark, sf_dir):
     rules = {
         "no-text": ("error", F.col("text").isNull() | (F.trim("text") == "")),
         "short-text": ("warning", F.col("n_chars") < 200),
         "bad-length": ("error", F.col("n_chars") != F.char_length("text")),
         "unknown-language": ("error", ~F.col("lang").isin("en", "de", "fr")),
     }
-    return q.rule_findings(b.table(spark, sf_dir, "documents"), "schema", "doc_id", rules)
+    return q.rule_findings(b.table(spark, sf_dir, "documents"), "texts", "doc_id", rules)
+
+
+#: A schema document of the kind that catalogues declare their records by.
+_RECORD = {
+    "type": "object",
+    "required": ["id", "text", "lang", "source", "words"],
+    "additionalProperties": False,
+    "$defs": {"name": {"type": "string", "pattern": "^src[0-9]+$"}},
+    "properties": {
+        "id": {"type": "string", "pattern": "^[a-z0-9]+(-[a-z0-9]+)*$"},
+        "text": {"type": "string", "minLength": 1},
+        "lang": {"enum": ["en", "de", "fr"]},
+        "source": {"type": "object", "required": ["name"], "properties": {"name": {"$ref": "#/$defs/name"}, "chars": {"type": ["integer", "null"], "minimum": 200}}},
+        "words": {"type": "array", "minItems": 3, "uniqueItems": True, "items": {"type": "string", "minLength": 1, "pattern": "^[^0-9]*$"}},
+    },
+}
+_WORDS = "list_slice(string_split(text, ' '), 1, 3)"
+_ITEM = f"(SELECT doc_id, i - 1 AS i, {_WORDS}[i] AS w FROM documents, (SELECT unnest(range(1, 4)) AS i) WHERE i <= len({_WORDS}))"
+
+
+def _broken(rule, of, message="", literal=None):
+    message = message or f"'{literal}'"
+    return f"SELECT 'error' AS level, 'schema' AS \"check\", CAST(doc_id AS VARCHAR) AS key, {message} AS message FROM {of} WHERE {rule}"
+
+
+@query(" UNION ALL ".join([
+    _broken("doc_id % 50 = 0", "documents", literal="id pattern"),
+    _broken("doc_id % 70 = 0", "documents", literal="text required"), _broken("text = '' AND doc_id % 70 <> 0", "documents", literal="text minLength"),
+    _broken("lang NOT IN ('en', 'de', 'fr')", "documents", literal="lang enum"),
+    _broken("doc_id % 90 = 0", "documents", literal="source required"), _broken("doc_id % 90 <> 0 AND doc_id % 60 = 0", "documents", literal="source.name pattern"),
+    _broken("doc_id % 90 <> 0 AND n_chars < 200", "documents", literal="source.chars minimum"),
+    _broken(f"len({_WORDS}) < 3", "documents", literal="words minItems"), _broken(f"len(list_distinct({_WORDS})) < len({_WORDS})", "documents", literal="words uniqueItems"),
+    _broken("w = ''", _ITEM, "'words[' || i || '] minLength'"), _broken("regexp_matches(w, '[0-9]')", _ITEM, "'words[' || i || '] pattern'"),
+]))
+def dq_schema(spark, sf_dir):
+    key = F.col("doc_id")
+    source = F.struct(F.when(key % 60 == 0, "Source").otherwise(F.col("source")).alias("name"), F.col("n_chars").alias("chars"))
+    record = F.struct(
+        F.concat(F.when(key % 50 == 0, "Doc_").otherwise("doc-"), key.cast("string")).alias("id"), F.when(key % 70 != 0, F.col("text")).alias("text"), "lang",
+        F.when(key % 90 != 0, source).alias("source"), F.slice(F.split("text", " "), 1, 3).alias("words"),
+    )
+    return schema_findings(b.table(spark, sf_dir, "documents").select("doc_id", record.alias("record")), "doc_id", "record", _RECORD)
 
 
 _LISTED = """(SELECT strftime(week_start, '%G-W%V') AS week, week_start + CASE WHEN extract(day FROM week_start) = 5 THEN 1 ELSE 0 END AS first, week_start + 6 AS last,
@@ -189,6 +232,12 @@ def dq_reports(spark, sf_dir):
     return q.reports(rows)
 
 
-@query(f"SELECT level, count(*) AS n, level = 'error' AS fails FROM ({_TIMES} UNION ALL {_DOCS}) GROUP BY level")
+_CHECKS = [name for name in QUERIES if name.startswith("dq_")]
+_ALL = " UNION ALL ".join(f'SELECT level, "check", key, message FROM ({ORACLE_SQL[name]})' for name in _CHECKS)
+
+
+@query(f"SELECT level, \"check\", count(*) AS n, level = 'error' AS fails FROM ({_ALL}) GROUP BY ALL")
 def dq_run_all(spark, sf_dir):
-    return q.summary(q.run_all(dq_times(spark, sf_dir), dq_schema(spark, sf_dir)))
+    """Every check of this module in one table of findings, counted by level and check."""
+    found = q.run_all(*[QUERIES[name](spark, sf_dir) for name in _CHECKS])
+    return q.summary(found, by=("check",))
