@@ -73,7 +73,7 @@ def run_dates(run: Column) -> Column:
     A run is cut into figures, points, dashes and names, and each figure is judged by its
     neighbours: day, point, month in figures, point and perhaps a year; day, point, name of a
     month and perhaps a year; year, dash, month, dash, day. Parts of other figures, as in
-    1.500 or 1.2.3.4, are no dates. What a date has used isn't used again.
+    1.500 or 1.2.3.4, are no dates, nor are figures with a blank line between. What a date has used isn't used again.
     """
     months = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
     gap = F.lit(" \t\n\r\f\v")
@@ -83,6 +83,7 @@ def run_dates(run: Column) -> Column:
         text = lambda i, k: F.coalesce(bare(F.get(t, i + k)), F.lit(""))
         apart = lambda i, k: F.coalesce(F.get(t, i + k).rlike(r"^\s"), F.lit(True))
         figures = lambda x, low, high: F.length(x).between(low, high) & x.rlike(r"^\d")
+        near = lambda i, k: ~F.coalesce(F.get(t, i + k).rlike(r"^\s*\n\s*\n"), F.lit(False))
         glued = lambda i, k: ~apart(i, k) & text(i, k).rlike(r"^[\d.]")
         number = lambda x: x.try_cast("int")
 
@@ -92,16 +93,16 @@ def run_dates(run: Column) -> Column:
             none = F.lit(None).cast("string")
             day = figures(text(i, 0), 1, 2) & (text(i, 1) == ".") & ~apart(i, 1)
             free = apart(i, 0) | (text(i, -1) != ".")
-            numeric = day & free & figures(text(i, 2), 1, 2) & (text(i, 3) == ".") & ~apart(i, 3)
-            numeric_year = figures(text(i, 4), 4, 4) & ~glued(i, 5)
+            numeric = day & free & figures(text(i, 2), 1, 2) & near(i, 2) & (text(i, 3) == ".") & ~apart(i, 3)
+            numeric_year = figures(text(i, 4), 4, 4) & near(i, 4) & ~glued(i, 5)
             name = F.try_element_at(months, text(i, 2))
             dashed = figures(text(i, 0), 4, 4) & (F.concat(*[F.get(t, i + k) for k in (1, 2, 3, 4)]).rlike(r"^-\d\d-\d\d$"))
-            by_name = F.when(figures(text(i, 3), 4, 4) & apart(i, 3), made(text(i, 0), name, text(i, 3), 4)).when(~glued(i, 3), made(text(i, 0), name, none, 3))
+            by_name = F.when(figures(text(i, 3), 4, 4) & apart(i, 3) & near(i, 3), made(text(i, 0), name, text(i, 3), 4)).when(~glued(i, 3), made(text(i, 0), name, none, 3))
             return (
                 F.when(dashed, made(text(i, 4), number(text(i, 2)), text(i, 0), 5))
                 .when(numeric & numeric_year, made(text(i, 0), number(text(i, 2)), text(i, 4), 5))
                 .when(numeric & ~glued(i, 4), made(text(i, 0), number(text(i, 2)), none, 4))
-                .when(day & name.isNotNull(), by_name)
+                .when(day & name.isNotNull() & near(i, 2), by_name)
             )
 
         def step(past: Column, i: Column) -> Column:

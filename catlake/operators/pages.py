@@ -59,7 +59,12 @@ WEEKDAYS = (
 BEFORE, AFTER, LEAST_TEXT = 180, 60, 400
 
 _EVENT_FOLDER = rf"(?i)/(?:{'|'.join(EVENT_FOLDERS)})/[^/?#]+"
-_EVENT_TYPE = r'"@type"\s*:\s*(?:\[[^\]]*?)?"(?:[A-Za-z]*Event|Festival)"'
+#: What may stand before Event in the name of a type of events; fixed values.
+EVENT_KINDS = (
+    "music", "theater", "theatre", "dance", "comedy", "literary", "screening", "social", "sports", "business", "childrens", "course", "delivery", "education", "exhibition", "festival",
+    "food", "hackathon", "sale", "visual",
+)
+_EVENT_TYPE = rf"(?i)(?:^|[^a-z])(?:(?:{'|'.join(EVENT_KINDS)})?event|festival)$"
 _LINK, _AIM, _END = "\x01", "\x02", "\x03"
 
 
@@ -117,14 +122,17 @@ def _meta(name: str) -> Column:
 def signals(pages: DataFrame) -> DataFrame:
     """Counts and marks of each page (page_id, url, html), by expressions over its source.
 
-    Events in a list are those after the first list type of their JSON-LD block. A page without a source has no marks.
+    JSON-LD is walked as a tree: an event is in a list if an object above it, at any distance, is one of the list types;
+    the first event that isn't gives title, times and venue. A page without a source has no marks.
     """
     count = lambda p: F.coalesce(F.regexp_count("html", F.lit(p)), F.lit(0))
     found = lambda p: F.coalesce(F.col("html").rlike(p), F.lit(False))
     rows = pages.select("page_id", "url", "html", _marked_text(F.coalesce("html", F.lit(""))).alias("marked"))
     blocks = F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*ld\+json[^>]*>(.*?)</script>"), F.lit(1))
-    listed = F.transform(blocks, lambda x: F.regexp_count(F.regexp_extract(x, rf'(?is)"@type"\s*:\s*(?:\[[^\]]*?)?"(?:{"|".join(LIST_TYPES)})"(.*)', 1), F.lit(_EVENT_TYPE)))
-    total = lambda x: F.coalesce(F.aggregate(x, F.lit(0), lambda a, n: a + n), F.lit(0))
+    # Unreadable blocks hold nothing.
+    readable = F.filter(blocks, lambda x: F.try_parse_json(x).isNotNull())
+    objects = F.filter(F.flatten(F.transform(readable, _json_objects)), lambda n: n["json"].startswith("{"))
+    events = F.filter(objects, lambda n: F.exists(_types(n["json"]), lambda t: F.coalesce(F.trim(t).rlike(_EVENT_TYPE), F.lit(False))))
     cells = F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]\s*>"), F.lit(1)), lambda x: F.rtrim(F.regexp_replace(unaccent(x), r"<[^>]*>|\s+", ""), F.lit(".")))
     times = F.transform(F.regexp_extract_all("html", F.lit(r"""(?is)<time\b[^>]*\bdatetime\s*=\s*["']\s*(\d{4}-\d{2}-\d{2})"""), F.lit(1)), lambda x: x)
     attribute = lambda names: rf"""(?i)<[^>]*\b(?:class|id|rel)\s*=\s*["'][^"']*({'|'.join(names)})"""
@@ -133,9 +141,7 @@ def signals(pages: DataFrame) -> DataFrame:
         "page_id", "url", "html",
         text.alias("text"),
         _links(F.col("marked")).alias("links_near"),
-        F.transform(blocks, lambda x: x).alias("blocks"),
-        total(F.transform(blocks, lambda x: F.regexp_count(x, F.lit(_EVENT_TYPE)))).alias("jsonld_events"),
-        total(listed).alias("jsonld_events_in_list"),
+        F.coalesce(events, F.array().cast("array<struct<path:array<int>,json:string,listed:boolean>>")).alias("events"),
         let(cells, lambda c: F.struct(F.size(F.filter(c, lambda x: x.rlike(r"^\d{1,2}$"))).alias("numbers"), F.size(F.filter(c, lambda x: x.isin(*WEEKDAYS))).alias("weekdays"))).alias("cells"),
         times.alias("times"),
     )
@@ -144,9 +150,13 @@ def signals(pages: DataFrame) -> DataFrame:
     several = lambda x: F.size(F.array_distinct(F.transform(x, lambda y: y["href"])))
     slug = unaccent(F.regexp_extract("path", rf"(?i)/(?:{'|'.join(EVENT_FOLDERS)})/([^/?#]+)", 1))
     rows = rows.withColumns({"usable": usable, "path": F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)})
-    event = F.filter("blocks", lambda x: x.rlike(_EVENT_TYPE))
-    first = F.get(event, F.lit(0))
-    own = (F.col("jsonld_events") > 0) & (F.col("jsonld_events_in_list") == 0)
+    own = F.from_json(
+        F.get(F.filter("events", lambda n: ~n["listed"]), F.lit(0))["json"], "struct<name:string,startDate:string,endDate:string,location:string>"
+    )
+    rows = rows.withColumns({"own": own, "jsonld_events": F.size("events"), "jsonld_events_in_list": F.size(F.filter("events", lambda n: n["listed"]))})
+    said = lambda c: F.nullif(F.trim(c), F.lit(""))
+    location = F.col("own.location")
+    venue = F.when(location.startswith("{"), F.from_json(location, "struct<name:string>")["name"]).when(~location.startswith("["), location)
     heading = clean_text(F.regexp_replace(F.regexp_extract("html", r"(?is)<h1\b[^>]*>(.*?)</h1", 1), r"<[^>]*>", " "))
     head_title = clean_text(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
     return rows.select(
@@ -169,8 +179,11 @@ def signals(pages: DataFrame) -> DataFrame:
         F.col("url").rlike(r"[?&]page=\d+|/page/\d+").alias("paginated"),
         F.col("url").rlike(r"/\d+/?([?#].*)?$").alias("numbered_url"),
         F.char_length(F.trim(F.regexp_replace("text", r"\s+", " "))).alias("text_length"),
-        F.coalesce(F.when(own, clean_text(F.regexp_extract(first, r'"name"\s*:\s*"((?:[^"\\\\]|\\\\.)*)"', 1))), heading, _meta("og:title"), head_title).alias("title"),
-        F.coalesce(F.when(own, F.nullif(F.regexp_extract(first, r'"startDate"\s*:\s*"([^"]*)"', 1), F.lit(""))), F.get(written_dates(unaccent(F.col("text"))), F.lit(0))["text"]).alias("date_text"),
+        F.coalesce(clean_text(F.col("own.name")), heading, _meta("og:title"), head_title).alias("title"),
+        said(F.col("own.startDate")).alias("start_at"),
+        said(F.col("own.endDate")).alias("end_at"),
+        said(venue).alias("venue"),
+        F.coalesce(said(F.col("own.startDate")), F.get(written_dates(unaccent(F.col("text"))), F.lit(0))["text"]).alias("date_text"),
     )
 
 
@@ -221,25 +234,34 @@ def classify(marks: DataFrame) -> DataFrame:
 OTHER_EVENT_TYPES = ("CourseInstance", "EventSeries", "Festival", "Hackathon")
 
 
+def _types(json: Column) -> Column:
+    """The types of a JSON object: one or a list."""
+    written = F.from_json(json, "struct<`@type`:string>")["@type"]
+    return F.coalesce(F.when(F.ltrim(written).startswith("["), F.from_json(written, "array<string>")).otherwise(F.array(written)), F.array().cast("array<string>"))
+
+
 def _json_objects(node: Column) -> Column:
-    """The texts of a JSON value and of what it holds at any depth in lists, in fields without @ and in @graph, each with its path."""
-    made = lambda path, json: F.struct(path.alias("path"), json.alias("json"))
+    """The texts of a JSON value and of what it holds at any depth, in lists and in all fields but @type, each with its path and whether an object above it is a list of things (``listed``)."""
+    made = lambda path, json, listed: F.struct(path.alias("path"), json.alias("json"), listed.alias("listed"))
     none = F.array().cast("array<string>")
 
     def held(json: Column) -> Column:
-        fields = F.map_filter(F.from_json(json, "map<string,string>"), lambda k, v: (~k.startswith("@") | (k == "@graph")) & F.ltrim(v).rlike(r"^[\[{]"))
+        fields = F.map_filter(F.from_json(json, "map<string,string>"), lambda k, v: (k != "@type") & F.ltrim(v).rlike(r"^[\[{]"))
         opened = F.flatten(F.transform(F.map_values(fields), lambda v: F.when(F.ltrim(v).startswith("["), F.from_json(v, "array<string>")).otherwise(F.array(v))))
         return F.coalesce(F.when(json.startswith("["), F.from_json(json, "array<string>")).when(json.startswith("{"), opened), none)
 
     def below(nodes: Column) -> Column:
-        inner = lambda n: F.transform(held(n["json"]), lambda c, i: made(F.concat(n["path"], F.array(i)), F.ltrim(c)))
+        def inner(n: Column) -> Column:
+            lists = F.exists(_types(n["json"]), lambda t: F.lower(t).isin(*[x.lower() for x in LIST_TYPES]))
+            return let(n["listed"] | F.coalesce(lists, F.lit(False)), lambda listed: F.transform(held(n["json"]), lambda c, i: made(F.concat(n["path"], F.array(i)), F.ltrim(c), listed)))
+
         return F.flatten(F.transform(nodes, inner))
 
     def deeper(found: Column, _: Column) -> Column:
         added = lambda new: F.struct(F.concat(found["all"], new).alias("all"), new.alias("last"))
         return F.when(F.size(found["last"]) == 0, found).otherwise(let(below(found["last"]), added))
 
-    root = F.array(made(F.array().cast("array<int>"), F.trim(node)))
+    root = F.array(made(F.array().cast("array<int>"), F.trim(node), F.lit(False)))
     levels = F.sequence(F.lit(0), F.size(F.split(node, r"[\[{]")))  # no value is nested deeper than it has brackets
     return F.aggregate(levels, F.struct(root.alias("all"), root.alias("last")), deeper)["all"]
 
@@ -251,7 +273,7 @@ def jsonld_items(pages: DataFrame) -> DataFrame:
     one = "struct<`@type`:string,`@id`:string,name:string,startDate:string,endDate:string,url:string,location:struct<name:string>>"
     kind = rf'(?:^|["/])(?:[A-Za-z]*Event|{"|".join(OTHER_EVENT_TYPES)})(?:"|$)'
     rows = blocks.select("page_id", "block", F.try_parse_json("json").isNull().alias("unparsed"), "json")
-    nodes = F.when(F.col("unparsed"), F.array(F.struct(F.array().cast("array<int>").alias("path"), F.lit(None).cast("string").alias("json")))).otherwise(_json_objects(F.col("json")))
+    nodes = F.when(F.col("unparsed"), F.array(F.struct(F.array().cast("array<int>").alias("path"), F.lit(None).cast("string").alias("json"), F.lit(False).alias("listed")))).otherwise(_json_objects(F.col("json")))
     each = rows.select("page_id", "block", "unparsed", F.explode(nodes).alias("n")).filter("unparsed OR startswith(n.json, '{')")
     kept = each.withColumn("e", F.from_json("n.json", one)).filter(F.col("unparsed") | F.col("e")["@type"].rlike(kind))
     return kept.select(
@@ -293,15 +315,105 @@ def microdata(html: str) -> list[dict]:
     return parser.items
 
 
-def cards(html: str, card: str = r'<div class="card"[^>]*>(.*?)</div>') -> list[dict]:
-    """Items of repeated card blocks: the heading, the first date and link of each."""
+_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+
+
+def _selector(written: str) -> tuple[list[tuple[str | None, str | None, frozenset[str]]], str | None]:
+    """``tag#id.class`` steps, each within the one before, and the attribute after an @."""
+    path, _, attribute = written.partition("@")
+    steps = []
+    for step in path.split():
+        tag, identity, classes = re.fullmatch(r"([\w*-]*)(#[\w-]+)?((?:\.[\w-]+)*)", step).groups()
+        steps.append((None if tag in ("", "*") else tag.lower(), identity and identity[1:], frozenset(x for x in classes.split(".") if x)))
+    return steps, attribute or None
+
+
+class _Cards(HTMLParser):
+    """Collects the fields of each element that the card's selector meets; a field belongs to the innermost card around it."""
+
+    def __init__(self, form: dict[str, str]) -> None:
+        super().__init__()
+        self.card = _selector(form["card"])[0]
+        self.fields = {k: _selector(v) for k, v in form.items() if k != "card"}
+        self.stack: list[dict] = []
+        self.items: list[dict] = []
+
+    def _meets(self, steps, since: int) -> bool:
+        """Whether the newest element meets the last step, and elements around it, from ``since`` on, those before, in order."""
+        fits = lambda e, s: (s[0] in (None, e["tag"])) and s[1] in (None, e["id"]) and s[2] <= e["classes"]
+        if not steps or not fits(self.stack[-1], steps[-1]):
+            return False
+        rest = list(steps[:-1])
+        for e in reversed(self.stack[since:-1]):
+            if rest and fits(e, rest[-1]):
+                rest.pop()
+        return not rest
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        self.stack.append({"tag": tag, "id": a.get("id"), "classes": frozenset((a.get("class") or "").split()), "item": None, "into": []})
+        top = self.stack[-1]
+        if self._meets(self.card, 0):
+            top["item"] = {}
+            self.items.append(top["item"])
+        around = next((k for k in range(len(self.stack) - 1, -1, -1) if self.stack[k]["item"] is not None), None)
+        if around is not None:
+            item = self.stack[around]["item"]
+            for name, (steps, attribute) in self.fields.items():
+                if name not in item and self._meets(steps, around + 1) and top["item"] is None:
+                    item[name] = a.get(attribute) if attribute else ""
+                    if not attribute:
+                        top["into"].append((item, name))
+        if tag in _VOID:
+            self.stack.pop()
+
+    def handle_endtag(self, tag):
+        if any(e["tag"] == tag for e in self.stack):  # what was left open inside ends with it
+            while self.stack.pop()["tag"] != tag:
+                pass
+
+    def handle_data(self, data):
+        for e in self.stack:
+            for item, name in e["into"]:
+                item[name] += data
+
+
+#: Forms of cards by name: selectors of the card and, within it, of its fields. Sources name theirs; these are two common ones.
+CARD_FORMS: dict[str, dict[str, str]] = {
+    "card": {"card": "div.card", "title": "h3", "start_at": "time@datetime", "url": "a@href", "venue": "span.venue"},
+    "row": {"card": "ul#programme li", "uid": "div.meta@data-id", "title": "a.name", "start_at": ".when .from", "end_at": ".when .to", "url": "a.name@href", "venue": ".where"},
+}
+
+
+def cards(html: str, form: dict[str, str] = CARD_FORMS["card"]) -> list[dict]:
+    """Items of a page's cards in the order in which they open, cards within cards included; one without title or start has a reason."""
+    parser = _Cards(form)
+    parser.feed(html)
+    parser.close()
     out = []
-    for block in re.findall(card, html, re.S):
-        part = lambda p: (m[1].strip() if (m := re.search(p, block, re.S)) else None)  # noqa: E731, B023
-        out.append({"title": part(r"<h3>(.*?)</h3>"), "start_at": part(r"<time[^>]*datetime=\"([^\"]*)\""), "url": part(r"<a[^>]*href=\"([^\"]*)\""), "venue": part(r"<span class=\"venue\">(.*?)</span>")})
+    for item in parser.items:
+        made = {k: " ".join((v or "").split()) or None for k, v in item.items()}
+        made["reason"] = "missing-title" if not made.get("title") else "missing-start" if not made.get("start_at") else None
+        out.append(made)
     return out
 
 
+def card_items(pages: DataFrame, forms: dict[str, dict[str, str]] = CARD_FORMS) -> DataFrame:
+    """Items of pages (page_id, html, form), each by the selectors that its source's form names, with a reason for those that can't be used; pages of no known form give none."""
+
+    def items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [
+                (page, i, *[x.get(f) for f in _ITEM_FIELDS], False, x["reason"])
+                for page, html, form in zip(batch["page_id"], batch["html"], batch["form"], strict=True)
+                if form in forms
+                for i, x in enumerate(cards(html or "", forms[form]))
+            ]
+            yield pd.DataFrame(rows, columns=["page_id", "position", *_ITEM_FIELDS, "recurring", "reason"])
+
+    return pages.select("page_id", "html", "form").mapInPandas(items, f"{ITEM}, reason string")
+
+
 def calendar_feed(text: str) -> list[dict]:
     """Items of an iCalendar text: lines unfolded, unterminated components kept, recurrence flagged."""
     names = {"UID": "uid", "SUMMARY": "title", "DTSTART": "start_at", "DTEND": "end_at", "LOCATION": "venue", "URL": "url"}
@@ -341,7 +453,7 @@ def extract(pages: DataFrame, parse: Callable[[str], list[dict]]) -> DataFrame:
 EXTRACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "jsonld": jsonld_items,
     "microdata": lambda pages: extract(pages, microdata),
-    "cards": lambda pages: extract(pages, cards),
+    "cards": lambda pages: extract(pages, lambda html: [x for x in cards(html) if not x["reason"]]),
     "calendar": lambda pages: extract(pages, calendar_feed),
 }
 

@@ -113,4 +113,4 @@ def schema_findings(rows: DataFrame, key: str, record: str, schema: Mapping | st
     document = json.loads(schema) if isinstance(schema, str) else schema
     found = faults(F.col(record), rows.schema[record].dataType, document, document, F.lit(""))
     each = rows.select(F.col(key).cast("string").alias("key"), F.explode(found).alias("f"))
-    return each.select(F.lit(level).alias("level"), F.lit(check).alias("check"), "key", F.concat_ws(" ", "f.path", "f.rule").alias("message"))
+    return each.select(F.lit(level).alias("level"), F.lit(check).alias("check"), "key", F.trim(F.concat_ws(" ", "f.path", "f.rule")).alias("message"))

@@ -66,13 +66,29 @@ def microdata_items(spark, sf_dir):
 
 
 
-_CARDS = _DERIVED.format(position=0, uid="CAST(NULL AS VARCHAR)", url="'/e/' || id").replace("CAST(end_day AS VARCHAR) AS end_at", "CAST(NULL AS VARCHAR) AS end_at")
+_CARD_COLUMNS = "page_id, position, uid, title, start_at, end_at, venue, url, reason"
 
 
-@query(_CARDS, "pub")
+@query(f"""SELECT {_CARD_COLUMNS} FROM (
+      SELECT id AS page_id, 0 AS position, NULL AS uid, title, CAST(start_day AS VARCHAR) AS start_at, NULL AS end_at, place AS venue, '/e/' || id AS url, NULL AS reason FROM pub WHERE id % 2 = 0
+      UNION ALL SELECT id, 0, 'r' || id, title, CASE WHEN id % 5 <> 0 THEN CAST(start_day AS VARCHAR) END, CAST(end_day AS VARCHAR), place, '/r/' || id, CASE WHEN id % 5 = 0 THEN 'missing-start' END FROM pub WHERE id % 2 = 1
+      UNION ALL SELECT id, 1, 'n' || id, region, CAST(start_day AS VARCHAR), NULL, NULL, '/n/' || id, NULL FROM pub WHERE id % 2 = 1)""", "pub")
 def card_items(spark, sf_dir):
-    return g.extract(_cards(spark, sf_dir, None), g.cards).select(*_ITEM_COLUMNS)
-
+    """Two forms of cards in one table: plain ones, and rows of a list that hold another row."""
+    rows, key = b.published(spark, sf_dir), F.col("id").cast("string")
+    text = lambda tag, value: F.coalesce(F.concat(F.lit(f'<span class="{tag}">'), value.cast("string"), F.lit("</span>")), F.lit(""))
+    plain = F.concat(
+        F.lit('<h3>Menu</h3><ul><div class="big card"><h3>'), "title", F.lit(' <b></b></h3><time datetime="'), F.col("start_day").cast("string"), F.lit('">x</time><span class="venue">'), "place",
+        F.lit('</span><a href="/e/'), key, F.lit('">more<br></a><img src="x"></div></ul><h3>Foot</h3>'),
+    )
+    row = lambda k, name, more: F.concat(F.lit(f'<li><div class="meta" data-id="{k}'), key, F.lit(f'"><a class="name" href="/{k}/'), key, F.lit('">'), name, F.lit("</a></div>"), more, F.lit("</li>"))
+    when = lambda *x: F.concat(F.lit('<p class="when">'), *x, F.lit("</p>"))
+    inner = row("n", F.col("region"), when(text("from", F.col("start_day"))))
+    outer = row("r", F.col("title"), F.concat(when(F.when(F.col("id") % 5 != 0, text("from", F.col("start_day"))).otherwise(""), text("to", F.col("end_day"))), text("where", F.col("place")), F.lit("<ul>"), inner, F.lit("</ul>")))
+    listed = F.concat(F.lit('<li>none of it</li><ul id="programme">'), outer, F.lit("</ul>"))
+    even = F.col("id") % 2 == 0
+    pages = rows.select(F.col("id").alias("page_id"), F.when(even, plain).otherwise(listed).alias("html"), F.when(even, "card").otherwise("row").alias("form"))
+    return g.card_items(pages).select(*_CARD_COLUMNS.split(", "))
 
 
 _FEED = _DERIVED.format(position=0, uid="'e' || id", url="CAST(NULL AS VARCHAR)").replace(" AS url FROM", " AS url, id % 2 = 0 AS recurring FROM")
@@ -102,6 +118,42 @@ def page_signals(spark, sf_dir):
     return g.signals(b.table(spark, sf_dir, "pages")).select("page_id", "links", "h1", "list_items", "paragraphs", "paginated", "numbered_url")
 
 
+def _signal_pages(spark, sf_dir):
+    """A page of each published record in one of three forms, which between them have every signal."""
+    key, day = F.col("id").cast("string"), F.col("start_day").cast("string")
+    event = lambda name, more="": F.concat(F.lit('{"@type":["Thing","MusicEvent"],"name":"'), name, F.lit('","startDate":"'), day, F.lit(f'"{more}}}'))
+    tree = F.concat(
+        F.lit('<title>head</title><script type="application/ld+json">{"@context":{"@type":"x"},"@graph":[{"@type":"ItemList","itemListElement":[{"@type":"ListItem","item":'), event(F.lit("in list")),
+        F.lit("},"), event(F.lit("also")), F.lit("]},"), F.lit('{"@type":"Place","hosts":['), event(F.col("title"), ',"endDate":"2030-01-01","location":{"@type":"Place","name":"Hall"}'),
+        F.lit(']}]}</script><script type="application/ld+json">{"@type":"Event",</script>'),
+    )
+    marked = F.concat(
+        F.lit('<meta property="og:type" content=" Event "><meta property="og:title" content="og"><div itemscope itemtype="https://schema.org/Event"></div><div itemscope itemtype="http://schema.org/DanceEvent"></div><time datetime="'),
+        F.date_add("start_day", 9000).cast("string"), F.lit('T10:00"></time><a href="?p=2" rel="next">2</a><table class="calendar">'), F.lit("".join(f"<td>{k}.</td>" for k in range(1, 21))), F.lit("</table>"),
+    )
+    linked = F.concat(
+        F.lit("<h1>The "), "title", F.lit('</h1><p>1. 5.</p><p>1. 5. 2024</p><ul><li><a href="/akce/a">a</a><li><a href="/akce/a">again</a></ul><p>'), F.lit("y" * 200), F.lit('</p><a href="/x.ics">c</a><a href="#top">t</a><p>'),
+        F.lit("z" * 200), F.lit('</p><a href="/far">far</a>'),
+    )
+    html = F.when(F.col("id") % 3 == 0, tree).when(F.col("id") % 3 == 1, marked).otherwise(linked)
+    return b.published(spark, sf_dir).select(F.col("id").alias("page_id"), F.concat(F.lit("https://example.org/akce/x-"), key, F.when(F.col("id") % 2 == 0, "?page=2").otherwise("")).alias("url"), html.alias("html"), "start_day")
+
+
+_BY = "CASE id % 3 WHEN 0 THEN {} WHEN 1 THEN {} ELSE {} END"
+_EXPECTED = {
+    "links": (0, 1, 5), "h1": (0, 0, 1), "list_items": (0, 0, 2), "paragraphs": (0, 0, 4), "jsonld_events": (3, 0, 0), "jsonld_events_in_list": (2, 0, 0), "microdata_events": (0, 2, 0), "distinct_dates": (0, 1, 1),
+    "dated_links": (0, 0, 1), "event_links": (0, 0, 1), "pagination": ("false", "true", "false"), "calendar_grid": ("false", "true", "false"), "og_type": ("NULL", "'event'", "NULL"), "calendar_link": ("false", "false", "true"),
+    "detail_url": ("CAST(id % 2 = 0 OR true AS BOOLEAN)",) * 3, "paginated": ("id % 2 = 0",) * 3, "numbered_url": ("false",) * 3, "title": ("title", "'og'", "'The ' || title"), "start_at": ("CAST(start_day AS VARCHAR)", "NULL", "NULL"),
+    "end_at": ("'2030-01-01'", "NULL", "NULL"), "venue": ("'Hall'", "NULL", "NULL"), "date_text": ("CAST(start_day AS VARCHAR)", "NULL", "'1. 5.'"),
+}
+
+
+@query(f"SELECT id AS page_id, {', '.join(f'{_BY.format(*x)} AS {name}' for name, x in _EXPECTED.items())} FROM pub", "pub")
+def page_signals_all(spark, sf_dir):
+    """Every signal but the length of the text, on pages made for them."""
+    return g.signals(_signal_pages(spark, sf_dir)).select("page_id", *_EXPECTED)
+
+
 _LONG = "Lorem ipsum dolor sit amet consectetur. " * 12
 
 

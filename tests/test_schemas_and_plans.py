@@ -27,7 +27,7 @@ SCHEMA = {
 }
 RECORD = (
     T.StructType().add("id", "string").add("title", "string").add("start_at", "string").add("end_at", "string").add("all_day", "string").add("categories", T.ArrayType(T.StringType()))
-    .add("price", T.StructType().add("type", "string").add("amount", "string")).add("parts", T.ArrayType(T.StructType().add("name", "string").add("tags", T.ArrayType(T.StringType())))).add("version", "int")
+    .add("price", T.StructType().add("type", "string").add("amount", "string")).add("parts", T.ArrayType(T.StructType().add("name", "string").add("tags", T.ArrayType(T.StringType())))).add("version", "integer")
 )
 SOUND = {
     "id": "a-1", "title": "T", "start_at": "2024-05-01T10:00:00+02:00", "end_at": None, "all_day": "true", "categories": ["music", "film"], "price": {"type": "free", "amount": None},
@@ -50,7 +50,7 @@ def test_one_finding_a_fault(spark):
 
 
 def test_columns_that_a_schema_lacks_or_has_more(spark):
-    frame = spark.createDataFrame([(1, (1.5, "x"))], T.StructType().add("key", "int").add("r", T.StructType().add("n", "double").add("more", "string")))
+    frame = spark.createDataFrame([(1, (1.5, "x"))], T.StructType().add("key", "integer").add("r", T.StructType().add("n", "double").add("more", "string")))
     schema = {"type": "object", "required": ["n", "gone"], "additionalProperties": False, "properties": {"n": {"type": "integer"}, "gone": {"type": "string"}, "may": {"type": "string"}}}
     found = {r["message"] for r in schemas.schema_findings(frame, "key", "r", schema).collect()}
     assert found == {"n type", "gone required", ".more additionalProperties"}
