@@ -98,59 +98,41 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(fold(text), " "), lambda w: w != "")
 
 
-def jaro_winkler(a: Column, b: Column) -> Column:
-    """Similarity of two folded texts, 0 to 1.
+#: Characters of folded texts, which letter counts tell apart; all others count together.
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
 
-    Greedy matching in a window of half the longer length less one; half the mismatched
-    order counts, not rounded down; the common prefix of up to four letters always adds.
-    Equal texts give 1, two empty ones 0, a null gives null.
+
+def letter_counts(text: Column) -> Column:
+    """How often each of LETTERS, and any other character, is in a text."""
+    size = F.char_length(text)
+    each = F.transform(F.array(*map(F.lit, LETTERS)), lambda c: size - F.char_length(F.replace(text, c, F.lit(""))))
+    return F.when(text.isNotNull(), let(each, lambda n: F.concat(n, F.array(size - F.aggregate(n, F.lit(0), lambda s, x: s + x)))))
+
+
+def similarity_bound(a: Column, b: Column, counts_a: Column, counts_b: Column) -> Column:
+    """No less than ``similarity`` of two texts, from their letter counts, lengths and first four letters.
+
+    No more letters can match than both texts have of each, and order can only lower the
+    result, so with the exact common prefix this is an upper bound; a little is added for
+    the last digit.
     """
-    return F.expr("1.0D") * F.get(F.transform(F.array(F.struct(_letters(a).alias("a"), _letters(b).alias("b"))), _jaro_winkler), F.lit(0))
-
-
-def _letters(text: Column) -> Column:
-    return F.filter(F.split(text, ""), lambda c: c != "")
-
-
-def _jaro_winkler(pair: Column) -> Column:
-    a, b = pair["a"], pair["b"]
-    reach = F.greatest(F.floor(F.greatest(F.size(a), F.size(b)) / 2) - 1, F.lit(0)).cast("int")
-    begin = F.struct(
-        F.transform(b, lambda _: F.lit(False)).alias("used"),
-        F.array().cast("array<string>").alias("found"),
-        F.lit(0).alias("i"),
-    )
-
-    def step(s: Column, c: Column) -> Column:
-        places = F.sequence(F.greatest(s["i"] - reach, F.lit(0)), F.least(s["i"] + reach, F.size(b) - 1))
-        fits = F.filter(places, lambda j: (F.get(b, j) == c) & ~F.get(s["used"], j))
-        at = F.when(s["i"] - reach < F.size(b), F.get(fits, F.lit(0)))
-        return F.struct(
-            F.transform(s["used"], lambda u, j: u | F.coalesce(j == at, F.lit(False))).alias("used"),
-            F.when(at.isNotNull(), F.concat(s["found"], F.array(c))).otherwise(s["found"]).alias("found"),
-            (s["i"] + 1).alias("i"),
-        )
-
-    def finish(s: Column) -> Column:
-        other = F.filter(F.transform(b, lambda c, j: F.when(F.get(s["used"], j), c)), lambda c: c.isNotNull())
-        n = F.size(s["found"]).cast("double")
-        wrong = F.size(F.filter(F.zip_with(s["found"], other, lambda x, y: x != y), lambda x: x)) / 2.0
-        jaro = (n / F.size(a) + n / F.size(b) + (n - wrong) / n) / 3
-        same = F.zip_with(F.slice(a, 1, 4), F.slice(b, 1, 4), lambda x, y: F.coalesce(x == y, F.lit(False)))
-        prefix = F.aggregate(same, F.lit(0), lambda k, eq: F.when(eq & (k >= 0), k + 1).otherwise(F.when(k >= 0, -k - 1).otherwise(k)))
-        length = F.when(prefix >= 0, prefix).otherwise(-prefix - 1)
-        return F.when(n > 0, jaro + length * 0.1 * (1 - jaro)).otherwise(0.0)
-
-    return (
-        F.when(a.isNull() | b.isNull(), None)
-        .when((F.size(a) == 0) | (F.size(b) == 0), 0.0)
-        .when(a == b, 1.0)
-        .otherwise(F.aggregate(a, begin, step, finish))
-    )
+    m = F.aggregate(F.zip_with(counts_a, counts_b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    la, lb = F.char_length(a), F.char_length(b)
+    prefix = F.lit(0)
+    for k in (1, 2, 3, 4):
+        prefix = F.when((la >= k) & (lb >= k) & (F.substring(a, 1, k) == F.substring(b, 1, k)), k).otherwise(prefix)
+    jaro = F.least(F.lit(1.0), (m / la + m / lb + 1) / 3)
+    most = F.when((la == 0) | (lb == 0) | (m == 0), 0.0).otherwise(jaro + prefix * 0.1 * (1 - jaro) + 1e-9)
+    return F.when(a.isNotNull() & b.isNotNull(), most)
 
 
 def similarity(a: str | None, b: str | None) -> float | None:
-    """``jaro_winkler`` of two texts in plain Python, which long texts need: each letter is found by one search in its window."""
+    """Jaro-Winkler similarity of two folded texts, 0 to 1; each letter is found by one search in its window, which long texts need.
+
+    Greedy matching in a window of half the longer length less one; half the mismatched
+    order counts, not rounded down; the common prefix of up to four letters always adds.
+    Equal texts give 1, empty ones 0, a null gives null.
+    """
     if a is None or b is None:
         return None
     if not a or not b:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fold, similarity_of
+from ..functions.text import fold, letter_counts, similarity_bound, similarity_of
 from .merge import merge_by_key
 
 #: Bands and weights; fixed values.
@@ -49,44 +49,80 @@ def decision(score: Column) -> Column:
     return F.when(score >= AUTO, "auto-merge").when(score >= REVIEW, "review").otherwise("separate")
 
 
+def _best(pairs: DataFrame, exact, parts: list[str]) -> DataFrame:
+    """(c_id, and of its best pair r_id, score and ``parts``), the highest score first and then the least r_id.
+
+    ``pairs`` has ``bound``, which no score of the pair exceeds. Each candidate's pair of the
+    highest bound is scored first; of the others only those whose bound reaches that score
+    can be the best, and only they are scored. ``exact`` adds score and parts.
+    """
+    first = F.max_by(F.struct(*[c for c in pairs.columns if c != "c_id"]), F.struct(F.coalesce("bound", F.lit(2.0)), -F.col("r_id")))
+    reached = exact(pairs.groupBy("c_id").agg(first.alias("_p")).select("c_id", "_p.*")).select("c_id", F.col("score").alias("reached"))
+    open_ = pairs.join(reached, "c_id").filter(F.col("bound").isNull() | (F.col("bound") >= F.coalesce("reached", F.lit(0.0))))
+    best = F.min_by(F.struct("r_id", "score", *parts), F.struct(-F.col("score"), "r_id"))
+    return exact(open_).groupBy("c_id").agg(best.alias("_r")).select("c_id", "_r.*")
+
+
+def _bounded(rows: DataFrame, *texts: str) -> DataFrame:
+    """Letter counts beside texts, made once a row and not once a pair."""
+    return rows.withColumns({f"{t}_n": letter_counts(F.col(t)) for t in texts})
+
+
+def _bound(text: str) -> Column:
+    return similarity_bound(F.col(f"c_{text}"), F.col(f"r_{text}"), F.col(f"c_{text}_n"), F.col(f"r_{text}_n"))
+
+
 def match_candidates(candidates: DataFrame, records: DataFrame, block: list[str]) -> DataFrame:
     """(c_id, r_id, title_similarity, score, decision): the best record for each candidate that has any in its block.
 
     Titles alone are compared here; times of both count as equal and venues as unknown.
     """
-    pairs = salted_pairs(candidates, records, block)
-    scored = pairs.withColumn("title_similarity", similarity_of(F.col("c_title_key"), F.col("r_title_key")))
-    scored = scored.withColumn("score", match_score(F.col("title_similarity"), F.lit(1.0), F.lit(None).cast("double")))
-    best = scored.groupBy("c_id").agg(F.min_by(F.struct("r_id", "title_similarity", "score"), F.struct(-F.col("score"), "r_id")).alias("_r")).select("c_id", "_r.*")
+    keyed = lambda rows: _bounded(rows.select("id", *block, "title_key"), "title_key")
+    pairs = salted_pairs(keyed(candidates), keyed(records), block)
+    of_title = lambda c: match_score(c, F.lit(1.0), F.lit(None).cast("double"))
+    pairs = pairs.select("c_id", "r_id", "c_title_key", "r_title_key", of_title(_bound("title_key")).alias("bound"))
+
+    def exact(rows: DataFrame) -> DataFrame:
+        scored = rows.withColumn("title_similarity", similarity_of(F.col("c_title_key"), F.col("r_title_key")))
+        return scored.withColumn("score", of_title(F.col("title_similarity")))
+
+    best = _best(pairs, exact, ["title_similarity"])
     return best.select("c_id", "r_id", F.round("title_similarity", 6).alias("title_similarity"), "score", decision(F.col("score")).alias("decision"))
 
 
+def _event_blocks(candidates: DataFrame, events: DataFrame) -> DataFrame:
+    block = ["day", "place_id"]
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        venue = F.nullif(F.trim("venue"), F.lit(""))
+        made = rows.select("id", F.to_date("start_at").alias("day"), "place_id", "start_at", F.coalesce(fold(F.col("title")), F.lit("")).alias("title"), fold(venue).alias("venue"))
+        return _bounded(made, "title", "venue")
+
+    return salted_pairs(keyed(candidates), keyed(events), block)
+
+
+def _event_scores(pairs: DataFrame) -> DataFrame:
+    made = pairs.withColumns({
+        "title": similarity_of(F.col("c_title"), F.col("r_title")), "time": time_similarity(F.col("c_start_at"), F.col("r_start_at")), "venue": similarity_of(F.col("c_venue"), F.col("r_venue")),
+    })
+    return made.withColumn("score", match_score(F.col("title"), F.col("time"), F.col("venue")))
+
+
 def event_pairs(candidates: DataFrame, events: DataFrame) -> DataFrame:
     """Candidates beside the events of their block, the day of the start and the place, with the parts of the score.
 
     Both sides have id, title, start_at, place_id and venue. A null day or place pairs with nothing.
     Returns c_id, r_id, title, time, venue (null unless both have one) and score.
     """
-    block = ["day", "place_id"]
-
-    def keyed(rows: DataFrame) -> DataFrame:
-        venue = F.nullif(F.trim("venue"), F.lit(""))
-        return rows.select("id", F.to_date("start_at").alias("day"), "place_id", "start_at", F.coalesce(fold(F.col("title")), F.lit("")).alias("title"), fold(venue).alias("venue"))
-
-    pairs = salted_pairs(keyed(candidates), keyed(events), block)
-    parts = pairs.select(
-        "c_id", "r_id",
-        similarity_of(F.col("c_title"), F.col("r_title")).alias("title"),
-        time_similarity(F.col("c_start_at"), F.col("r_start_at")).alias("time"),
-        similarity_of(F.col("c_venue"), F.col("r_venue")).alias("venue"),
-    )
-    return parts.withColumn("score", match_score(F.col("title"), F.col("time"), F.col("venue")))
+    return _event_scores(_event_blocks(candidates, events)).select("c_id", "r_id", "title", "time", "venue", "score")
 
 
 def match_events(candidates: DataFrame, events: DataFrame) -> DataFrame:
     """(c_id, r_id, score, decision, title, time, venue): the best event of each candidate that has any in its block, and what its score is made of."""
-    parts = ["r_id", "score", "title", "time", "venue"]
-    best = event_pairs(candidates, events).groupBy("c_id").agg(F.min_by(F.struct(*parts), F.struct(-F.col("score"), "r_id")).alias("_r")).select("c_id", "_r.*")
+    pairs = _event_blocks(candidates, events)
+    bound = match_score(_bound("title"), time_similarity(F.col("c_start_at"), F.col("r_start_at")), _bound("venue"))
+    pairs = pairs.select("c_id", "r_id", *[f"{side}_{c}" for side in "cr" for c in ("title", "start_at", "venue")], bound.alias("bound"))
+    best = _best(pairs, _event_scores, ["title", "time", "venue"])
     rounded = [F.round(c, 4).alias(c) for c in ("title", "time", "venue")]
     return best.select("c_id", "r_id", "score", decision(F.col("score")).alias("decision"), *rounded)
 

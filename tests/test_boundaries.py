@@ -40,7 +40,7 @@ def test_jaro_winkler_equals_brute_force(spark):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcd ") for _ in range(rng.randrange(0, 12))).strip()
     pairs = [(word(), word()) for _ in range(400)] + [("", ""), ("a", ""), ("martha", "marhta"), ("a", "b"), ("ab", "ba")]
-    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", text.jaro_winkler(F.col("a"), F.col("b")).alias("s")).collect()
+    rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", text.similarity_of(F.col("a"), F.col("b")).alias("s")).collect()
     for a, b, s in rows:
         assert abs(s - brute_jaro_winkler(a, b)) < 1e-9, (a, b)
 
