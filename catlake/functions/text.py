@@ -87,8 +87,11 @@ def decode_entities(text: Column) -> Column:
 
 def clean_text(text: Column) -> Column:
     """Up to three rounds of entity decoding, odd spaces removed, white space collapsed; empty becomes null."""
+    decoded = text
     for _ in range(3):
-        text = decode_entities(text)
+        decoded = decode_entities(decoded)
+    # Most texts have no entity, and are not searched for any.
+    text = F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
     text = F.regexp_replace(text, "[​‌‍﻿]", "")
     return F.nullif(F.trim(F.regexp_replace(text, "[\\s ]+", " ")), F.lit(""))
 

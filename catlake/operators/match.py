@@ -117,13 +117,21 @@ def event_pairs(candidates: DataFrame, events: DataFrame) -> DataFrame:
     return _event_scores(_event_blocks(candidates, events)).select("c_id", "r_id", "title", "time", "venue", "score")
 
 
-def match_events(candidates: DataFrame, events: DataFrame) -> DataFrame:
-    """(c_id, r_id, score, decision, title, time, venue): the best event of each candidate that has any in its block, and what its score is made of."""
-    pairs = _event_blocks(candidates, events)
-    bound = match_score(_bound("title"), time_similarity(F.col("c_start_at"), F.col("r_start_at")), _bound("venue"))
-    pairs = pairs.select("c_id", "r_id", *[f"{side}_{c}" for side in "cr" for c in ("title", "start_at", "venue")], bound.alias("bound"))
-    best = _best(pairs, _event_scores, ["title", "time", "venue"])
-    rounded = [F.round(c, 4).alias(c) for c in ("title", "time", "venue")]
+def match_events(candidates: DataFrame, events: DataFrame, bounded: bool = False) -> DataFrame:
+    """(c_id, r_id, score, decision, title, time, venue): the best event of each candidate that has any in its block, and what its score is made of.
+
+    With ``bounded``, only pairs whose bound reaches their candidate's best are scored, at
+    the price of a second pass over the pairs, which pays for long titles.
+    """
+    parts = ["title", "time", "venue"]
+    if bounded:
+        pairs = _event_blocks(candidates, events)
+        bound = match_score(_bound("title"), time_similarity(F.col("c_start_at"), F.col("r_start_at")), _bound("venue"))
+        pairs = pairs.select("c_id", "r_id", *[f"{side}_{c}" for side in "cr" for c in ("title", "start_at", "venue")], bound.alias("bound"))
+        best = _best(pairs, _event_scores, parts)
+    else:
+        best = event_pairs(candidates, events).groupBy("c_id").agg(F.min_by(F.struct("r_id", "score", *parts), F.struct(-F.col("score"), "r_id")).alias("_r")).select("c_id", "_r.*")
+    rounded = [F.round(c, 4).alias(c) for c in parts]
     return best.select("c_id", "r_id", "score", decision(F.col("score")).alias("decision"), *rounded)
 
 

@@ -151,6 +151,18 @@ def reports(rows: DataFrame) -> DataFrame:
     return rule_findings(rows, "reports", "key", rules)
 
 
+def report_files(loaded: DataFrame) -> DataFrame:
+    """Reports (``sources.files.load_reports``) whose file doesn't lie where it belongs: agent's folder, month's folder, name; and those that can't be read."""
+    rules = {
+        "unreadable": ("error", F.col("_corrupt").isNotNull()),
+        "outside-tree": ("error", F.col("_corrupt").isNull() & F.col("name_run").isNull()),
+        "other-name": ("error", F.col("name_run") != F.col("run_id")),
+        "other-agent": ("error", F.col("folder_agent") != F.col("agent")),
+        "other-month": ("error", F.col("folder_month") != F.substring("run_id", 1, 7)),
+    }
+    return rule_findings(loaded.withColumn("_key", F.coalesce("run_id", "file")), "report-files", "_key", rules)
+
+
 def run_all(*findings: DataFrame) -> DataFrame:
     """All findings as one table."""
     out = findings[0]

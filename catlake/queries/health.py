@@ -266,27 +266,32 @@ def structure_compare(spark, sf_dir):
 
 
 @query("""SELECT source, count(*) AS found, CAST(sum(CASE WHEN items > 0 THEN 1 ELSE 0 END) AS BIGINT) AS valid, CAST(sum(CASE WHEN coalesce(items, 0) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS rejected,
-      CAST(sum(CASE WHEN items IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unparsed FROM runs GROUP BY source""", "runs")
+      CAST(sum(CASE WHEN items IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unparsed, CAST(sum(CASE WHEN items > 4 THEN items - 4 ELSE 0 END) AS BIGINT) AS rejected_categories FROM runs GROUP BY source""", "runs")
 def extract_metrics(spark, sf_dir):
-    return b.runs(spark, sf_dir).groupBy("source").agg(
-        F.count("*").alias("found"), F.count_if(F.col("items") > 0).alias("valid"), F.count_if(F.coalesce("items", F.lit(0)) == 0).alias("rejected"), F.count_if(F.col("items").isNull()).alias("unparsed")
-    )
+    values = F.when(F.col("items") > 4, F.sequence(F.lit(5), F.col("items").cast("int"))).otherwise(F.array().cast("array<int>"))
+    items = b.runs(spark, sf_dir).select("source", F.col("items").isNotNull().alias("parsed"), (F.coalesce("items", F.lit(0)) > 0).alias("valid"), values.alias("rejected_values"))
+    return reports.extract_metrics(items, "source")
 
 
 _BATCH = """(SELECT CAST(CAST(fetched_at AS DATE) AS VARCHAR) AS day, count(*) AS attempts, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS BIGINT) AS ok, CAST(sum(CASE WHEN ok THEN 0 ELSE 1 END) AS BIGINT) AS failed,
-      CAST(coalesce(sum(items), 0) AS BIGINT) AS items, count(DISTINCT source) AS sources, CAST(sum(CASE WHEN status = 200 THEN 1 ELSE 0 END) AS BIGINT) AS changed FROM runs GROUP BY 1)"""
+      CAST(coalesce(sum(items), 0) AS BIGINT) AS items, count(DISTINCT source) AS sources, CAST(sum(CASE WHEN status = 200 THEN 1 ELSE 0 END) AS BIGINT) AS changed,
+      array_to_string(list_sort(list(DISTINCT source % 5)), ',') AS places, coalesce(array_to_string(list_sort(list(DISTINCT source) FILTER (WHERE ok)), ','), '') AS covered,
+      coalesce(string_agg(source || ':' || status, ',' ORDER BY source, id) FILTER (WHERE NOT ok), '') AS errors FROM runs GROUP BY 1)"""
 
 
 def _batches(spark, sf_dir):
-    return b.runs(spark, sf_dir).groupBy(F.to_date("fetched_at").cast("string").alias("day")).agg(
-        F.count("*").alias("attempts"), F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed"), F.coalesce(F.sum("items"), F.lit(0)).alias("items"),
-        F.count_distinct("source").alias("sources"), F.count_if(F.col("status") == 200).alias("changed"),
+    outcomes = b.runs(spark, sf_dir).select(
+        F.to_date("fetched_at").cast("string").alias("day"), "source", "id", (F.col("source") % 5).alias("place"), "ok", (F.col("status") == 200).alias("changed"), "items",
+        F.when(~F.col("ok"), F.col("status").cast("string")).alias("error"),
     )
+    return reports.batch_report(outcomes, "day")
 
 
 @query(f"SELECT * FROM {_BATCH}", "runs")
 def batch_report(spark, sf_dir):
-    return _batches(spark, sf_dir)
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    errors = F.array_join(F.transform("errors", lambda e: F.concat_ws(":", e["source"].cast("string"), e["error"])), ",").alias("errors")
+    return _batches(spark, sf_dir).select("day", "attempts", "ok", "failed", "items", "sources", "changed", joined("places"), joined("covered"), errors)
 
 
 @query(f"SELECT day, CASE WHEN failed > 0 AND ok = 0 THEN 'failed' WHEN failed > 0 THEN 'partial' WHEN changed = 0 THEN 'no-change' ELSE 'success' END AS status FROM {_BATCH}", "runs")

@@ -10,6 +10,8 @@ from .. import bindings as b
 from ..functions import temporal as t
 from ..functions.text import fold
 from ..operators import intervals, search
+from ..operators.reports import backlog_band, report_yield
+from ..operators.windows import placed
 from ..plans import listing as p
 from .registry import query
 
@@ -20,16 +22,20 @@ def _text(*columns: str):
     return [F.col(c).cast("string").alias(c) for c in columns]
 
 
-@query("SELECT place, count(*) AS n FROM pub WHERE start_day <= DATE '1998-12-31' AND coalesce(end_day, start_day) >= DATE '1996-01-01' GROUP BY place", "pub")
+@query("""SELECT slug, place, n, row_number() OVER (ORDER BY slug) AS place_in_order FROM (SELECT lower(replace(place, '_', '-')) AS slug, place, count(*) AS n
+      FROM pub WHERE start_day <= DATE '1998-12-31' AND coalesce(end_day, start_day) >= DATE '1996-01-01' GROUP BY place)""", "pub")
 def facet_places(spark, sf_dir):
     rows = b.published(spark, sf_dir).filter(intervals.overlaps(F.lit(D(1996, 1, 1)), F.lit(D(1998, 12, 31))))
-    return rows.groupBy("place").agg(F.count("*").alias("n"))
+    facets = rows.groupBy("place").agg(F.count("*").alias("n"))
+    return placed(facets.select(fold(F.col("place"), "slug").alias("slug"), "place", "n"), "slug")
 
 
-@query("SELECT axis, category, count(DISTINCT cats.id) AS n FROM cats JOIN pub USING (id) GROUP BY axis, category", "pub", "cats")
+@query("""SELECT axis, category, "order", n, row_number() OVER (ORDER BY axis, "order", category) AS place_in_order FROM (SELECT axis, category, CAST(length(category) AS INTEGER) AS "order", count(DISTINCT cats.id) AS n
+      FROM cats JOIN pub USING (id) GROUP BY axis, category)""", "pub", "cats")
 def facet_categories(spark, sf_dir):
     # The bridge has each record once a category, so rows are records.
-    return b.categories(spark, sf_dir).join(b.published(spark, sf_dir), "id", "left_semi").groupBy("axis", "category").agg(F.count("*").alias("n"))
+    facets = b.categories(spark, sf_dir).join(b.published(spark, sf_dir), "id", "left_semi").groupBy("axis", "category").agg(F.count("*").alias("n"))
+    return placed(facets.select("axis", "category", F.length("category").alias("order"), "n"), "axis", "order", "category")
 
 
 _WANTED = p.CatalogFilter(text="LOW hous", place="nation-7", kind="ECONOMY", price="paid", first=D(1995, 1, 1), last=D(2001, 1, 1))
@@ -237,10 +243,11 @@ def state_histogram(spark, sf_dir):
     return b.catalog(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("SELECT region, n, CASE WHEN n < 900 THEN 'low' WHEN n <= 1010 THEN 'medium' ELSE 'high' END AS band FROM (SELECT region, count(DISTINCT id) AS n FROM catalog WHERE status = 'draft' GROUP BY region)", "catalog")
+@query("""SELECT place, week, n, CASE WHEN n < 30 THEN 'low' WHEN n <= 70 THEN 'medium' ELSE 'high' END AS band FROM
+      (SELECT place, strftime(start_day, '%Y') AS week, count(DISTINCT id) AS n FROM catalog WHERE status IN ('draft', 'archived') GROUP BY 1, 2)""", "catalog")
 def backlog_pressure(spark, sf_dir):
-    n = b.catalog(spark, sf_dir).filter("status = 'draft'").groupBy("region").agg(F.count_distinct("id").alias("n"))
-    return n.withColumn("band", F.when(F.col("n") < 900, "low").when(F.col("n") <= 1010, "medium").otherwise("high"))
+    open_ = b.catalog(spark, sf_dir).filter(F.col("status").isin("draft", "archived")).groupBy("place", F.date_format("start_day", "yyyy").alias("week"))
+    return backlog_band(open_.agg(F.count_distinct("id").alias("n")))
 
 
 @query("SELECT p_type AS value, count(*) AS n, min(p_partkey) AS first FROM part WHERE p_type NOT IN ('ECONOMY', 'PROMO') GROUP BY p_type")
@@ -250,10 +257,12 @@ def category_usage(spark, sf_dir):
     return parts.join(F.broadcast(known), "value", "left_anti").groupBy("value").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first"))
 
 
-@query("SELECT l_suppkey AS source, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS confirmed, count(*) AS found, round(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) / count(*), 4) AS ratio FROM lineitem GROUP BY 1")
+@query("""SELECT l_suppkey AS source, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS confirmed, count(*) AS found, count(DISTINCT l_orderkey) AS events, count(DISTINCT l_partkey) AS sources,
+      round(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) / count(*), 4) AS confirmation, round(count(DISTINCT l_orderkey) / count(DISTINCT l_partkey), 4) AS per_source,
+      round((count(*) - count(DISTINCT l_orderkey)) / count(*), 4) AS duplicates FROM lineitem GROUP BY 1""")
 def yield_ratios(spark, sf_dir):
-    n = b.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("source")).agg(F.count_if(F.col("l_returnflag") == "R").alias("confirmed"), F.count("*").alias("found"))
-    return n.withColumn("ratio", F.round(F.try_divide("confirmed", "found"), 4))
+    rows = b.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("report"), F.col("l_orderkey").alias("event"), F.col("l_partkey").alias("source"), (F.col("l_returnflag") == "R").alias("confirmed"))
+    return report_yield(rows).withColumnRenamed("report", "source")
 
 
 @query("""SELECT strftime(start_day, '%G-W%V') AS week, CAST(sum(CASE WHEN region = 'ASIA' THEN 1 ELSE 0 END) AS BIGINT) AS asia, CAST(sum(CASE WHEN region = 'EUROPE' THEN 1 ELSE 0 END) AS BIGINT) AS europe FROM pub GROUP BY 1""", "pub")
@@ -267,8 +276,6 @@ def adapter_yield_by_week(spark, sf_dir):
 
 @query("SELECT row_number() OVER (ORDER BY start_at, title_key, id) AS place_in_order, id FROM (SELECT *, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS title_key FROM pub)", "pub")
 def catalog_order(spark, sf_dir):
-    from ..operators.windows import placed
-
     rows = b.published(spark, sf_dir).withColumn("title_key", fold(F.col("title")))
     return placed(rows.select("start_at", "title_key", "id"), "start_at", "title_key", "id").select("place_in_order", "id")
 

@@ -195,13 +195,14 @@ def merge_copies(spark, sf_dir):
     return m.merge_copies(copies, "id", "week_start", ["title"])
 
 
-_CONFLICTS = """(SELECT l_orderkey AS id, concat_ws(',', CASE WHEN count(DISTINCT l_returnflag) > 1 THEN 'l_returnflag' END, CASE WHEN count(DISTINCT l_linestatus) > 1 THEN 'l_linestatus' END) AS fields FROM lineitem GROUP BY 1)"""
+_FIELDS = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+_CONFLICTS = f"""(SELECT l_orderkey AS id, concat_ws(',', {', '.join(f"CASE WHEN count(DISTINCT {f}) > 1 THEN '{f}' END" for f in _FIELDS)}) AS fields FROM lineitem GROUP BY 1)"""
 
 
 @query(f"SELECT * FROM {_CONFLICTS} WHERE fields <> ''")
 def identity_conflicts(spark, sf_dir):
     lines = b.table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "id")
-    return m.identity_conflicts(lines, "id", ["l_returnflag", "l_linestatus"])
+    return m.identity_conflicts(lines, "id", _FIELDS)
 
 
 @query("SELECT CAST(start_day AS VARCHAR) AS start_day, place, price_type, count(DISTINCT id) AS n, min(id) AS first, max(id) AS last FROM pub GROUP BY start_day, place, price_type HAVING count(DISTINCT id) > 1", "pub")

@@ -304,10 +304,14 @@ def resolve_item_url(spark, sf_dir):
     return rows.select("page_id", "r.url", "r.reason")
 
 
-@query("SELECT url, count(*) AS n, string_agg(place, ',' ORDER BY place) AS places FROM (SELECT DISTINCT regexp_extract(url, '^https?://([^/?#]+)', 1) AS url, CASE page_id % 3 WHEN 0 THEN 'pages' WHEN 1 THEN 'inbox' ELSE 'reports' END AS place FROM pages) GROUP BY url")
+@query("""SELECT url, count(*) AS n, string_agg(place, ',' ORDER BY place) AS places FROM (SELECT DISTINCT CASE WHEN url LIKE '%#%' THEN substr(url, 1, strpos(url, '#') - 1) ELSE url END AS url,
+      CASE page_id % 3 WHEN 0 THEN 'pages' WHEN 1 THEN 'inbox' ELSE 'reports' END || '/' || page_id AS place FROM pages UNION ALL SELECT DISTINCT 'https://example.org/c/' || c_nationkey, 'customers/' || c_custkey FROM customer) GROUP BY url""")
 def url_usage(spark, sf_dir):
-    place = F.when(F.col("page_id") % 3 == 0, "pages").when(F.col("page_id") % 3 == 1, "inbox").otherwise("reports")
-    uses = b.table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("url"), place.alias("place")).distinct()
+    """Each whole address, without its fragment, and the places that use it."""
+    kind = F.when(F.col("page_id") % 3 == 0, "pages").when(F.col("page_id") % 3 == 1, "inbox").otherwise("reports")
+    pages = b.table(spark, sf_dir, "pages").select(F.substring_index("url", "#", 1).alias("url"), F.concat_ws("/", kind, "page_id").alias("place"))
+    customers = b.table(spark, sf_dir, "customer").select(F.concat(F.lit("https://example.org/c/"), "c_nationkey").alias("url"), F.concat(F.lit("customers/"), "c_custkey").alias("place"))
+    uses = pages.unionByName(customers).distinct()
     return uses.groupBy("url").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("place")), ",").alias("places"))
 
 

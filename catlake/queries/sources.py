@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import bindings as b
 from ..functions import price, text
 from ..operators import normalize as n
+from ..operators import quality as q
 from ..sources import files as s
 from ..streaming import stateful as st
 from .health import _STATE
@@ -35,19 +36,35 @@ def load_catalog(spark, sf_dir):
 
 
 
-@query("SELECT lower(c) AS norm_key, min(p) AS category, 'kind' AS axis, count(DISTINCT p) AS targets FROM (SELECT p_type AS p, p_type AS c FROM part UNION ALL SELECT p_type, p_brand FROM part WHERE p_size = 50) GROUP BY 1")
+_DICTIONARY = """(SELECT p_type AS category, CAST(length(p_type) AS INTEGER) AS "order", list_sort(list_distinct([p_type || '!'] || coalesce(aliases, []))) AS terms, [p_type] || coalesce(aliases, []) AS names
+      FROM (SELECT p_type, list(DISTINCT p_brand || '/' || p_type) FILTER (WHERE p_size = 50) AS aliases FROM part GROUP BY p_type))"""
+
+
+@query(f"""SELECT lower(name) AS norm_key, category, 'kind' AS axis, "order", array_to_string(terms, ',') AS search_terms, CAST(1 AS BIGINT) AS targets FROM (SELECT *, unnest(names) AS name FROM {_DICTIONARY})""")
 def load_dictionary(spark, sf_dir):
-    part = b.table(spark, sf_dir, "part")
-    rows = part.groupBy(F.col("p_type").alias("category")).agg(F.collect_set(F.when(F.col("p_size") == 50, F.col("p_brand"))).alias("aliases")).withColumn("axis", F.lit("kind"))
-    return s.load_dictionary(rows)
+    alias = F.concat_ws("/", "p_brand", "p_type")
+    rows = b.table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("category")).agg(F.collect_set(F.when(F.col("p_size") == 50, alias)).alias("aliases"))
+    rows = rows.withColumns({"axis": F.lit("kind"), "order": F.length("category"), "label": F.concat("category", F.lit("!"))})
+    return s.load_dictionary(rows).withColumn("search_terms", F.array_join("search_terms", ","))
 
 
 @query("SELECT s_suppkey AS source, CASE WHEN s_acctbal < 0 THEN false ELSE true END AS enabled, CASE WHEN s_nationkey > 20 THEN 7 ELSE 1 END AS \"interval\" FROM supplier")
 def load_registry(spark, sf_dir):
+    return _registry(spark, sf_dir).select("source", "enabled", F.col("interval").cast("int").alias("interval"))
+
+
+def _registry(spark, sf_dir):
     folder = s.work_folder(spark, "registry")
     rows = b.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source"), F.when(F.col("s_acctbal") < 0, False).alias("enabled"), F.when(F.col("s_nationkey") > 20, 7).cast("long").alias("interval"))
     rows.write.json(folder)
-    return s.load_registry(s.load_lines(spark, folder, "source long, enabled boolean, interval long").drop("_corrupt")).select("source", "enabled", F.col("interval").cast("int").alias("interval"))
+    return s.load_registry(s.load_lines(spark, folder, "source long, enabled boolean, interval long").drop("_corrupt"))
+
+
+@query("""SELECT page_id AS page, page_id % 20 AS source, page_id % 9 <> 0 AND coalesce(s_acctbal >= 0, true) AS enabled, s_suppkey IS NOT NULL AS known FROM pages LEFT JOIN supplier ON s_suppkey = page_id % 20""")
+def load_page_registry(spark, sf_dir):
+    folder = s.work_folder(spark, "pages")
+    b.table(spark, sf_dir, "pages").select(F.col("page_id").alias("page"), (F.col("page_id") % 20).alias("source"), F.when(F.col("page_id") % 9 == 0, False).alias("enabled")).write.json(folder)
+    return s.load_pages(s.load_lines(spark, folder, "page long, source long, enabled boolean").drop("_corrupt"), _registry(spark, sf_dir))
 
 
 _CANDIDATES = "SELECT CAST(c AS VARCHAR) AS id, CASE WHEN k % 2 = 0 THEN CAST(k AS VARCHAR) END AS record FROM (SELECT o_custkey AS c, max(o_orderkey) AS k FROM orders GROUP BY 1)"
@@ -101,12 +118,32 @@ def codelist_counts(spark, sf_dir):
     return s.codelist_counts(_codelist(spark, sf_dir))
 
 
-@query("SELECT CAST(CAST(ts AS DATE) AS VARCHAR) || '-' || event_type AS run_id, event_type AS agent, CAST(count(*) AS VARCHAR) AS found FROM events GROUP BY 1, 2")
-def load_run_reports(spark, sf_dir):
+_RUNS = """(SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') || '-1200-' || event_type AS run_id, event_type AS agent, strftime(CAST(ts AS DATE), '%Y-%m') AS month, count(*) AS n, extract(day FROM min(ts)) AS d FROM events GROUP BY 1, 2, 3)"""
+
+
+def _reports(spark, sf_dir):
+    """Run reports of each day and kind of event in folders of agent and month; those of the 13th lie in another month's folder, those of the 17th in another agent's."""
     folder = s.work_folder(spark, "reports")
-    rows = b.table(spark, sf_dir, "events").groupBy(F.to_date("ts").cast("string").alias("day"), F.col("event_type").alias("agent")).agg(F.count("*").cast("string").alias("n"))
-    rows.select("agent", F.concat_ws("-", "day", "agent").alias("run_id"), F.create_map(F.lit("found"), F.col("n")).alias("metrics")).write.json(folder)
-    return s.load_lines(spark, folder, s.REPORT).select("run_id", "agent", F.col("metrics")["found"].alias("found"))
+    day = F.to_date("ts")
+    rows = b.table(spark, sf_dir, "events").groupBy(day.alias("day"), F.col("event_type").alias("agent")).agg(F.count("*").alias("n"))
+    started = F.date_format(F.col("day").cast("timestamp") + F.expr("INTERVAL 12 HOURS"), "yyyy-MM-dd'T'HH:mm:ss")
+    run = F.concat_ws("-", F.date_format("day", "yyyy-MM-dd"), F.lit("1200"), "agent")
+    made = rows.select(
+        F.when(F.dayofmonth("day") == 17, "planner").otherwise(F.col("agent")).alias("at_agent"), F.when(F.dayofmonth("day") == 13, "1999-01").otherwise(F.date_format("day", "yyyy-MM")).alias("at_month"),
+        F.to_json(F.struct("agent", run.alias("run_id"), started.alias("started_at"), F.create_map(F.lit("found"), F.col("n").cast("string")).alias("metrics"))).alias("value"), run.alias("run"),
+    )
+    made.select("at_agent", "at_month", F.concat("run", F.lit(".json")).alias("run"), "value").write.partitionBy("at_agent", "at_month", "run").text(folder)
+    return s.load_reports(spark, folder)
+
+
+@query(f"""SELECT run_id, agent, run_id || '.json' AS file, CASE WHEN d = 17 THEN 'planner' ELSE agent END AS folder_agent, CASE WHEN d = 13 THEN '1999-01' ELSE month END AS folder_month, CAST(n AS VARCHAR) AS found FROM {_RUNS}""")
+def load_run_reports(spark, sf_dir):
+    return _reports(spark, sf_dir).select("run_id", "agent", "file", "folder_agent", "folder_month", F.col("metrics")["found"].alias("found"))
+
+
+@query(f"""SELECT 'error' AS level, 'report-files' AS "check", run_id AS key, CASE d WHEN 13 THEN 'other-month' ELSE 'other-agent' END AS message FROM {_RUNS} WHERE d IN (13, 17)""")
+def dq_report_files(spark, sf_dir):
+    return q.report_files(_reports(spark, sf_dir))
 
 
 def _bridge(spark, sf_dir):
@@ -159,10 +196,20 @@ def sitemap_rows(spark, sf_dir):
     return s.sitemap_rows(rows)
 
 
-@query("""SELECT id, concat_ws(chr(13) || chr(10), 'BEGIN:VEVENT', 'UID:' || id, 'SUMMARY:' || title, 'DTSTART;VALUE=DATE:' || strftime(start_day, '%Y%m%d'), 'DTEND;VALUE=DATE:' || strftime(coalesce(end_day, start_day) + 1, '%Y%m%d'), 'END:VEVENT') AS calendar,
-      '{"@type":"Event","name":"' || title || '","startDate":"' || start_day || '"' || coalesce(',"endDate":"' || end_day || '"', '') || '}' AS data FROM pub""", "pub")
+_STARTS = "CASE WHEN id % 2 = 0 THEN start_at + INTERVAL 1110 MINUTE END"
+_ENDS = "CASE WHEN id % 4 = 0 THEN start_at + INTERVAL 1500 MINUTE ELSE start_at + INTERVAL 1230 MINUTE END"
+
+
+@query(f"""SELECT id, concat_ws(chr(13) || chr(10), 'BEGIN:VEVENT', 'UID:' || id, 'SUMMARY:' || title,
+      CASE WHEN id % 2 = 0 THEN 'DTSTART:' || strftime({_STARTS}, '%Y%m%dT%H%M%SZ') ELSE 'DTSTART;VALUE=DATE:' || strftime(start_day, '%Y%m%d') END,
+      CASE WHEN id % 2 = 0 THEN 'DTEND:' || strftime({_ENDS}, '%Y%m%dT%H%M%SZ') ELSE 'DTEND;VALUE=DATE:' || strftime(coalesce(end_day, start_day) + 1, '%Y%m%d') END, 'END:VEVENT') AS calendar,
+      '{{"@type":"Event","name":"' || title || '","startDate":"' || CASE WHEN id % 2 = 0 THEN strftime({_STARTS}, '%Y-%m-%dT%H:%M:%SZ') ELSE CAST(start_day AS VARCHAR) END || '"'
+      || coalesce(',"endDate":"' || CASE WHEN id % 2 = 0 THEN strftime({_ENDS}, '%Y-%m-%dT%H:%M:%SZ') ELSE CAST(end_day AS VARCHAR) END || '"', '') || '}}' AS data FROM pub""", "pub")
 def feed_export(spark, sf_dir):
-    return s.feed_rows(b.published(spark, sf_dir))
+    """Every other record is timed, and every other of those has an end."""
+    after = lambda n: F.col("start_at") + F.make_dt_interval(mins=F.lit(n))
+    rows = b.published(spark, sf_dir).select("id", "title", "start_day", "end_day", F.when(F.col("id") % 2 == 0, after(1110)).alias("start_at"), F.when(F.col("id") % 4 == 0, after(1500)).alias("end_at"))
+    return s.feed_rows(rows)
 
 
 # --- normalisation
@@ -171,17 +218,14 @@ def feed_export(spark, sf_dir):
 _A, _P = text.ACCENTED, text.PLAIN
 _PLAIN = f"translate(replace(lower(text), 'ß', 'ss'), '{_A}', '{_P}')"
 _FOLD = f"""SELECT doc_id AS id, trim(regexp_replace({_PLAIN}, '[^a-z0-9]+', ' ', 'g')) AS "match", regexp_replace({_PLAIN}, '[^a-z0-9]+', '', 'g') AS sort,
-      regexp_replace(regexp_replace({_PLAIN}, '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug FROM documents"""
-
-
-def _folded(spark, sf_dir, of):
-    return b.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), *[text.fold(of, v).alias(v) for v in ("match", "sort", "slug")])
+      regexp_replace(regexp_replace({_PLAIN}, '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, trim(regexp_replace({_PLAIN}, '[^\\p{{{{L}}}}\\p{{{{N}}}}]+', ' ', 'g')) AS title,
+      regexp_replace(trim({_PLAIN}), '[\\s_]+', '-', 'g') AS category, trim(regexp_replace({_PLAIN}, '\\s+', ' ', 'g')) AS place FROM documents""".replace("{{", "{").replace("}}", "}")
 
 
 @query(_FOLD)
 def fold_text(spark, sf_dir):
-    return _folded(spark, sf_dir, F.col("text"))
-
+    variants = ("match", "sort", "slug", "title", "category", "place")
+    return b.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), *[text.fold(F.col("text"), v).alias(v) for v in variants])
 
 
 @query("SELECT page_id AS id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \\t\\n]+', ' ', 'g')) AS title FROM pages")

@@ -12,7 +12,7 @@ EVENT = (
     "categories array<string>, price struct<type:string,text:string,amount:double,currency:string>, source struct<type:string,url:string>, "
     "last_verified_at string, cancelled boolean"
 )
-WEEK = f"schema_version int, week string, generated_at string, events array<struct<{', '.join(x.replace(' ', ':', 1) for x in EVENT.split(', '))}>>"
+WEEK = f"schema_version int, week string, document string, generated_at string, events array<struct<{', '.join(x.replace(' ', ':', 1) for x in EVENT.split(', '))}>>"
 MANIFEST = "schema_version int, generated_at string, weeks array<struct<id:string,`from`:string,`to`:string,file:string>>"
 CANDIDATES = "schema_version int, generated_at string, candidates array<struct<id:string,title:string,date_text:string,municipality:string,status:string,source_url:string,production_event_id:string>>"
 REPORT = "agent string, run_id string, started_at string, finished_at string, duration_seconds double, status string, partial_reason string, metrics map<string,string>, errors array<string>"
@@ -51,7 +51,7 @@ def remove(spark: SparkSession, folder: str) -> None:
 
 
 def write_catalog(rows: DataFrame, folder: str, most: int = 1000) -> None:
-    """Week documents of at most ``most`` events, one file each, and the manifest of their weeks, in ``folder``.
+    """Week documents of at most ``most`` events, one line each, and the manifest of their weeks, in ``folder``.
 
     ``rows`` has week and event, a struct that starts with id; events are in the order of their id. No week is
     gathered in one place: rows are dealt by ranges of (week, id), and each range is cut into documents.
@@ -65,17 +65,18 @@ def write_catalog(rows: DataFrame, folder: str, most: int = 1000) -> None:
     cut = rows.join(first, ["week", "part"]).withColumn("cut", F.floor((F.col("at") - F.col("first")) / most))
     documents = cut.groupBy("week", "part", "cut").agg(F.array_sort(F.collect_list("event")).alias("events"))
     name = F.concat_ws("-", "week", F.lpad(F.col("part").cast("string"), 10, "0"), F.lpad(F.col("cut").cast("string"), 10, "0"))
-    documents.select(name.alias("document"), F.to_json(F.struct(F.lit(1).alias("schema_version"), "week", "events")).alias("value")).write.partitionBy("document").text(f"{folder}/weeks")
+    # Each line is a document, which says its own name: there are as many files as tasks, not as documents.
+    documents.select(F.to_json(F.struct(F.lit(1).alias("schema_version"), "week", name.alias("document"), "events")).alias("value")).write.text(f"{folder}/weeks")
     listed = F.array_sort(F.collect_list(F.struct(F.col("week").alias("id"), F.col("week").alias("from"))))
     first.select("week").distinct().agg(listed.alias("weeks")).select(F.to_json(F.struct(F.lit(1).alias("schema_version"), "weeks")).alias("value")).write.text(f"{folder}/manifest")
 
 
-def load_catalog(spark: SparkSession, weeks: str, manifest: str | None = None) -> DataFrame:
-    """The copies of events in week files, with (week, position, file: its path); only weeks that the manifest lists, if one is given.
+def load_catalog(spark: SparkSession, weeks: str, manifest: str | None = None, whole: bool = False) -> DataFrame:
+    """The copies of events in week documents, with (file_week, position, file: the document's name or its path); only weeks that the manifest lists, if one is given.
 
-    A week may have several documents; positions count through them in the order of their paths.
+    Documents are lines of files, or with ``whole`` a file each. A week may have several; positions count through them in the order of their names.
     """
-    files = spark.read.schema(WEEK).option("multiLine", True).json(weeks).withColumn("file", F.col("_metadata.file_path"))
+    files = spark.read.schema(WEEK).option("multiLine", whole).json(weeks).withColumn("file", F.coalesce("document", F.col("_metadata.file_path"))).drop("document")
     if manifest is not None:
         listed = spark.read.schema(MANIFEST).option("multiLine", True).json(manifest).select(F.explode("weeks").alias("w")).select(F.col("w.id").alias("week")).distinct()
         files = files.join(F.broadcast(listed), "week", "left_semi")
@@ -90,6 +91,23 @@ def load_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
 
 
+def load_reports(spark: SparkSession, path: str) -> DataFrame:
+    """Run reports from a tree of folders ``agent/yyyy-mm/run.json``, with what the place of each file says.
+
+    Columns of the report, and file (its name), folder_agent, folder_month and name_run (the
+    name without its ending), so that checks compare the report with its place. Files
+    elsewhere in the tree have nulls there; a file that can't be read has _corrupt.
+    """
+    rows = (
+        spark.read.schema(f"{REPORT}, _corrupt string").option("recursiveFileLookup", True).option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", "_corrupt").json(path).select("*", F.col("_metadata.file_path").alias("path"))
+    )
+    # A folder may be written as name=value, and a report as a folder with one part.
+    place = r"(?:[^/=]*=)?([^/=]+)/(?:[^/=]*=)?(\d{4}-\d{2})/(?:[^/=]*=)?([^/=]+)\.json(?:/part-[^/]*)?$"
+    part = lambda k: F.nullif(F.regexp_extract("path", place, k), F.lit(""))
+    return rows.select("*", F.regexp_extract("path", r"([^/=]+?)(?:/part-[^/]*)?$", 1).alias("file"), part(1).alias("folder_agent"), part(2).alias("folder_month"), part(3).alias("name_run")).drop("path")
+
+
 def load_candidates(spark: SparkSession, path: str, order: str = "file") -> DataFrame:
     """The rows of candidate documents with ``file`` (its name, or another field of the document that orders them) and position."""
     files = spark.read.schema(CANDIDATES).json(path).withColumn("name", F.col("_metadata.file_path"))
@@ -103,12 +121,21 @@ def last_candidates(rows: DataFrame, known: DataFrame) -> DataFrame:
     return last.join(targets, "production_event_id", "left").select("id", "title", "status", F.when(F.col("_known"), F.col("production_event_id")).alias("record"))
 
 
-def load_dictionary(categories: DataFrame) -> DataFrame:
-    """(norm_key, category, axis) from (category, axis, aliases); a key with two targets is an error in the column ``targets``."""
+def load_dictionary(categories: DataFrame, strict: bool = True) -> DataFrame:
+    """(norm_key, category, axis, order, search_terms, targets) from (category, axis, order, label, aliases): one row a folded name or alias.
+
+    search_terms are the category's label and aliases, sorted, each once. A key with several
+    targets is an error; if not ``strict``, it is marked in the column ``targets`` instead.
+    """
     from ..functions.text import fold
 
-    keys = categories.select("category", "axis", F.explode(F.concat(F.array("category"), "aliases")).alias("alias")).select(fold(F.col("alias"), "category").alias("norm_key"), "category", "axis")
-    return keys.groupBy("norm_key").agg(F.min("category").alias("category"), F.min("axis").alias("axis"), F.count_distinct("category").alias("targets"))
+    terms = F.array_sort(F.array_distinct(F.array_compact(F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>"))))))
+    each = categories.select("category", "axis", "order", terms.alias("search_terms"), F.explode(F.concat(F.array("category"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("alias"))
+    keys = each.select(fold(F.col("alias"), "category").alias("norm_key"), "category", "axis", "order", "search_terms")
+    out = keys.groupBy("norm_key").agg(*[F.min_by(c, "category").alias(c) for c in ("category", "axis", "order", "search_terms")], F.count_distinct("category").alias("targets"))
+    if strict and not (twice := out.filter("targets > 1").select("norm_key").limit(10)).isEmpty():
+        raise ValueError(f"names with several categories: {', '.join(sorted(r['norm_key'] for r in twice.collect()))}")
+    return out
 
 
 def load_registry(rows: DataFrame) -> DataFrame:
@@ -116,6 +143,14 @@ def load_registry(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"enabled": F.coalesce("enabled", F.lit(True)), "interval": F.coalesce("interval", F.lit(1).cast("long"))})
 
 
+def load_pages(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """(page, source, enabled, known) of the registry of pages (page, source, enabled): a page is on unless it or its source is off; known tells whether the source is registered."""
+    own = sources.select("source", F.col("enabled").alias("_on"), F.lit(True).alias("_known"))
+    joined = rows.join(own, "source", "left")
+    on = F.coalesce("enabled", F.lit(True)) & F.coalesce("_on", F.lit(True))
+    return joined.select("page", "source", on.alias("enabled"), F.coalesce("_known", F.lit(False)).alias("known"))
+
+
 def load_codelist(spark: SparkSession, path: str, required: list[str], regions: list[str], minimum: int, types: dict[str, str] | None = None, districts: DataFrame | None = None) -> DataFrame:
     """Rows of a code list file within the regions, with a column ``problem`` that is null if the whole list is sound.
 
@@ -188,11 +223,16 @@ def content_store(bodies: DataFrame, body: str) -> DataFrame:
 
 
 def content_retention(history: DataFrame, last: int = 3) -> DataFrame:
-    """(source, hash, keep): the last distinct contents of each source and the last one with items are kept; the rest may go."""
+    """(source, hash, keep): the last distinct contents of each source and the last one with items are kept; the rest may go.
+
+    What is kept of a source is found by a limited rank, which Spark cuts in every task, and
+    a maximum that is combined before the shuffle, so no source's contents are ranked whole.
+    """
     contents = history.filter("hash IS NOT NULL").groupBy("source", "hash").agg(F.max("id").alias("id"), F.max(F.when(F.col("items") > 0, F.col("id"))).alias("used"))
-    newest = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("id")))
-    used = F.max("used").over(Window.partitionBy("source"))
-    return contents.withColumn("n", newest).withColumn("m", used).select("source", "hash", ((F.col("n") <= last) | F.coalesce(F.col("used") == F.col("m"), F.lit(False))).alias("keep"))
+    newest = contents.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("id")))).filter(F.col("n") <= last).select("source", "hash")
+    used = contents.filter("used IS NOT NULL").groupBy("source").agg(F.max_by("hash", "used").alias("hash"))
+    kept = newest.unionByName(used.select("source", "hash")).distinct().withColumn("_kept", F.lit(True))
+    return contents.select("source", "hash").join(kept, ["source", "hash"], "left").select("source", "hash", F.coalesce("_kept", F.lit(False)).alias("keep"))
 
 
 def latest_content(history: DataFrame) -> DataFrame:
@@ -206,15 +246,28 @@ def sitemap_rows(records: DataFrame) -> DataFrame:
 
 
 def feed_rows(records: DataFrame) -> DataFrame:
-    """(id, calendar, data): a calendar record (an all-day end is the next day; two hours without an end) and structured data."""
+    """(id, calendar, data): a calendar record and structured data of each record (id, title, start_day, end_day; start_at, end_at for timed ones).
+
+    A record without start_at is all-day, and its end is the day after its last one; a timed
+    record is in UTC, and lasts two hours where its end isn't known.
+    """
+    timed = F.col("start_at").isNotNull() if "start_at" in records.columns else F.lit(False)
+    at = F.col("start_at") if "start_at" in records.columns else F.lit(None).cast("timestamp")
+    till = F.coalesce(F.col("end_at") if "end_at" in records.columns else F.lit(None).cast("timestamp"), at + F.expr("INTERVAL 2 HOURS"))
     stamp = lambda d: F.date_format(d, "yyyyMMdd")
+    utc = lambda t: F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), t.cast("timestamp_ntz")), "yyyyMMdd'T'HHmmss'Z'")
+    iso = lambda t: F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), t.cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     end = F.date_add(F.coalesce("end_day", "start_day"), 1)
-    escaped = F.replace(F.replace(F.col("title"), F.lit("\\"), F.lit("\\\\")), F.lit(","), F.lit("\\,"))
-    calendar = F.concat_ws("\r\n", F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), F.col("id").cast("string")), F.concat(F.lit("SUMMARY:"), escaped), F.concat(F.lit("DTSTART;VALUE=DATE:"), stamp("start_day")), F.concat(F.lit("DTEND;VALUE=DATE:"), stamp(end)), F.lit("END:VEVENT"))
-    data = F.to_json(F.struct(F.lit("Event").alias("@type"), F.col("title").alias("name"), F.col("start_day").cast("string").alias("startDate"), F.col("end_day").cast("string").alias("endDate")))
+    begins = F.when(timed, F.concat(F.lit("DTSTART:"), utc(at))).otherwise(F.concat(F.lit("DTSTART;VALUE=DATE:"), stamp("start_day")))
+    ends = F.when(timed, F.concat(F.lit("DTEND:"), utc(till))).otherwise(F.concat(F.lit("DTEND;VALUE=DATE:"), stamp(end)))
+    escaped = F.col("title")
+    for a, b in (("\\", "\\\\"), (",", "\\,"), (";", "\\;"), ("\n", "\\n")):
+        escaped = F.replace(escaped, F.lit(a), F.lit(b))
+    calendar = F.concat_ws(
+        "\r\n", F.lit("BEGIN:VEVENT"), F.concat(F.lit("UID:"), F.col("id").cast("string")), F.concat(F.lit("SUMMARY:"), escaped), begins, ends, F.lit("END:VEVENT")
+    )
+    data = F.to_json(F.struct(
+        F.lit("Event").alias("@type"), F.col("title").alias("name"), F.when(timed, iso(at)).otherwise(F.col("start_day").cast("string")).alias("startDate"),
+        F.when(timed, iso(till)).otherwise(F.col("end_day").cast("string")).alias("endDate"),
+    ))
     return records.select("id", calendar.alias("calendar"), data.alias("data"))
-
-
-def fill_two_hours(start, end):
-    """The end of a timed record, two hours after its start if it has none."""
-    return F.coalesce(end, start + F.expr("INTERVAL 2 HOURS"))

@@ -34,3 +34,14 @@ def test_matches_are_those_of_all_pairs(spark):
     best = every.withColumn("score", score).groupBy("c_id").agg(F.min_by(F.struct("r_id", "score"), F.struct(-F.col("score"), "r_id")).alias("r")).select("c_id", "r.*")
     want = {r["c_id"]: (r["r_id"], r["score"]) for r in best.collect()}
     assert {c: v[:2] for c, v in got.items() if want[c][1] is not None} == {c: v for c, v in want.items() if v[1] is not None} and got.keys() == want.keys()
+
+
+def test_events_with_and_without_bounds(spark):
+    import datetime
+
+    rng = random.Random(7)
+    at = lambda: datetime.datetime(2026, 5, 1 + rng.randint(0, 1), rng.randint(0, 23), 30)
+    rows = [(i, t, at(), rng.choice([1, 2, None]), rng.choice(["Hall", "hall b", "", None])) for i, t in enumerate(titles(rng, 120))]
+    frame = spark.createDataFrame(rows, "id long, title string, start_at timestamp, place_id long, venue string")
+    sides = frame.filter("id % 3 = 1"), frame.filter("id % 3 <> 1")
+    assert sorted(map(tuple, match.match_events(*sides).collect())) == sorted(map(tuple, match.match_events(*sides, bounded=True).collect()))
