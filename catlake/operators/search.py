@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,29 @@ def token_table(records: DataFrame, key: str, *texts: str) -> DataFrame:
     return records.select(key, F.explode(words).alias("token"))
 
 
+def write_index(records: DataFrame, key: str, folder: str, *texts: str) -> None:
+    """The token table as a stored inverted index: files by ranges of (token, key), sorted, so that their statistics tell which hold a prefix.
+
+    A word that very many records have is spread over several files, as the key is part of the ranges.
+    """
+    token_table(records, key, *texts).repartitionByRange("token", key).sortWithinPartitions("token", key).write.parquet(folder)
+
+
+def search_index(index: DataFrame, key: str, text: str) -> DataFrame:
+    """(key) of the records in which every search word is the beginning of some word, from a stored index; none without a usable word.
+
+    Each word is a range of tokens, which reaches the scan as a filter; of the postings read,
+    a record has to have one for every word.
+    """
+    wanted = list(dict.fromkeys(query_tokens(text)))
+    ranges = [(F.col("token") >= w) & (F.col("token") < w[:-1] + chr(ord(w[-1]) + 1)) for w in wanted]
+    if not wanted:
+        return index.select(key).filter(F.lit(False))
+    met = F.array_compact(F.array(*[F.when(hit, F.lit(k)) for k, hit in enumerate(ranges)]))
+    postings = index.filter(reduce(or_, ranges)).select(key, F.explode(met).alias("_word")).distinct()
+    return postings.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") == len(wanted)).select(key)
+
+
 def query_tokens(text: str, most: int = 8) -> list[str]:
     """The first words of a search text, folded as the token table is."""
     import re
@@ -51,4 +74,4 @@ def has_category(records: DataFrame, bridge: DataFrame, axis: str, category: str
     return records.join(bridge.filter((F.col("axis") == axis) & (F.col("category") == category)), key, "left_semi")
 
 
-__all__ = ["fulltext_prefix", "fulltext_substring", "has_category", "query_tokens", "token_table", "unaccent"]
+__all__ = ["fulltext_prefix", "fulltext_substring", "has_category", "query_tokens", "search_index", "token_table", "unaccent", "write_index"]

@@ -49,13 +49,26 @@ def filter_catalog(spark, sf_dir):
     return p.filter_catalog(b.catalog(spark, sf_dir), b.categories(spark, sf_dir), _WANTED).select("id", "title", *_text("start_day"))
 
 
-@query("""SELECT doc_id AS id FROM documents WHERE regexp_matches(' ' || regexp_replace(translate(lower(text), 'éèêç', 'eeec'), '[^a-z0-9]+', ' ', 'g'), ' elle')
-      AND regexp_matches(' ' || regexp_replace(translate(lower(text), 'éèêç', 'eeec'), '[^a-z0-9]+', ' ', 'g'), ' que')""")
+_PREFIXES = """SELECT doc_id AS id FROM documents WHERE regexp_matches(' ' || regexp_replace(translate(lower(text), 'éèêç', 'eeec'), '[^a-z0-9]+', ' ', 'g'), ' elle')
+      AND regexp_matches(' ' || regexp_replace(translate(lower(text), 'éèêç', 'eeec'), '[^a-z0-9]+', ' ', 'g'), ' que')"""
+
+
+@query(_PREFIXES)
 def fulltext_prefix(spark, sf_dir):
     docs = b.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return search.fulltext_prefix(docs, "id", "Elle qué", "text").select("id")
 
 
+@query(_PREFIXES)
+def fulltext_index(spark, sf_dir):
+    """The same search by a stored inverted index, which serves any number of searches."""
+    from ..sources.files import work_folder
+
+    docs, folder = b.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), work_folder(spark, "index")
+    search.write_index(docs, "id", folder, "text")
+    return search.search_index(spark.read.parquet(folder), "id", "Elle qué")
+
+
 @query("SELECT doc_id AS id FROM documents WHERE contains(lower(text || ' ' || source), 'érence') OR contains(lower(text || ' ' || source), 'heha')")
 def fulltext_substring(spark, sf_dir):
     docs = b.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "source")
