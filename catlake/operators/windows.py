@@ -46,3 +46,21 @@ def placed(rows: DataFrame, *order: str | Column, name: str = "place_in_order")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
     starts = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     return rows.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_at") + 1).drop("_part", "_at", "_start")
+
+
+def placed_within(rows: DataFrame, group: str, *order: str | Column, name: str) -> DataFrame:
+    """Every row with its place in its group, from 1, so that no group has to fit one task.
+
+    The rows are dealt by ranges of group and order and written once. A group's rows lie in
+    neighbouring ranges; how many each range has of it, and where they begin there, is one
+    row a group and range, which the rows are joined with.
+    """
+    spark, at = rows.sparkSession, F.monotonically_increasing_id()
+    folder = work_folder(spark, "placed")
+    rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order).select("*", F.shiftright(at, 33).alias("_part"), at.bitwiseAND((1 << 33) - 1).alias("_at")).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    sizes = rows.groupBy(group, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over the ranges of a group
+    starts = sizes.select(F.col(group).alias("_group"), F.col("_part").alias("_range"), (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    on = F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_range"))
+    return rows.join(starts, on).withColumn(name, F.col("_at") + F.col("_shift") + 1).drop("_part", "_at", "_group", "_range", "_shift")

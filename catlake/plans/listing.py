@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import fold
 from ..operators.intervals import overlaps
 from ..operators.search import fulltext_prefix, has_category
-from ..operators.windows import placed
+from ..operators.windows import placed_within
 
 
 @dataclass(frozen=True)
@@ -70,9 +70,7 @@ def attach_categories(records: DataFrame, bridge: DataFrame, key: str = "id") ->
 def week_position(records: DataFrame) -> DataFrame:
     """The place of each record within its week, by start, title and id, from 1.
 
-    The places of all records in the order of weeks come from ranges (``placed``), less the records of the weeks
-    before, so that no week has to fit one task.
+    Ranges of weeks and order are numbered (``placed_within``), so that no week has to fit one task.
     """
-    ordered = placed(records.withColumn("_title", fold(F.col("title"))), "week_start", "start_at", "_title", "id", name="_place")
-    first = ordered.groupBy("week_start").agg((F.min("_place") - 1).alias("_before"))
-    return ordered.join(first, "week_start").withColumn("position", F.col("_place") - F.col("_before")).drop("_place", "_before", "_title")
+    rows = records.withColumn("_title", fold(F.col("title")))
+    return placed_within(rows, "week_start", "start_at", "_title", "id", name="position").drop("_title")

@@ -303,7 +303,7 @@ def page_slice(spark, sf_dir):
 @query("""SELECT CAST(week_start AS VARCHAR) AS week_start, id, row_number() OVER (PARTITION BY week_start ORDER BY start_at, title_key, id) AS position FROM
       (SELECT wks.week_start, pub.id, pub.start_at, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS title_key FROM wks JOIN pub ON wks.id = pub.id)""", "wks")
 def week_position(spark, sf_dir):
-    rows = b.weeks(spark, sf_dir).join(b.published(spark, sf_dir).select("id", "start_at", "title"), "id")
+    rows = intervals.explode_weeks(b.published(spark, sf_dir).select("id", "start_day", "end_day", "start_at", "title"))
     return p.week_position(rows).select(*_text("week_start"), "id", F.col("position").cast("long").alias("position"))
 
 

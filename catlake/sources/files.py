@@ -23,7 +23,7 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
     There it is below the warehouse, which one machine has for itself.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
