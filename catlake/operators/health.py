@@ -95,9 +95,19 @@ def reason(state: Column) -> Column:
     )
 
 
-def source_health(runs: DataFrame, fills: list[str], with_future: DataFrame) -> DataFrame:
-    """Signals and state of every source; ``with_future`` has the sources that still announce something."""
-    marked = signals(runs, fills).join(with_future.select("source").distinct().withColumn("_f", F.lit(True)), "source", "left")
+def source_health(runs: DataFrame, fills: list[str], with_future: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """Signals, state and its reason of every source; ``with_future`` has the sources that still announce something.
+
+    ``seeds`` (source, baseline) gives a baseline to sources whose own history has none yet; a seeded source
+    without any attempt is a row without signals, and healthy.
+    """
+    marked = signals(runs, fills)
+    if seeds is not None:
+        seeded = seeds.groupBy("source").agg(F.max("baseline").alias("_seed"))
+        marked = marked.join(seeded, "source", "full_outer").withColumns({
+            "baseline": F.coalesce("baseline", "_seed"), "runs": F.coalesce("runs", F.lit(0).cast("long")), "drifted": F.coalesce("drifted", F.array().cast("array<string>")),
+        }).drop("_seed")
+    marked = marked.join(with_future.select("source").distinct().withColumn("_f", F.lit(True)), "source", "left")
     return marked.withColumn("future", F.coalesce("_f", F.lit(False))).drop("_f").withColumn("state", decide(F.col("future"))).withColumn("reason", reason(F.col("state")))
 
 
@@ -181,9 +191,10 @@ def derive_cancellations(links: DataFrame, states: DataFrame, today: Column) ->
     return rows.select("source", "item", "missing", reason.alias("reason"), (reason == "cancelled").alias("cancelled"))
 
 
-def structure_compare(expected: DataFrame, current: DataFrame) -> DataFrame:
-    """Issues between two shape profiles (field, kinds, fill): missing fields, other kinds, fill rates that dropped."""
-    both = expected.alias("e").join(current.alias("c"), F.col("e.field") == F.col("c.field"), "full_outer")
+def structure_compare(expected: DataFrame, current: DataFrame, *keys: str) -> DataFrame:
+    """(keys, field, issue) between two shape profiles (keys, field, kinds, fill): missing fields, other kinds, fill rates that dropped."""
+    on = [F.col(f"e.{k}").eqNullSafe(F.col(f"c.{k}")) for k in (*keys, "field")]
+    both = expected.alias("e").join(current.alias("c"), on, "full_outer")
     kinds = lambda c: F.split(F.col(c), ",")
     odd = F.size(F.array_except(kinds("c.kinds"), kinds("e.kinds"))) > 0
     issue = F.array_compact(
@@ -193,7 +204,7 @@ def structure_compare(expected: DataFrame, current: DataFrame) -> DataFrame:
             F.when((F.col("e.fill") > 0) & (F.col("c.fill") < DRIFT_RATIO * F.col("e.fill")), F.lit("fill-rate-drop")),
         )
     )
-    return both.select(F.coalesce("e.field", "c.field").alias("field"), F.explode(issue).alias("issue"))
+    return both.select(*[F.coalesce(f"e.{k}", f"c.{k}").alias(k) for k in (*keys, "field")], F.explode(issue).alias("issue"))
 
 
 def drift_classify(fixture_matches: Column, extraction_failed: Column, ok: Column, state: Column) -> Column:

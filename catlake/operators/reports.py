@@ -17,9 +17,9 @@ def review_priority(rows: DataFrame, today: Column) -> DataFrame:
     return rows.withColumn("priority", F.when(ahead.between(0, 6), 1).when(ahead.between(7, 14), 2).when(ahead < 0, 3).otherwise(4))
 
 
-def shape_profile(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """(field, kinds, fill): what kinds of text each field holds, and how often it holds any."""
-    long = rows.select(*[F.col(f).cast("string").alias(f) for f in fields]).unpivot([], fields, "field", "value")
+def shape_profile(rows: DataFrame, fields: list[str], *keys: str) -> DataFrame:
+    """(keys, field, kinds, fill): what kinds of text each field holds, and how often it holds any."""
+    long = rows.select(*keys, *[F.col(f).cast("string").alias(f) for f in fields]).unpivot(list(keys), fields, "field", "value")
     kind = (
         F.when(F.col("value").isNull(), None)
         .when(F.col("value").rlike(r"^-?\d+$"), "integer")
@@ -27,9 +27,8 @@ def shape_profile(rows: DataFrame, fields: list[str]) -> DataFrame:
         .when(F.col("value").rlike(r"^\d{4}-\d{2}-\d{2}"), "date")
         .otherwise("text")
     )
-    return long.withColumn("kind", kind).groupBy("field").agg(
-        F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.round(F.avg(F.when(F.col("value").isNotNull() & (F.col("value") != ""), 1.0).otherwise(0.0)), 4).alias("fill")
-    )
+    filled = F.avg(F.when(F.col("value").isNotNull() & (F.col("value") != ""), 1.0).otherwise(0.0))
+    return long.withColumn("kind", kind).groupBy(*keys, "field").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.round(filled, 4).alias("fill"))
 
 
 def batch_status(ok: Column, failed: Column, changed: Column) -> Column:

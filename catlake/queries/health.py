@@ -103,6 +103,19 @@ def health_decide(spark, sf_dir):
     return _health(spark, sf_dir).select("source", "state", "reason")
 
 
+_SEEDED = f"""(SELECT coalesce(g.source, s.source) AS source, coalesce(runs, 0) AS runs, failures, items, coalesce(g.baseline, s.seed) AS baseline, base_fill, now_fill, unchanged_days
+      FROM {_SIG} g FULL JOIN (SELECT c_custkey * 2 AS source, CAST(c_custkey % 9 AS DOUBLE) AS seed FROM customer) s ON g.source = s.source)"""
+
+
+@query(f"""SELECT source, runs, CAST(baseline AS DOUBLE) AS baseline, CASE WHEN runs = 0 THEN 'healthy' WHEN failures >= 3 THEN 'broken' WHEN baseline >= 3 AND items = 0 THEN 'suspect' WHEN baseline >= 3 AND items < 0.4 * baseline THEN 'degraded'
+      WHEN items > 0 AND base_fill > 0 AND now_fill < 0.8 * base_fill THEN 'schema-drift' WHEN unchanged_days > 30 AND source NOT IN (SELECT s_suppkey FROM supplier) THEN 'stale' ELSE 'healthy' END AS state FROM {_SEEDED}""", "runs")
+def source_health_seeded(spark, sf_dir):
+    """Sources whose history has no baseline take a seeded one."""
+    future = b.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source"))
+    seeds = b.table(spark, sf_dir, "customer").select((F.col("c_custkey") * 2).alias("source"), (F.col("c_custkey") % 9).cast("double").alias("baseline"))
+    return h.source_health(b.runs(spark, sf_dir), ["title_fill"], future, seeds).select("source", "runs", "baseline", "state")
+
+
 @query(f"SELECT source, runs, failures, items, CAST(baseline AS DOUBLE) AS baseline, CAST(unchanged_runs AS BIGINT) AS unchanged_runs, state, source IN (SELECT s_suppkey FROM supplier) AS future FROM {_STATE}", "runs")
 def source_health(spark, sf_dir):
     return _health(spark, sf_dir).select("source", "runs", "failures", "items", "baseline", "unchanged_runs", "state", "future")
@@ -257,12 +270,34 @@ def shape_profile(spark, sf_dir):
     return reports.shape_profile(b.table(spark, sf_dir, "events"), ["props", "ts", "user_id"])
 
 
-@query("SELECT 'n' AS field, 'incompatible-kinds' AS issue UNION ALL SELECT 'n', 'fill-rate-drop' UNION ALL SELECT 'day', 'missing-field'")
+_KIND_OF = "CASE WHEN v IS NULL THEN NULL WHEN regexp_matches(v, '^-?[0-9]+$') THEN 'integer' WHEN regexp_matches(v, '^-?[0-9]+\\.[0-9]+$') THEN 'number' WHEN regexp_matches(v, '^[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN 'date' ELSE 'text' END"
+_PROFILE = "SELECT {0} AS source, '{1}' AS field, list_distinct(list(kind) FILTER (WHERE kind IS NOT NULL)) AS kinds, round(avg(CASE WHEN v IS NOT NULL AND v <> '' THEN 1.0 ELSE 0.0 END), 4) AS fill FROM (SELECT *, {2} AS kind FROM (SELECT *, {3} AS v FROM events)) GROUP BY 1, 2"
+_SHAPES = {
+    "e": {"n": "CAST(user_id AS VARCHAR)", "day": "CAST(CAST(ts AS DATE) AS VARCHAR)", "props": "CASE WHEN event_id % 2 = 0 THEN props END", "v": "CASE WHEN user_id % 3 <> 0 THEN 'x' END"},
+    "c": {"n": "CASE WHEN event_id % 3 = 0 THEN 'no ' || user_id END", "props": "CASE WHEN event_id % 10 = 0 THEN props END", "v": "CASE WHEN user_id % 2 = 0 THEN CAST(event_id AS VARCHAR) END"},
+}
+
+
+def _shape_sql(side):
+    return "(" + " UNION ALL ".join(_PROFILE.format("user_id % 7", name, _KIND_OF, value) for name, value in _SHAPES[side].items()) + ")"
+
+
+@query(f"""SELECT source, field, unnest(issues) AS issue FROM (SELECT coalesce(e.source, c.source) AS source, coalesce(e.field, c.field) AS field, list_filter([
+      CASE WHEN c.field IS NULL OR (c.fill = 0 AND e.fill > 0) THEN 'missing-field' END,
+      CASE WHEN len(e.kinds) > 0 AND len(c.kinds) > 0 AND len(list_filter(c.kinds, lambda k: NOT list_contains(e.kinds, k))) > 0 THEN 'incompatible-kinds' END,
+      CASE WHEN e.fill > 0 AND c.fill < 0.8 * e.fill THEN 'fill-rate-drop' END], lambda x: x IS NOT NULL) AS issues
+    FROM {_shape_sql("e")} e FULL JOIN {_shape_sql("c")} c ON e.source = c.source AND e.field = c.field)""")
 def structure_compare(spark, sf_dir):
-    events = b.table(spark, sf_dir, "events")
-    was = events.select(F.col("user_id").alias("n"), F.to_date("ts").alias("day"))
-    now = events.select(F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("no "), F.col("user_id"))).alias("n"))
-    return h.structure_compare(reports.shape_profile(was, ["n", "day"]), reports.shape_profile(now, ["n"]))
+    """Expected and current shapes of each of seven sources."""
+    events, source = b.table(spark, sf_dir, "events"), (F.col("user_id") % 7).alias("source")
+    was = events.select(
+        source, F.col("user_id").alias("n"), F.to_date("ts").alias("day"), F.when(F.col("event_id") % 2 == 0, F.col("props")).alias("props"), F.when(F.col("user_id") % 3 != 0, "x").alias("v")
+    )
+    now = events.select(
+        source, F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("no "), F.col("user_id"))).alias("n"), F.when(F.col("event_id") % 10 == 0, F.col("props")).alias("props"),
+        F.when(F.col("user_id") % 2 == 0, F.col("event_id").cast("string")).alias("v"),
+    )
+    return h.structure_compare(reports.shape_profile(was, ["n", "day", "props", "v"], "source"), reports.shape_profile(now, ["n", "props", "v"], "source"), "source")
 
 
 @query("""SELECT source, count(*) AS found, CAST(sum(CASE WHEN items > 0 THEN 1 ELSE 0 END) AS BIGINT) AS valid, CAST(sum(CASE WHEN coalesce(items, 0) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS rejected,
