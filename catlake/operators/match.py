@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fold, letter_counts, similarity_bound, similarity_of
+from ..sources.files import work_folder
 from .merge import merge_by_key
 
 #: Bands and weights; fixed values.
@@ -64,8 +65,10 @@ def _best(pairs: DataFrame, exact, parts: list[str]) -> DataFrame:
 
 
 def _bounded(rows: DataFrame, *texts: str) -> DataFrame:
-    """Letter counts beside texts, made once a row and not once a pair."""
-    return rows.withColumns({f"{t}_n": letter_counts(F.col(t)) for t in texts})
+    """Letter counts beside texts, made once a row and not once a pair or pass, and written, as both passes read them."""
+    folder = work_folder(rows.sparkSession, "titles")
+    rows.withColumns({f"{t}_n": letter_counts(F.col(t)) for t in texts}).write.parquet(folder)
+    return rows.sparkSession.read.parquet(folder)
 
 
 def _bound(text: str) -> Column:
@@ -90,13 +93,13 @@ def match_candidates(candidates: DataFrame, records: DataFrame, block: list[str]
     return best.select("c_id", "r_id", F.round("title_similarity", 6).alias("title_similarity"), "score", decision(F.col("score")).alias("decision"))
 
 
-def _event_blocks(candidates: DataFrame, events: DataFrame) -> DataFrame:
+def _event_blocks(candidates: DataFrame, events: DataFrame, bounded: bool = False) -> DataFrame:
     block = ["day", "place_id"]
 
     def keyed(rows: DataFrame) -> DataFrame:
         venue = F.nullif(F.trim("venue"), F.lit(""))
         made = rows.select("id", F.to_date("start_at").alias("day"), "place_id", "start_at", F.coalesce(fold(F.col("title")), F.lit("")).alias("title"), fold(venue).alias("venue"))
-        return _bounded(made, "title", "venue")
+        return _bounded(made, "title", "venue") if bounded else made
 
     return salted_pairs(keyed(candidates), keyed(events), block)
 
@@ -125,7 +128,7 @@ def match_events(candidates: DataFrame, events: DataFrame, bounded: bool = False
     """
     parts = ["title", "time", "venue"]
     if bounded:
-        pairs = _event_blocks(candidates, events)
+        pairs = _event_blocks(candidates, events, True)
         bound = match_score(_bound("title"), time_similarity(F.col("c_start_at"), F.col("r_start_at")), _bound("venue"))
         pairs = pairs.select("c_id", "r_id", *[f"{side}_{c}" for side in "cr" for c in ("title", "start_at", "venue")], bound.alias("bound"))
         best = _best(pairs, _event_scores, parts)
