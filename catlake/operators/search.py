@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_, or_
 
@@ -12,18 +13,18 @@ from ..functions.binding import let
 from ..functions.text import tokens, unaccent
 
 
-def token_table(records: DataFrame, key: str, *texts: str) -> DataFrame:
-    """(key, token): the distinct folded words of each record's texts; written once, it serves every search."""
-    words = F.array_distinct(F.flatten(F.array(*[F.coalesce(tokens(F.col(t)), F.array().cast("array<string>")) for t in texts])))
-    return records.select(key, F.explode(words).alias("token"))
+def token_table(records: DataFrame, key: str, *texts: str, words: Callable[[Column], Column] = tokens) -> DataFrame:
+    """(key, token): the distinct folded words of each record's texts, as ``words`` cuts and folds them; written once, it serves every search."""
+    found = F.array_distinct(F.flatten(F.array(*[F.coalesce(words(F.col(t)), F.array().cast("array<string>")) for t in texts])))
+    return records.select(key, F.explode(found).alias("token"))
 
 
-def write_index(records: DataFrame, key: str, folder: str, *texts: str) -> None:
+def write_index(records: DataFrame, key: str, folder: str, *texts: str, words: Callable[[Column], Column] = tokens) -> None:
     """The token table as a stored inverted index: files by ranges of (token, key), sorted, so that their statistics tell which hold a prefix.
 
     A word that very many records have is spread over several files, as the key is part of the ranges.
     """
-    token_table(records, key, *texts).repartitionByRange("token", key).sortWithinPartitions("token", key).write.parquet(folder)
+    token_table(records, key, *texts, words=words).repartitionByRange("token", key).sortWithinPartitions("token", key).write.parquet(folder)
 
 
 def search_index(index: DataFrame, key: str, text: str) -> DataFrame:
@@ -54,14 +55,14 @@ def _begins(words: Column, beginning: str) -> Column:
     return F.exists(words, lambda word: word.startswith(beginning))
 
 
-def fulltext_prefix(records: DataFrame, key: str, text: str, *texts: str) -> DataFrame:
+def fulltext_prefix(records: DataFrame, key: str, text: str, *texts: str, words: Callable[[Column], Column] = tokens) -> DataFrame:
     """The records in which every search word is the beginning of some word; none without a usable word."""
     wanted = list(dict.fromkeys(query_tokens(text)))
     if not wanted:
         return records.filter(F.lit(False))
     # A predicate of each record: no shuffle, and the other filters of a listing stay beside it.
-    words = F.flatten(F.array(*[F.coalesce(tokens(F.col(t)), F.array().cast("array<string>")) for t in texts]))
-    return records.filter(let(words, lambda have: reduce(and_, [_begins(have, w) for w in wanted])))
+    found = F.flatten(F.array(*[F.coalesce(words(F.col(t)), F.array().cast("array<string>")) for t in texts]))
+    return records.filter(let(found, lambda have: reduce(and_, [_begins(have, w) for w in wanted])))
 
 
 def fulltext_substring(records: DataFrame, text: str, *texts: str) -> DataFrame:
