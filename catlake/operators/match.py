@@ -45,10 +45,15 @@ def time_similarity(a: Column, b: Column, reach: int = 180) -> Column:
     return F.coalesce(F.greatest(F.lit(0.0), 1 - F.abs(minutes(a) - minutes(b)) / reach), F.lit(0.0))
 
 
+def rounded(x: Column, places: int = 4) -> Column:
+    """To so many places; the double itself decides a tie, scaled up, and not its shortest decimal form."""
+    return F.round(x * 10**places) / 10**places
+
+
 def match_score(title: Column, time: Column, venue: Column) -> Column:
     """The weighted mean, without the venue where it is null, to four places."""
     both = (TITLE * title + TIME * time + VENUE * venue) / (TITLE + TIME + VENUE)
-    return F.round(F.when(venue.isNotNull(), both).otherwise((TITLE * title + TIME * time) / (TITLE + TIME)), 4)
+    return rounded(F.when(venue.isNotNull(), both).otherwise((TITLE * title + TIME * time) / (TITLE + TIME)))
 
 
 def title_score(title: np.ndarray) -> np.ndarray:
@@ -172,49 +177,82 @@ def match_candidates(candidates: DataFrame, records: DataFrame, block: list[str]
     return best.select("c_id", "r_id", F.round("title_similarity", 6).alias("title_similarity"), "score", decision(F.col("score")).alias("decision"))
 
 
-def _event_blocks(candidates: DataFrame, events: DataFrame, bounded: bool = False) -> DataFrame:
-    block = ["day", "place_id"]
+#: Up to so many pairs of different texts are scored once and sent to the tasks; beyond, each pair of records scores its own.
+KNOWN_PAIRS = 250_000
+
+
+def _event_sides(candidates: DataFrame, events: DataFrame, bounded: bool = False, also: tuple[str, ...] = ()) -> list[DataFrame]:
+    """Both sides with day, folded title and venue, written once, as they are read several times."""
 
     def keyed(rows: DataFrame) -> DataFrame:
         venue = F.nullif(F.trim("venue"), F.lit(""))
-        made = rows.select("id", F.to_date("start_at").alias("day"), "place_id", "start_at", F.coalesce(fold(F.col("title")), F.lit("")).alias("title"), fold(venue).alias("venue"))
-        return _bounded(made, "title", "venue") if bounded else made
+        made = rows.select("id", F.to_date("start_at").alias("day"), "place_id", "start_at", F.coalesce(fold(F.col("title")), F.lit("")).alias("title"), fold(venue).alias("venue"), *also)
+        if bounded:
+            return _bounded(made, "title", "venue")
+        folder = work_folder(rows.sparkSession, "events")
+        made.write.parquet(folder)
+        return rows.sparkSession.read.parquet(folder)
+
+    return [keyed(candidates), keyed(events)]
+
+
+def _event_blocks(sides: list[DataFrame]) -> DataFrame:
+    return salted_pairs(*sides, ["day", "place_id"], most=2000)
+
 
-    return salted_pairs(keyed(candidates), keyed(events), block)
+def _known(sides: list[DataFrame], text: str) -> DataFrame | None:
+    """(c_<text>, r_<text>, <text>): the similarity of every candidate's text with every event's, or none if there are more than KNOWN_PAIRS."""
+    c, r = (rows.select(F.col(text).alias(f"{side}_{text}")).filter(F.col(f"{side}_{text}").isNotNull()).distinct() for side, rows in zip("cr", sides, strict=True))
+    n = [x.limit(KNOWN_PAIRS + 1).count() for x in (c, r)]
+    if n[0] * n[1] > KNOWN_PAIRS:
+        return None
+    return c.crossJoin(F.broadcast(r)).withColumn(text, similarity_of(F.col(f"c_{text}"), F.col(f"r_{text}")))
 
 
-def _event_scores(pairs: DataFrame) -> DataFrame:
-    made = pairs.withColumns({
-        "title": similarity_of(F.col("c_title"), F.col("r_title")), "time": time_similarity(F.col("c_start_at"), F.col("r_start_at")), "venue": similarity_of(F.col("c_venue"), F.col("r_venue")),
-    })
+def _event_scores(pairs: DataFrame, known: dict[str, DataFrame | None] | None = None) -> DataFrame:
+    for text in ("title", "venue"):
+        of = (known or {}).get(text)
+        if of is None:
+            pairs = pairs.withColumn(text, similarity_of(F.col(f"c_{text}"), F.col(f"r_{text}")))
+        else:
+            pairs = pairs.join(F.broadcast(of), [f"c_{text}", f"r_{text}"], "left")
+    made = pairs.withColumn("time", time_similarity(F.col("c_start_at"), F.col("r_start_at")))
     return made.withColumn("score", match_score(F.col("title"), F.col("time"), F.col("venue")))
 
 
-def event_pairs(candidates: DataFrame, events: DataFrame) -> DataFrame:
+def event_pairs(candidates: DataFrame, events: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     """Candidates beside the events of their block, the day of the start and the place, with the parts of the score.
 
     Both sides have id, title, start_at, place_id and venue. A null day or place pairs with nothing.
-    Returns c_id, r_id, title, time, venue (null unless both have one) and score.
+    Returns c_id, r_id, title, time, venue (null unless both have one), score, and what ``also`` names of both sides.
     """
-    return _event_scores(_event_blocks(candidates, events)).select("c_id", "r_id", "title", "time", "venue", "score")
+    sides = _event_sides(candidates, events, also=also)
+    known = {text: _known(sides, text) for text in ("title", "venue")}
+    return _event_scores(_event_blocks(sides), known).select("c_id", "r_id", "title", "time", "venue", "score", *[f"{side}_{c}" for side in "cr" for c in also])
 
 
 def match_events(candidates: DataFrame, events: DataFrame, bounded: bool = False) -> DataFrame:
     """(c_id, r_id, score, decision, title, time, venue): the best event of each candidate that has any in its block, and what its score is made of.
 
     With ``bounded``, only pairs whose bound reaches their candidate's best are scored, at
-    the price of a second pass over the pairs, which pays for long titles.
+    the price of a second pass over the pairs, which pays for long titles. Otherwise one pass
+    finds each candidate's highest score, and a second one the pairs that have it, so that pairs are
+    neither sorted nor shuffled.
     """
     parts = ["title", "time", "venue"]
+    sides = _event_sides(candidates, events, bounded)
     if bounded:
-        pairs = _event_blocks(candidates, events, True)
+        pairs = _event_blocks(sides)
         bound = match_score(_bound("title"), time_similarity(F.col("c_start_at"), F.col("r_start_at")), _bound("venue"))
         pairs = pairs.select("c_id", "r_id", *[f"{side}_{c}" for side in "cr" for c in ("title", "start_at", "venue")], bound.alias("bound"))
         best = _best(pairs, _event_scores, parts)
     else:
-        best = event_pairs(candidates, events).groupBy("c_id").agg(F.min_by(F.struct("r_id", "score", *parts), F.struct(-F.col("score"), "r_id")).alias("_r")).select("c_id", "_r.*")
-    rounded = [F.round(c, 4).alias(c) for c in parts]
-    return best.select("c_id", "r_id", "score", decision(F.col("score")).alias("decision"), *rounded)
+        known = {text: _known(sides, text) for text in ("title", "venue")}
+        top = _event_scores(_event_blocks(sides), known).groupBy(F.col("c_id").alias("id")).agg(F.max("score").alias("top"))
+        reached = _event_scores(_event_blocks([sides[0].join(top, "id"), sides[1]]), known).filter("score = c_top")
+        best = reached.groupBy("c_id").agg(F.min_by(F.struct("r_id", "score", *parts), "r_id").alias("_r")).select("c_id", "_r.*")
+    shown = [rounded(F.col(c)).alias(c) for c in parts]
+    return best.select("c_id", "r_id", "score", decision(F.col("score")).alias("decision"), *shown)
 
 
 def store_matches(matches: DataFrame, candidates: DataFrame, links: DataFrame, reviews: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:

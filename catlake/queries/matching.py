@@ -183,8 +183,7 @@ def match_review_gate(spark, sf_dir):
 def match_calibration(spark, sf_dir):
     """Pairs of one customer are known positives, the others known negatives; the score sees neither."""
     drafts, events = _events(spark, sf_dir)
-    truth = lambda rows, side: rows.select(F.col("id").alias(f"{side}_id"), F.col("customer").alias(f"{side}_customer"))
-    pairs = m.event_pairs(drafts, events).join(truth(drafts, "c"), "c_id").join(truth(events, "r"), "r_id")
+    pairs = m.event_pairs(drafts, events, ("customer",))
     return m.calibration(pairs.withColumn("same", F.col("c_customer") == F.col("r_customer")))
 
 
