@@ -38,3 +38,22 @@ def test_many_sources_at_once():
     rows = [tuple(None if pd.isna(x) else x for x in r) for r in got.drop(columns="source").itertuples(index=False)]
     assert rows == [plainly(a, f) for a, f in zip(parts, futures, strict=True)]
     assert len({r[3] for r in rows}) == 6
+
+
+def test_missing_runs_call_python_once_a_group(spark, tmp_path, monkeypatch):
+    """Items of every source, null ones included, in few groups; a sighting in a later micro-batch resets, another absence adds."""
+    import datetime
+
+    monkeypatch.setattr(st, "GROUPS", 2)
+    kinds, schema = ["view", "signup", "error", "purchase"], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    rows = [(i, datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=i // 3), None if i % 31 == 0 else 2**60 + i % 31, kinds[(i * 7 + i // 5) % 4], 0.0, "{}" if i % 11 == 0 else f'{{"k": {i % 4}}}') for i in range(900)]
+    for part in (rows[:400], rows[400:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = st.missing_runs(st.read_runs(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema, 1))
+    assert "transformWithStateUDF(group" in stream._jdf.queryExecution().toString()
+    got = {(r["source"], r["item"]): r["missing"] for r in st.drain(spark, stream, "update", f"{tmp_path}/out", ("source", "item")).collect()}
+    expected = {}
+    for i, _, source, kind, _, props in rows:
+        key = (source, None if props == "{}" else (i % 4) % 3)
+        expected[key] = 0 if kind == "view" else expected.get(key, 0) + (kind != "error")
+    assert got == expected
