@@ -57,3 +57,9 @@ def test_missing_runs_call_python_once_a_group(spark, tmp_path, monkeypatch):
         key = (source, None if props == "{}" else (i % 4) % 3)
         expected[key] = 0 if kind == "view" else expected.get(key, 0) + (kind != "error")
     assert got == expected
+
+
+def test_retries_are_aggregated_without_python(spark, tmp_path):
+    schema = spark.createDataFrame([], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").schema
+    stream = st.retry_queue(st.read_runs(spark, str(tmp_path), schema))
+    assert "transformWithState" not in stream._jdf.queryExecution().toString()
