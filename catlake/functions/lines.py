@@ -24,12 +24,13 @@ OTHERS = ("dalsich", "dalsimi", "dalsim", "dalsi")
 ONGOING = r"(?:prave probiha|probiha\s+prave|probiha|ongoing|happening now)\b"
 ORGANIZED = r"(?:udalost vytvorena|udalost porada|event by|organizer:)"
 
-#: What each sign is, in the order in which it is tried.
-_KINDS = {
-    "iso": r"^\d{4}-\d{2}-\d{2}$", "clock": r"^\d{1,2}:\d{2}$", "figure": r"^\d{1,2}\.$", "year": r"^\d{4}$", "number": r"^\d+$", "zone": rf"^(?:{ZONES})$",
-    "day": rf"^(?:{'|'.join(DAYS)})$", "month": rf"^(?:{'|'.join(MONTHS)})$", "until": rf"^(?:{'|'.join(UNTIL)})$", "at": rf"^(?:{'|'.join(AT)})$",
-    "comma": r"^,$", "point": r"^\.$", "and": r"^a(?:nd)?$", "others": rf"^(?:{'|'.join(OTHERS)}|more)$",
-}
+#: What the signs are that begin with a figure, in the order in which they are tried, and what each word is; zones are words too, but for their hours.
+_FIGURES = {"iso": r"^\d{4}-\d{2}-\d{2}$", "clock": r"^\d{1,2}:\d{2}$", "figure": r"^\d{1,2}\.$", "year": r"^\d{4}$", "number": r"^\d+$"}
+_WORDS = {
+    word: kind
+    for kind, words in {"others": (*OTHERS, "more"), "and": ("a", "and"), "point": (".",), "comma": (",",), "at": AT, "until": UNTIL, "month": MONTHS, "day": DAYS}.items()
+    for word in words
+}
 _SIGN = rf"\d{{4}}-\d{{2}}-\d{{2}}|\d+:\d+|\d{{1,2}}\.(?!\d{{3}})|\d+|(?:{ZONES})\b|\p{{L}}+|\S"
 
 #: state -> kind of sign -> next state. d, m, y and t are the day, month, year and clock of the first date (1) and the second (2).
@@ -61,14 +62,17 @@ def _signs(plain: Column) -> Column:
     """struct(kind, value) of each sign of an unaccented line; a clock's value is its minutes, an ISO date's value its figures."""
     months = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
 
+    words = F.create_map(*[F.lit(x) for kv in _WORDS.items() for x in kv])
+
     def sign(x: Column) -> Column:
-        kind = F.lit("word")
-        for name, pattern in reversed(_KINDS.items()):
-            kind = F.when(x.rlike(pattern), name).otherwise(kind)
+        figures = F.lit("word")
+        for name, pattern in reversed(_FIGURES.items()):
+            figures = F.when(x.rlike(pattern), name).otherwise(figures)
+        kind = F.when(x.rlike(r"^\d"), figures).otherwise(F.coalesce(F.try_element_at(words, x), F.when(x.rlike(rf"^(?:{ZONES})$"), "zone").otherwise("word")))
         hours, minutes = (F.element_at(F.split(x, ":"), k).try_cast("int") for k in (1, -1))
         clock = F.when((hours < 24) & (minutes < 60), hours * 60 + minutes).otherwise(-1)
-        value = F.when(x.rlike(_KINDS["clock"]), clock).otherwise(F.coalesce(F.try_element_at(months, x), F.regexp_replace(x, r"[.-]", "").try_cast("int")))
-        return F.struct(kind.alias("kind"), value.alias("value"))
+        value = lambda k: F.when(k == "month", F.try_element_at(months, x)).when(k == "clock", clock).when(k.isin(*_FIGURES), F.translate(x, ".-", "").try_cast("int"))
+        return let(kind, lambda k: F.struct(k.alias("kind"), value(k).alias("value")))
 
     return F.transform(F.regexp_extract_all(plain, F.lit(_SIGN), F.lit(0)), sign)
 
@@ -152,15 +156,33 @@ def parse_when_range(text: Column, as_of: Column, prefer: str = "future", zone:
             .when(d["wrapped"] & r["m1"].isNotNull() & (F.datediff(d["last"], d["first"]) > most_days), "too-long")
             .when(ends & (end < start), "end-before-start")
         )
-        ok = lambda c: F.when(reason.isNull(), c)
-        return F.struct(
-            ok(d["first"]).alias("first"), ok(last).alias("last"), ok(start).alias("start_at"), ok(end).alias("end_at"),
-            ok(r["t1"].isNull() | (ends & ~clock)).alias("all_day"), ok(r["more"] + 1).alias("total_dates"), F.when(line.isNotNull(), reason).otherwise("empty-line").alias("reason"),
-        )
+
+        def told(why: Column) -> Column:
+            ok = lambda c: F.when(why.isNull(), c)
+            return F.struct(
+                ok(d["first"]).alias("first"), ok(last).alias("last"), ok(start).alias("start_at"), ok(end).alias("end_at"),
+                ok(r["t1"].isNull() | (ends & ~clock)).alias("all_day"), ok(r["more"] + 1).alias("total_dates"), why.alias("reason"),
+            )
+
+        return let(F.when(line.isNotNull(), reason).otherwise("empty-line"), told)
 
     return let(text, lambda line: let(read_line(unaccent(line)), lambda r: let(dated(r), lambda d: judged(line, r, d))))
 
 
+#: How each line begins that may be accepted: with a sign that the machine takes at its start.
+_BEGINNING = rf"^\s*(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}\.|(?:{'|'.join((*DAYS, *AT))})(?!\p{{L}}))"
+
+
+def first_range(lines: Column, as_of: Column, prefer: str = "future", zone: str = "UTC") -> Column:
+    """struct(line, w) of the first accepted line, with what ``parse_when_range`` has for it; lines after it, and lines that begin otherwise than the accepted, aren't read."""
+    read = lambda x: F.struct(x.alias("line"), parse_when_range(x, as_of, prefer, zone).alias("w"))
+    kind = "struct<line:string,w:struct<first:date,last:date,start_at:timestamp,end_at:timestamp,all_day:boolean,total_dates:int,reason:string>>"
+    likely = F.filter(lines, lambda x: unaccent(x).rlike(_BEGINNING))
+    return F.aggregate(
+        likely, F.lit(None).cast(kind), lambda found, x: F.when(found.isNotNull(), found).otherwise(let(read(x), lambda r: F.when(r["w"]["reason"].isNull(), r)))
+    )
+
+
 def block_lines(text: Column) -> Column:
     """The lines of a text without those that are blank."""
     return F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")

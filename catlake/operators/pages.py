@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.binding import let
-from ..functions.lines import ONGOING, block_lines, organizer, parse_when_range
+from ..functions.lines import ONGOING, block_lines, first_range, organizer, parse_when_range
 from ..functions.temporal import DATE_RUN, MONTHS, dates_in, run_dates, valid_parts, written_dates
 from ..functions.text import clean_text, decode_entities, unaccent, unaccent_in_place
 
@@ -520,23 +520,24 @@ def detail_fields(texts: DataFrame, key: str, text: str, as_of: str, prefer: str
     lines of their section up to the next section, else the names behind an organiser's
     prefix without "and n others", each once.
     """
-    lines = block_lines(F.col(text))
-    rows = texts.select(key, F.col(as_of).alias("as_of"), lines.alias("l"))
-    dated = F.transform(
-        F.filter(F.slice("l", 1, DATE_LINES), lambda x: x.rlike(r"\d")), lambda x: F.struct(x.alias("line"), parse_when_range(x, F.col("as_of"), prefer, zone).alias("w"))
-    )
-    label = lambda x: F.lower(x).rlike(rf"^(?:{'|'.join(ADDRESS_LABELS)})")
+    rows = texts.select(key, F.col(as_of).alias("as_of"), block_lines(F.col(text)).alias("l"))
+    dated = first_range(F.filter(F.slice("l", 1, DATE_LINES), lambda x: x.rlike(r"\d")), F.col("as_of"), prefer, zone)
+    label = lambda x: x.rlike(rf"(?i)^(?:{'|'.join(ADDRESS_LABELS)})")
     addressed = F.filter("l", lambda x: label(x) | (x.contains(",") & x.rlike(POSTAL) & (F.length(x) < LONGEST_ADDRESS)))
-    head = F.array_max(F.transform(F.array(*[F.array_position("l", name) for name in SECTION]), lambda x: x)).cast("int")
-    section = F.when(head > 0, F.slice("l", head + 1, F.lit(SECTION_LINES)))
-    ends = F.array_position(F.transform(section, lambda x: x.isin(*SECTION_ENDS)), True).cast("int")
-    listed = F.filter(F.when(ends > 0, F.slice(section, F.lit(1), ends - 1)).otherwise(section), lambda x: F.length(x) < LONGEST_NAME)
+    # What is used more than once is a column of its own, so that it is made once a row.
+    head = F.greatest(*[F.array_position("l", name) for name in SECTION]).cast("int")
+    rows = rows.withColumn("head", head)
+    rows = rows.withColumn("section", F.when(F.col("head") > 0, F.slice("l", F.col("head") + 1, F.lit(SECTION_LINES))))
+    rows = rows.withColumn("ends", F.array_position(F.transform("section", lambda x: x.isin(*SECTION_ENDS)), True).cast("int"))
+    head, section, ends = F.col("head"), F.col("section"), F.col("ends")
+    rows = rows.withColumn("listed", F.filter(F.when(ends > 0, F.slice(section, F.lit(1), ends - 1)).otherwise(section), lambda x: F.length(x) < LONGEST_NAME))
+    listed = F.col("listed")
     # A summary may stand before the section only, as what follows the section is of other sections.
     before = F.when(head > 0, F.slice("l", F.lit(1), head)).otherwise(F.col("l"))
     named = F.transform(F.filter(F.transform(before, organizer), lambda x: x.isNotNull()), lambda x: F.trim(F.regexp_replace(x, _SUMMARY, "")))
     chosen = F.when(F.size(listed) > 0, F.filter(listed, lambda x: ~x.rlike(_SUMMARY))).otherwise(named)
     rows = rows.select(
-        key, F.get(F.filter(dated, lambda x: x["w"]["reason"].isNull()), F.lit(0)).alias("d"), F.get(addressed, F.lit(0)).alias("a"), F.array_distinct(F.filter(chosen, lambda x: x != "")).alias("organizers")
+        key, dated.alias("d"), F.get(addressed, F.lit(0)).alias("a"), F.array_distinct(F.filter(chosen, lambda x: x != "")).alias("organizers")
     )
     address = F.nullif(F.trim(F.regexp_replace("a", rf"(?i)^(?:{'|'.join(ADDRESS_LABELS)})", "")), F.lit(""))
     return rows.select(key, F.col("d.line").alias("date_text"), F.col("d.w.start_at").alias("start_at"), F.col("d.w.end_at").alias("end_at"), F.col("d.w.all_day").alias("all_day"), address.alias("address"), "organizers")
