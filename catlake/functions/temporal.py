@@ -67,6 +67,10 @@ MONTHS = {
 DATE_RUN = rf"\.?\d(?:[\d.\-\s]++|(?:{'|'.join(sorted(MONTHS, key=len, reverse=True))})\b)*+"
 
 
+#: What each run with a date has: a day with its point and a month behind it, with no blank line between, or a date with dashes.
+_LIKELY_RUN = r"\d\.(?!\s*\n\s*\n)\s*(?:\d{1,2}\.|[a-z])|\d{4}-\d\d-\d\d"
+
+
 def run_dates(run: Column) -> Column:
     """struct(d, m, y, start, text) of each date in a run: by its first character's place there; y is null if it isn't written.
 
@@ -115,7 +119,7 @@ def run_dates(run: Column) -> Column:
                 hit = x.isNotNull()
                 return F.struct((past["at"] + F.length(sign)).alias("at"), F.when(hit, x["n"] - 1).otherwise(past["skip"] - 1).alias("skip"), F.when(hit, found).otherwise(past["found"]).alias("found"))
 
-            return let(F.when(past["skip"] <= 0, at(i)), taken)
+            return let(F.when((past["skip"] <= 0) & sign.rlike(r"^\s*\d"), at(i)), taken)
 
         kind = "array<struct<d:int,m:int,y:int,start:int,text:string>>"
         begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("skip"), F.array().cast(kind).alias("found"))
@@ -132,7 +136,7 @@ def dates_in(plain: Column) -> Column:
 
 def written_dates(plain: Column) -> Column:
     """As ``dates_in``, with how each date is written (text)."""
-    runs = F.filter(F.regexp_extract_all(plain, F.lit(DATE_RUN), F.lit(0)), lambda x: x.rlike(r"\d[.-]"))
+    runs = F.filter(F.regexp_extract_all(plain, F.lit(DATE_RUN), F.lit(0)), lambda x: x.rlike(_LIKELY_RUN))
     return F.filter(F.flatten(F.transform(runs, run_dates)), valid_parts)
 
 

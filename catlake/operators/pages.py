@@ -145,7 +145,9 @@ def signals(pages: DataFrame) -> DataFrame:
         let(cells, lambda c: F.struct(F.size(F.filter(c, lambda x: x.rlike(r"^\d{1,2}$"))).alias("numbers"), F.size(F.filter(c, lambda x: x.isin(*WEEKDAYS))).alias("weekdays"))).alias("cells"),
         times.alias("times"),
     )
-    rows = rows.withColumns({"dates": _in_years(dates_in(unaccent(F.col("text")))), "time_dates": _in_years(F.flatten(F.transform("times", dates_in)))})
+    rows = rows.withColumn("plain", unaccent(F.col("text"))).withColumn("written", written_dates(F.col("plain")))
+    parts = F.transform("written", lambda x: F.struct(x["d"].alias("d"), x["m"].alias("m"), x["y"].alias("y")))
+    rows = rows.withColumns({"dates": _in_years(parts), "time_dates": _in_years(F.flatten(F.transform("times", dates_in)))})
     usable = F.filter("links_near", lambda x: ~x["href"].rlike(r"(?i)^(#|javascript:|mailto:|tel:)") & (x["href"] != ""))
     several = lambda x: F.size(F.array_distinct(F.transform(x, lambda y: y["href"])))
     slug = unaccent(F.regexp_extract("path", rf"(?i)/(?:{'|'.join(EVENT_FOLDERS)})/([^/?#]+)", 1))
@@ -174,7 +176,7 @@ def signals(pages: DataFrame) -> DataFrame:
         (found(attribute(rf"\b{n}\b" for n in PAGER_NAMES)) | found(r"""(?i)<[^>]*\brel\s*=\s*["']next["']""")).alias("pagination"),
         ((F.col("cells.weekdays") >= 5) | (found(attribute(CALENDAR_NAMES)) & (F.col("cells.numbers") >= 20))).alias("calendar_grid"),
         F.lower(_meta("og:type")).alias("og_type"),
-        (F.exists("usable", lambda x: x["href"].rlike(f"(?i){'|'.join(CALENDAR_LINKS)}")) | unaccent(F.col("text")).rlike("|".join(CALENDAR_PHRASES))).alias("calendar_link"),
+        (F.exists("usable", lambda x: x["href"].rlike(f"(?i){'|'.join(CALENDAR_LINKS)}")) | F.col("plain").rlike("|".join(CALENDAR_PHRASES))).alias("calendar_link"),
         (F.coalesce(F.col("path").rlike(_EVENT_FOLDER), F.lit(False)) & ~slug.isin(*MONTHS) & ~slug.rlike(r"^\d{4}(-\d{1,2})?$")).alias("detail_url"),
         F.col("url").rlike(r"[?&]page=\d+|/page/\d+").alias("paginated"),
         F.col("url").rlike(r"/\d+/?([?#].*)?$").alias("numbered_url"),
@@ -183,7 +185,7 @@ def signals(pages: DataFrame) -> DataFrame:
         said(F.col("own.startDate")).alias("start_at"),
         said(F.col("own.endDate")).alias("end_at"),
         said(venue).alias("venue"),
-        F.coalesce(said(F.col("own.startDate")), F.get(written_dates(unaccent(F.col("text"))), F.lit(0))["text"]).alias("date_text"),
+        F.coalesce(said(F.col("own.startDate")), F.get("written", F.lit(0))["text"]).alias("date_text"),
     )
 
 

@@ -29,3 +29,16 @@ def test_every_accepted_line_is_likely(spark):
     rows = spark.createDataFrame([(x,) for x in LINES], "line string").select("line", li.parse_when_range(F.col("line"), F.lit(DAY)).alias("w"), li.unaccent(F.col("line")).rlike(li._BEGINNING).alias("likely")).collect()
     assert all(r["likely"] for r in rows if r["w"]["reason"] is None)
     assert any(not r["likely"] for r in rows)
+
+
+RUNS = ["1. 5. 2024", "1.\n\n2.\n\n3.", "1.\n2. 3.", "1.\n \n5. 2024", "1.5.", "1 . 5.", "1. 5", "1.\nkvetna 2024", "1.\n\nkvetna", "2024-05-01", "2024 -05-01", "2024-5-1", "1.2.3.4.", "1.500", "12-13. 5.", "3. unor a 4. 4.", ".5. 6. 7."]
+
+
+def test_runs_that_are_passed_over_hold_no_date(spark):
+    from catlake.functions import temporal as t
+
+    rows = spark.createDataFrame([(x,) for x in RUNS], "run string")
+    found = F.filter(t.run_dates(F.col("run")), t.valid_parts)
+    got = rows.select("run", F.size(found).alias("n"), F.col("run").rlike(t._LIKELY_RUN).alias("likely")).collect()
+    assert all(r["likely"] for r in got if r["n"])
+    assert not next(r["likely"] for r in got if r["run"] == "1.\n\n2.\n\n3.") and sum(r["n"] > 0 for r in got) >= 8
