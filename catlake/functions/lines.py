@@ -24,8 +24,7 @@ OTHERS = ("dalsich", "dalsimi", "dalsim", "dalsi")
 ONGOING = r"(?:prave probiha|probiha\s+prave|probiha|ongoing|happening now)\b"
 ORGANIZED = r"(?:udalost vytvorena|udalost porada|event by|organizer:)"
 
-#: What the signs are that begin with a figure, in the order in which they are tried, and what each word is; zones are words too, but for their hours.
-_FIGURES = {"iso": r"^\d{4}-\d{2}-\d{2}$", "clock": r"^\d{1,2}:\d{2}$", "figure": r"^\d{1,2}\.$", "year": r"^\d{4}$", "number": r"^\d+$"}
+#: What each word is.
 _WORDS = {
     word: kind
     for kind, words in {"others": (*OTHERS, "more"), "and": ("a", "and"), "point": (".",), "comma": (",",), "at": AT, "until": UNTIL, "month": MONTHS, "day": DAYS}.items()
@@ -33,7 +32,8 @@ _WORDS = {
 }
 _SIGN = rf"\d{{4}}-\d{{2}}-\d{{2}}|\d+:\d+|\d{{1,2}}\.(?!\d{{3}})|\d+|(?:{ZONES})\b|\p{{L}}+|\S"
 
-#: state -> kind of sign -> next state. d, m, y and t are the day, month, year and clock of the first date (1) and the second (2).
+#: The grammar: state -> kind of sign -> next state. d, m, y and t are the day, month, year and clock of the first date (1) and the second (2).
+#: ``_LINE`` is the same as one pattern; the tests compare the two.
 _MACHINE: dict[str, dict[str, str]] = {
     "start": {"day": "named1", "figure": "d1", "iso": "y1", "at": "start"},
     "named1": {"comma": "named1", "point": "named1", "figure": "d1", "iso": "y1"},
@@ -58,53 +58,83 @@ _ACCEPTED = ("m1", "y1", "t1", "m2", "y2", "t2", "more")
 _FIELDS = ("d1", "m1", "y1", "t1", "d2", "m2", "y2", "t2")
 
 
-def _signs(plain: Column) -> Column:
-    """struct(kind, value) of each sign of an unaccented line; a clock's value is its minutes, an ISO date's value its figures."""
+def _any(kind: str) -> str:
+    """The pattern of one sign of a kind of words."""
+    words = [w for w, k in _WORDS.items() if k == kind]
+    letters, marks = "|".join(w for w in words if w.isalpha()), "".join(rf"\{w}" for w in words if w in ".,-") + "".join(w for w in words if w in "–—")
+    return f"(?:{'|'.join(x for x in (letters and rf'(?:{letters})(?!\p{{L}})', marks and f'[{marks}]') if x)})"
+
+
+# Each matches where, and as far as, ``_SIGN`` cuts a sign of its kind.
+_YEAR, _FIGURE, _CLOCK, _MONTH = r"\d{4})(?!\d|:\d|-\d{2}-\d{2})", r"\d{1,2})\.(?!\d{3})", r"\d{1,2}:\d{2})(?!\d)", rf"{_any('month')})"
+_NUMBER = r"(?!\d{4}(?!\d))(?!\d{1,2}\.(?!\d{3}))(?<n>\d++)(?!:\d)"
+
+
+def _line() -> str:
+    """The accepted lines as a pattern; the groups of ISO dates are iy, im and id, and w is a month's name. Loops are possessive, as each sign has one reading."""
+    gap = r"\s*+"
+    day, at, comma, until, other = (_any(kind) + gap for kind in ("day", "at", "comma", "until", "others"))
+    zones = rf"(?:(?:(?:{ZONES})\b|(?:cest|cet)(?!\p{{L}})){gap})*+"
+    named = rf"(?:{day}(?:[.,]{gap})*+)?+"
+    spoken = lambda k: rf"(?:(?<m{k}>{_FIGURE}|(?<w{k}>{_MONTH}){gap}{zones}(?:(?<y{k}>{_YEAR}{gap}{zones})?+"
+    iso = lambda k: rf"(?<iy{k}>\d{{4}})-(?<im{k}>\d{{2}})-(?<id{k}>\d{{2}}){gap}{zones}"
+    time = lambda k, name: rf"(?<{name}>{_CLOCK}{gap}{zones}"
+    figure = lambda k: rf"(?<d{k}>{_FIGURE}{gap}"
+    end = rf"(?:{named}(?:{figure(2)}{spoken(2)}|{iso(2)})(?:(?:{comma})?+(?:{at})?+{time(2, 't2')})?+|(?:{at})?+{time(2, 'u2')})"
+    begin = rf"(?:{at})*+{named}(?:{figure(1)}(?:{spoken(1)}|(?={until}))|{iso(1)})(?:(?:{comma})?+(?:{at})?+{time(1, 't1')})?+"
+    return rf"\A{gap}{begin}(?:{until}{end})?+(?:{_any('and')}{gap}{_NUMBER}{gap}{other}{zones})?+\z"
+
+
+_LINE = _line()
+#: Lines that have a sign of a date, wherever.
+_SIGN_OF_DATE = rf"(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}\.(?!\d{{3}})|{_any('month')})"
+_DATED = rf"\A(?:\s*+(?!{_SIGN_OF_DATE})(?>{_SIGN}))*+\s*+{_SIGN_OF_DATE}"
+#: What stands for each field in what a line is replaced by.
+_FOUND = {f"{f}{k}": "".join(f"${{{g}{k}}}" for g in groups) for k in (1, 2) for f, groups in {"d": ("d", "id"), "m": ("m", "w", "im"), "y": ("y", "iy"), "t": ("t", "u") if k == 2 else ("t",)}.items()}
+
+
+def read_line(plain: Column) -> Column:
+    """struct(accepted, d1, m1, y1, t1, d2, m2, y2, t2, more, dated) of an unaccented line; the figures of lines that aren't accepted are null. A clock is its minutes, -1 if there is no such time."""
     months = F.create_map(*[F.lit(x) for kv in MONTHS.items() for x in kv])
 
-    words = F.create_map(*[F.lit(x) for kv in _WORDS.items() for x in kv])
+    def number(x: Column) -> Column:
+        # A cast that fails costs far more than the test.
+        return F.when(x.rlike(r"^\d"), x.try_cast("int"))
 
-    def sign(x: Column) -> Column:
-        figures = F.lit("word")
-        for name, pattern in reversed(_FIGURES.items()):
-            figures = F.when(x.rlike(pattern), name).otherwise(figures)
-        kind = F.when(x.rlike(r"^\d"), figures).otherwise(F.coalesce(F.try_element_at(words, x), F.when(x.rlike(rf"^(?:{ZONES})$"), "zone").otherwise("word")))
+    def clock(x: Column) -> Column:
         hours, minutes = (F.element_at(F.split(x, ":"), k).try_cast("int") for k in (1, -1))
-        clock = F.when((hours < 24) & (minutes < 60), hours * 60 + minutes).otherwise(-1)
-        value = lambda k: F.when(k == "month", F.try_element_at(months, x)).when(k == "clock", clock).when(k.isin(*_FIGURES), F.translate(x, ".-", "").try_cast("int"))
-        return let(kind, lambda k: F.struct(k.alias("kind"), value(k).alias("value")))
+        return F.when(x != "", F.when((hours < 24) & (minutes < 60), hours * 60 + minutes).otherwise(-1))
 
-    return F.transform(F.regexp_extract_all(plain, F.lit(_SIGN), F.lit(0)), sign)
+    def value(f: str, x: Column) -> Column:
+        return clock(x) if f[0] == "t" else F.coalesce(number(x), F.try_element_at(months, x)) if f[0] == "m" else number(x)
 
+    def fields(line: Column, found: Column) -> Column:
+        # Without a line there are no parts, and every field is null.
+        part = lambda k: F.get(found, F.lit(k))
+        ok = found.isNotNull()
+        return F.struct(
+            ok.alias("accepted"), *[value(f, part(k)).alias(f) for k, f in enumerate(_FIELDS)], number(part(len(_FIELDS))).alias("more"),
+            F.when(ok, True).otherwise(F.coalesce(line.rlike(_DATED), F.lit(False))).alias("dated"),
+        )
 
-def read_line(plain: Column) -> Column:
-    """struct(state, d1, m1, y1, t1, d2, m2, y2, t2, more, dated) of an unaccented line; the state is empty if the machine doesn't accept it."""
-    step = F.create_map(*[F.lit(x) for state, row in _MACHINE.items() for kind, to in row.items() for x in (f"{state} {kind}", to)])
-    none = F.lit(None).cast("int")
-    begin = F.struct(F.lit("start").alias("state"), *[none.alias(f) for f in (*_FIELDS, "more")], F.lit(False).alias("dated"))
-    own = {"d": ("figure",), "m": ("figure", "month"), "y": ("year",), "t": ("clock",)}
+    def read(line: Column) -> Column:
+        found = F.split(F.regexp_replace(line, _LINE, "\t".join([*(_FOUND[f] for f in _FIELDS), "${n}"])), "\t")
+        return let(F.when(line.rlike(_LINE), found), lambda x: fields(line, x))
 
-    def read(past: Column, x: Column) -> Column:
-        def moved(to: Column) -> Column:
-            fields = []
-            for f in _FIELDS:
-                value = F.when((to == f) & x["kind"].isin(*own[f[0]]), x["value"])
-                if f[0] in "dmy":
-                    part = {"d": x["value"] % 100, "m": F.floor(x["value"] / 100).cast("int") % 100, "y": F.floor(x["value"] / 10000).cast("int")}[f[0]]
-                    value = F.when((to == f"y{f[1]}") & (x["kind"] == "iso"), part).otherwise(value)
-                fields.append(F.coalesce(value, past[f]).alias(f))
-            more = F.coalesce(F.when(to == "n", x["value"]), past["more"])
-            return F.struct(to.alias("state"), *fields, more.alias("more"), (past["dated"] | x["kind"].isin("iso", "figure", "month")).alias("dated"))
+    return let(plain, read)
 
-        return let(F.coalesce(F.try_element_at(step, F.concat_ws(" ", past["state"], x["kind"])), F.lit("")), moved)
 
-    return F.aggregate(_signs(plain), begin, read)
+def _made(year: Column, month: Column, day: Column) -> Column:
+    """The date, null if there is none."""
+    leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
+    days = F.when(month.isin(4, 6, 9, 11), 30).when(month != 2, 31).when(leap, 29).otherwise(28)
+    return F.when((year >= 0) & month.between(1, 12) & (day >= 1) & ((day <= 28) | (day <= days)), F.make_date(year, month, day))
 
 
 def _near(as_of: Column, day: Column, month: Column, prefer: str) -> Column:
     """The year of a day without one: future, the nearest that isn't more than two days past; past, the nearest that isn't ahead; else this one."""
     this = F.year(as_of)
-    made = lambda k: F.try_to_date(F.format_string("%04d-%02d-%02d", this + k, month, day))
+    made = lambda k: _made(this + k, month, day)
     fits = (lambda d: d >= F.date_sub(as_of, 2)) if prefer == "future" else (lambda d: d <= as_of)
     out = this
     for k in reversed((0, 1, -1) if prefer == "future" else (0, -1, 1)):
@@ -112,7 +142,7 @@ def _near(as_of: Column, day: Column, month: Column, prefer: str) -> Column:
     return out
 
 
-def parse_when_range(text: Column, as_of: Column, prefer: str = "future", zone: str = "UTC", most_days: int = 60) -> Column:
+def parse_when_range(text: Column, as_of: Column, prefer: str = "future", zone: str = "UTC", most_days: int = 60, plain: Column | None = None) -> Column:
     """struct(first, last, start_at, end_at, all_day, total_dates, reason) of a line.
 
     Forms: a date (``d. m. [yyyy]``, ``d. month [yyyy]`` or ISO) with a clock or without, or
@@ -122,8 +152,8 @@ def parse_when_range(text: Column, as_of: Column, prefer: str = "future", zone:
     ``as_of``; the end's year anchors the start's, and a range over New Year that lasts more
     than ``most_days`` isn't one. A clock alone that is before the start is on the next day.
     A range whose end has no clock is all-day. Instants are in ``zone``, whatever the session's.
+    ``plain`` is the unaccented line where it is known already.
     """
-    two = lambda x: F.try_to_date(F.format_string("%04d-%02d-%02d", x[0], x[1], x[2]))
     at = lambda d, t: F.try_make_timestamp(F.year(d), F.month(d), F.day(d), F.floor(t / 60).cast("int"), (t % 60).cast("int"), F.lit(0), F.lit(zone))
 
     def dated(r: Column) -> Column:
@@ -136,7 +166,7 @@ def parse_when_range(text: Column, as_of: Column, prefer: str = "future", zone:
             # A day alone has the end's month and year; there's no New Year between.
             y1 = F.coalesce(r["y1"], F.when(~ends, _near(as_of, r["d1"], m1, prefer)).otherwise(F.when(later & r["m1"].isNotNull(), y2 - 1).otherwise(y2)))
             wrapped = ends & r["y1"].isNull() & later
-            return let(y1, lambda y: F.struct(two((y, m1, r["d1"])).alias("first"), F.when(ends, two((y2, r["m2"], r["d2"]))).alias("last"), wrapped.alias("wrapped")))
+            return let(y1, lambda y: F.struct(_made(y, m1, r["d1"]).alias("first"), F.when(ends, _made(y2, r["m2"], r["d2"])).alias("last"), wrapped.alias("wrapped")))
 
         return let(y2, anchored)
 
@@ -150,7 +180,7 @@ def parse_when_range(text: Column, as_of: Column, prefer: str = "future", zone:
         reason = (
             F.when(F.trim(line) == "", "empty-line")
             .when(~r["dated"], "no-date")
-            .when(~r["state"].isin(*_ACCEPTED), "unread-line")
+            .when(~r["accepted"], "unread-line")
             .when((r["t1"] < 0) | (r["t2"] < 0), "invalid-time")
             .when(d["first"].isNull() | (ends & d["last"].isNull()), "invalid-date")
             .when(d["wrapped"] & r["m1"].isNotNull() & (F.datediff(d["last"], d["first"]) > most_days), "too-long")
@@ -161,12 +191,12 @@ def parse_when_range(text: Column, as_of: Column, prefer: str = "future", zone:
             ok = lambda c: F.when(why.isNull(), c)
             return F.struct(
                 ok(d["first"]).alias("first"), ok(last).alias("last"), ok(start).alias("start_at"), ok(end).alias("end_at"),
-                ok(r["t1"].isNull() | (ends & ~clock)).alias("all_day"), ok(r["more"] + 1).alias("total_dates"), why.alias("reason"),
+                ok(r["t1"].isNull() | (ends & ~clock)).alias("all_day"), ok(F.try_add(r["more"], F.lit(1))).alias("total_dates"), why.alias("reason"),
             )
 
         return let(F.when(line.isNotNull(), reason).otherwise("empty-line"), told)
 
-    return let(text, lambda line: let(read_line(unaccent(line)), lambda r: let(dated(r), lambda d: judged(line, r, d))))
+    return let(text, lambda line: let(read_line(unaccent(line) if plain is None else plain), lambda r: let(dated(r), lambda d: judged(line, r, d))))
 
 
 #: How each line begins that may be accepted: with a sign that the machine takes at its start.
@@ -190,8 +220,10 @@ def block_lines(text: Column) -> Column:
 
 def organizer(line: Column) -> Column:
     """The name in a line that says who organises something; null for other lines."""
-    plain = unaccent(line)
+
     # Folding may change a line's length, so the prefix is cut off by its words.
-    mark = F.regexp_extract(plain, rf"^\s*({ORGANIZED})", 1)
-    words = F.size(F.split(mark, r"\s+"))
-    return F.when(mark != "", F.nullif(F.trim(F.element_at(F.split(F.trim(line), r"\s+", F.when(F.endswith(mark, F.lit(":")), words).otherwise(words) + 1), -1)), F.lit("")))
+    def named(mark: Column) -> Column:
+        words = F.size(F.split(mark, r"\s+"))
+        return F.when(mark != "", F.nullif(F.trim(F.element_at(F.split(F.trim(line), r"\s+", F.when(F.endswith(mark, F.lit(":")), words).otherwise(words) + 1), -1)), F.lit("")))
+
+    return let(F.regexp_extract(unaccent(line), rf"^\s*({ORGANIZED})", 1), named)

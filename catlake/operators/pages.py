@@ -491,17 +491,18 @@ def listing_blocks(texts: DataFrame, key: str, text: str, as_of: str, prefer: st
     and no times, and one of fewer than two lines nothing else.
     """
     def kinds(x: Column) -> Column:
-        name = organizer(x)
-        return F.struct(F.when(name.isNotNull(), "organizer").when(x.startswith("·"), "place").otherwise("text").alias("kind"), F.coalesce(name, F.when(x.startswith("·"), F.trim(F.ltrim(x, F.lit("·"))))).alias("value"), x.alias("line"))
+        place = F.when(x.startswith("·"), F.trim(F.ltrim(x, F.lit("·"))))
+        return let(organizer(x), lambda name: F.struct(F.when(name.isNotNull(), "organizer").when(place.isNotNull(), "place").otherwise("text").alias("kind"), F.coalesce(name, place).alias("value"), x.alias("line")))
 
     rows = texts.select(key, F.col(as_of).alias("as_of"), block_lines(F.col(text)).alias("l"))
-    first = F.get("l", F.lit(0))
-    rows = rows.select(key, "as_of", "l", first.alias("date_text"), F.regexp_extract(unaccent(first), rf"^{ONGOING}(.*)$", 1).alias("rest"), unaccent(first).rlike(rf"^{ONGOING}").alias("ongoing"))
+    # What is used more than once is a column of its own, so that it is made once a row.
+    rows = rows.withColumn("date_text", F.get("l", F.lit(0))).withColumn("plain", unaccent(F.col("date_text")))
+    rows = rows.select(key, "as_of", "l", "date_text", "plain", F.regexp_extract("plain", rf"^{ONGOING}(.*)$", 1).alias("rest"), F.col("plain").rlike(rf"^{ONGOING}").alias("ongoing"))
     rest = F.regexp_replace(F.ltrim(F.col("rest"), F.lit(" .–—-")), r"^(?:do|az|until)\s+", "")
     rows = rows.select(
         key, "date_text", F.coalesce("ongoing", F.lit(False)).alias("ongoing"), F.get("l", F.lit(1)).alias("title"), (F.size("l") < 2).alias("short"),
         F.transform(F.slice("l", F.lit(3), F.greatest(F.size("l") - 2, F.lit(0))), kinds).alias("more"),
-        parse_when_range(F.when(F.col("ongoing"), rest).otherwise(F.col("date_text")), F.col("as_of"), prefer, zone).alias("w"),
+        parse_when_range(F.when(F.col("ongoing"), rest).otherwise(F.col("date_text")), F.col("as_of"), prefer, zone, plain=F.when(F.col("ongoing"), rest).otherwise(F.col("plain"))).alias("w"),
     )
     of = lambda kind: F.transform(F.filter("more", lambda x: x["kind"] == kind), lambda x: F.coalesce(x["value"], x["line"]))
     whole = lambda c: F.when(~F.col("short"), c)
