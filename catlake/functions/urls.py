@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_letters, digits
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,7 +15,11 @@ TRACKING_NAMES = (
     "ref_src", "ref_url", "vgo_ee", "oly_enc_id", "oly_anon_id",
 )
 TRACKING_PREFIX = "utm_"
-_PARTS = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
+#: A line separator may stand behind the fragment only.
+_PARTS = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?[\x{85}\x{2028}\x{2029}]?\z"
+
+#: Characters that path and query can't hold; one by one, as Java looks single characters up and tries ranges in turn.
+_ODD = rf"[^{ascii_letters}{digits}/%:@!$&'()*+,;=~._?\-]"
 
 
 def canonical_url(url: Column) -> Column:
@@ -22,13 +28,14 @@ def canonical_url(url: Column) -> Column:
     Odd characters of path and query are escaped once, escapes are in capitals and never decoded; a host that isn't
     ASCII is put into punycode where it can be. Null for anything that is no http or https URL with a host, or that holds white space.
     """
-    return let(F.regexp_replace(F.trim(url), "^<|>$", ""), _canonical)
+    bare = F.when(F.contains(url, F.lit("<")) | F.contains(url, F.lit(">")), F.regexp_replace(F.trim(url), "^<|>$", "")).otherwise(F.trim(url))
+    return let(bare, _canonical)
 
 
 def _encoded(text: Column) -> Column:
     """Characters that a URL can't hold as their UTF-8 bytes in hexadecimal; escapes that are there stay, in capitals."""
     bytes_of = lambda c: F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")
-    odd = r"[^A-Za-z0-9/%:@!$&'()*+,;=~._?\-]"
+    odd = _ODD
 
     def each(t: Column) -> Column:
         cut = F.struct(F.split(t, odd, -1).alias("parts"), F.regexp_extract_all(t, F.lit(odd), F.lit(0)).alias("found"))
@@ -42,24 +49,22 @@ def _encoded(text: Column) -> Column:
 
 
 def _canonical(url: Column) -> Column:
-    names = ("scheme", "authority", "path", "query", "mark")
-    return let(F.struct(*[F.regexp_extract(url, _PARTS, k).alias(n) for k, n in enumerate(names, 1)], url.rlike(r"\s").alias("spaced")), _joined)
+    # The parts are taken by one match and joined by what a URL without white space can't hold.
+    return let(F.when(~url.rlike(r"\s"), F.split(F.regexp_replace(url, _PARTS, "$1\n$2\n$3\n$4\n$5"), "\n", -1)), _joined)
 
 
-def _joined(part: Column) -> Column:
-    host = F.regexp_replace(F.regexp_replace(F.lower(part["authority"]), r"^[^@]*@", ""), r":(80|443)?$", "")
-    bare = F.rtrim(part["path"], F.lit("/"))
+def _joined(parts: Column) -> Column:
+    scheme, authority, path, query, mark = (F.get(parts, F.lit(k)) for k in range(5))
+    host = F.regexp_replace(F.regexp_replace(F.lower(authority), r"^[^@]*@", ""), r":(80|443)?$", "")
+    bare = F.rtrim(path, F.lit("/"))
     path = F.when(bare == "", "/").otherwise(let(bare, _encoded))
-    name = lambda p: F.lower(F.substring_index(p, "=", 1))
-    pairs = F.filter(
-        F.split(F.substring(part["query"], 2, 1 << 30), "&"),
-        lambda p: (p != "") & ~name(p).isin(*TRACKING_NAMES) & ~name(p).startswith(TRACKING_PREFIX),
-    )
-    ordered = F.array_sort(F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1).alias("name"), p.alias("pair"))))
-    joined = F.array_join(F.transform(ordered, lambda x: x["pair"]), "&")
-    asked = F.when(part["query"] == "", "").otherwise(let(joined, lambda q: F.when(q != "", F.concat(F.lit("?"), _encoded(q))).otherwise("")))
-    mark = F.when(part["mark"].startswith("#!"), part["mark"]).otherwise("")
-    good = F.lower(part["scheme"]).isin("http", "https") & ~part["spaced"]
+    untracked = lambda name: ~name.isin(*TRACKING_NAMES) & ~name.startswith(TRACKING_PREFIX)
+    pairs = F.filter(F.split(F.substring(query, 2, 1 << 30), "&"), lambda p: (p != "") & let(F.lower(F.substring_index(p, "=", 1)), untracked))
+    ordered = lambda x: F.array_sort(F.transform(x, lambda p: F.struct(F.substring_index(p, "=", 1).alias("name"), p.alias("pair"))))
+    joined = let(pairs, lambda x: F.when(F.size(x) > 1, F.array_join(F.transform(ordered(x), lambda p: p["pair"]), "&")).otherwise(F.coalesce(F.get(x, F.lit(0)), F.lit(""))))
+    asked = F.when(query == "", "").otherwise(let(joined, lambda q: F.when(q != "", F.concat(F.lit("?"), _encoded(q))).otherwise("")))
+    mark = F.when(mark.startswith("#!"), mark).otherwise("")
+    good = F.lower(scheme).isin("http", "https")
     ascii_host = let(host, lambda h: F.when(h.rlike(r"[^\x00-\x7F]"), F.coalesce(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), h), h)).otherwise(h))
     return F.when(good, let(ascii_host, lambda h: F.when(h != "", F.concat(F.lit("https://"), h, path, asked, mark))))
 
