@@ -7,7 +7,9 @@ relaxed pruning keeps a candidate unless a nearer one that is kept lies ``alpha`
 nearer to it, and each kept edge is also offered to its end, which prunes again when full.
 
 Search: a task reads a shard's graph once and then lets the queries pass, batch by batch;
-the shards' best are merged. Queries travel to every shard, graphs only once for each
+the shards' best are merged. As rows are dealt at random, a shard holds few of a query's k
+nearest where there are many shards, so a narrow beam may do:
+the least one that, measured against brute force on a sample of shards and queries, finds them. Queries travel to every shard, graphs only once for each
 ``slice_rows`` queries, which are there so that one task's work is bounded. Largest inner
 product becomes smallest Euclidean distance by one added coordinate, sqrt(longest norm
 squared - own norm squared), so vectors of any length do; for the distances vectors are
@@ -188,8 +190,17 @@ def build_index(vectors: DataFrame, shard_rows: int = 8192, min_shards: int = 8,
             "vector": list(v), "links": [x[x >= 0] for x in links],
         })
 
-    # One partition a shard: shards are small in bytes and long in work, so they must not be coalesced.
-    return dealt.repartition(shards, "dim", "shard").groupBy("dim", "shard").applyInPandas(graph, _node_schema(_kind(rows)))
+    # One partition a shard: shards are small in bytes and long in work, so they must not be coalesced, and hashing would let some share a task.
+    return dealt.repartitionById(shards, "shard").groupBy("dim", "shard").applyInPandas(graph, _node_schema(_kind(rows)))
+
+
+#: Beams that may do, and the share of a shard's nearest that the one taken has to find.
+BEAMS, RECALL = (32, 48, 64, 96, 128, 192, 256), 0.97
+
+
+def share_of(k: int, shards: int) -> int:
+    """As many of the k nearest as one of so many shards may hold: the mean and three deviations, as rows are dealt at random."""
+    return min(k + 1, math.ceil(k / shards + 3 * math.sqrt(k / shards)))
 
 
 class _Shard:
@@ -210,12 +221,24 @@ class _Shard:
         self.links[np.repeat(np.arange(len(nodes)), many), np.arange(len(flat)) - np.repeat(np.cumsum(many) - many, many)] = flat
         self.points = _points(self.vectors)
 
+    def near(self, asked: np.ndarray, beam: int) -> np.ndarray:
+        wide = np.concatenate([asked / np.abs(asked).max(1, keepdims=True), np.zeros((len(asked), 1))], 1)
+        return _beam(self.points, self.links, entries(len(self.points)), wide, beam)[0]
+
+    def enough(self, asked: np.ndarray, most: int) -> int:
+        """The least beam that finds RECALL of the ``most`` nearest nodes, which brute force knows, or the widest."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            true = np.argsort(-(asked @ self.vectors.T), 1, kind="stable")[:, :most]
+        for beam in BEAMS:
+            found = self.near(asked, beam)
+            if np.mean([np.isin(t, f).mean() for t, f in zip(true, found, strict=True)]) >= RECALL:
+                break
+        return beam
+
     def answer(self, own: np.ndarray, asked: np.ndarray, k: int, beam: int) -> pa.RecordBatch:
         out: list[tuple] = []
-        wide = np.concatenate([asked / np.abs(asked).max(1, keepdims=True), np.zeros((len(asked), 1))], 1)
-        for i in range(0, len(asked), 256):
-            found, _ = _beam(self.points, self.links, entries(len(self.points)), wide[i : i + 256], beam)
-            for j, nodes in enumerate(found, i):
+        for i in range(0, len(asked), 64):
+            for j, nodes in enumerate(self.near(asked[i : i + 64], beam), i):
                 nodes = nodes[nodes >= 0]
                 with np.errstate(over="ignore", invalid="ignore"):
                     score = np.einsum("ij,j->i", self.vectors[nodes], asked[j])
@@ -227,46 +250,76 @@ class _Shard:
         return pa.RecordBatch.from_arrays([pa.array(query, pa.int64()), pa.array(vec, pa.int64()), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 20, beam: int = 256, slice_rows: int = 1 << 17) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found for each query vector (vec_id, embedding)."""
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Shard, pa.RecordBatch]]:
+    """Each shard with the queries that come after its nodes, batch by batch."""
+    now, shard = None, None
+    for batch in batches:
+        keys = np.stack([batch.column(i).to_numpy() for i in range(3)] + [batch.column(3).is_null().to_numpy(zero_copy_only=False).astype(np.int32)], 1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts, cuts[1:]):
+            if b == a:
+                continue
+            part, (*group, is_query) = batch.slice(a, b - a), keys[a].tolist()
+            if group != now:
+                now, shard = group, _Shard()
+            if not is_query:
+                shard.parts.append(part)
+                continue
+            if shard.points is None:
+                shard.ready()
+            yield shard, part
+
+
+def _vectors(part: pa.RecordBatch) -> np.ndarray:
+    return part.column(5).flatten().to_numpy().reshape(len(part), -1).astype(np.float64)
+
+
+def _met(index: DataFrame, asked: DataFrame, shards: int, slices: int = 1) -> DataFrame:
+    """Nodes and queries (vec_id, embedding) by shard and slice, a graph's nodes before its queries."""
     kind = index.schema["vector"].dataType.simpleString()
-    asked = valid_vectors(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    slices = max(1, math.ceil(asked.count() / slice_rows))
-    shards = index.groupBy(F.col("dim").alias("of"), "shard").agg(F.lit(1).alias("one"))
-    asked = asked.join(shards, F.size("embedding") == F.col("of")).select(
+    there = index.groupBy(F.col("dim").alias("of"), "shard").agg(F.lit(1).alias("one"))
+    asked = asked.join(there, F.size("embedding") == F.col("of")).select(
         F.col("of").alias("dim"), "shard", F.pmod(F.xxhash64("vec_id", F.lit("slice")), F.lit(slices)).cast("int").alias("slice"), F.lit(None).cast("int").alias("node"),
         F.array("vec_id").alias("ids"), F.col("embedding").cast(kind).alias("vector"), F.lit(None).cast("array<int>").alias("links"),
     )
     nodes = index.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    # A graph's nodes come before its queries; groups that meet in one partition come one after another.
+    # Groups that meet in one partition come one after another.
     key = ["dim", "shard", "slice"]
-    mixed = nodes.select(*asked.columns).unionByName(asked).repartition(max(1, shards.count() * slices), *key).sortWithinPartitions(*key, F.col("node").isNull())
+    mixed = nodes.select(*asked.columns).unionByName(asked)
+    return mixed.repartitionById(shards * slices, F.col("shard") * slices + F.col("slice")).sortWithinPartitions(*key, F.col("node").isNull())
+
+
+def beam_width(index: DataFrame, asked: DataFrame, k: int, shards: int, sample: int = 64) -> int:
+    """The widest of the beams that are enough for a sample of the queries in the first three shards; the sample is one row a query, of every length of vectors."""
+    if k > BEAMS[-1] // 2:
+        return 2 * k
+    most = share_of(k, shards)
+    few = asked.orderBy(F.xxhash64("vec_id", F.lit("beam")), "vec_id").limit(sample)
+
+    def gauge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, part in _meetings(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([shard.enough(_vectors(part), most)], pa.int32())], ["beam"])
+
+    return _met(index.filter("shard < 3"), few, 3).mapInArrow(gauge, "beam int").agg(F.max("beam")).first()[0] or BEAMS[0]
+
+
+def search(index: DataFrame, queries: DataFrame, k: int = 20, beam: int | None = None, slice_rows: int = 1 << 17) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found for each query vector (vec_id, embedding), by ``beam_width`` unless a beam is given."""
+    asked = valid_vectors(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    slices = max(1, math.ceil(asked.count() / slice_rows))
+    shards = 1 + (index.agg(F.max("shard")).first()[0] or 0)
+    width = beam or beam_width(index, asked, k, shards)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, shard = None, None
-        for batch in batches:
-            keys = np.stack([batch.column(i).to_numpy() for i in range(3)] + [batch.column(3).is_null().to_numpy(zero_copy_only=False).astype(np.int32)], 1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
-            for a, b in zip(cuts, cuts[1:]):
-                if b == a:
-                    continue
-                part, (*group, is_query) = batch.slice(a, b - a), keys[a].tolist()
-                if group != now:
-                    now, shard = group, _Shard()
-                if not is_query:
-                    shard.parts.append(part)
-                    continue
-                if shard.points is None:
-                    shard.ready()
-                vectors = part.column(5).flatten().to_numpy().reshape(b - a, -1).astype(np.float64)
-                yield shard.answer(part.column(4).flatten().to_numpy(), vectors, k, beam)
-
-    found = mixed.mapInArrow(find, _FOUND)
+        for shard, part in _meetings(batches):
+            yield shard.answer(part.column(4).flatten().to_numpy(), _vectors(part), k, width)
+
+    found = _met(index, asked, shards, slices).mapInArrow(find, _FOUND)
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int = 256) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, beam: int | None = None) -> DataFrame:
     """Build the index over ``vectors``, write it to the shared folder, and search it for ``queries``."""
     return search(materialize(build_index(vectors), "graphs"), queries, k, beam)

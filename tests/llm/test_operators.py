@@ -290,6 +290,34 @@ def test_recall_on_one_full_shard(spread):
     assert np.mean([len(set(a) & set(b)) for a, b in zip(true, best, strict=True)]) / 20 >= 0.94
 
 
+def test_a_shard_has_a_task_of_its_own(spark):
+    rows = spark.range(400).select(F.col("id").alias("vec_id"), F.array(F.sin("id").cast("float"), F.cos("id").cast("float")).alias("embedding"))
+    index = ann.build_index(rows, shard_rows=40, min_shards=10)
+    tasks = index.groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("shard").alias("n")).collect()
+    assert [r["n"] for r in tasks] == [1] * 10 and index.agg(F.sum(F.size("ids"))).first()[0] == 400
+
+
+def test_the_beam_is_as_wide_as_measured(spark):
+    """Vectors of one length are found by a narrow beam; others get one as wide as they need; over all shards little is lost."""
+    assert ann.share_of(20, 1) == 21 and ann.share_of(20, 75) == 2
+    rng, n, shards = np.random.default_rng(4), 16384, 16
+    hard = rng.normal(size=(n, 32))
+    widths = []
+    for v in (np.float32(hard / np.linalg.norm(hard, axis=1)[:, None]), np.float32(hard)):
+        rows = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<float>")
+        index = materialize(ann.build_index(rows, shard_rows=n // shards), "graphs")
+        asked = rows.filter("vec_id % 128 = 0")
+        widths.append(ann.beam_width(index, asked, 20, shards))
+        found = ann.search(index, asked, 20).toPandas().groupby("query_id")["vec_id"].agg(set)
+        hit = []
+        for q, ids in found.items():
+            s = v.astype(float) @ v[q].astype(float)
+            s[q] = -np.inf
+            hit.append(len(ids & set(np.argsort(-s)[:20].tolist())) / 20)
+        assert len(hit) == n // 128 and np.mean(hit) >= 0.95
+    assert widths[0] < 128 and widths[0] <= widths[1]
+
+
 def test_classifiers_on_odd_rows(spark, odd, empty, labels):
     rows = langid.identify(odd).collect()
     assert len(rows) == len(ODD) and all(0 <= r["score"] <= 1 for r in rows)
